@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from perilframe.llm import dac, edit_counts, packing, treebpe
+from perilframe.llm import dac, edit_counts, jaccard_join, packing, substring_dedup, treebpe
 from perilframe.llm.common import table
 
 
@@ -18,6 +17,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -36,8 +39,12 @@ def op9_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treebpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_packing, op6_edit_counts, op8_token_files, op9_tree_bpe)}
+    return {f.__name__: f for f in (op2_substring_dedup, op5_packing, op6_edit_counts, op8_token_files, op9_tree_bpe, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
