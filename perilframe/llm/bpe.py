@@ -56,7 +56,7 @@ class _Pieces(dict):
 class Bpe:
     """Ids of one vocabulary file; ``limit`` bounds the pieces kept."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 200_000):
         one_thread()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -104,7 +104,7 @@ class Bpe:
 _KEPT: dict[tuple[str, int], Bpe] = {}
 
 
-def bpe(path: str, limit: int = 400_000) -> Bpe:
+def bpe(path: str, limit: int = 200_000) -> Bpe:
     """This worker process's encoder of a file."""
     if (path, limit) not in _KEPT:
         _KEPT[path, limit] = Bpe(path, limit)
