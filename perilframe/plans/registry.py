@@ -32,11 +32,11 @@ class Inputs:
         return view(self.spark, self.sf_dir, name)
 
 
-def query(name: str, sql: str | None = None):
-    """Register f(inputs) -> DataFrame under a name, with SQL over the same views."""
+def query(name: str, sql: str | None = None, places: int = 6):
+    """Register f(inputs) -> DataFrame under a name, with SQL over the same views; doubles to ``places`` places."""
 
     def register(f):
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(Inputs(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(Inputs(spark, sf_dir)), places)
         if sql:
             ORACLES[name] = with_views(sql, dims.as_sql())
         return f
