@@ -94,7 +94,7 @@ def hand(cells: DataFrame, stream: Column, z: str = "z", most: int = 40) -> Data
         if not moved:
             break
     ends = marked.where("_stream").select(F.col("row").alias("row2"), F.col("col").alias("col2"), F.col(z).alias("_z2"))
-    found = marked.join(jump, ["row", "col"], "left").join(ends, ["row2", "col2"], "left").withColumn("_h", F.greatest(F.col(z) - F.col("_z2"), F.lit(0.0)))
+    found = marked.join(jump, ["row", "col"], "left").join(ends, ["row2", "col2"], "left").withColumn("_h", F.when(F.col("_z2").isNotNull(), F.greatest(F.col(z) - F.col("_z2"), F.lit(0.0))))
     most_ = found.agg(F.coalesce(F.max("_h"), F.lit(100.0)).alias("_most"))
     return found.crossJoin(F.broadcast(most_)).withColumn("hand_m", F.coalesce("_h", "_most")).drop("row2", "col2", "_z2", "_h", "_most", "_stream")
 
