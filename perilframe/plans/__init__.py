@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from perilframe.plans import cell_queries, hazard_queries, risk_queries  # noqa: F401
+    from perilframe.plans import cell_queries, hazard_queries, io_queries, risk_queries  # noqa: F401
 
 
 def queries() -> dict:

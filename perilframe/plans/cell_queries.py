@@ -96,11 +96,11 @@ def _(i):
     return G.regrid_nearest(i.cells, "z", 25, 25, 2.0)
 
 
-@query("grid14_regrid_bilinear", """WITH t AS (SELECT r.r, c.c, (r.r + 0.5) * 0.3 - 0.5 AS y, (c.c + 0.5) * 0.3 - 0.5 AS x FROM unnest(range(60)) r(r), unnest(range(60)) c(c)),
+@query("grid14_regrid_bilinear", """WITH t AS (SELECT r.r, c.c, (r.r + 0.5) * 0.37 - 0.5 AS y, (c.c + 0.5) * 0.37 - 0.5 AS x FROM unnest(range(60)) r(r), unnest(range(60)) c(c)),
  k AS (SELECT *, floor(y) + a.a AS rr, floor(x) + b.b AS cc FROM t, unnest([0, 1]) a(a), unnest([0, 1]) b(b)), w AS (SELECT k.*, z, (1 - abs(y - rr)) * (1 - abs(x - cc)) AS w FROM k LEFT JOIN cells ON cells.row = rr AND cells.col = cc)
- SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(sum(z * w) / nullif(sum(CASE WHEN z IS NOT NULL THEN w END), 0), 7) AS z FROM w GROUP BY 1, 2""", 7)
+ SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(sum(z * w) / nullif(sum(CASE WHEN z IS NOT NULL THEN w END), 0), 6) AS z FROM w GROUP BY 1, 2""")
 def _(i):
-    return G.regrid_bilinear(i.cells, "z", 60, 60, 0.3)
+    return G.regrid_bilinear(i.cells, "z", 60, 60, 0.37)
 
 
 @query("grid15_cell_xy", f"SELECT row, col, (col + 0.5) * {RES} AS x, 1001.0 - (row + 0.5) * {RES} AS y FROM cells")

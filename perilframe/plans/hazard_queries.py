@@ -236,7 +236,7 @@ _HAND = f"""{_ACC}, z AS (SELECT ac.*, c.z, accumulation > 8 AS stream FROM ac J
  hit AS (SELECT w.row, w.col, greatest(a.z - b.z, 0) AS h FROM dwn w JOIN z a ON a.row = w.row AND a.col = w.col JOIN z b ON b.row = w.row2 AND b.col = w.col2 AND b.stream)"""
 
 
-@query("hyd6_hand", f"{_HAND} SELECT z.row, z.col, round(coalesce(h, (SELECT coalesce(max(h), 100) FROM hit)), 6) AS hand_m FROM z LEFT JOIN hit ON hit.row = z.row AND hit.col = z.col")
+@query("hyd6_hand", f"{_HAND} SELECT z.row, z.col, round(coalesce(h, (SELECT coalesce(max(h), 100) FROM hit)), 9) AS hand_m FROM z LEFT JOIN hit ON hit.row = z.row AND hit.col = z.col", 9)
 def _(i):
     return H.hand(_accumulated(i), H.stream_cells(8)).select("row", "col", "hand_m")
 
