@@ -27,7 +27,6 @@ def _(i):
 
 
 _LAYERS = {
-    "grid3_rasterize_mean": ("z", "avg(z)"),
     "grid4_rasterize_max": ("dsm", "max(z)"),
     "grid7_building_mask": ("building", "CAST(max(CASE WHEN classification = 6 THEN 1 ELSE 0 END) AS INT)"),
     "grid8_mean_intensity": ("intensity", "avg(intensity)"),
@@ -42,14 +41,20 @@ def _(i):
     return G.rasterize(i.points, RES).select("row", "col", "dem")
 
 
-@query("grid6_surface_mean", f"{_P} SELECT row, col, round(avg(z), 9) AS dsm FROM placed GROUP BY 1, 2", 9)
+# Means are in feet: in metres many end in a 5 at the last place, which two engines may round apart.
+@query("grid3_rasterize_mean", f"{_P} SELECT row, col, round(avg(z) / 0.3048, 6) AS z FROM placed GROUP BY 1, 2")
 def _(i):
-    return G.rasterize(i.points, RES, surface="mean").select("row", "col", "dsm")
+    return G.rasterize(i.points, RES).select("row", "col", (F.col("z") / 0.3048).alias("z"))
 
 
-@query("grid3_full_grid", f"{_P}, m AS (SELECT row, col, avg(z) AS z FROM placed GROUP BY 1, 2) SELECT CAST(r.r AS INT) AS row, CAST(c.c AS INT) AS col, round(m.z, 9) AS z FROM ext, unnest(range(n_rows)) r(r), unnest(range(n_cols)) c(c) LEFT JOIN m ON m.row = r.r AND m.col = c.c", 9)
+@query("grid6_surface_mean", f"{_P} SELECT row, col, round(avg(z) / 0.3048, 6) AS dsm FROM placed GROUP BY 1, 2")
 def _(i):
-    return G.rasterize(i.points, RES, fill=True).select("row", "col", "z")
+    return G.rasterize(i.points, RES, surface="mean").select("row", "col", (F.col("dsm") / 0.3048).alias("dsm"))
+
+
+@query("grid3_full_grid", f"{_P}, m AS (SELECT row, col, avg(z) AS z FROM placed GROUP BY 1, 2) SELECT CAST(r.r AS INT) AS row, CAST(c.c AS INT) AS col, round(m.z / 0.3048, 6) AS z FROM ext, unnest(range(n_rows)) r(r), unnest(range(n_cols)) c(c) LEFT JOIN m ON m.row = r.r AND m.col = c.c")
+def _(i):
+    return G.rasterize(i.points, RES, fill=True).select("row", "col", (F.col("z") / 0.3048).alias("z"))
 
 
 @query("grid9_canopy_height", "SELECT row, col, round(greatest(dsm - dem, 0), 9) AS chm FROM cells", 9)
