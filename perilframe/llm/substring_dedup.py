@@ -15,7 +15,7 @@ others are removed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -50,31 +50,58 @@ _ODD = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, ROWS * BANDS,
 
 
 class Units:
-    """Paragraphs and passages of one text; positions are bytes of its UTF-8."""
+    """Paragraphs and passages of a batch of texts, read as one run of bytes with a line feed after each.
 
-    def __init__(self, text: str | None):
-        self.data = lower_ascii(text)
-        self.words, self.starts, self.ends = hash_words(self.data)
-        line = np.cumsum(np.frombuffer(self.data, np.uint8) == 0x0A, dtype=np.int64) if self.data else np.zeros(0, np.int64)
-        line = line[self.starts] if len(self.starts) else line
-        first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
-        last = np.r_[first[1:], len(line)].astype(np.int64)
-        kept = last - first >= MIN_WORDS
-        self.first, self.last = first[kept], last[kept]
+    Positions are bytes of that run; ``origin`` holds where each text starts.
+    """
 
-    def paragraph_sets(self) -> list[np.ndarray]:
-        return [np.unique(shingle(self.words[a:b], SHINGLE)) for a, b in zip(self.first, self.last)]
+    def __init__(self, texts: Sequence[str | None]):
+        parts = [lower_ascii(t) for t in texts]
+        self.data = b"\n".join(parts) + b"\n"
+        sizes = np.array([len(x) + 1 for x in parts], np.int64)
+        self.origin = np.cumsum(sizes) - sizes
+        self.words, self.starts, self.ends = hash_words(self.data)
+        self.text = np.searchsorted(self.origin, self.starts, side="right") - 1
+        feeds = np.flatnonzero(np.frombuffer(self.data, np.uint8) == 0x0A)
+        line = np.searchsorted(feeds, self.starts)
+        edge = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
+        last = np.r_[edge[1:], len(line)].astype(np.int64)
+        kept = last - edge >= MIN_WORDS
+        self.first, self.last = edge[kept], last[kept]
+        self.paragraph_text = self.text[self.first]
+
+    def paragraph_sets(self) -> tuple[np.ndarray, np.ndarray]:
+        """All paragraphs' distinct shingles, paragraph after paragraph and sorted, and where each begins."""
+        n = self.last - self.first - SHINGLE + 1
+        owner = np.repeat(np.arange(len(n)), n)
+        if not len(owner):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first, n)
+        every = shingle(self.words, SHINGLE)[at]
+        order = np.lexsort((every, owner))
+        every, owner = every[order], owner[order]
+        fresh = np.r_[True, (every[1:] != every[:-1]) | (owner[1:] != owner[:-1])]
+        every, owner = every[fresh], owner[fresh]
+        return every, np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
 
     def anchors(self) -> np.ndarray:
-        """First words of the passages."""
-        n = len(self.words) - PASSAGE + 1
-        if n <= 0:
+        """First words of the passages: the least hashes of every ANCHORS neighbouring places in a text.
+
+        A text's last PASSAGE - 1 words start no passage, so no window of places meets two texts.
+        """
+        n = len(self.words)
+        if n < PASSAGE:
             return np.zeros(0, np.int64)
-        h = mix(self.words[:n] ^ np.uint64(0x1234_5678_9ABC_DEF1))
-        if n < ANCHORS:
-            return np.array([int(np.argmin(h))])
-        least = np.argmin(np.lib.stride_tricks.sliding_window_view(h, ANCHORS), axis=1)
-        return np.unique(least + np.arange(len(least)))
+        top = np.uint64(2**64 - 1)
+        starts = np.r_[self.text[PASSAGE - 1 :] == self.text[: n - PASSAGE + 1], np.zeros(PASSAGE - 1, bool)]
+        h = np.where(starts, mix(self.words ^ np.uint64(0x1234_5678_9ABC_DEF1)), top)
+        h = np.r_[np.full(ANCHORS, top), h, np.full(ANCHORS, top)]
+        chosen = np.zeros(len(h), bool)
+        view = np.lib.stride_tricks.sliding_window_view(h, ANCHORS)
+        for a in range(0, len(view), 1 << 16):
+            part = view[a : a + (1 << 16)]
+            chosen[np.argmin(part, axis=1) + np.arange(a, a + len(part))] = True
+        return np.flatnonzero(chosen[ANCHORS : ANCHORS + n] & starts)
 
     def passages(self) -> tuple[np.ndarray, np.ndarray]:
         """Anchors, and hashes of the PASSAGE words from each."""
@@ -84,17 +111,22 @@ class Units:
             out = out * np.uint64(0xD6E8FEB86659FD93) + self.words[at + i]
         return at, mix(out ^ np.uint64(0x51))
 
+    def spans(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters before each span in its text, and in it; spans go from word first to word last."""
+        begins = np.cumsum((np.frombuffer(self.data, np.uint8) & 0xC0) != 0x80)
+        before = lambda at: np.where(at > 0, begins[at - 1], 0)
+        a, z = self.starts[first], self.ends[last]
+        return before(a) - before(self.origin[self.text[first]]), before(z) - before(a)
 
-def keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+
+def keys(every: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """ka and kb of each set."""
-    every, at = np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
     return tuple(np.add.reduceat(mix(every ^ np.uint64(x)), at) for x in (0, 0x7C3A91E5D2B86F04))
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+def band_keys(every: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The MinHash band keys of each set: one row for a set."""
-    every, at = np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
-    out = np.zeros((len(sets), BANDS), np.uint64)
+    out = np.zeros((len(at), BANDS), np.uint64)
     for k, odd in enumerate(_ODD):
         least = np.minimum.reduceat(every * odd, at)
         band = k // ROWS
@@ -108,48 +140,39 @@ _UNIT = "kind int, doc_id long, start long, length long, t long, ka long, kb lon
 def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(t, x): a band and the paragraph's set, a set or a passage and the document."""
     for frame in slices(frames):
-        sets, docs, t, x = [], [], [], []
-        for doc, text in zip(frame["doc_id"].to_numpy(np.int64), frame["text"]):
-            u = Units(text)
-            own = u.paragraph_sets()
-            sets += own
-            docs += [doc] * len(own)
-            at, h = u.passages()
-            t.append(signed(h))
-            x.append(np.full(len(h), doc))
-        if sets:
-            ka, _ = keys(sets)
-            b = band_keys(sets)
-            t += [signed(b.ravel()), signed(mix(ka))]
-            x += [signed(np.repeat(ka, BANDS)), np.array(docs, np.int64)]
-        if t and sum(map(len, t)):
-            yield pd.DataFrame({"t": np.concatenate(t), "x": np.concatenate(x)})
+        docs, u = frame["doc_id"].to_numpy(np.int64), Units(frame["text"].tolist())
+        at, h = u.passages()
+        t, x = [signed(h)], [docs[u.text[at]]]
+        every, begin = u.paragraph_sets()
+        if len(begin):
+            ka, _ = keys(every, begin)
+            t += [signed(band_keys(every, begin).ravel()), signed(mix(ka))]
+            x += [signed(np.repeat(ka, BANDS)), docs[u.paragraph_text]]
+        t, x = np.concatenate(t), np.concatenate(x)
+        if len(t):
+            yield pd.DataFrame({"t": t, "x": x})
 
 
 def _units(live):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames):
-            rows = []
-            for doc, text in zip(frame["doc_id"].to_numpy(np.int64), frame["text"]):
-                u = Units(text)
-                sets = u.paragraph_sets()
-                spans = []
-                if sets:
-                    ka, kb = keys(sets)
-                    b = band_keys(sets)
-                    on = sketch.in_bitmap(b.ravel(), live.value).reshape(b.shape)
-                    same = sketch.in_bitmap(mix(ka), live.value)
-                    for i in np.flatnonzero(on.any(axis=1) | same):
-                        spans.append((0, u.starts[u.first[i]], u.ends[u.last[i] - 1], 0, signed(ka)[i], signed(kb)[i], len(sets[i]), signed(b[i][on[i]]).tolist()))
-                at, h = u.passages()
-                for i in np.flatnonzero(sketch.in_bitmap(h, live.value)):
-                    spans.append((1, u.starts[at[i]], u.ends[at[i] + PASSAGE - 1], signed(h)[i], 0, 0, 0, []))
-                if spans:
-                    # bytes to characters
-                    begins = np.r_[0, np.cumsum((np.frombuffer(u.data, np.uint8) & 0xC0) != 0x80)]
-                    rows += [(kind, doc, int(begins[a]), int(begins[z] - begins[a]), *rest) for kind, a, z, *rest in spans]
-            if rows:
-                yield pd.DataFrame(rows, columns=["kind", "doc_id", "start", "length", "t", "ka", "kb", "n", "bands"])
+            docs, u = frame["doc_id"].to_numpy(np.int64), Units(frame["text"].tolist())
+            every, begin = u.paragraph_sets()
+            if len(begin):
+                ka, kb = keys(every, begin)
+                b = band_keys(every, begin)
+                on = sketch.in_bitmap(signed(b.ravel()), live.value).reshape(b.shape)
+                i = np.flatnonzero(on.any(axis=1) | sketch.in_bitmap(signed(mix(ka)), live.value))
+                start, length = u.spans(u.first[i], u.last[i] - 1)
+                n = np.diff(np.r_[begin, len(every)])[i]
+                if len(i):
+                    yield pd.DataFrame({"kind": 0, "doc_id": docs[u.paragraph_text[i]], "start": start, "length": length, "t": 0, "ka": signed(ka)[i], "kb": signed(kb)[i], "n": n, "bands": [x[y] for x, y in zip(signed(b[i]), on[i])]})
+            at, h = u.passages()
+            i = np.flatnonzero(sketch.in_bitmap(signed(h), live.value))
+            start, length = u.spans(at[i], at[i] + PASSAGE - 1)
+            none = np.zeros(0, np.int64)
+            if len(i):
+                yield pd.DataFrame({"kind": 1, "doc_id": docs[u.text[at[i]]], "start": start, "length": length, "t": signed(h)[i], "ka": 0, "kb": 0, "n": 0, "bands": [none] * len(i)})
 
     return run
 
@@ -157,19 +180,18 @@ def _units(live):
 def _sets(frames: Iterator[pd.DataFrame], wanted) -> Iterator[pd.DataFrame]:
     seen: set[tuple[int, int]] = set()
     for frame in slices(frames):
+        every, begin = Units(frame["text"].tolist()).paragraph_sets()
+        if not len(begin):
+            continue
+        ka, kb = map(signed, keys(every, begin))
+        end = np.r_[begin[1:], len(every)]
         rows = []
-        for text in frame["text"]:
-            sets = Units(text).paragraph_sets()
-            if sets:
-                ka, kb = map(signed, keys(sets))
-                on = np.flatnonzero(sketch.in_bitmap(ka, wanted.value))
-                on = [i for i in on if (ka[i], kb[i]) not in seen]
-                if on:
-                    b = band_keys([sets[i] for i in on])
-                    for i, own in zip(on, b):
-                        if (ka[i], kb[i]) not in seen:
-                            seen.add((ka[i], kb[i]))
-                            rows.append((ka[i], kb[i], sets[i].tobytes(), own.tobytes(), bytes([1]) * BANDS, 1))
+        for i in np.flatnonzero(sketch.in_bitmap(ka, wanted.value)).tolist():
+            key = (int(ka[i]), int(kb[i]))
+            if key not in seen:
+                seen.add(key)
+                own = every[begin[i] : end[i]]
+                rows.append((*key, own.tobytes(), band_keys(own, np.zeros(1, np.int64)).tobytes(), bytes([1]) * BANDS, 1))
         if rows:
             yield pd.DataFrame(rows, columns=[*_NODE, "shingles", "prefix", "levels", "chosen"])
 
@@ -190,7 +212,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     units = stored(docs.mapInPandas(_units(live), _UNIT), "units")
 
     paragraphs = units.where("kind = 0").select("doc_id", "start", "length", "ka", "kb", "n", "bands")
-    entries = paragraphs.select(F.explode("bands").alias("t"), *_NODE, "n")
+    entries = paragraphs.select(F.explode("bands").alias("t"), *_NODE, "n", F.lit(1).alias("least"))
     classes = paragraphs.select(*_NODE, F.col("ka").alias("rep"), F.lit(1).cast("long").alias("copies")).distinct()
     found = link_classes(entries, classes, lambda wanted: docs.select("text").mapInPandas(partial(_sets, wanted=wanted), SETS), PERCENT)
     parts = components(found, "rep", "root").withColumnRenamed("node", "ka")
