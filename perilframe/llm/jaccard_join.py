@@ -2,12 +2,14 @@
 
 All documents' shingles are counted in an array of a fixed size; ascending count, then hash, is the
 order of every document's shingles. If two sets have a Jaccard similarity of t, their prefixes of
-n - ceil(t n) + l shingles share l at least. Each document takes the l for which its longer prefix and
-its expected candidates together cost least; a pair is a candidate if the prefixes for the smaller of
-their two l share that many. Every candidate is verified on the whole sets.
-
-Equal sets are one class and take part once. A class's home is the fullest prefix bucket that it is
-in; a home with much to hold is dealt to several cells by hash. Two cells meet in one task if a bucket
+n - ceil(t n) + l shingles share l at least. Each document takes the l, from a least one by its size on,
+for which its longer prefix and its expected candidates together cost least; a pair is a candidate if
+the prefixes for the smaller of their two l share that many. A document with fewer prefix shingles in
+common with others than the least l of any partner's size has no candidate and goes early. Every
+candidate is verified on the whole sets.
+
+Equal sets are one class and take part once. A class's home is the fullest prefix bucket that it, or a
+class that it shares a bucket with, is in; a home with much to hold is dealt to several cells by hash. Two cells meet in one task if a bucket
 holds classes of both, so each pair of classes meets once at most, in a task of bounded size, and only
 links of a spanning forest leave it. Shingles are 64-bit hashes.
 """
@@ -24,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perilframe.llm import sketch
-from perilframe.llm.common import checkpointing, hash_words, lower_ascii, mix, shingle, signed, slices, stored
+from perilframe.llm.common import checkpointing, hash_words, lower_ascii, mix, one_thread, shingle, signed, slices, stored
 from perilframe.llm.graph import components
 
-COUNT_BITS, FILTER_BITS = 20, 26
-LEVELS = 4
-CELL_ROWS, CELL_SHINGLES = 512, 200_000
+COUNT_BITS, FILTER_BITS = 22, 26
+#: The largest l, and the shingles of a set for each further l that it takes at least.
+LEVELS, STEP = 16, 30
+CELL_ROWS, CELL_SHINGLES, BLOCK_ROWS, BATCH_ROWS = 2048, 400_000, 512, 2000
 _NODE = ["ka", "kb"]
 
 
@@ -49,11 +52,16 @@ def need(n, percent: int):
     return (percent * n + 99) // 100
 
 
+def least_level(n):
+    """The l that a set of n takes at least."""
+    return np.clip(np.asarray(n) // STEP, 1, LEVELS)
+
+
 def prefix(s: np.ndarray, counts: np.ndarray, load: float, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
     """The prefix of a set: its shingles, from which l on each belongs to it, and the l chosen."""
     n = len(s)
     first = n - need(n, percent) + 1
-    most = min(LEVELS, need(n, percent))
+    from_, most = int(least_level(n)), min(LEVELS, need(n, percent))
     est = counts[sketch.cell(s, COUNT_BITS)]
     end = first + most - 1
     if end < n:
@@ -62,8 +70,8 @@ def prefix(s: np.ndarray, counts: np.ndarray, load: float, percent: int) -> tupl
         s, est = s[kept], est[kept]
     order = np.lexsort((s, est))[:end]
     s, est = s[order], np.maximum(est[order] - load, 0.0)
-    costs = [first + l - 1 + est[: first + l - 1].sum() / l for l in range(1, most + 1)]
-    chosen = int(np.argmin(costs)) + 1
+    costs = [first + l - 1 + est[: first + l - 1].sum() / l for l in range(from_, most + 1)]
+    chosen = int(np.argmin(costs)) + from_
     s = s[: first + chosen - 1]
     return s, np.maximum(1, np.arange(len(s)) - first + 2).astype(np.uint8), chosen
 
@@ -136,25 +144,56 @@ def forest(nodes: np.ndarray, links: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _pairwise(rows: list[dict], left: np.ndarray | None, percent: int) -> np.ndarray:
+    """The links of a few rows, pair by pair; of rows on either side of ``left`` only, if given."""
+    out = np.zeros((len(rows), len(rows)), bool)
+    for i, a in enumerate(rows):
+        for j in range(i):
+            b = rows[j]
+            na, nb = len(a["s"]), len(b["s"])
+            if (left is not None and left[i] == left[j]) or 100 * min(na, nb) < percent * max(na, nb):
+                continue
+            level = min(a["l"], b["l"])
+            if len(np.intersect1d(a["p"][a["v"] <= level], b["p"][b["v"] <= level], assume_unique=True)) >= level:
+                both = len(np.intersect1d(a["s"], b["s"], assume_unique=True))
+                out[i, j] = out[j, i] = 100 * both >= percent * (na + nb - both)
+    return out
+
+
+def _meeting(rows: list[dict], left: np.ndarray | None, percent: int) -> np.ndarray:
+    """The links of one meeting, as a symmetric matrix."""
+    if len(rows) <= 8:
+        return _pairwise(rows, left, percent)
+    links = np.zeros((len(rows), len(rows)), bool)
+    one, two = (np.arange(len(rows)),) * 2 if left is None else (np.flatnonzero(left), np.flatnonzero(~left))
+    for x in range(0, len(one), BLOCK_ROWS):
+        for y in range(x if left is None else 0, len(two), BLOCK_ROWS):
+            i, j = one[x : x + BLOCK_ROWS], two[y : y + BLOCK_ROWS]
+            links[np.ix_(i, j)] = compare([rows[k] for k in i], None if left is None and x == y else [rows[k] for k in j], percent)
+    return links | links.T
+
+
 def _meet(percent: int):
+    """All meetings of a batch."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rep", kind="stable")
-        same = frame["c1"].iloc[0] == frame["c2"].iloc[0]
-        rows = [{"s": np.frombuffer(s, np.uint64), "p": np.frombuffer(p, np.uint64), "v": np.frombuffer(v, np.uint8), "l": l} for s, p, v, l in zip(frame["shingles"], frame["prefix"], frame["levels"], frame["chosen"])]
-        left = (frame["cell"] == frame["c1"]).to_numpy()
-        n = len(rows)
-        links = np.zeros((n, n), bool)
-        if same:
-            links = compare(rows, None, percent) if n else links
-        else:
-            i, j = np.flatnonzero(left), np.flatnonzero(~left)
-            if len(i) and len(j):
-                links[np.ix_(i, j)] = compare([rows[x] for x in i], [rows[x] for x in j], percent)
-        links |= links.T
-        root = forest(frame["rep"].to_numpy(np.int64), links)
-        copies = frame["copies"].to_numpy(np.int64)
-        out = pd.DataFrame({"rep": frame["rep"].to_numpy(), "root": root, "linked": links @ copies})
-        return out[out["linked"] > 0]
+        one_thread()
+        c1, c2, cell, rep, copies = (frame[c].to_numpy(np.int64) for c in ("c1", "c2", "cell", "rep", "copies"))
+        binary = [frame[c].tolist() for c in ("shingles", "prefix", "levels", "chosen")]
+        order = np.lexsort((rep, c2, c1))
+        edges = np.flatnonzero(np.r_[True, (np.diff(c1[order]) != 0) | (np.diff(c2[order]) != 0)]) if len(order) else []
+        out = [(np.zeros(0, np.int64),) * 3]
+        for a, b in zip(edges, [*edges[1:], len(order)]):
+            at = order[a:b]
+            if len(at) < 2:
+                continue
+            rows = [{"s": np.frombuffer(binary[0][i], np.uint64), "p": np.frombuffer(binary[1][i], np.uint64), "v": np.frombuffer(binary[2][i], np.uint8), "l": binary[3][i]} for i in at]
+            links = _meeting(rows, None if c1[at[0]] == c2[at[0]] else cell[at] == c1[at], percent)
+            some = links.any(axis=1)
+            if some.any():
+                out.append((rep[at][some], forest(rep[at], links)[some], (links @ copies[at])[some]))
+        rep_, root, linked = map(np.concatenate, zip(*out))
+        return pd.DataFrame({"rep": rep_, "root": root, "linked": linked})
 
     return run
 
@@ -162,51 +201,63 @@ def _meet(percent: int):
 SETS = "ka long, kb long, shingles binary, prefix binary, levels binary, chosen int"
 
 
-def link_classes(entries: DataFrame, classes: DataFrame, sets: Callable[[Broadcast], DataFrame], percent: int) -> DataFrame:
+def link_classes(entries: DataFrame, classes: DataFrame, sets: Callable[[Broadcast], DataFrame], percent: int, rounds: int = 0) -> DataFrame:
     """Compare all classes that share a key, in cells: (rep, root, linked), a row for each class and task that found links.
 
-    entries has a row (t, ka, kb, n) for each key t of a class of n shingles, repeats allowed; classes
-    has (ka, kb, rep, copies). sets(wanted) gives the sets of the classes whose ka is in the broadcast
-    bitmap, of others too, and repeats are allowed.
+    entries has a row (t, ka, kb, n, least) for each key t of a class of n shingles, repeats allowed; it
+    shares ``least`` keys at least with any class that it links to, and classes with fewer shared ones
+    go, in ``rounds`` rounds. classes has (ka, kb, rep, copies). sets(wanted) gives the sets of the
+    classes whose ka is in the broadcast bitmap, of others too, and repeats are allowed.
     """
     entries = stored(entries.distinct(), "entries")
-    buckets = entries.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).where("m > 1")
+    for _ in range(rounds):
+        shared = entries.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("t")
+        entries = entries.join(shared, "t", "left_semi")
+        enough = entries.groupBy(*_NODE, "least").agg(F.count(F.lit(1)).alias("m")).where("m >= least").select(*_NODE)
+        entries = stored(entries.join(enough, _NODE, "left_semi"), "entries")
+    buckets = entries.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     entries = stored(entries.join(buckets, "t"), "buckets")
-    homes = entries.groupBy(*_NODE).agg(F.max(F.struct("m", "t", "w")).alias("home"))
-    dealt = F.greatest(F.ceil(F.col("home.m") / F.lit(CELL_ROWS)), F.ceil(F.col("home.w") / F.lit(CELL_SHINGLES)))
-    nodes = homes.select(*_NODE, F.xxhash64("home.t", F.pmod(F.xxhash64(*_NODE), dealt)).alias("cell"))
+    # A class's home is the fullest bucket that it, or a class in one of its buckets, is in: so alike classes share one.
+    first = entries.groupBy(*_NODE).agg(F.max(F.struct("m", "t")).alias("home"))
+    best = entries.join(first, _NODE).groupBy("t").agg(F.max("home").alias("home"))
+    homes = stored(entries.join(best, "t").groupBy(*_NODE).agg(F.max("home").alias("home"), F.max("n").alias("n")).select(*_NODE, F.col("home.t").alias("home"), "n"), "homes")
+    sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(CELL_ROWS)), F.ceil(F.sum("n") / F.lit(CELL_SHINGLES))).alias("dealt"))
+    nodes = homes.join(sizes, "home").select(*_NODE, F.xxhash64("home", F.pmod(F.xxhash64(*_NODE), F.col("dealt"))).alias("cell"))
     nodes = stored(nodes.join(classes, _NODE), "cells")
     in_bucket = entries.join(nodes.select(*_NODE, "cell"), _NODE).groupBy("t", "cell").agg(F.count(F.lit(1)).alias("m"))
     other = in_bucket.select("t", F.col("cell").alias("c2"))
     meetings = in_bucket.withColumnRenamed("cell", "c1").join(other, "t").where("c1 < c2 or c1 = c2 and m > 1").select("c1", "c2").distinct()
-    meetings = stored(meetings, "meetings")
-    wanted = entries.sparkSession.sparkContext.broadcast(sketch.bitmap(nodes.select("ka"), "ka", FILTER_BITS))
-    whole = stored(nodes.join(sets(wanted).dropDuplicates(_NODE), _NODE), "whole")
     sides = meetings.select("c1", "c2", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("cell"))
-    return stored(sides.join(whole, "cell").groupBy("c1", "c2").applyInPandas(_meet(percent), "rep long, root long, linked long"), "links")
+    seats = stored(nodes.join(sides, "cell"), "seats")
+    wanted = entries.sparkSession.sparkContext.broadcast(sketch.bitmap(seats.select("ka"), "ka", FILTER_BITS))
+    # Small meetings share a task's call; a batch has about BATCH_ROWS rows, and a meeting is bounded by its cells.
+    batches = max(1, seats.count() // BATCH_ROWS)
+    whole = sets(wanted).dropDuplicates(_NODE).join(seats, _NODE)
+    batch = F.pmod(F.xxhash64("c1", "c2"), F.lit(batches)).alias("batch")
+    return stored(whole.groupBy(batch).applyInPandas(_meet(percent), "rep long, root long, linked long"), "links")
+
 
+_FIRST = "kind int, doc_id long, n_shingles long, ka long, kb long, slice int, block long, data binary"
 
-def keyed(docs: DataFrame, k: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, ka, kb) of every document."""
+
+def first_pass(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n_shingles, ka, kb) of every document, and how often shingles fall on each cell."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.zeros(1 << COUNT_BITS, "u4")
         for frame in slices(frames):
             sets = [shingle_set(t, k) for t in frame["text"]]
             keys = [set_key(s) for s in sets]
-            yield frame[["doc_id"]].assign(n_shingles=[len(s) for s in sets], ka=[x[0] for x in keys], kb=[x[1] for x in keys])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, ka long, kb long")
-
-
-def counted(docs: DataFrame, k: int) -> np.ndarray:
-    """How often shingles fall on each cell, over all documents."""
-
-    def add(own: np.ndarray, frame: pd.DataFrame) -> None:
-        for part in slices(iter([frame])):
-            sets = [shingle_set(t, k) for t in part["text"]]
             own += np.bincount(sketch.cell(np.concatenate(sets), COUNT_BITS), minlength=len(own)).astype(own.dtype)
+            yield frame[["doc_id"]].assign(kind=0, n_shingles=[len(s) for s in sets], ka=[x[0] for x in keys], kb=[x[1] for x in keys], slice=None, block=None, data=None)
+        if own.any():
+            for part in sketch.emit(own):
+                yield part.assign(kind=1, doc_id=None, n_shingles=None, ka=None, kb=None)
 
-    return sketch.gather(docs.select("text"), add, 1 << COUNT_BITS, "i8")
+    both = stored(docs.mapInPandas(run, _FIRST), "first")
+    base = both.where("kind = 0").select("doc_id", "n_shingles", *_NODE)
+    counts = sketch.merged(both.where("kind = 1").select("slice", "block", "data"), docs.rdd.getNumPartitions(), 1 << COUNT_BITS, "u4", "i8")
+    return base, counts
 
 
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -220,9 +271,8 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     spark = docs.sparkSession
     checkpointing(spark)
     docs = docs.select("doc_id", "text")
-    base = stored(keyed(docs, k), "sets")
+    base, counts = first_pass(docs, k)
     classes = base.where("n_shingles > 0 and doc_id is not null").groupBy(*_NODE).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    counts = counted(docs, k)
     load = float(counts.sum()) / len(counts)
     held = spark.sparkContext.broadcast(counts.astype(np.float32))
 
@@ -248,11 +298,11 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
             for s, (ka, kb), p, _, _ in prefixes(frame):
                 p = p[sketch.in_bitmap(p, live.value)]
                 if len(p):
-                    out.append(pd.DataFrame({"t": signed(p), "ka": ka, "kb": kb, "n": len(s)}))
+                    out.append(pd.DataFrame({"t": signed(p), "ka": ka, "kb": kb, "n": len(s), "least": int(least_level(need(len(s), percent)))}))
             if out:
                 yield pd.concat(out)
 
-    entries = docs.mapInPandas(rows, "t long, ka long, kb long, n long")
+    entries = docs.mapInPandas(rows, "t long, ka long, kb long, n long, least int")
 
     def whole(frames: Iterator[pd.DataFrame], wanted) -> Iterator[pd.DataFrame]:
         seen: set[tuple[int, int]] = set()
@@ -268,7 +318,7 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=[*_NODE, "shingles", "prefix", "levels", "chosen"])
 
-    found = link_classes(entries, classes, lambda wanted: docs.mapInPandas(partial(whole, wanted=wanted), SETS), percent)
+    found = link_classes(entries, classes, lambda wanted: docs.mapInPandas(partial(whole, wanted=wanted), SETS), percent, rounds=2)
     parts = components(found, "rep", "root")
     linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     known = classes.join(linked, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")

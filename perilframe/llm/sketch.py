@@ -27,25 +27,39 @@ def gather(df: DataFrame, add: Callable[[np.ndarray, pd.DataFrame], None], size:
             any_rows = any_rows or len(frame) > 0
             add(own, frame)
         if any_rows:
-            block = TaskContext.get().partitionId() // FAN
-            for k, x in enumerate(np.array_split(own, SLICES)):
-                if x.any():
-                    yield pd.DataFrame({"slice": [k], "block": [block], "data": [x.tobytes()]})
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(frame["data"].iloc[0], dtype).copy()
-        for x in frame["data"].iloc[1:]:
-            if either:
-                total |= np.frombuffer(x, dtype)
-            else:
-                total += np.frombuffer(x, dtype)
-        return pd.DataFrame({"slice": frame["slice"].iloc[:1].array, "block": [int(frame["block"].iloc[0]) // FAN], "data": [total.tobytes()]})
-
-    blocks = -(-df.rdd.getNumPartitions() // FAN)
-    out = df.mapInPandas(scan, _SCHEMA).groupBy("slice", "block").applyInPandas(merge, _SCHEMA)
+            yield from emit(own)
+
+    return merged(df.mapInPandas(scan, _SCHEMA), df.rdd.getNumPartitions(), size, dtype, dtype, either)
+
+
+def emit(own: np.ndarray) -> Iterator[pd.DataFrame]:
+    """A partition's array as rows of slices."""
+    block = TaskContext.get().partitionId() // FAN
+    for k, x in enumerate(np.array_split(own, SLICES)):
+        if x.any():
+            yield pd.DataFrame({"slice": [k], "block": [block], "data": [x.tobytes()]})
+
+
+def merged(rows: DataFrame, partitions: int, size: int, part: str, dtype: str, either: bool = False) -> np.ndarray:
+    """The array that rows of slices, of type ``part`` each, make together."""
+
+    def merge(kind: str):
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            total = np.frombuffer(frame["data"].iloc[0], kind).astype(dtype)
+            for x in frame["data"].iloc[1:]:
+                if either:
+                    total |= np.frombuffer(x, kind).astype(dtype)
+                else:
+                    total += np.frombuffer(x, kind).astype(dtype)
+            return pd.DataFrame({"slice": frame["slice"].iloc[:1].array, "block": [int(frame["block"].iloc[0]) // FAN], "data": [total.tobytes()]})
+
+        return run
+
+    blocks = -(-partitions // FAN)
+    out = rows.groupBy("slice", "block").applyInPandas(merge(part), _SCHEMA)
     while blocks > 1:
         blocks = -(-blocks // FAN)
-        out = out.groupBy("slice", "block").applyInPandas(merge, _SCHEMA)
+        out = out.groupBy("slice", "block").applyInPandas(merge(dtype), _SCHEMA)
     parts = np.array_split(np.zeros(size, dtype), SLICES)
     for r in out.select("slice", "data").collect():
         parts[r["slice"]] = np.frombuffer(bytes(r["data"]), dtype)

@@ -59,7 +59,7 @@ def corpus(seed, families=12):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_join_is_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(J, "CELL_ROWS", 6)
+    monkeypatch.setattr(J, "CELL_ROWS", 12)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA).repartition(5)
     assert sorted((tuple(r) for r in J.join(df).collect()), key=str) == brute(rows)
@@ -118,3 +118,21 @@ def test_forest_and_components(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     assert root.tolist() == [find(int(x)) for x in nodes]
+
+
+def test_meetings_by_blocks_and_by_pairs(monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    rows = []
+    for _ in range(40):
+        s = np.unique(np.where(rng.random(60) < 0.04, rng.integers(0, 2**63, 60, dtype=np.uint64), base))
+        p, v, chosen = J.prefix(s, np.ones(1 << J.COUNT_BITS, np.float32), 0.0, 90)
+        rows.append({"s": s, "p": p, "v": v, "l": chosen})
+    for left in (None, rng.random(40) < 0.5):
+        want = J._pairwise(rows, left, 90)
+        assert want.any() and (want == want.T).all()
+        for block in (7, 512):
+            monkeypatch.setattr(J, "BLOCK_ROWS", block)
+            assert (J._meeting(rows, left, 90) == want).all()
+    exact = np.array([[i != j and 100 * len(set(a["s"].tolist()) & set(b["s"].tolist())) >= 90 * len(set(a["s"].tolist()) | set(b["s"].tolist())) for j, b in enumerate(rows)] for i, a in enumerate(rows)])
+    assert (J._pairwise(rows, None, 90) == exact).all()
