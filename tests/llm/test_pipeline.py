@@ -47,6 +47,19 @@ def test_stages(spark, tmp_path):
     assert got == want and kept[4].groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 1024
 
 
+def test_near_copies_of_080_link(spark):
+    # Two scattered words of 100 changed: 86 of 106 five-word shingles, but 92 of 104 three-word ones.
+    words = [f"w{i}" for i in range(100)]
+    near, far = list(words), list(words)
+    for i in (30, 70):
+        near[i] = "changed"
+    for i in (20, 40, 60, 80):
+        far[i] = "other"
+    data = [(i, " ".join(w), "en", "s", 9, "e") for i, w in enumerate((words, near, far))]
+    got = P.jaccard_dedup(spark, spark.createDataFrame(data, SCHEMA), "none").collect()
+    assert sorted(r.doc_id for r in got) == [0, 2]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in P.STAGES:
