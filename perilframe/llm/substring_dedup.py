@@ -1,16 +1,17 @@
 """Substring deduplication across documents: paragraph MinHash banding, and anchored passages.
 
-Paragraphs are lines of ``MIN_WORDS`` words or more. Their MinHash is cut into bands, of which
-``bands`` finds the number of rows and of bands that reaches a stated recall at the threshold.
-Paragraphs that collide in a band are compared on their whole sets of five-word shingles; links of
-0.8 or more make components.
+Paragraphs are lines of ``MIN_WORDS`` words or more, and blocks of several lines between blank ones, so
+that wrapped text is compared too. Their MinHash is cut into bands, of which ``bands`` finds the number
+of rows and of bands that reaches a stated recall at the threshold. Paragraphs that collide in a band
+are compared on their whole sets of five-word shingles; links of 0.8 or more make components. A set of
+fewer than ``LEAST_NEAR`` shingles links to no other set than its equal, and takes no bands.
 
 A passage inside longer lines has no paragraph of its own, so texts are also read as windows of
 ``PASSAGE`` words that start at anchors, the words whose hash is least among ``ANCHORS`` neighbours:
 any run of PASSAGE + ANCHORS - 1 words that two documents share has a window in both.
 
 Of each component and each window the copy of the least document (its first one there) is kept, the
-others are removed.
+others are removed, but for paragraphs that overlap the kept one (a block's own lines).
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ from perilframe.llm.common import checkpointing, hash_words, lower_ascii, mix, s
 from perilframe.llm.graph import components
 from perilframe.llm.jaccard_join import FILTER_BITS, SETS, link_classes
 
-SHINGLE, MIN_WORDS, PERCENT, RECALL = 5, 25, 80, 0.99
+SHINGLE, PERCENT, RECALL = 5, 80, 0.99
+MIN_WORDS = SHINGLE
+#: The least m that another set may link to: m of m + 1 shingles reach PERCENT.
+LEAST_NEAR = -(-PERCENT // (100 - PERCENT))
 PASSAGE, ANCHORS = 25, 16
 _NODE = ["ka", "kb"]
 
@@ -66,8 +70,14 @@ class Units:
         line = np.searchsorted(feeds, self.starts)
         edge = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
         last = np.r_[edge[1:], len(line)].astype(np.int64)
-        kept = last - edge >= MIN_WORDS
-        self.first, self.last = edge[kept], last[kept]
+        # Blocks end where a line without words, or another text, comes before the next line.
+        apart = (line[edge[1:]] - line[edge[:-1]] > 1) | (self.text[edge[1:]] != self.text[edge[:-1]])
+        head = np.flatnonzero(np.r_[True, apart]) if len(edge) else edge
+        tail = np.r_[head[1:], len(edge)].astype(np.int64) - 1
+        several = tail > head
+        first, last = np.r_[edge, edge[head[several]]], np.r_[last, last[tail[several]]]
+        kept = last - first >= MIN_WORDS
+        self.first, self.last = first[kept], last[kept]
         self.paragraph_text = self.text[self.first]
 
     def paragraph_sets(self) -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +156,9 @@ def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         every, begin = u.paragraph_sets()
         if len(begin):
             ka, _ = keys(every, begin)
-            t += [signed(band_keys(every, begin).ravel()), signed(mix(ka))]
-            x += [signed(np.repeat(ka, BANDS)), docs[u.paragraph_text]]
+            near = np.diff(np.r_[begin, len(every)]) >= LEAST_NEAR
+            t += [signed(band_keys(every, begin)[near].ravel()), signed(mix(ka))]
+            x += [signed(np.repeat(ka[near], BANDS)), docs[u.paragraph_text]]
         t, x = np.concatenate(t), np.concatenate(x)
         if len(t):
             yield pd.DataFrame({"t": t, "x": x})
@@ -161,7 +172,8 @@ def _units(live):
             if len(begin):
                 ka, kb = keys(every, begin)
                 b = band_keys(every, begin)
-                on = sketch.in_bitmap(signed(b.ravel()), live.value).reshape(b.shape)
+                near = np.diff(np.r_[begin, len(every)]) >= LEAST_NEAR
+                on = sketch.in_bitmap(signed(b.ravel()), live.value).reshape(b.shape) & near[:, None]
                 i = np.flatnonzero(on.any(axis=1) | sketch.in_bitmap(signed(mix(ka)), live.value))
                 start, length = u.spans(u.first[i], u.last[i] - 1)
                 n = np.diff(np.r_[begin, len(every)])[i]
@@ -218,8 +230,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     parts = components(found, "rep", "root").withColumnRenamed("node", "ka")
     joined = paragraphs.join(parts, "ka", "left").select("doc_id", "start", "length", F.coalesce("component", "ka").alias("component"))
     joined = stored(joined, "paragraphs")
-    kept = joined.groupBy("component").agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.max("doc_id").alias("last")).where("kept.doc_id <> last")
-    paragraphs = joined.join(kept, "component").select("doc_id", "start", "length", F.lit("paragraph").alias("kind"), F.col("kept.doc_id").alias("kept_doc_id"), (F.struct("doc_id", "start") != F.col("kept")).alias("removed"))
+    kept = joined.groupBy("component").agg(F.min(F.struct("doc_id", "start", (-F.col("length")).alias("less"))).alias("kept"), F.max("doc_id").alias("last")).where("kept.doc_id <> last")
+    # A block and its own lines may be alike: what overlaps the kept copy stays with it.
+    inside = (F.col("doc_id") == F.col("kept.doc_id")) & (F.col("start") < F.col("kept.start") - F.col("kept.less"))
+    paragraphs = joined.join(kept, "component").select("doc_id", "start", "length", F.lit("paragraph").alias("kind"), F.col("kept.doc_id").alias("kept_doc_id"), (~inside).alias("removed"))
 
     windows = units.where("kind = 1").select("t", "doc_id", "start", (F.col("start") + F.col("length")).alias("end"))
     windows = windows.join(shared, "t").select("doc_id", "start", "end", F.col("x").alias("kept_doc_id"), (F.col("doc_id") != F.col("x")).alias("removed"))

@@ -103,6 +103,23 @@ def test_edges(spark):
     assert "é " + long.upper() in spans and all(x.split()[0] in ("é", *long.upper().split()) for x in spans)
 
 
+def test_short_lines_and_wrapped_text(spark):
+    w = iter(f"w{i}" for i in range(2000))
+    some = lambda n: [next(w) for _ in range(n)]
+    text = " ".join
+    short, near, long, body = text(some(6)), some(60), some(60), text(some(40))
+    near[:] = [*long[:30], "changed", *long[31:]]
+    wrapped = "\n".join(text(near[i : i + 12]) for i in range(0, 60, 12))
+    head = "a title\n" + body
+    rows = {1: short + "\n" + text(some(30)), 2: text(some(30)) + "\n" + short + "\n" + text(some(3)), 3: text(long), 4: text(some(20)) + "\n\n" + wrapped + "\n \n" + text(some(20)), 5: head, 6: head}
+    docs = frame(spark, list(rows.items()))
+    got = {(r.doc_id, rows[r.doc_id][r.start : r.start + r.length]): (r.kept_doc_id, r.removed) for r in S.repeats(docs).collect() if r.kind == "paragraph"}
+    assert got[1, short] == (1, False) and got[2, short] == (1, True) and got[3, text(long)] == (3, False) and got[4, wrapped] == (3, True)
+    out = {r.doc_id: r.text for r in S.cut(docs).collect()}
+    assert set(out) == {1, 2, 3, 4, 5} and all(out[i] == rows[i] for i in (1, 3, 5))  # a block's own lines stay with it
+    assert out[2].split() == rows[2].replace(short, "").split() and out[4].split() == rows[4].replace(wrapped, "").split()
+
+
 def test_bands_reach_recall():
     r, b = S.bands()
     assert 1 - (1 - 0.8**r) ** b >= 0.99
