@@ -8,7 +8,9 @@ fewer than ``LEAST_NEAR`` shingles links to no other set than its equal, and tak
 
 A passage inside longer lines has no paragraph of its own, so texts are also read as windows of
 ``PASSAGE`` words that start at anchors, the words whose hash is least among ``ANCHORS`` neighbours:
-any run of PASSAGE + ANCHORS - 1 words that two documents share has a window in both.
+any run of PASSAGE + ANCHORS - 1 words that two documents share has a window in both, which begins and
+one that ends fewer than ANCHORS words from the run's ends. Windows at the ends of a stretch are
+lengthened word by word, as far as another document's copy has the same words.
 
 Of each component and each window the copy of the least document (its first one there) is kept, the
 others are removed, but for paragraphs that overlap the kept one (a block's own lines).
@@ -121,6 +123,20 @@ class Units:
             out = out * np.uint64(0xD6E8FEB86659FD93) + self.words[at + i]
         return at, mix(out ^ np.uint64(0x51))
 
+    def longer(self, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(i, left, hash, first, last) of passages i, longer by 1 to ANCHORS - 1 words on one side."""
+        out = []
+        for left in (True, False):
+            i, x = np.arange(len(at)), h ^ np.uint64(0x3C if left else 0xC3)
+            for k in range(1, ANCHORS):
+                word = at[i] - k if left else at[i] + PASSAGE - 1 + k
+                inside = (word >= 0) & (word < len(self.words))
+                inside[inside] = self.text[word[inside]] == self.text[at[i[inside]]]
+                i, word = i[inside], word[inside]
+                x = mix(x[inside] * np.uint64(0xD6E8FEB86659FD93) + self.words[word])
+                out.append((i, np.full(len(i), left), x, np.minimum(word, at[i]), np.maximum(word, at[i] + PASSAGE - 1)))
+        return tuple(map(np.concatenate, zip(*out)))
+
     def spans(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters before each span in its text, and in it; spans go from word first to word last."""
         begins = np.cumsum((np.frombuffer(self.data, np.uint8) & 0xC0) != 0x80)
@@ -236,8 +252,43 @@ def repeats(docs: DataFrame) -> DataFrame:
     paragraphs = joined.join(kept, "component").select("doc_id", "start", "length", F.lit("paragraph").alias("kind"), F.col("kept.doc_id").alias("kept_doc_id"), (~inside).alias("removed"))
 
     windows = units.where("kind = 1").select("t", "doc_id", "start", (F.col("start") + F.col("length")).alias("end"))
-    windows = windows.join(shared, "t").select("doc_id", "start", "end", F.col("x").alias("kept_doc_id"), (F.col("doc_id") != F.col("x")).alias("removed"))
-    return paragraphs.unionByName(_stretches(windows))
+    windows = windows.join(shared, "t").select("t", "doc_id", "start", "end", F.col("x").alias("kept_doc_id"), (F.col("doc_id") != F.col("x")).alias("removed"))
+    return paragraphs.unionByName(_stretches(_lengthened(docs, stored(windows, "windows"))))
+
+
+def _longer(ends):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in slices(frames):
+            docs, u = frame["doc_id"].to_numpy(np.int64), Units(frame["text"].tolist())
+            at, h = u.passages()
+            on = sketch.in_bitmap(signed(h), ends.value)
+            at, h = at[on], h[on]
+            if len(at):
+                i, left, x, first, last = u.longer(at, h)
+                own, _ = u.spans(at, at + PASSAGE - 1)
+                start, length = u.spans(first, last)
+                yield pd.DataFrame({"t": signed(h)[i], "doc_id": docs[u.text[at]][i], "start": own[i], "h": signed(x), "left": left, "to": np.where(left, start, start + length)})
+
+    return run
+
+
+def _lengthened(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """windows, those at the ends of stretches with the words beside them that a copy has, too.
+
+    A removed window takes what an earlier document has beside its own, a kept one what a later has.
+    """
+    own = Window.partitionBy("doc_id", "removed").orderBy("start", "end")
+    before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    reached = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    at_end = F.coalesce(F.col("start") > before, F.lit(True)) | F.coalesce(F.lead("start").over(own) > reached, F.lit(True))
+    ends = stored(windows.withColumn("at_end", at_end).where("at_end").select("t", "doc_id", "start", "removed").distinct(), "ends")
+    wanted = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(ends, "t", FILTER_BITS))
+    longer = stored(docs.mapInPandas(_longer(wanted), "t long, doc_id long, start long, h long, left boolean, to long"), "longer")
+    met = longer.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y")
+    found = longer.join(met, "h").join(ends, ["t", "doc_id", "start"]).where("removed = (x < doc_id)")
+    found = found.groupBy("t", "doc_id", "start").agg(F.min(F.when(F.col("left"), F.col("to"))).alias("from"), F.max(F.when(~F.col("left"), F.col("to"))).alias("to"))
+    out = windows.join(found, ["t", "doc_id", "start"], "left")
+    return out.select("doc_id", F.coalesce("from", "start").alias("start"), F.coalesce("to", "end").alias("end"), "kept_doc_id", "removed")
 
 
 def _stretches(windows: DataFrame) -> DataFrame:

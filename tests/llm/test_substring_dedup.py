@@ -120,6 +120,24 @@ def test_short_lines_and_wrapped_text(spark):
     assert out[2].split() == rows[2].replace(short, "").split() and out[4].split() == rows[4].replace(wrapped, "").split()
 
 
+def test_passages_go_whole(spark):
+    w = iter(f"w{i}" for i in range(20000))
+    some = lambda n: [next(w) for _ in range(n)]
+    passages, rows, rest = [some(n) for n in (41, 51, 60, 60)], {}, {}
+    for k, p in enumerate(passages):
+        for i in (10 * k, 10 * k + 1, 10 * k + 2):
+            mine = p[8:52] if i == 30 else p  # one document has less of the last passage than later ones share
+            a, z = some(40 + i), some(90)
+            rows[i] = " ".join(["é", *a, *mine, *z])
+            rest[i] = ["é", *a, *([] if i % 10 else mine), *z]
+    a, z = rows[31].split()[:72], rows[31].split()[-90:]
+    rest[31] = [*a, *passages[3][:8], *passages[3][52:], *z]
+    docs = frame(spark, list(rows.items()))
+    assert {r.doc_id: r.text.split() for r in S.cut(docs).collect()} == rest
+    got = {(r.doc_id, rows[r.doc_id][r.start : r.start + r.length]) for r in S.repeats(docs).collect() if not r.removed}
+    assert {(10 * k, " ".join(p[8:52] if k == 3 else p)) for k, p in enumerate(passages)} <= got
+
+
 def test_bands_reach_recall():
     r, b = S.bands()
     assert 1 - (1 - 0.8**r) ** b >= 0.99
