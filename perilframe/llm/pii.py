@@ -8,7 +8,10 @@ document, different ones different pseudonyms, and length, separators and charac
 
 Numbers are validated before: card numbers by their check digit, which is computed anew; octets of
 addresses by range; social security numbers by area, group and serial; dates by the calendar. A date
-is a day within its 400-year cycle (146,097 = 189 * 773 days, from 1800-01-01) and is permuted there.
+is a day within its 400-year cycle (146,097 = 189 * 773 days, from 1800-01-01) and is permuted there; a
+slash date is read month first only where it is no calendar day otherwise, and stays such a date. In
+a run of digit groups, the longest valid card numbers of whole groups are taken. Long secrets are
+permuted in parts of ``PART`` characters.
 What is no valid value stays as it is.
 """
 
@@ -18,19 +21,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = "change-me"
-ROUNDS = 8
+ROUNDS, PART = 8, 256
 #: Java patterns, tried in this order at each place. A match is whole; no value may touch another word.
 KINDS = {
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "assigned": r"(?i:password|passwd|token|secret|api_?key)\s?[=:]\s?\"?[^\s\"]{8,256}",
+    "assigned": r"(?i:password|passwd|token|secret|api_?key)\s?[=:]\s?\"?[^\s\"]{8,}",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iso_date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])",
     "day_date": r"(?<![\w/.])\d{2}[/.]\d{2}[/.]\d{4}(?!\w)",
     "address": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
-    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w|-\d)",
 }
+#: A run of digit groups of 13 digits or more, up to where a value of another kind begins.
+_NO_CARD = "|".join(KINDS[k] for k in ("phone", "ssn", "iso_date", "day_date", "address"))
+KINDS["card"] = rf"(?<![\w-])(?=\d(?:[ -]?\d){{12}})\d++(?!\w)(?:[ -](?!{_NO_CARD})\d++(?!\w))*+"
 PATTERN = "|".join(KINDS.values())
 #: Any text with a value holds one of these; others aren't searched.
 _HINT = r"@|\d{3}|\d\.\d|\d/\d|AKIA|(?i:password|passwd|token|secret|api_?key)"
@@ -97,27 +102,74 @@ def _date(m: Column, fmt: str, tag: Column) -> Column:
     return F.when(day.isNotNull() & (F.date_format(day, fmt) == m) & F.year(day).between(1800, 2199), F.date_format(moved, fmt))
 
 
+def _parts(text: Column, tag: Column) -> Column:
+    """permuted, part by part."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(PART))
+    return F.array_join(F.transform(starts, lambda at: permuted(F.substring(text, at, F.lit(PART)), tag)), "")
+
+
+def _month_first(m: Column, tag: Column) -> Column:
+    """A date that is none day first, moved on until it is such a one again: so no two meet."""
+    moved = lambda x: _date(x, "MM/dd/yyyy", tag)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), moved(m), lambda x, _: F.when(F.substring(x, 4, 2) > "12", x).otherwise(moved(x)))
+
+
+def _cards(m: Column, tag: Column) -> Column:
+    """(text, n) of a run of digit groups with its n valid card numbers replaced; text is null without any.
+
+    Those written as cards are go first, then the longest. What another reading of that kind has beside
+    them is permuted, too: one reading in ten is valid by chance, and no part of a real one may stay.
+    """
+    groups = F.regexp_extract_all(m, F.lit(r"(\d+[ -]?)"), F.lit(1))
+    run = lambda i, j: F.array_join(F.slice(groups, i, j - i + 1), "")
+    usual = lambda text: text.rlike(r"^(?:\d+|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5})$")
+    bare = lambda text: F.regexp_replace(text, "[ -]$", "")
+    entry = lambda i, j: F.struct((~usual(bare(run(i, j)))).alias("odd"), (-F.length(_digits(run(i, j)))).alias("less"), i.alias("i"), j.alias("j"), bare(run(i, j)).alias("text"))
+    valid = lambda c: c["less"].between(-19, -13) & (_luhn(_digits(c["text"]), False) == 0)
+    from_ = lambda i: F.filter(F.transform(F.sequence(i, F.least(F.size(groups), i + 18)), lambda j: entry(i, j)), valid)
+    found = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(1), F.size(groups)), from_)))
+    free = lambda a, c: ~F.exists(a, lambda x: (x["i"] <= c["j"]) & (c["i"] <= x["j"]))
+    taken = F.aggregate(found, F.filter(found, lambda c: F.lit(False)), lambda a, c: F.when(free(a, c), F.concat(a, F.array(c))).otherwise(a))
+
+    def renewed(c: Column) -> Column:
+        body = permuted(F.substring(c, F.lit(1), F.length(c) - 1), tag)
+        return F.concat(body, F.pmod(F.lit(10) - _luhn(_digits(body), True), F.lit(10)).cast("string"))
+
+    def text(chosen: Column) -> Column:
+        def at(group: Column, p: Column) -> Column:
+            c = F.get(F.filter(chosen, lambda x: (x["i"] <= p + 1) & (p + 1 <= x["j"])), F.lit(0))
+            new = F.when(c["i"] == p + 1, renewed(c["text"])).otherwise(F.lit(""))
+            also = F.exists(found, lambda x: ~x["odd"] & (x["i"] <= p + 1) & (p + 1 <= x["j"]))
+            return F.when(c.isNull() & also, permuted(group, tag)).when(c.isNull(), group).otherwise(F.concat(new, F.when(c["j"] == p + 1, F.regexp_extract(group, "([ -]?)$", 1)).otherwise(F.lit(""))))
+
+        return F.array_join(F.transform(groups, at), "")
+
+    return F.get(F.transform(F.array(taken), lambda c: F.struct(F.when(F.size(c) > 0, text(c)).alias("text"), F.size(c).alias("n"))), F.lit(0))
+
+
 def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of a match, null if it isn't valid."""
+    """(text, n): the pseudonym of a match, null if it isn't valid, and the number of values replaced."""
+    one = lambda p: F.struct(p.alias("text"), p.isNotNull().cast("int").alias("n"))
+    return F.when(m.rlike(f"^(?:{KINDS['card']})$"), _cards(m, F.lit(f"{key}|card"))).otherwise(F.get(F.transform(F.array(_pseudonym(m, key)), one), F.lit(0)))
+
+
+def _pseudonym(m: Column, key: str) -> Column:
     tag = lambda kind: F.lit(f"{key}|{kind}")
     is_kind = lambda kind: m.rlike(f"^(?:{KINDS[kind]})$")
     name = F.regexp_extract(m, r"^((?i:password|passwd|token|secret|api_?key)\s?[=:]\s?\"?)", 1)
     dot = F.length(m) - F.length(F.substring_index(m, ".", -1))
-    body = F.substring(m, F.lit(1), F.length(m) - 1)
-    card = permuted(body, tag("card"))
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
     prefix = F.regexp_extract(m, r"^(\+\d{1,3}[ .-]?)", 1)
     separator = F.substring(m, 3, 1)
     return (
         F.when(is_kind("secret"), F.concat(F.lit("AKIA"), permuted(F.substring(m, 5, 16), tag("secret"))))
-        .when(F.length(name) > 0, F.concat(name, permuted(F.substring(m, F.length(name) + 1, F.length(m)), tag("assigned"))))
+        .when(F.length(name) > 0, F.concat(name, _parts(F.substring(m, F.length(name) + 1, F.length(m)), tag("assigned"))))
         .when(is_kind("email"), F.concat(permuted(F.substring(m, F.lit(1), dot - 1), tag("email")), F.substring(m, dot, F.length(m))))
         .when(is_kind("phone"), F.concat(prefix, permuted(F.substring(m, F.length(prefix) + 1, F.length(m)), tag("phone"))))
         .when(is_kind("ssn"), F.when(~m.rlike(r"^(?:000|666|9)|^\d{3}-00|0000$"), permuted(m, tag("ssn"))))
         .when(is_kind("iso_date"), _date(m, "yyyy-MM-dd", tag("date")))
-        .when(is_kind("day_date"), F.when(separator == "/", _date(m, "dd/MM/yyyy", tag("date"))).otherwise(_date(m, "dd.MM.yyyy", tag("date"))))
+        .when(is_kind("day_date"), F.when(separator == "/", F.coalesce(_date(m, "dd/MM/yyyy", tag("date")), _month_first(m, tag("date")))).otherwise(_date(m, "dd.MM.yyyy", tag("date"))))
         .when(is_kind("address"), F.when(F.forall(octets, lambda x: x < 256), F.array_join(F.transform(feistel(octets, F.array_repeat(F.lit(256), 4), tag("address")), lambda x: x.cast("string")), ".")))
-        .when(is_kind("card"), F.when(_luhn(_digits(m), False) == 0, F.concat(card, F.pmod(F.lit(10) - _luhn(_digits(card), True), F.lit(10)).cast("string"))))
     )
 
 
@@ -131,9 +183,9 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     parts = F.split("text", PATTERN, -1)
     step = docs.withColumn("_found", F.when(F.col("text").rlike(_HINT), found)).withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")))
     step = step.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
-    pieces = F.zip_with(parts, F.zip_with("_found", "_new", lambda m, p: F.coalesce(p, m)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    pieces = F.zip_with(parts, F.zip_with("_found", "_new", lambda m, p: F.coalesce(p["text"], m)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
-    count = F.coalesce(F.size(F.filter("_new", lambda p: p.isNotNull())), F.lit(0))
+    count = F.coalesce(F.aggregate("_new", F.lit(0), lambda n, p: n + p["n"]), F.lit(0))
     out = step.withColumn("n_pii", F.when(F.col("_found").isNull(), F.lit(0)).otherwise(count).cast("long")).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -58,6 +58,23 @@ def test_values_change_within_their_format(spark):
         assert out[100 + i].text == f"see {c} there" and out[100 + i].n_pii == 0, c
 
 
+def test_values_beside_numbers(spark):
+    card, long = "4111111111111111", "a1B2" * 200
+    texts = [
+        f"card {card} 123", "card 4111 1111 1111 1111 12/25", f"no 7 {card}", f"{card} 4012888888881881 and", "12 34 567 4111 1111 1111 1111 2 x", f"{card} 555-867-5309", "4111 1111 1111 1111 12th",
+        f"password={long}", "born 12/25/1980.", "born 25/12/1980.", "born 13/32/1980.",
+    ]
+    out = pii.pseudonymise(frame(spark, [*enumerate(texts), (20, card)])).orderBy("doc_id").collect()
+    new = out[-1].text
+    assert [r.n_pii for r in out] == [1, 1, 1, 2, 1, 2, 1, 1, 1, 1, 0, 1] and luhn(new) and new != card
+    assert out[0].text == f"card {new} 123" and out[2].text == f"no 7 {new}" and out[3].text.startswith(new + " ") and luhn(out[3].text[17:33])
+    for i in (1, 4, 6):
+        assert "4111 1111" not in out[i].text and "1111 1111" not in out[i].text and shape(out[i].text) == shape(texts[i])
+    assert out[4].text.startswith("12 34 567 ") and out[5].text.startswith(new + " ") and "5309" not in out[5].text
+    assert shape(out[7].text) == shape(texts[7]) and "a1B2" * 2 not in out[7].text
+    assert out[8].text != texts[8] and datetime.datetime.strptime(out[8].text, "born %m/%d/%Y.").day > 12 and out[10].text == texts[10]
+
+
 def test_permutes(spark):
     df = spark.range(1000).select(F.format_string("%03d", "id").alias("v"))
     got = df.select(pii.permuted(F.col("v"), F.lit("k")).alias("p"), pii.permuted(F.col("v"), F.lit("other")).alias("q")).collect()
