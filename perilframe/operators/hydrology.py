@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,15 +18,16 @@ _NAMES = [n for n, _, _ in DIRECTIONS]
 PERIODS = (2, 5, 10, 25, 50, 100, 500)
 
 
-def fill_depressions(cells: DataFrame, z: str = "z", eps: float = 1e-4, most: int = 100) -> tuple[DataFrame, bool]:
+def fill_depressions(cells: DataFrame, z: str = "z", eps: float = 1e-4, most: int | None = None) -> tuple[DataFrame, bool]:
     """cells with ``filled``: the least level, eps above a neighbour's, from which every cell drains; and if it converged.
 
-    Relaxation from above: inner cells start unbounded, cells at the edge hold their z.
+    Relaxation from above: inner cells start unbounded, cells at the edge hold their z. Rounds go on until
+    nothing moves, or to ``most`` of them if given.
     """
     low = F.col(z)
     edge = nbr3x3(cells, z, replicate=False).withColumn("_edge", reduce(lambda a, b: a | b, (F.col(n).isNull() for n in _NAMES))).drop(*_NAMES)
     now = stored(edge.withColumn("filled", F.when(F.col("_edge"), low).otherwise(F.lit(1e18))), "fill")
-    for _ in range(most):
+    for _ in count() if most is None else range(most):
         step = nbr3x3(now, "filled")
         new = F.when(F.col("_edge"), low).otherwise(F.least("filled", F.greatest(low, F.least(*_NAMES) + eps)))
         step = stored(step.withColumn("_new", new).withColumn("_moved", (F.col("_new") < F.col("filled")).cast("int")).withColumn("filled", F.col("_new")).drop("_new", *_NAMES), "fill")
@@ -100,9 +102,13 @@ def hand(cells: DataFrame, stream: Column, z: str = "z", most: int = 40) -> Data
 
 
 def flow_features(cells: DataFrame, res: float, threshold: int = 1000, z: str = "z") -> DataFrame:
-    """Direction, accumulation, stream, distance, height above it and wetness as one layer; cells has slope_deg."""
-    layer = flow_accumulation(d8_direction(cells, z)).withColumn("stream", stream_cells(threshold))
-    layer = hand(distance_to_stream(layer, F.col("stream"), res), F.col("stream"), z)
+    """Direction, accumulation, stream, distance, height above it and wetness as one layer; cells has slope_deg.
+
+    Flow runs over the filled surface, and heights are the filled ones.
+    """
+    filled, _ = fill_depressions(cells, z)
+    layer = flow_accumulation(d8_direction(filled, "filled")).withColumn("stream", stream_cells(threshold))
+    layer = hand(distance_to_stream(layer, F.col("stream"), res), F.col("stream"), "filled").drop("filled")
     return layer.withColumn("cti", wetness(F.col("accumulation"), F.col("slope_deg"), res))
 
 

@@ -102,6 +102,46 @@ def test_drainage_is_brute_force(spark):
     assert (acc == want).all()
 
 
+def test_flow_features_drain_pits(spark):
+    # A plane that falls to the east, with a pit: every cell must drain to the last column.
+    n, pit = 6, {(2, 2): 1.0, (2, 3): 1.5}
+    z = {(r, c): pit.get((r, c), 20.0 - 2 * c + 0.01 * r) for r in range(n) for c in range(n)}
+    cells = spark.createDataFrame([(r, c, v, 5.0) for (r, c), v in z.items()], "row int, col int, z double, slope_deg double")
+    got = {(r.row, r.col): r for r in H.flow_features(cells, 10.0, 4).collect()}
+    level, heap = {}, [(v, rc) for rc, v in z.items() if 0 in rc or n - 1 in rc]
+    heapq.heapify(heap)
+    near = [(dr, dc) for _, dr, dc in H.DIRECTIONS]
+    while heap:
+        v, rc = heapq.heappop(heap)
+        if rc in level:
+            continue
+        level[rc] = v
+        for dr, dc in near:
+            o = (rc[0] + dr, rc[1] + dc)
+            if o in z and o not in level:
+                heapq.heappush(heap, (z[o] if 0 in o or n - 1 in o else max(z[o], v + 1e-4), o))
+    to = {}
+    for r, c in z:
+        drops = [((level[r, c] - level[r + dr, c + dc]) / (1.414 if dr and dc else 1.0), -i) for i, (dr, dc) in enumerate(near) if (r + dr, c + dc) in z]
+        if max(drops)[0] > 0:
+            to[r, c] = (r + near[-max(drops)[1]][0], c + near[-max(drops)[1]][1])
+    assert all(rc in to for rc in z if 0 not in rc and n - 1 not in rc)
+    acc = dict.fromkeys(z, 0)
+    for rc in z:
+        while rc is not None:
+            acc[rc] += 1
+            rc = to.get(rc)
+    assert {rc: r.accumulation for rc, r in got.items()} == acc
+    down = {}
+    for rc in z:
+        at = rc
+        while at is not None and acc[at] <= 4:
+            at = to.get(at)
+        down[rc] = None if at is None else max(level[rc] - level[at], 0.0)
+    most = max(v for v in down.values() if v is not None)
+    assert all(got[rc].hand_m == pytest.approx(most if v is None else v) for rc, v in down.items())
+
+
 def test_reach_is_dijkstra(spark):
     cells = spark.createDataFrame([(r, c, 5.0 + (r * 3 + c * 5) % 11) for r in range(8) for c in range(8)], "row int, col int, rate double")
     edges = X.travel_cost_edges(cells, 20.0, 225.0)
