@@ -123,11 +123,12 @@ class Units:
             out = out * np.uint64(0xD6E8FEB86659FD93) + self.words[at + i]
         return at, mix(out ^ np.uint64(0x51))
 
-    def longer(self, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(i, left, hash, first, last) of passages i, longer by 1 to ANCHORS - 1 words on one side."""
+    def longer(self, at: np.ndarray, h: np.ndarray, to_left: np.ndarray, to_right: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(i, left, hash, first, last) of passages i, longer by 1 to ANCHORS - 1 words on a side they are to be."""
         out = []
-        for left in (True, False):
-            i, x = np.arange(len(at)), h ^ np.uint64(0x3C if left else 0xC3)
+        for left, on in ((True, to_left), (False, to_right)):
+            i = np.flatnonzero(on)
+            x = h[i] ^ np.uint64(0x3C if left else 0xC3)
             for k in range(1, ANCHORS):
                 word = at[i] - k if left else at[i] + PASSAGE - 1 + k
                 inside = (word >= 0) & (word < len(self.words))
@@ -256,15 +257,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     return paragraphs.unionByName(_stretches(_lengthened(docs, stored(windows, "windows"))))
 
 
-def _longer(ends):
+def _longer(firsts, lasts):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames):
             docs, u = frame["doc_id"].to_numpy(np.int64), Units(frame["text"].tolist())
             at, h = u.passages()
-            on = sketch.in_bitmap(signed(h), ends.value)
-            at, h = at[on], h[on]
-            if len(at):
-                i, left, x, first, last = u.longer(at, h)
+            i, left, x, first, last = u.longer(at, h, *(sketch.in_bitmap(signed(h), b.value) for b in (firsts, lasts)))
+            if len(i):
                 own, _ = u.spans(at, at + PASSAGE - 1)
                 start, length = u.spans(first, last)
                 yield pd.DataFrame({"t": signed(h)[i], "doc_id": docs[u.text[at]][i], "start": own[i], "h": signed(x), "left": left, "to": np.where(left, start, start + length)})
@@ -280,12 +279,19 @@ def _lengthened(docs: DataFrame, windows: DataFrame) -> DataFrame:
     own = Window.partitionBy("doc_id", "removed").orderBy("start", "end")
     before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     reached = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, 0))
-    at_end = F.coalesce(F.col("start") > before, F.lit(True)) | F.coalesce(F.lead("start").over(own) > reached, F.lit(True))
-    ends = stored(windows.withColumn("at_end", at_end).where("at_end").select("t", "doc_id", "start", "removed").distinct(), "ends")
-    wanted = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(ends, "t", FILTER_BITS))
-    longer = stored(docs.mapInPandas(_longer(wanted), "t long, doc_id long, start long, h long, left boolean, to long"), "longer")
-    met = longer.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y")
-    found = longer.join(met, "h").join(ends, ["t", "doc_id", "start"]).where("removed = (x < doc_id)")
+    first, last = F.coalesce(F.col("start") > before, F.lit(True)), F.coalesce(F.lead("start").over(own) > reached, F.lit(True))
+    ends = windows.withColumn("first", first).withColumn("last", last).where("first or last")
+    ends = stored(ends.select("t", "doc_id", "start", "removed", "first", "last").distinct(), "ends")
+    wanted = [docs.sparkSession.sparkContext.broadcast(sketch.bitmap(ends.where(side), "t", FILTER_BITS)) for side in ("first", "last")]
+    longer = stored(docs.mapInPandas(_longer(*wanted), "t long, doc_id long, start long, h long, left boolean, to long"), "longer")
+    met = stored(longer.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y"), "met")
+    known = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(met, "h", FILTER_BITS))
+
+    def hits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame[sketch.in_bitmap(frame["h"].to_numpy(np.int64), known.value)]
+
+    found = longer.mapInPandas(hits, longer.schema).join(met, "h").join(ends, ["t", "doc_id", "start"]).where("removed = (x < doc_id)")
     found = found.groupBy("t", "doc_id", "start").agg(F.min(F.when(F.col("left"), F.col("to"))).alias("from"), F.max(F.when(~F.col("left"), F.col("to"))).alias("to"))
     out = windows.join(found, ["t", "doc_id", "start"], "left")
     return out.select("doc_id", F.coalesce("from", "start").alias("start"), F.coalesce("to", "end").alias("end"), "kept_doc_id", "removed")
