@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -32,9 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointing(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; set one only where none is set, as in tests."""
+    """Keep the cluster's shared checkpoint folder; set one only where none is set and all runs on one machine."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -151,6 +154,48 @@ def shingle_one(words: np.ndarray) -> np.uint64:
     return mix(np.array([x ^ 0xA5A5A5A5], np.uint64))[0]
 
 
+class Words:
+    """The words of a batch of texts, read as one run of bytes with a line feed after each.
+
+    Positions are bytes of that run; ``origin`` holds where each text starts, ``text`` whose a word is.
+    """
+
+    def __init__(self, texts: Sequence[str | None]):
+        parts = [lower_ascii(t) for t in texts]
+        self.data = b"\n".join(parts) + b"\n"
+        sizes = np.array([len(x) + 1 for x in parts], np.int64)
+        self.origin = np.cumsum(sizes) - sizes
+        self.words, self.starts, self.ends = hash_words(self.data)
+        self.text = np.searchsorted(self.origin, self.starts, side="right") - 1
+
+    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of all texts, text after text, and where each text's begin (one more at the end)."""
+        n = len(self.words)
+        count = np.bincount(self.text, minlength=len(self.origin)) if n else np.zeros(len(self.origin), np.int64)
+        if n >= k:
+            whole = self.text[k - 1 :] == self.text[: n - k + 1]
+            every, owner = shingle(self.words, k)[whole], self.text[: n - k + 1][whole]
+        else:
+            every, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        short = np.flatnonzero((count > 0) & (count < k))
+        if len(short):
+            first = np.cumsum(count) - count
+            ones = np.array([shingle_one(self.words[first[i] : first[i] + count[i]]) for i in short], np.uint64)
+            every = np.insert(every, np.searchsorted(owner, short), ones)
+        sizes = np.where(count < k, np.minimum(count, 1), count - k + 1)
+        return every, np.r_[0, np.cumsum(sizes)]
+
+
+def distinct_slices(every: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each slice sorted (in place) and without repeats, slice after slice, and the new cuts."""
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        every[a:b].sort()
+    fresh = np.ones(len(every), bool)
+    fresh[1:] = every[1:] != every[:-1]
+    fresh[cuts[:-1][cuts[:-1] < len(every)]] = True
+    return every[fresh], np.r_[0, np.cumsum(fresh)][cuts]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -10,7 +10,7 @@ A passage inside longer lines has no paragraph of its own, so texts are also rea
 ``PASSAGE`` words that start at anchors, the words whose hash is least among ``ANCHORS`` neighbours:
 any run of PASSAGE + ANCHORS - 1 words that two documents share has a window in both, which begins and
 one that ends fewer than ANCHORS words from the run's ends. Windows at the ends of a stretch are
-lengthened word by word, as far as another document's copy has the same words.
+lengthened word by word, as far as the kept copy has the same words.
 
 Of each component and each window the copy of the least document (its first one there) is kept, the
 others are removed, but for paragraphs that overlap the kept one (a block's own lines).
@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perilframe.llm import sketch
-from perilframe.llm.common import checkpointing, hash_words, lower_ascii, mix, shingle, signed, slices, stored
+from perilframe.llm.common import Words, checkpointing, distinct_slices, mix, shingle, signed, slices, stored
 from perilframe.llm.graph import components
-from perilframe.llm.jaccard_join import FILTER_BITS, SETS, link_classes
+from perilframe.llm.jaccard_join import NARROW, SETS, link_classes
 
 SHINGLE, PERCENT, RECALL = 5, 80, 0.99
 MIN_WORDS = SHINGLE
@@ -55,19 +55,11 @@ ROWS, BANDS = bands(most=40)
 _ODD = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class Units:
-    """Paragraphs and passages of a batch of texts, read as one run of bytes with a line feed after each.
-
-    Positions are bytes of that run; ``origin`` holds where each text starts.
-    """
+class Units(Words):
+    """Paragraphs and passages of a batch of texts."""
 
     def __init__(self, texts: Sequence[str | None]):
-        parts = [lower_ascii(t) for t in texts]
-        self.data = b"\n".join(parts) + b"\n"
-        sizes = np.array([len(x) + 1 for x in parts], np.int64)
-        self.origin = np.cumsum(sizes) - sizes
-        self.words, self.starts, self.ends = hash_words(self.data)
-        self.text = np.searchsorted(self.origin, self.starts, side="right") - 1
+        super().__init__(texts)
         feeds = np.flatnonzero(np.frombuffer(self.data, np.uint8) == 0x0A)
         line = np.searchsorted(feeds, self.starts)
         edge = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
@@ -85,16 +77,12 @@ class Units:
     def paragraph_sets(self) -> tuple[np.ndarray, np.ndarray]:
         """All paragraphs' distinct shingles, paragraph after paragraph and sorted, and where each begins."""
         n = self.last - self.first - SHINGLE + 1
-        owner = np.repeat(np.arange(len(n)), n)
-        if not len(owner):
+        cuts = np.r_[0, np.cumsum(n)]
+        if not len(n):
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first, n)
-        every = shingle(self.words, SHINGLE)[at]
-        order = np.lexsort((every, owner))
-        every, owner = every[order], owner[order]
-        fresh = np.r_[True, (every[1:] != every[:-1]) | (owner[1:] != owner[:-1])]
-        every, owner = every[fresh], owner[fresh]
-        return every, np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        at = np.arange(cuts[-1]) + np.repeat(self.first - cuts[:-1], n)
+        every, cuts = distinct_slices(shingle(self.words, SHINGLE)[at], cuts)
+        return every, cuts[:-1]
 
     def anchors(self) -> np.ndarray:
         """First words of the passages: the least hashes of every ANCHORS neighbouring places in a text.
@@ -123,20 +111,22 @@ class Units:
             out = out * np.uint64(0xD6E8FEB86659FD93) + self.words[at + i]
         return at, mix(out ^ np.uint64(0x51))
 
-    def longer(self, at: np.ndarray, h: np.ndarray, to_left: np.ndarray, to_right: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(i, left, hash, first, last) of passages i, longer by 1 to ANCHORS - 1 words on a side they are to be."""
-        out = []
-        for left, on in ((True, to_left), (False, to_right)):
-            i = np.flatnonzero(on)
-            x = h[i] ^ np.uint64(0x3C if left else 0xC3)
-            for k in range(1, ANCHORS):
-                word = at[i] - k if left else at[i] + PASSAGE - 1 + k
-                inside = (word >= 0) & (word < len(self.words))
-                inside[inside] = self.text[word[inside]] == self.text[at[i[inside]]]
-                i, word = i[inside], word[inside]
-                x = mix(x[inside] * np.uint64(0xD6E8FEB86659FD93) + self.words[word])
-                out.append((i, np.full(len(i), left), x, np.minimum(word, at[i]), np.maximum(word, at[i] + PASSAGE - 1)))
-        return tuple(map(np.concatenate, zip(*out)))
+    def beside(self, at: np.ndarray, left: bool) -> tuple[np.ndarray, np.ndarray]:
+        """For passages at these words: half the hashes of the ANCHORS - 1 words on a side, nearest first, and where each ends (the end of its text) in characters.
+
+        Beyond the text's ends, hashes are all different ones.
+        """
+        k = np.arange(1, ANCHORS)[None, :]
+        word = at[:, None] - k if left else at[:, None] + PASSAGE - 1 + k
+        inside = (word >= 0) & (word < len(self.words))
+        word = np.clip(word, 0, len(self.words) - 1)
+        inside &= self.text[word] == self.text[at][:, None]
+        word = np.where(inside, word, at[:, None])
+        flat = word.ravel()
+        start, length = self.spans(flat, flat)
+        to = (start if left else start + length).reshape(word.shape)
+        half = (self.words[word] >> np.uint64(33)).astype(np.uint32)
+        return np.where(inside, half, np.uint32(2**31) + np.uint32(left)), to.astype(np.int32)
 
     def spans(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters before each span in its text, and in it; spans go from word first to word last."""
@@ -190,14 +180,14 @@ def _units(live):
                 ka, kb = keys(every, begin)
                 b = band_keys(every, begin)
                 near = np.diff(np.r_[begin, len(every)]) >= LEAST_NEAR
-                on = sketch.in_bitmap(signed(b.ravel()), live.value).reshape(b.shape) & near[:, None]
-                i = np.flatnonzero(on.any(axis=1) | sketch.in_bitmap(signed(mix(ka)), live.value))
+                on = live.has(signed(b.ravel())).reshape(b.shape) & near[:, None]
+                i = np.flatnonzero(on.any(axis=1) | live.has(signed(mix(ka))))
                 start, length = u.spans(u.first[i], u.last[i] - 1)
                 n = np.diff(np.r_[begin, len(every)])[i]
                 if len(i):
                     yield pd.DataFrame({"kind": 0, "doc_id": docs[u.paragraph_text[i]], "start": start, "length": length, "t": 0, "ka": signed(ka)[i], "kb": signed(kb)[i], "n": n, "bands": [x[y] for x, y in zip(signed(b[i]), on[i])]})
             at, h = u.passages()
-            i = np.flatnonzero(sketch.in_bitmap(signed(h), live.value))
+            i = np.flatnonzero(live.has(signed(h)))
             start, length = u.spans(at[i], at[i] + PASSAGE - 1)
             none = np.zeros(0, np.int64)
             if len(i):
@@ -206,23 +196,23 @@ def _units(live):
     return run
 
 
-def _sets(frames: Iterator[pd.DataFrame], wanted) -> Iterator[pd.DataFrame]:
-    seen: set[tuple[int, int]] = set()
+def _sets(frames: Iterator[pd.DataFrame], wanted: sketch.Filter) -> Iterator[pd.DataFrame]:
     for frame in slices(frames):
         every, begin = Units(frame["text"].tolist()).paragraph_sets()
         if not len(begin):
             continue
         ka, kb = map(signed, keys(every, begin))
         end = np.r_[begin[1:], len(every)]
-        rows = []
-        for i in np.flatnonzero(sketch.in_bitmap(ka, wanted.value)).tolist():
-            key = (int(ka[i]), int(kb[i]))
-            if key not in seen:
-                seen.add(key)
-                own = every[begin[i] : end[i]]
-                rows.append((*key, own.tobytes(), band_keys(own, np.zeros(1, np.int64)).tobytes(), bytes([1]) * BANDS, 1))
-        if rows:
-            yield pd.DataFrame(rows, columns=[*_NODE, "shingles", "prefix", "levels", "chosen"])
+        i = np.flatnonzero(wanted.has(ka))
+        if len(i):
+            yield pd.DataFrame({"ka": ka[i], "kb": kb[i], "shingles": [every[begin[j] : end[j]].tobytes() for j in i]}).drop_duplicates(_NODE)
+
+
+def _narrow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A paragraph's bands that other sets have, too, as a prefix of which one shared key is enough."""
+    for frame in frames:
+        bands_ = [np.asarray(x, np.int64) for x in frame["bands"]]
+        yield frame[["ka", "kb", "n"]].assign(least=1, chosen=1, prefix=[x.tobytes() for x in bands_], levels=[bytes([1]) * len(x) for x in bands_])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -237,13 +227,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     checkpointing(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     shared = stored(docs.mapInPandas(_keys, "t long, x long").groupBy("t").agg(F.min("x").alias("x"), F.max("x").alias("y")).where("x <> y"), "shared")
-    live = spark.sparkContext.broadcast(sketch.bitmap(shared, "t", FILTER_BITS))
+    live = sketch.Filter(shared, "t")
     units = stored(docs.mapInPandas(_units(live), _UNIT), "units")
+    live.drop()
 
     paragraphs = units.where("kind = 0").select("doc_id", "start", "length", "ka", "kb", "n", "bands")
-    entries = paragraphs.select(F.explode("bands").alias("t"), *_NODE, "n", F.lit(1).alias("least"))
+    narrow = paragraphs.where("size(bands) > 0").select(*_NODE, "n", "bands").dropDuplicates(_NODE).mapInPandas(_narrow, NARROW)
     classes = paragraphs.select(*_NODE, F.col("ka").alias("rep"), F.lit(1).cast("long").alias("copies")).distinct()
-    found = link_classes(entries, classes, lambda wanted: docs.select("text").mapInPandas(partial(_sets, wanted=wanted), SETS), PERCENT)
+    found = link_classes(narrow, classes, lambda wanted: docs.select("text").mapInPandas(partial(_sets, wanted=wanted), SETS), PERCENT)
     parts = components(found, "rep", "root").withColumnRenamed("node", "ka")
     joined = paragraphs.join(parts, "ka", "left").select("doc_id", "start", "length", F.coalesce("component", "ka").alias("component"))
     joined = stored(joined, "paragraphs")
@@ -257,46 +248,70 @@ def repeats(docs: DataFrame) -> DataFrame:
     return paragraphs.unionByName(_stretches(_lengthened(docs, stored(windows, "windows"))))
 
 
-def _longer(firsts, lasts):
+_BESIDE = "t long, doc_id long, start long, left boolean, words binary, to binary"
+
+
+def _beside(ends: sketch.Filter):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames):
             docs, u = frame["doc_id"].to_numpy(np.int64), Units(frame["text"].tolist())
             at, h = u.passages()
-            i, left, x, first, last = u.longer(at, h, *(sketch.in_bitmap(signed(h), b.value) for b in (firsts, lasts)))
-            if len(i):
-                own, _ = u.spans(at, at + PASSAGE - 1)
-                start, length = u.spans(first, last)
-                yield pd.DataFrame({"t": signed(h)[i], "doc_id": docs[u.text[at]][i], "start": own[i], "h": signed(x), "left": left, "to": np.where(left, start, start + length)})
+            doc = docs[u.text[at]] if len(at) else at
+            own, _ = u.spans(at, at + PASSAGE - 1)
+            i = np.flatnonzero(ends.has(signed(mix(h ^ doc.view(np.uint64)))))
+            for left in (True, False) if len(i) else ():
+                words, to = u.beside(at[i], left)
+                yield pd.DataFrame({"t": signed(h)[i], "doc_id": doc[i], "start": own[i], "left": left, "words": [x.tobytes() for x in words], "to": [x.tobytes() for x in to]})
 
     return run
 
 
+def _agreed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How far a passage and the kept copy have the same words beside them: (t, doc_id, start, left, to), a row for either."""
+    for frame in frames:
+        if not len(frame):
+            continue
+        read = lambda c, kind: np.frombuffer(b"".join(frame[c]), kind).reshape(len(frame), ANCHORS - 1)
+        same = np.cumprod(read("words", np.uint32) == read("kept_words", np.uint32), axis=1).sum(axis=1)
+        i = np.flatnonzero(same > 0)
+        for own in ("", "kept_"):
+            to = read(f"{own}to", np.int32)[i, same[i] - 1].astype(np.int64)
+            yield pd.DataFrame({"t": frame["t"].iloc[i], "doc_id": frame[f"{own}doc_id"].iloc[i], "start": frame[f"{own}start"].iloc[i], "left": frame["left"].iloc[i], "to": to})
+
+
 def _lengthened(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """windows, those at the ends of stretches with the words beside them that a copy has, too.
+    """windows, those at the ends of removed stretches with the words beside them that the kept copy has, too, and so that copy.
 
-    A removed window takes what an earlier document has beside its own, a kept one what a later has.
+    Words are compared by 31 bits of their hashes, from the passage on until two differ.
     """
     own = Window.partitionBy("doc_id", "removed").orderBy("start", "end")
     before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     reached = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, 0))
     first, last = F.coalesce(F.col("start") > before, F.lit(True)), F.coalesce(F.lead("start").over(own) > reached, F.lit(True))
-    ends = windows.withColumn("first", first).withColumn("last", last).where("first or last")
-    ends = stored(ends.select("t", "doc_id", "start", "removed", "first", "last").distinct(), "ends")
-    wanted = [docs.sparkSession.sparkContext.broadcast(sketch.bitmap(ends.where(side), "t", FILTER_BITS)) for side in ("first", "last")]
-    longer = stored(docs.mapInPandas(_longer(*wanted), "t long, doc_id long, start long, h long, left boolean, to long"), "longer")
-    met = stored(longer.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y"), "met")
-    known = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(met, "h", FILTER_BITS))
-
-    def hits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame[sketch.in_bitmap(frame["h"].to_numpy(np.int64), known.value)]
-
-    found = longer.mapInPandas(hits, longer.schema).join(met, "h").join(ends, ["t", "doc_id", "start"]).where("removed = (x < doc_id)")
+    ends = windows.where("removed").withColumn("first", first).withColumn("last", last).where("first or last")
+    ends = stored(ends.select("t", "doc_id", "start", "kept_doc_id", "first", "last").distinct(), "ends")
+    either = ends.select("t", "doc_id").unionByName(ends.select("t", F.col("kept_doc_id").alias("doc_id"))).distinct()
+    # The same mixing as in _beside, of the hash and the document.
+    keyed = stored(either.mapInPandas(_mixed, "h long"), "keyed")
+    known = sketch.Filter(keyed, "h")
+    sides = stored(docs.mapInPandas(_beside(known), _BESIDE), "beside")
+    known.drop()
+    # The kept copy's first passage of that hash.
+    kept = ends.select("t", F.col("kept_doc_id").alias("doc_id")).distinct().join(sides, ["t", "doc_id"]).groupBy("t", "left").agg(F.min(F.struct("start", "words", "to", "doc_id")).alias("kept"))
+    wanted = ends.select("t", "doc_id", "start", F.explode(F.array(F.when(F.col("first"), F.lit(True)), F.when(F.col("last"), F.lit(False)))).alias("left")).where("left is not null")
+    pairs = wanted.join(sides, ["t", "doc_id", "start", "left"]).join(kept.select("t", "left", *(F.col(f"kept.{c}").alias(f"kept_{c}") for c in ("start", "words", "to", "doc_id"))), ["t", "left"])
+    found = pairs.mapInPandas(_agreed, "t long, doc_id long, start long, left boolean, to long")
     found = found.groupBy("t", "doc_id", "start").agg(F.min(F.when(F.col("left"), F.col("to"))).alias("from"), F.max(F.when(~F.col("left"), F.col("to"))).alias("to"))
     out = windows.join(found, ["t", "doc_id", "start"], "left")
     return out.select("doc_id", F.coalesce("from", "start").alias("start"), F.coalesce("to", "end").alias("end"), "kept_doc_id", "removed")
 
 
+def _mixed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        t, doc = (frame[c].to_numpy(np.int64).view(np.uint64) for c in ("t", "doc_id"))
+        yield pd.DataFrame({"h": signed(mix(t ^ doc))})
+
+
 def _stretches(windows: DataFrame) -> DataFrame:
     """Windows of a document that overlap and are kept or removed alike, as one stretch."""
     own = Window.partitionBy("doc_id", "removed").orderBy("start", "end")

@@ -126,8 +126,9 @@ def test_meetings_by_blocks_and_by_pairs(monkeypatch):
     rows = []
     for _ in range(40):
         s = np.unique(np.where(rng.random(60) < 0.04, rng.integers(0, 2**63, 60, dtype=np.uint64), base))
-        p, v, chosen = J.prefix(s, np.ones(1 << J.COUNT_BITS, np.float32), 0.0, 90)
-        rows.append({"s": s, "p": p, "v": v, "l": chosen})
+        s = np.unique(s & ~J._LOW)
+        ((_, p, v, chosen),) = J.prefixes(s, np.array([0, len(s)]), np.full(1 << 16, 8, np.uint8), 0.0, 90)
+        rows.append({"s": s, "p": p, "v": v, "l": chosen, "n": len(s)})
     for left in (None, rng.random(40) < 0.5):
         want = J._pairwise(rows, left, 90)
         assert want.any() and (want == want.T).all()
