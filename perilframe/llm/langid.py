@@ -7,7 +7,7 @@ classifier is of that language, is the prediction; the runner-up's distance make
 close one flags the document as ambiguous.
 
 The classifiers learn from at most ``SAMPLE`` labelled documents of each language, those with the
-least hashes of doc_id, and of at most ``LANGUAGES`` languages, the most frequent ones.
+least hashes of doc_id. Every language is learned; counts take 512 KB of memory for each.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from perilframe.llm import sketch
 from perilframe.llm.common import slices
 
-SAMPLE, LANGUAGES = 1500, 64
+SAMPLE = 1500
 BITS = 16
 WINDOW = 500_000
 AMBIGUOUS = 0.6
-_LETTER = np.array([chr(i).isalpha() for i in range(0x10000)] + [True])
+_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def codes(n: int, seed: int = 5) -> np.ndarray:
@@ -51,7 +51,7 @@ def codes(n: int, seed: int = 5) -> np.ndarray:
 def points(text: str) -> np.ndarray:
     """Lower-case code points, with a space for what isn't a letter."""
     p = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(_LETTER[np.minimum(p, 0x10000)], p, 32)
+    return np.where(_LETTER[p], p, 32)
 
 
 def grams(p: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -108,13 +108,18 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model of the labelled documents that aren't held out; None without any."""
     spark = docs.sparkSession
     usable = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not languages:
+    found = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    if not found:
         return None
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.where(F.col("lang").isin(languages)).select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= sample)
-    # At most SAMPLE rows of each of LANGUAGES languages.
-    rows = usable.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
+    languages = [r["lang"] for r in found]
+    # Twice the sample's share of a language's hashes holds it but for chance, so no task ranks a whole language.
+    share = spark.createDataFrame([(r["lang"], min(1.0, 2 * sample / r["count"])) for r in found], "lang string, share double")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(share), "lang")
+    chosen = chosen.where(F.pmod("h", F.lit(1 << 30)) <= F.col("share") * (1 << 30)).select("doc_id", "lang", F.pmod("h", F.lit(1 << 30)).alias("h")).distinct()
+    chosen = chosen.withColumn("r", rank).where(F.col("r") <= sample)
+    # At most SAMPLE ids of each language.
+    rows = usable.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")
     size = 1 << BITS
     index = {x: i for i, x in enumerate(languages)}
 
@@ -142,8 +147,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, score (0 to 1) and ambiguous; only ``text`` is looked at.
 
     Null texts, texts without letters, and all texts without a model are ``und``, score 0. A row for
-    each row; other columns are passed on.
+    each row; other columns are passed on, but for any of these three names, whose place the new ones take.
     """
+    docs = docs.drop("lang_pred", "score", "ambiguous")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,13 +6,15 @@ symbol by symbol and modulo its alphabet, by SHA-512 of the key, the round and t
 round can be undone, so values of one format are permuted: equal values get equal pseudonyms in every
 document, different ones different pseudonyms, and length, separators and character classes stay.
 
-Numbers are validated before: card numbers by their check digit, which is computed anew; octets of
-addresses by range; social security numbers by area, group and serial; dates by the calendar. A date
-is a day within its 400-year cycle (146,097 = 189 * 773 days, from 1800-01-01) and is permuted there; a
-slash date is read month first only where it is no calendar day otherwise, and stays such a date. In
-a run of digit groups, the longest valid card numbers of whole groups are taken. Long secrets are
-permuted in parts of ``PART`` characters.
-What is no valid value stays as it is.
+Numbers are validated before: card numbers by their check digit, which is computed anew; bank account
+numbers (IBAN) by theirs; octets of addresses by range; social security numbers by area, group and
+serial; dates by the calendar. The digits of cards, phone and account numbers are permuted without
+their separators, which are put back, so that a number is linked however it is written; a North
+American phone number, with and without its +1. A date is a day within its 400-year cycle (146,097 = 189 * 773 days, from
+1800-01-01; years 200 to 9799) and is permuted there; a slash date is read month first only where it is
+no calendar day otherwise, and stays such a date. In a run of digit groups, the longest valid card
+numbers of whole groups are taken. Long secrets are permuted in parts of ``PART`` characters.
+What is no valid value stays as it is. The key stands in the query's plan: guard event logs as the key.
 """
 
 from __future__ import annotations
@@ -20,25 +22,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "change-me"
 ROUNDS, PART = 8, 256
 #: Java patterns, tried in this order at each place. A match is whole; no value may touch another word.
+_NAMED = r"(?i:password|passwd|token|secret|api[_-]?key)\s?[=:]\s?\"?"
+_BEARER = r"(?i:bearer)\s{1,3}"
+_MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
 KINDS = {
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "assigned": r"(?i:password|passwd|token|secret|api_?key)\s?[=:]\s?\"?[^\s\"]{8,}",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "assigned": rf"{_NAMED}[^\s\"]{{8,}}",
+    "bearer": rf"(?<!\w){_BEARER}(?=[^\s]*\d)[A-Za-z0-9._~+/=-]{{16,}}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w)",
+    "dialled": r"(?<![\w+])\+[1-9]\d{7,14}(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iso_date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])",
     "day_date": r"(?<![\w/.])\d{2}[/.]\d{2}[/.]\d{4}(?!\w)",
+    "month_date": rf"(?<![\w/.])\d{{1,2}} (?:{_MONTHS}) \d{{4}}(?!\w)",
     "address": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
+    "address6": r"(?<![\w:.])(?=(?:[0-9A-Fa-f]{1,4}:){7}|(?=[0-9A-Fa-f:]*\d)[0-9A-Fa-f:]*::)[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])",
 }
 #: A run of digit groups of 13 digits or more, up to where a value of another kind begins.
-_NO_CARD = "|".join(KINDS[k] for k in ("phone", "ssn", "iso_date", "day_date", "address"))
+_NO_CARD = "|".join(KINDS[k] for k in ("phone", "ssn", "iso_date", "day_date", "month_date", "address"))
 KINDS["card"] = rf"(?<![\w-])(?=\d(?:[ -]?\d){{12}})\d++(?!\w)(?:[ -](?!{_NO_CARD})\d++(?!\w))*+"
 PATTERN = "|".join(KINDS.values())
 #: Any text with a value holds one of these; others aren't searched.
-_HINT = r"@|\d{3}|\d\.\d|\d/\d|AKIA|(?i:password|passwd|token|secret|api_?key)"
+_HINT = r"@|\d{3}|\d\.\d|\d/\d|AKIA|::|(?:[0-9A-Fa-f]:){3}|(?i:password|passwd|token|secret|api[_-]?key|bearer)"
 _EPOCH = "DATE'1800-01-01'"
 
 
@@ -93,13 +102,38 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _refilled(text: Column, symbols: Column, kind: str = "0-9") -> Column:
+    """text with its characters of a kind replaced by these, in order: separators stay where they are."""
+    seen = lambda i: F.length(F.regexp_replace(F.substring(text, F.lit(1), i + 1), f"[^{kind}]", ""))
+    fill = lambda new: F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike(f"[{kind}]"), F.substring(new, seen(i), F.lit(1))).otherwise(c)), "")
+    return F.when(text.rlike(f"[^{kind}]"), _let(symbols, fill)).otherwise(symbols)
+
+
+def _mod97(text: Column) -> Column:
+    """The remainder of an account number's characters, country and check digits last."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.pmod(a * F.when(c.rlike("[0-9]"), F.lit(10)).otherwise(F.lit(100)) + value(c), F.lit(97)))
+
+
+def _account(m: Column, tag: Column) -> Column:
+    bare = F.regexp_replace(m, " ", "")
+    country, own = F.substring(bare, 1, 2), F.substring(bare, F.lit(5), F.length(bare))
+    check = lambda new: F.lpad((F.lit(98) - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.when(_mod97(F.concat(own, F.substring(bare, 1, 4))) == 1, _refilled(m, _let(permuted(own, tag), lambda new: F.concat(country, check(new), new)), "A-Z0-9"))
+
+
 def _date(m: Column, fmt: str, tag: Column) -> Column:
     day = F.try_to_timestamp(m, F.lit(fmt)).cast("date")
     n = F.datediff(day, F.expr(_EPOCH))
     cycle, inside = F.floor(n / 146_097), F.pmod(n, F.lit(146_097))
     new = feistel(F.array(F.floor(inside / 773).cast("int"), F.pmod(inside, F.lit(773)).cast("int")), F.array(F.lit(189), F.lit(773)), tag)
     moved = F.date_add(F.expr(_EPOCH), (cycle * 146_097 + F.get(new, F.lit(0)) * 773 + F.get(new, F.lit(1))).cast("int"))
-    return F.when(day.isNotNull() & (F.date_format(day, fmt) == m) & F.year(day).between(1800, 2199), F.date_format(moved, fmt))
+    return F.when(day.isNotNull() & (F.date_format(day, fmt) == m) & F.year(day).between(200, 9799), F.date_format(moved, fmt))
 
 
 def _parts(text: Column, tag: Column) -> Column:
@@ -132,8 +166,8 @@ def _cards(m: Column, tag: Column) -> Column:
     taken = F.aggregate(found, F.filter(found, lambda c: F.lit(False)), lambda a, c: F.when(free(a, c), F.concat(a, F.array(c))).otherwise(a))
 
     def renewed(c: Column) -> Column:
-        body = permuted(F.substring(c, F.lit(1), F.length(c) - 1), tag)
-        return F.concat(body, F.pmod(F.lit(10) - _luhn(_digits(body), True), F.lit(10)).cast("string"))
+        body = permuted(F.substring(_digits(c), F.lit(1), F.length(_digits(c)) - 1), tag)
+        return _refilled(c, _let(body, lambda x: F.concat(x, F.pmod(F.lit(10) - _luhn(x, True), F.lit(10)).cast("string"))))
 
     def text(chosen: Column) -> Column:
         def at(group: Column, p: Column) -> Column:
@@ -156,37 +190,47 @@ def pseudonym(m: Column, key: str) -> Column:
 def _pseudonym(m: Column, key: str) -> Column:
     tag = lambda kind: F.lit(f"{key}|{kind}")
     is_kind = lambda kind: m.rlike(f"^(?:{KINDS[kind]})$")
-    name = F.regexp_extract(m, r"^((?i:password|passwd|token|secret|api_?key)\s?[=:]\s?\"?)", 1)
+    name = F.regexp_extract(m, f"^({_NAMED}|{_BEARER})", 1)
     dot = F.length(m) - F.length(F.substring_index(m, ".", -1))
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
-    prefix = F.regexp_extract(m, r"^(\+\d{1,3}[ .-]?)", 1)
+    prefix = F.regexp_extract(m, r"^(\+\d{1,3}[ .-]?)(?=\D*\d{3}\D*\d{3}\D*\d{4}$)", 1)
+    dialled = F.regexp_extract(m, r"^(\+1(?=\d{10}$)|\+\d\d)", 1)
+    number = lambda p: F.concat(p, _refilled(F.substring(m, F.length(p) + 1, F.length(m)), permuted(_digits(F.substring(m, F.length(p) + 1, F.length(m))), tag("phone"))))
     separator = F.substring(m, 3, 1)
+    month_date = F.coalesce(*(_date(m, f, tag("date")) for f in ("d MMM yyyy", "d MMMM yyyy", "dd MMM yyyy", "dd MMMM yyyy")))
     return (
         F.when(is_kind("secret"), F.concat(F.lit("AKIA"), permuted(F.substring(m, 5, 16), tag("secret"))))
         .when(F.length(name) > 0, F.concat(name, _parts(F.substring(m, F.length(name) + 1, F.length(m)), tag("assigned"))))
         .when(is_kind("email"), F.concat(permuted(F.substring(m, F.lit(1), dot - 1), tag("email")), F.substring(m, dot, F.length(m))))
-        .when(is_kind("phone"), F.concat(prefix, permuted(F.substring(m, F.length(prefix) + 1, F.length(m)), tag("phone"))))
+        .when(is_kind("iban"), _account(m, tag("account")))
+        .when(is_kind("phone"), number(prefix))
+        .when(is_kind("dialled"), number(dialled))
         .when(is_kind("ssn"), F.when(~m.rlike(r"^(?:000|666|9)|^\d{3}-00|0000$"), permuted(m, tag("ssn"))))
         .when(is_kind("iso_date"), _date(m, "yyyy-MM-dd", tag("date")))
         .when(is_kind("day_date"), F.when(separator == "/", F.coalesce(_date(m, "dd/MM/yyyy", tag("date")), _month_first(m, tag("date")))).otherwise(_date(m, "dd.MM.yyyy", tag("date"))))
+        .when(is_kind("month_date"), month_date)
+        .when(is_kind("address6"), permuted(m, tag("address6")))
         .when(is_kind("address"), F.when(F.forall(octets, lambda x: x < 256), F.array_join(F.transform(feistel(octets, F.array_repeat(F.lit(256), 4), tag("address")), lambda x: x.cast("string")), ".")))
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with the personal data in ``text`` replaced, ``n_chars`` to match, and ``n_pii``, the values replaced.
 
     Whole texts are searched. Null and empty texts stay, with none; a row for each row; every other
-    column is passed on. Linked: a value has the same pseudonym wherever it is found.
+    column is passed on, but for an ``n_pii``, whose place the new one takes. Linked: under one key, a
+    value has the same pseudonym wherever it is found.
     """
+    docs = docs.drop("n_pii")
+    found_, new_ = ("_" * (1 + max(map(len, docs.columns))) + x for x in ("found", "new"))
     found = F.regexp_extract_all("text", F.lit(f"({PATTERN})"), F.lit(1))
     parts = F.split("text", PATTERN, -1)
-    step = docs.withColumn("_found", F.when(F.col("text").rlike(_HINT), found)).withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")))
-    step = step.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
-    pieces = F.zip_with(parts, F.zip_with("_found", "_new", lambda m, p: F.coalesce(p["text"], m)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
-    count = F.coalesce(F.aggregate("_new", F.lit(0), lambda n, p: n + p["n"]), F.lit(0))
-    out = step.withColumn("n_pii", F.when(F.col("_found").isNull(), F.lit(0)).otherwise(count).cast("long")).withColumn("text", text)
+    step = docs.withColumn(found_, F.when(F.col("text").rlike(_HINT), found)).withColumn(found_, F.when(F.size(found_) > 0, F.col(found_)))
+    step = step.withColumn(new_, F.transform(found_, lambda m: pseudonym(m, key)))
+    pieces = F.zip_with(parts, F.zip_with(found_, new_, lambda m, p: F.coalesce(p["text"], m)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    text = F.when(F.col(found_).isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
+    count = F.coalesce(F.aggregate(new_, F.lit(0), lambda n, p: n + p["n"]), F.lit(0))
+    out = step.withColumn("n_pii", F.when(F.col(found_).isNull(), F.lit(0)).otherwise(count).cast("long")).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns, "n_pii")

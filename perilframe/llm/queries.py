@@ -17,6 +17,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's key of pseudonyms; a key for trials, if it has none."""
+    return spark.conf.get("spark.perilframe.pii.secretKey", "for trials only")
+
+
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
@@ -31,7 +36,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data under pseudonyms; n_pii is 0 where there was none."""
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,34 @@ def test_clashing_columns_and_edges(spark):
     assert langid.identify(frame(spark, [])).count() == 0
     assert {r.lang_pred for r in langid.identify(frame(spark, [(1, "abc", None)])).collect()} == {"und"}
     assert {r.lang_pred for r in langid.identify(frame(spark, [(i, "abc", "aa") for i in range(9)])).collect()} == {"aa"}
+
+
+def test_no_letters_in_any_plane_and_clashing_names(spark):
+    model = langid.train(frame(spark, [(i, "abc" if i % 2 else "xyz", "aa" if i % 2 else "bb") for i in range(20)]))
+    rows = [(1, "\U0001f600 \U0001f680!", None), (2, "\U00010400\U00010401 abc", None), (3, "12 \u2014 34", None)]
+    out = langid.predict(frame(spark, rows), model)
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score", "ambiguous"]
+    assert {r.doc_id: r.lang_pred for r in out.collect()} == {1: "und", 2: "aa", 3: "und"}
+
+
+def test_more_languages_than_64(spark):
+    names = [f"l{i:02d}" for i in range(70)]
+    rows = [(i, " ".join(chr(0x4E00 + 40 * k + j) * 2 for j in range(20)), names[k]) for i in range(700) for k in [i % 70]]
+    out = [r for r in langid.identify(frame(spark, rows)).collect() if r.held_out]
+    assert len({r.lang_pred for r in out}) > 60 and np.mean([r.lang_pred == names[r.doc_id % 70] for r in out]) > 0.99
+
+
+def test_sample_is_bounded_and_decoding_by_hand(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, x, 20), x) for i in range(400) for x in ["aa" if i % 4 else "bb"]]
+    model = langid.train(frame(spark, rows), sample=30)
+    texts = [t for _, t, _ in rows[:40]]
+    margins, _ = model.margins(texts)
+    for text, m, best in zip(texts, margins, model.decode(margins)[0]):
+        p, total, n = langid.points(text), 0, 0
+        for _, g in langid.grams(p):
+            for bucket in g.tolist():
+                total, n = total + model.weights[bucket].astype(float), n + 1
+        assert np.allclose(total / n / model.scale, m)
+        losses = [sum(w * np.log1p(np.exp(-c * x * 4)) for w, c, x in zip(trust, code, m)) for trust, code in zip(model.trust, model.code)]
+        assert int(np.argmin(losses)) == best

@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 import random
 import re
 
@@ -8,6 +9,8 @@ from pyspark.sql import types as T
 
 from perilframe.llm import pii
 
+KEY = "a key"
+
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("m", T.StringType()), T.StructField("l", T.LongType())])
 
 
@@ -36,7 +39,7 @@ def shape(x):
 
 def test_values_change_within_their_format(spark):
     rows = [(i, f"before {v} after") for i, v in enumerate(VALUES)] + [(50 + i, f"again ({v}), {v}.") for i, v in enumerate(VALUES[:4])] + [(100 + i, f"see {c} there") for i, c in enumerate(CLEAN)]
-    out = {r.doc_id: r for r in pii.pseudonymise(frame(spark, rows)).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(frame(spark, rows), KEY).collect()}
     new = {}
     for i, v in enumerate(VALUES):
         r = out[i]
@@ -64,7 +67,7 @@ def test_values_beside_numbers(spark):
         f"card {card} 123", "card 4111 1111 1111 1111 12/25", f"no 7 {card}", f"{card} 4012888888881881 and", "12 34 567 4111 1111 1111 1111 2 x", f"{card} 555-867-5309", "4111 1111 1111 1111 12th",
         f"password={long}", "born 12/25/1980.", "born 25/12/1980.", "born 13/32/1980.",
     ]
-    out = pii.pseudonymise(frame(spark, [*enumerate(texts), (20, card)])).orderBy("doc_id").collect()
+    out = pii.pseudonymise(frame(spark, [*enumerate(texts), (20, card)]), KEY).orderBy("doc_id").collect()
     new = out[-1].text
     assert [r.n_pii for r in out] == [1, 1, 1, 2, 1, 2, 1, 1, 1, 1, 0, 1] and luhn(new) and new != card
     assert out[0].text == f"card {new} 123" and out[2].text == f"no 7 {new}" and out[3].text.startswith(new + " ") and luhn(out[3].text[17:33])
@@ -85,13 +88,70 @@ def test_permutes(spark):
 
 def test_edges(spark):
     rows = [(1, None), (2, ""), (None, "call 555-867-5309"), (3, "x 4041894974608795 " * 3000), (3, "x"), (3, "x")]
-    out = pii.pseudonymise(frame(spark, rows))
+    out = pii.pseudonymise(frame(spark, rows), KEY)
     assert out.columns == ["doc_id", "text", "n_chars", "m", "l", "n_pii"]
     got = {(r.doc_id, r.n_pii): r for r in out.collect()}
     assert out.count() == 6 and got[1, 0].text is None and got[2, 0].text == "" and got[None, 1].text != rows[2][1] and got[3, 3000].n_chars == len(rows[3][1])
-    assert pii.pseudonymise(frame(spark, [])).count() == 0
+    assert pii.pseudonymise(frame(spark, []), KEY).count() == 0
 
 
 def test_no_python_in_the_plan(spark):
-    plan = pii.pseudonymise(frame(spark, [(1, "a")]).filter("doc_id > 0"))._jdf.queryExecution().executedPlan().toString()
+    plan = pii.pseudonymise(frame(spark, [(1, "a")]).filter("doc_id > 0"), KEY)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def shifts(tag, n, other, m):
+    said = hashlib.sha512(f"{tag}|{n}|{','.join(map(str, other))}".encode()).hexdigest()
+    return [int(said[i % 32 * 4 : i % 32 * 4 + 4], 16) for i in range(m)]
+
+
+def by_hand(values, sizes, tag, back=False):
+    """The Feistel network in plain Python, and undone."""
+    if len(values) < 2:
+        return values
+    middle = len(values) // 2
+    l, r = values[:middle], values[middle:]
+    for n in reversed(range(pii.ROUNDS)) if back else range(pii.ROUNDS):
+        half, other, own = (l, r, sizes[:middle]) if n % 2 == 0 else (r, l, sizes[middle:])
+        new = [(x + (-t if back else t)) % z for x, t, z in zip(half, shifts(tag, n, other, len(half)), own)]
+        l, r = (new, other) if n % 2 == 0 else (other, new)
+    return l + r
+
+
+def test_feistel_by_hand_and_undone(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(z) for z in sizes], sizes) for i in range(60) for sizes in [[rng.choice([1, 10, 16, 26, 256]) for _ in range(rng.randint(1, 70))]]]
+    df = spark.createDataFrame(rows, "id long, v array<int>, s array<int>")
+    for r in df.select("v", "s", pii.feistel(F.col("v"), F.col("s"), F.lit("k|t")).alias("p")).collect():
+        assert r.p == by_hand(r.v, r.s, "k|t") and by_hand(r.p, r.s, "k|t", back=True) == r.v
+    card = "4041894974608795"
+    body = by_hand([int(x) for x in card[:-1]], [10] * 15, f"{KEY}|card")
+    assert by_hand(body, [10] * 15, f"{KEY}|card", back=True) == [int(x) for x in card[:-1]]
+    got = pii.pseudonymise(frame(spark, [(1, card)]), KEY).first().text
+    assert [int(x) for x in got[:-1]] == body and luhn(got)
+
+
+def test_one_number_in_many_forms(spark):
+    texts = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "(988) 555-2485", "+1 988-555-2485", "988.555.2485", "+19885552485", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "2021-02-28", "28.02.2021", "28 February 2021"]
+    new = [r.text for r in pii.pseudonymise(frame(spark, list(enumerate(texts))), KEY).orderBy("doc_id").collect()]
+    bare = [re.sub(r"[^A-Z0-9]", "", x) for x in new]
+    assert all(a != b for a, b in zip(texts, new)) and [shape(x) for x in new[:9]] == [shape(x) for x in texts[:9]]
+    assert len(set(bare[:3])) == 1 and luhn(new[1]) and len({x[-10:] for x in bare[3:7]}) == 1 and bare[7] == bare[8]
+    moved = bare[7][4:] + bare[7][:4]
+    assert int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+    day = datetime.date.fromisoformat(new[9])
+    assert new[10] == day.strftime("%d.%m.%Y") and new[11] == f"{day.day} {day:%B %Y}"
+
+
+def test_kinds_that_stayed(spark):
+    values = ["1799-12-31", "2200-01-01", "1 Jan 1999", "Bearer abcDEF123456789xyz", "api-key: abcd1234efgh", "josé9@example.com", "fe80:0:0:0:1:2:3:4", "2001:db8::8a2e:370:7334", "+4915112345678"]
+    clean = ["Jan 1999", "bearer of the large standards", "12:30:45", "a::b", "DE89370400440532013001", "+12"]
+    got = [r for r in pii.pseudonymise(frame(spark, [(i, f"so {x} it is") for i, x in enumerate(values + clean)]), KEY).orderBy("doc_id").collect()]
+    assert [r.n_pii for r in got] == [1] * len(values) + [0] * len(clean)
+    assert all(r.text != f"so {x} it is" for r, x in zip(got, values)) and all(r.text == f"so {x} it is" for r, x in zip(got[len(values) :], clean))
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "call 555-867-5309", 7, "f", "n")], "doc_id long, text string, n_pii long, _found string, _new string")
+    out = pii.pseudonymise(df, KEY)
+    assert out.columns == ["doc_id", "text", "_found", "_new", "n_pii"] and tuple(out.first())[2:] == ("f", "n", 1)
