@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from perilframe.llm import jaccard_join, langid, packing, pii, substring_dedup
 from perilframe.llm.common import DOCUMENT_COLUMNS, as_documents, small_batches, stored, table
-from perilframe.llm.queries import vocabulary
+from perilframe.llm.queries import pseudonym_key, vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,11 +23,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones (five-word shingles, 0.8): that of the least doc_id. Of rows that repeat a doc_id one stays."""
+    """One document of each group of linked ones (five-word shingles, 0.8): that of the least doc_id. Of rows that repeat it, with one text or several, the first by their columns' order stays."""
     small_batches(spark)
     docs = as_documents(docs)
     firsts = jaccard_join.join(docs, k=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    whole = F.struct(*(F.col(c).alias(c) for c in docs.columns))
+    kept = docs.join(firsts, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(whole).alias("first")).select("first.*")
     return as_documents(kept.unionByName(docs.where("doc_id is null")))
 
 
@@ -39,7 +40,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by their pseudonyms."""
-    return as_documents(pii.pseudonymise(as_documents(docs)))
+    return as_documents(pii.pseudonymise(as_documents(docs), pseudonym_key(spark)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
