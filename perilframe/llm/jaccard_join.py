@@ -10,8 +10,8 @@ Every candidate is verified on the whole sets.
 
 Equal sets are one class and take part once. A class's home is the fullest prefix bucket that it, or a
 class that it shares a bucket with, is in; a home with much to hold is dealt to several cells by hash. Two
-cells meet in one task if a bucket holds classes of both, so each pair of classes meets once at most, in a
-task of bounded size. Meetings are held twice: first over prefixes alone, and then, with the whole sets of
+cells meet in one task if a bucket holds classes of both (cells of different homes with those classes
+alone), so each pair of classes meets once at most, in a task of bounded size. Meetings are held twice: first over prefixes alone, and then, with the whole sets of
 those classes only that have a candidate there; only links of a spanning forest leave the second.
 Shingles are 56-bit hashes.
 """
@@ -281,13 +281,18 @@ def link_classes(narrow: DataFrame, classes: DataFrame, sets: Callable[[sketch.F
     best = entries.join(first, _NODE).groupBy("t").agg(F.max("home").alias("home"))
     homes = stored(entries.join(best, "t").groupBy(*_NODE).agg(F.max("home").alias("home"), F.max("n").alias("n")).select(*_NODE, F.col("home.t").alias("home"), "n"), "homes")
     sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(CELL_ROWS)), F.ceil(F.sum("n") / F.lit(CELL_SHINGLES))).alias("dealt"))
-    nodes = homes.join(sizes, "home").select(*_NODE, F.xxhash64("home", F.pmod(F.xxhash64(*_NODE), F.col("dealt"))).alias("cell"))
+    nodes = homes.join(sizes, "home").select(*_NODE, "home", F.xxhash64("home", F.pmod(F.xxhash64(*_NODE), F.col("dealt"))).alias("cell"))
     nodes = stored(nodes.join(classes, _NODE), "cells")
-    in_bucket = entries.join(nodes.select(*_NODE, "cell"), _NODE).groupBy("t", "cell").agg(F.count(F.lit(1)).alias("m"))
-    other = in_bucket.select("t", F.col("cell").alias("c2"))
-    meetings = in_bucket.withColumnRenamed("cell", "c1").join(other, "t").where("c1 < c2 or c1 = c2 and m > 1").select("c1", "c2").distinct()
-    sides = meetings.select("c1", "c2", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("cell"))
-    seats = stored(nodes.join(sides, "cell").join(narrow.drop("least"), _NODE).select(*_SEAT), "seats")
+    placed = stored(entries.select("t", *_NODE).join(nodes.select(*_NODE, "home", "cell"), _NODE), "placed")
+    in_bucket = placed.groupBy("t", "home", "cell").agg(F.count(F.lit(1)).alias("m"))
+    other = in_bucket.select("t", F.col("home").alias("home2"), F.col("cell").alias("c2"))
+    met = in_bucket.withColumnRenamed("cell", "c1").join(other, "t").where("c1 < c2 or c1 = c2 and m > 1")
+    sides = F.explode(F.array_distinct(F.array("c1", "c2"))).alias("cell")
+    # Cells of one home meet whole; cells of two homes by the classes in a bucket that both have.
+    whole = nodes.select(*_NODE, "cell").join(met.where("home = home2").select("c1", "c2").distinct().select("c1", "c2", sides), "cell")
+    part = placed.select("t", "cell", *_NODE).join(met.where("home <> home2").select("t", "c1", "c2", sides), ["t", "cell"]).select("cell", *_NODE, "c1", "c2").distinct()
+    seats = whole.unionByName(part).join(nodes.select(*_NODE, "rep", "copies"), _NODE).join(narrow.drop("least"), _NODE)
+    seats = stored(seats.select(*_SEAT), "seats")
     seats = stored(_in_batches(seats, seats, F.length("prefix") + 64, PREFIX_BATCH).applyInPandas(_narrow(percent), seats.schema), "met")
     wanted = sketch.Filter(seats.select("ka").distinct(), "ka")
     whole = sets(wanted).dropDuplicates(_NODE).join(seats, _NODE)
