@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +28,12 @@ def wind_fields(cells: DataFrame, multiplier: DataFrame, bins: DataFrame) -> Dat
 
 
 def snap_wind(requests: DataFrame, bins: DataFrame) -> DataFrame:
-    """requests (wind_dir, wind_speed) with the nearest bin, the first of ties, and the scale actual / bin."""
-    off = F.abs(F.col("wind_dir") - F.col("bin_dir"))
-    key = F.struct(F.least(off, 360 - off).alias("a"), F.abs(F.col("wind_speed") - F.col("bin_speed")).alias("b"), "ord", "bin_dir", "bin_speed")
-    best = requests.crossJoin(F.broadcast(bins)).groupBy(*requests.columns).agg(F.min(key).alias("k"))  # 24 bins
-    return best.select(*requests.columns, F.col("k.bin_dir").alias("bin_dir"), F.col("k.bin_speed").alias("bin_speed"), (F.col("wind_speed") / F.col("k.bin_speed")).alias("scale"))
+    """requests (wind_dir, wind_speed) with the nearest bin, the first of ties, and the scale actual / bin; a row for each row."""
+    every = bins.agg(F.collect_list(F.struct("bin_dir", "bin_speed", "ord")).alias("_bins"))  # 24 bins in one row
+    off = lambda b: F.abs(F.col("wind_dir") - b["bin_dir"])
+    key = lambda b: F.struct(F.least(off(b), 360 - off(b)).alias("a"), F.abs(F.col("wind_speed") - b["bin_speed"]).alias("b"), b["ord"].alias("ord"), b["bin_dir"].alias("bin_dir"), b["bin_speed"].alias("bin_speed"))
+    best = requests.crossJoin(F.broadcast(every)).withColumn("_k", F.array_min(F.transform("_bins", key)))
+    return best.select(*requests.columns, F.col("_k.bin_dir").alias("bin_dir"), F.col("_k.bin_speed").alias("bin_speed"), (F.col("wind_speed") / F.col("_k.bin_speed")).alias("scale"))
 
 
 def uniform_wind(scaled: Column, speed: Column) -> Column:
@@ -111,22 +114,21 @@ def travel_cost_edges(cells: DataFrame, res: float, wind_dir: float) -> DataFram
     return edges.join(cells.select(F.col("row").alias("row2"), F.col("col").alias("col2")), ["row2", "col2"], "left_semi").select("row", "col", "row2", "col2", "minutes")
 
 
-def reach_within_budget(edges: DataFrame, sources: DataFrame, budget: float, most: int = 500) -> DataFrame:
+def reach_within_budget(edges: DataFrame, sources: DataFrame, budget: float) -> DataFrame:
     """(source_id, row, col, arrival): the earliest arrival within a budget of minutes, for many sources at once.
 
-    Rounds of joining the cells that improved with the edges; each is written out, and one count a
-    round comes to the driver.
+    Rounds of joining the cells that improved with the edges, until none does; each is written out, and
+    one count a round comes to the driver.
     """
     edges = stored(edges, "edges")
     best = stored(sources.select("source_id", "row", "col", F.lit(0.0).alias("arrival"), F.lit(0).alias("round")), "reach")
-    for n in range(1, most + 1):
+    for n in count(1):
         front = best.where(F.col("round") == n - 1)
         moved = front.join(edges, ["row", "col"]).select("source_id", F.col("row2").alias("row"), F.col("col2").alias("col"), (F.col("arrival") + F.col("minutes")).alias("arrival"), F.lit(n).alias("round"))
         both = best.unionByName(moved.where(F.col("arrival") <= budget))
         best = stored(both.groupBy("source_id", "row", "col").agg(F.min(F.struct("arrival", "round")).alias("m")).select("source_id", "row", "col", "m.arrival", "m.round"), "reach")
         if not best.where(F.col("round") == n).limit(1).count():
-            break
-    return best.drop("round")
+            return best.drop("round")
 
 
 def exposure_from_runs(runs: DataFrame) -> DataFrame:
@@ -174,10 +176,10 @@ def isochrone_segments(cells: DataFrame, level: float, keys: tuple[str, ...] = (
     return out.select(*keys, "row", "col", F.col("p.a.x").alias("x1"), F.col("p.a.y").alias("y1"), F.col("p.b.x").alias("x2"), F.col("p.b.y").alias("y2"))
 
 
-def parcels_reached(places: DataFrame) -> DataFrame:
-    """places (parcel_id, toa) as the sorted lists reached within 30 and 60 minutes."""
-    listed = lambda m: F.array_sort(F.collect_list(F.when(F.col("toa") <= m, F.col("parcel_id"))))
-    return places.agg(listed(30).alias("within_30"), listed(60).alias("within_60"))
+def parcels_reached(places: DataFrame, limits: tuple[int, ...] = (30, 60)) -> DataFrame:
+    """(within, parcel_id): a row for each of places (parcel_id, toa) and each limit of minutes that it is reached within."""
+    within = F.explode(F.filter(F.array(*(F.lit(m) for m in limits)), lambda m: F.col("toa") <= m))
+    return places.select(within.alias("within"), "parcel_id")
 
 
 def property_exposure(places: DataFrame, cells: DataFrame) -> DataFrame:

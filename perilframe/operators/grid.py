@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows to a block of a column.
+BLOCK = 32
+
 # --- windows over a grid: every frame is one row or one column of a layer -----------------
 
 
@@ -50,8 +53,10 @@ def box_mean(df: DataFrame, value: str, k: int, out: str, keys: tuple[str, ...]
 def nearest_where(df: DataFrame, flag: Column, carry: list[str], keys: tuple[str, ...] = (), reach: int | None = None) -> DataFrame:
     """Every cell with its nearest flagged cell: near_d2 (squared, in cells) and near_<carry>; ties to (row, col).
 
-    Separable: along a row the nearest flagged cells on either side are looked up by windows; then each
-    column is joined with itself, within ``reach`` rows if given.
+    Separable: along a row the nearest flagged cells on either side are looked up by windows. Then, in
+    each column, what the rows next above and below have found, and the cell's own row, bound how far
+    off a nearer one can be; cells meet those rows only, by blocks of ``BLOCK`` rows. ``reach`` is a
+    bound of the caller's, in rows.
     """
     packed = F.when(flag, F.struct(F.col("row").alias("frow"), F.col("col").alias("fcol"), *(F.col(c).alias(f"near_{c}") for c in carry)))
     step = df.withColumn("_f", packed)
@@ -60,12 +65,17 @@ def nearest_where(df: DataFrame, flag: Column, carry: list[str], keys: tuple[str
     step = step.withColumn("_a", before).withColumn("_z", after)
     pick = F.when(F.col("_z").isNull() | (F.col("col") - F.col("_a.fcol") <= F.col("_z.fcol") - F.col("col")), F.col("_a")).otherwise(F.col("_z"))
     step = step.withColumn("_r", pick).drop("_f", "_a", "_z")
-    side = step.where("_r is not null").select(*keys, "col", F.col("row").alias("_row2"), (F.col("_r.fcol") - F.col("col")).alias("_dx"), F.col("_r").alias("_r2"))
-    near = F.lit(True) if reach is None else F.abs(F.col("row") - F.col("_row2")) <= reach
-    pairs = step.select(*keys, "row", "col").join(side, [*keys, "col"]).where(near)
+    some = F.when(F.col("_r").isNotNull(), F.struct(F.col("row").alias("r"), (F.col("_r.fcol") - F.col("col")).alias("dx")))
+    known = [F.last(some, True).over(_col(*keys).rowsBetween(Window.unboundedPreceding, 0)), F.first(some, True).over(_col(*keys).rowsBetween(0, Window.unboundedFollowing))]
+    step = step.withColumns({f"_k{i}": k for i, k in enumerate(known)})
+    bound = F.floor(F.sqrt(F.least(*(F.pow(F.col("row") - F.col(f"_k{i}.r"), 2) + F.pow(F.col(f"_k{i}.dx"), 2) for i in (0, 1)))))
+    step = step.withColumn("_reach", bound if reach is None else F.least(bound, F.lit(reach))).drop("_k0", "_k1")
+    side = step.where("_r is not null").select(*keys, "col", F.col("row").alias("_row2"), F.floor(F.col("row") / BLOCK).alias("_b"), (F.col("_r.fcol") - F.col("col")).alias("_dx"), F.col("_r").alias("_r2"))
+    blocks = F.explode(F.sequence(F.floor((F.col("row") - F.col("_reach")) / BLOCK), F.floor((F.col("row") + F.col("_reach")) / BLOCK)))
+    pairs = step.select(*keys, "row", "col", "_reach", blocks.alias("_b")).join(side, [*keys, "col", "_b"]).where(F.abs(F.col("row") - F.col("_row2")) <= F.col("_reach"))
     d2 = F.pow(F.col("row") - F.col("_row2"), 2) + F.pow("_dx", 2)
     best = pairs.groupBy(*keys, "row", "col").agg(F.min(F.struct(d2.alias("d2"), F.col("_r2.frow").alias("frow"), F.col("_r2.fcol").alias("fcol"), *(F.col(f"_r2.near_{c}") for c in carry))).alias("_n"))
-    return step.drop("_r").join(best, [*keys, "row", "col"], "left").select(*df.columns, F.col("_n.d2").alias("near_d2"), *(F.col(f"_n.near_{c}") for c in carry))
+    return step.drop("_r", "_reach").join(best, [*keys, "row", "col"], "left").select(*df.columns, F.col("_n.d2").alias("near_d2"), *(F.col(f"_n.near_{c}") for c in carry))
 
 
 # --- rasterising -----------------------------------------------------------------------------

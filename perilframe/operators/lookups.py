@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perilframe.operators.attribution import controllable_points, top_mitigations, top_risks
+from perilframe.operators.mitigation import mitigation_total, with_metrics
 from perilframe.operators.scoring import components, risk_category
 
 
@@ -37,10 +38,22 @@ def assess(requests: DataFrame, scored: DataFrame, attributions: DataFrame) -> D
     return requests.select("request_id", "parcel_id").join(record, "parcel_id").join(drivers, "parcel_id", "left").join(helps, "parcel_id", "left")
 
 
-def explain(attributions: DataFrame, base: DataFrame) -> DataFrame:
-    """Totals and the largest driver of each property."""
-    first = top_risks(attributions, 1).select("parcel_id", F.col("label").alias("main_driver"), F.col("contribution").alias("main_contribution"))
-    return base.select("parcel_id", "wildfire_risk_score").join(controllable_points(attributions), "parcel_id").join(first, "parcel_id")
+def explain(attributions: DataFrame, base: DataFrame, base_value: float = 50.0) -> DataFrame:
+    """Each property's score with all its attributions in order, totals, the largest driver, and a summary."""
+    every = top_risks(attributions, 1 << 30).groupBy("parcel_id").agg(F.array_sort(F.collect_list(F.struct("rank", "feature", "label", "category", "value", "contribution", "controllable"))).alias("attributions"))
+    first = F.col("attributions")[0]
+    out = base.select("parcel_id", "wildfire_risk_score").join(controllable_points(attributions), "parcel_id").join(every, "parcel_id")
+    tenth = lambda c: F.format_string("%.1f", F.round(F.round(c, 9), 1))
+    summary = F.concat(F.lit("Risk score "), tenth(F.col("wildfire_risk_score")), F.lit("/100. Controllable: "), tenth(F.col("controllable_points")), F.lit(" pts. Top action: "), F.coalesce(first["label"], F.lit("N/A")), F.lit("."))
+    return out.withColumns({"base_value": F.lit(base_value), "main_driver": first["label"], "main_contribution": first["contribution"], "summary": summary})
+
+
+def mitigate(requests: DataFrame, sequence: DataFrame) -> DataFrame:
+    """A row for each request and action: scores before and after the step, what it gains and costs, its rank by gain, and the totals."""
+    order = Window.partitionBy("parcel_id").orderBy(F.desc(F.round("points", 9)), "step")
+    steps = with_metrics(sequence).withColumn("priority_rank", F.row_number().over(order))
+    steps = steps.withColumn("cost_per_risk_point", F.concat("cost_per_point_low", F.lit("–"), "cost_per_point_high")).drop("original")
+    return requests.select("request_id", "parcel_id").join(steps, "parcel_id").join(mitigation_total(sequence), "parcel_id")
 
 
 def overview(scored: DataFrame, score: str = "wildfire_risk_score", top: int = 10) -> DataFrame:
@@ -63,9 +76,12 @@ def stats_row(scored: DataFrame, score: str = "wildfire_risk_score") -> DataFram
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
-    """requests with valid and the first reason against it."""
+    """requests with valid and the first reason against it. Columns that a request lacks take their defaults."""
+    given = lambda name, default: F.col(name) if name in requests.columns else F.lit(default)
     rules = [
         ("missing parcel_id", F.col("parcel_id").isNull()), ("latitude", ~F.col("ignition_lat").between(35.5, 36.5)), ("longitude", ~F.col("ignition_lon").between(-79.5, -78.5)), ("wind speed", ~F.col("wind_speed_mph").between(0, 60)),
+        ("wind direction", ~given("wind_direction_degrees", 225.0).between(0, 360)), ("fire weather index", ~given("fire_weather_index", 20.0).between(0, 100)), ("minutes", ~given("max_time_minutes", 60).between(5, 240)),
+        ("runs", ~given("n_simulations", 1).between(1, 100)), ("assessment runs", ~given("n_assessments", 100).between(10, 1000)),
     ]
     reason = F.coalesce(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules))
     return requests.withColumn("reason", reason).withColumn("valid", reason.isNull())
@@ -80,7 +96,10 @@ def titled(text: Column) -> Column:
 
 
 def narrative(scored: DataFrame) -> DataFrame:
-    """A few sentences about each property."""
+    """A few sentences about each property; canopy_cover_pct and fire_arrival_min (null: never reached) may be missing."""
+    for c in ("canopy_cover_pct", "fire_arrival_min"):
+        if c not in scored.columns:
+            scored = scored.withColumn(c, F.lit(None).cast("double"))
     c = components()
     labels = {"structure": (35, "structural vulnerabilities"), "vegetation": (30, "surrounding vegetation"), "terrain": (25, "terrain characteristics"), "exposure": (10, "exposure to neighboring structures")}
     # Ties go to the earlier label.
@@ -99,18 +118,35 @@ def narrative(scored: DataFrame) -> DataFrame:
         .when(roof.contains("asphalt"), "Asphalt shingles provide moderate fire resistance but can ignite under sustained ember exposure.")
         .when(roof.contains("metal"), "Its metal roof offers strong fire resistance.")
         .when(roof.rlike("slate|tile"), "Its slate/tile roof is highly fire-resistant, though embers can enter through gaps.")
+        .when(roof.rlike("membrane|flat"), "Its flat membrane roof has good fire resistance but is susceptible to pooling debris ignition.")
+        .when(roof.rlike("built|tar"), "Its built-up roof provides moderate fire resistance.")
     )
     vents = F.when(F.col("vent_screening_status") == "unscreened", "Unscreened vents could allow embers to enter the attic.").when(F.col("vent_screening_status") == "partial", "Partially screened vents reduce but don't eliminate ember intrusion risk.")
     steep = F.when(slope > 10, say("A steep ", F.floor(slope + 0.5).cast("string"), "° slope accelerates fire spread toward the structure.")).when(slope > 5, say("Moderate slope (", F.floor(slope + 0.5).cast("string"), "°) contributes to fire spread."))
     ridge = F.when(F.col("tpi_class").isin("ridge", "upper_slope"), "Its elevated position on a ridge increases flame and ember exposure.")
     ladder = F.when(F.col("ladder_fuel_present") > 0, "Ladder fuels nearby could carry ground fire into the canopy.")
-    ember = F.when(F.col("ember_exposure_probability") > 0.7, "Ember exposure probability is high.")
-    return scored.select("parcel_id", F.concat_ws(" ", opening, roofing, vents, steep, ridge, ladder, ember).alias("narrative"))
+    whole = lambda x: F.floor(x + 0.5).cast("string")
+    cover = F.when(F.col("canopy_cover_pct") > 40, say("Dense canopy cover (", whole(F.col("canopy_cover_pct")), "%) creates continuous fuel overhead."))
+    minutes = F.col("fire_arrival_min")
+    arrival = F.when(minutes < 5, say("In worst-case conditions, fire would reach this building in under ", F.ceil(minutes).cast("string"), " minutes.")).when(minutes.isNotNull(), say("Simulated fire arrival is ", whole(minutes), " minutes under worst-case conditions."))
+    ember = F.when(F.col("ember_exposure_probability") > 0.7, "Ember exposure probability is high — firebrands from upwind fuel sources pose a significant ignition risk.")
+    return scored.select("parcel_id", F.concat_ws(" ", opening, roofing, vents, steep, ridge, ladder, cover, arrival, ember).alias("narrative"))
+
+
+#: What a row of the map says of a property, beside its name and box.
+MAP_FIELDS = [
+    "name", "address", "composite_risk_score", "slope_degrees", "aspect_degrees", "heat_load_index", "tpi_class", "twi", "zone1_fuel_load", "zone2_fuel_load", "zone3_fuel_load", "ladder_fuel_present", "ndvi_mean", "canopy_cover_pct",
+    "roof_material", "roof_material_confidence", "year_built", "structure_type", "vent_screening_status", "building_sf", "neighbor_distance_m", "neighbor_flag_15m", "ember_exposure_probability", "fire_arrival_time_p50", "fire_arrival_time_p90", "is_owner_flagged",
+]
 
 
 def map_rows(scored: DataFrame) -> DataFrame:
-    """A flat row for each property with its box and centre."""
+    """A flat row for each property with its box and centre; fields that the table lacks are null, but the flag of near neighbours is derived."""
+    for c in MAP_FIELDS:
+        if c not in scored.columns:
+            scored = scored.withColumn(c, F.coalesce(F.col("neighbor_distance_m") < 15, F.lit(False)) if c == "neighbor_flag_15m" else F.lit(None).cast("double"))
     return scored.select(
+        *MAP_FIELDS,
         "parcel_id", display_name().alias("title"), risk_category(F.col("wildfire_risk_score")).alias("category"), "wildfire_risk_score", titled(F.col("roof_material")).alias("roof"),
         F.when(F.col("year_built") > 0, F.col("year_built").cast("int")).alias("year"), (F.col("cx") - F.col("half")).alias("x0"), (F.col("cy") - F.col("half")).alias("y0"), (F.col("cx") + F.col("half")).alias("x1"), (F.col("cy") + F.col("half")).alias("y1"),
     )

@@ -100,16 +100,17 @@ def annual_loss(df: DataFrame, segments: DataFrame, score: str = "wildfire_risk_
 def risk_percentile(df: DataFrame, score: str = "wildfire_risk_score", step: float = 0.01) -> DataFrame:
     """df with risk_percentile: 100 * percent_rank over all rows.
 
-    Rows are counted in score steps, which a bounded number of steps covers; the running sum goes over
-    those counts only, ranks inside a step are by window over the step.
+    Equal scores are counted first. Running sums go over score steps, which a bounded number of steps
+    covers, and inside a step over its distinct scores; no row is ranked by itself.
     """
-    cell = F.floor(F.col(score) / step)
-    counts = df.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    equal = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_m")).withColumn("_cell", F.floor(F.col("_s") / step))
+    counts = equal.groupBy("_cell").agg(F.sum("_m").alias("_n"))
     before = counts.select("_cell", (F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    inside = F.rank().over(Window.partitionBy("_cell").orderBy(score)) - 1
-    out = df.withColumn("_cell", cell).join(F.broadcast(before), "_cell").withColumn("_r", inside)
+    inside = F.sum("_m").over(Window.partitionBy("_cell").orderBy("_s")) - F.col("_m")
+    ranks = equal.withColumn("_r", inside).join(F.broadcast(before), "_cell").select("_s", "_r", "_before", "_all")
+    out = df.join(ranks, F.col(score) == F.col("_s"), "left").drop("_s")
     pct = F.when(F.col("_all") > 1, 100.0 * (F.col("_before") + F.col("_r")) / (F.col("_all") - 1)).otherwise(0.0)
-    return out.withColumn("risk_percentile", pct).drop("_cell", "_n", "_before", "_all", "_r")
+    return out.withColumn("risk_percentile", F.when(F.col(score).isNotNull(), pct)).drop("_before", "_all", "_r")
 
 
 # --- trained model -----------------------------------------------------------------------

@@ -62,13 +62,13 @@ def _(i):
     return i.cells.select("row", "col", G.canopy_height(F.col("dsm"), F.col("dem")).alias("chm"))
 
 
-_HOLES = "WITH h AS (SELECT row, col, CASE WHEN (row * 7 + col * 3) % 11 = 0 THEN NULL ELSE z END AS z FROM cells WHERE row < 20 AND col < 20)"
+_HOLES = "WITH h AS (SELECT row, col, CASE WHEN (row * 7 + col * 3) % 11 = 0 THEN NULL ELSE z END AS z FROM cells)"
 
 
 @query("grid10_fill_nearest", _HOLES + """, v AS (SELECT * FROM h WHERE z IS NOT NULL), d AS (SELECT h.row, h.col, h.z, v.z AS vz, row_number() OVER (PARTITION BY h.row, h.col ORDER BY (h.row - v.row) * (h.row - v.row) + (h.col - v.col) * (h.col - v.col), v.row, v.col) AS k FROM h, v)
  SELECT row, col, round(coalesce(z, vz), 9) AS z FROM d WHERE k = 1""", 9)
 def _(i):
-    holes = i.cells.where("row < 20 and col < 20").select("row", "col", F.when((F.col("row") * 7 + F.col("col") * 3) % 11 == 0, F.lit(None)).otherwise(F.col("z")).alias("z"))
+    holes = i.cells.select("row", "col", F.when((F.col("row") * 7 + F.col("col") * 3) % 11 == 0, F.lit(None)).otherwise(F.col("z")).alias("z"))
     return G.fill_nearest(holes)
 
 
@@ -101,11 +101,11 @@ def _(i):
     return G.regrid_nearest(i.cells, "z", 25, 25, 2.0)
 
 
-@query("grid14_regrid_bilinear", """WITH t AS (SELECT r.r, c.c, (r.r + 0.5) * 0.37 - 0.5 AS y, (c.c + 0.5) * 0.37 - 0.5 AS x FROM unnest(range(60)) r(r), unnest(range(60)) c(c)),
+@query("grid14_regrid_bilinear", """WITH t AS (SELECT r.r, c.c, (r.r + 0.5) * 0.37 - 0.5 AS y, (c.c + 0.5) * 0.37 - 0.5 AS x FROM unnest(range(135)) r(r), unnest(range(135)) c(c)),
  k AS (SELECT *, floor(y) + a.a AS rr, floor(x) + b.b AS cc FROM t, unnest([0, 1]) a(a), unnest([0, 1]) b(b)), w AS (SELECT k.*, z, (1 - abs(y - rr)) * (1 - abs(x - cc)) AS w FROM k LEFT JOIN cells ON cells.row = rr AND cells.col = cc)
  SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(sum(z * w) / nullif(sum(CASE WHEN z IS NOT NULL THEN w END), 0), 6) AS z FROM w GROUP BY 1, 2""")
 def _(i):
-    return G.regrid_bilinear(i.cells, "z", 60, 60, 0.37)
+    return G.regrid_bilinear(i.cells, "z", 135, 135, 0.37)
 
 
 @query("grid15_cell_xy", f"SELECT row, col, (col + 0.5) * {RES} AS x, 1001.0 - (row + 0.5) * {RES} AS y FROM cells")

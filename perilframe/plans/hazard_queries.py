@@ -104,8 +104,9 @@ def _(i):
 
 @query("fire7_reach_within_budget")
 def _(i):
-    sources = i.fuel_cells.where("row % 20 = 5 and col % 20 = 5").select((F.col("row") * 50 + F.col("col")).alias("source_id"), "row", "col")
-    return X.reach_within_budget(_edges(i), sources, 4.0).select("source_id", "row", "col", F.round("arrival", 5).alias("arrival"))
+    edges = _edges(i)
+    sources = edges.select((F.col("row") * 50 + F.col("col")).alias("source_id"), "row", "col").distinct()
+    return X.reach_within_budget(edges, sources, 4.0).select("source_id", "row", "col", F.round("arrival", 5).alias("arrival"))
 
 
 @query("fire8_exposure_from_runs", "SELECT row, col, round(count(toa) / (SELECT count(DISTINCT run_id) FROM runs)::DOUBLE, 6) AS burn_probability, round(quantile_cont(CAST(toa AS DOUBLE), 0.5), 6) AS p50, round(quantile_cont(CAST(toa AS DOUBLE), 0.9), 6) AS p90 FROM runs GROUP BY 1, 2")
@@ -143,10 +144,10 @@ def _one_run(i, k=1):
     return i.runs.where(F.col("run_id") == k).select("row", "col", F.col("toa").cast("double").alias("toa"), "intensity")
 
 
-@query("fire12_parcels_reached", f"WITH p AS ({_PLACE}), r AS ({_ONE}) SELECT string_agg(parcel_id, ',' ORDER BY parcel_id) FILTER (toa * 2 <= 30) AS within_30, string_agg(parcel_id, ',' ORDER BY parcel_id) FILTER (toa * 2 <= 60) AS within_60 FROM p JOIN r ON r.row = p.row AND r.col = p.col")
+@query("fire12_parcels_reached", f"WITH p AS ({_PLACE}), r AS ({_ONE}) SELECT w.m AS within, parcel_id FROM p JOIN r ON r.row = p.row AND r.col = p.col JOIN (VALUES (30), (60)) w(m) ON toa * 2 <= w.m")
 def _(i):
     met = _places(i).join(_one_run(i), ["row", "col"]).select("parcel_id", (F.col("toa") * 2).alias("toa"))
-    return X.parcels_reached(met).select(F.array_join("within_30", ",").alias("within_30"), F.array_join("within_60", ",").alias("within_60"))
+    return X.parcels_reached(met)
 
 
 @query("fire13_property_exposure", f"WITH p AS ({_PLACE}), r AS ({_ONE}), m AS (SELECT quantile_cont(toa, 0.5) AS med, avg(CASE WHEN intensity > 0 THEN intensity END) AS mean FROM r) SELECT p.parcel_id, round(coalesce(toa, med), 6) AS arrival_p50, round(coalesce(toa, med) * 1.3, 6) AS arrival_p90, round(least(1, coalesce(intensity, mean, 0) / 500), 6) AS ember_exposure FROM p CROSS JOIN m LEFT JOIN r ON r.row = p.row AND r.col = p.col")
@@ -250,8 +251,8 @@ def _(i):
 
 @query("hyd1_fill_depressions")
 def _(i):
-    small = _grid(i).where("row < 25 and col < 25").withColumn("z", F.coalesce("z", F.lit(110.0)))
-    return H.fill_depressions(small)[0].select("row", "col", "z", "filled")
+    whole = _grid(i).withColumn("z", F.coalesce("z", F.lit(110.0)))
+    return H.fill_depressions(whole)[0].select("row", "col", "z", "filled")
 
 
 @query("hyd8_flow_features")
@@ -428,24 +429,32 @@ def _(i):
     return s.select("parcel_id", P.canopy_from_ndvi(F.col("z") / 200).alias("canopy_cover_pct"))
 
 
-@query("prop15_build_twins", f"{_DEPTH}, p AS ({_PLACE20}), w AS (SELECT parcel_id, max(depth) FILTER (period = 100) AS d FROM p JOIN x ON x.row = p.row AND x.col = p.col GROUP BY 1) SELECT q.parcel_id, q.county, round(coalesce(d, 0), 6) AS depth_100yr FROM properties q LEFT JOIN w ON w.parcel_id = q.parcel_id")
+_TWIN_CELL = "SELECT parcel_id, CAST(least(greatest(floor((1001.0 - cy) / 20.0), 0), 49) AS INT) AS row, CAST(least(greatest(floor(cx / 20.0), 0), 49) AS INT) AS col FROM properties"
+
+
+@query("prop15_build_twins", f"{_DEPTH}, p AS ({_PLACE20}), w AS (SELECT parcel_id, max(depth) FILTER (period = 100) AS d FROM p JOIN x ON x.row = p.row AND x.col = p.col GROUP BY 1), g AS ({_TWIN_CELL}), one AS ({_ONE}), f AS ({_PLACE}), m AS (SELECT quantile_cont(toa, 0.5) AS med, avg(CASE WHEN intensity > 0 THEN intensity END) AS mean FROM one) SELECT q.parcel_id, q.county, round(coalesce(w.d, 0), 6) AS depth_100yr, round(coalesce(t.slope_deg, 0), 6) AS slope_deg, round(coalesce(t.aspect_deg, 0), 6) AS aspect_deg, round(greatest(0, (coalesce(c.z, 0) / 200 - 0.1) / 0.5 * 100), 6) AS canopy_cover_pct, round(coalesce(one.toa, med), 6) AS arrival_p50, round(coalesce(one.toa, med) * 1.3, 6) AS arrival_p90, round(least(1, coalesce(one.intensity, mean, 0) / 500), 6) AS ember_exposure FROM properties q CROSS JOIN m LEFT JOIN w ON w.parcel_id = q.parcel_id LEFT JOIN g ON g.parcel_id = q.parcel_id LEFT JOIN fuel_cells t ON t.row = g.row AND t.col = g.col LEFT JOIN cells c ON c.row = g.row AND c.col = g.col LEFT JOIN f ON f.parcel_id = q.parcel_id LEFT JOIN one ON one.row = f.row AND one.col = f.col")
 def _(i):
-    return P.build_twins(i.properties, {"flood": _parcel_depths(i)}, {"depth_100yr": 0.0}).select("parcel_id", "county", "depth_100yr")
+    """Properties with terrain, vegetation, fire and flood layers."""
+    at = i.properties.select("parcel_id", "cx", "cy")
+    terrain = G.sample_nearest(at, i.fuel_cells, {"slope_deg": 0.0, "aspect_deg": 0.0}, 0.0, 1001.0, RES, 50, 50).select("parcel_id", "slope_deg", "aspect_deg")
+    vegetation = G.sample_nearest(at, i.cells, {"z": 0.0}, 0.0, 1001.0, RES, 50, 50).select("parcel_id", P.canopy_from_ndvi(F.col("z") / 200).alias("canopy_cover_pct"))
+    layers = {"terrain": terrain, "vegetation": vegetation, "fire": X.property_exposure(_places(i), _one_run(i)), "flood": _parcel_depths(i)}
+    return P.build_twins(i.properties, layers, {"depth_100yr": 0.0}).select("parcel_id", "county", "depth_100yr", "slope_deg", "aspect_deg", "canopy_cover_pct", "arrival_p50", "arrival_p90", "ember_exposure")
 
 
 # --- proximity -----------------------------------------------------------------------------------
 
-_ZC = "WITH b AS (SELECT parcel_id, cx, cy, half FROM properties WHERE CAST(parcel_id AS INT) % 5 = 0), c AS (SELECT row, col, (col + 0.5) * 5 AS x, (row + 0.5) * 5 AS y, CAST((row + col) % 7 AS DOUBLE) AS load, CASE (row + 2 * col) % 4 WHEN 0 THEN 'TU1' WHEN 1 THEN 'GR1' WHEN 2 THEN 'SH5' ELSE 'TL1' END AS model, CAST(row % 6 AS DOUBLE) AS canopy_height FROM pixels), d AS (SELECT b.parcel_id, c.*, sqrt(pow(greatest(0, abs(x - cx) - half), 2) + pow(greatest(0, abs(y - cy) - half), 2)) AS d FROM b JOIN c ON abs(x - cx) <= half + 30.5 AND abs(y - cy) <= half + 30.5), z AS (SELECT *, CASE WHEN d <= 0 THEN NULL WHEN d <= 1.5 THEN 1 WHEN d <= 9 THEN 2 WHEN d <= 30.5 THEN 3 END AS zone FROM d)"
+_ZC = "WITH b AS (SELECT parcel_id, cx, cy, half FROM properties), c AS (SELECT row, col, (col + 0.5) * 5 AS x, (row + 0.5) * 5 AS y, CAST((row + col) % 7 AS DOUBLE) AS load, CASE (row + 2 * col) % 4 WHEN 0 THEN 'TU1' WHEN 1 THEN 'GR1' WHEN 2 THEN 'SH5' ELSE 'TL1' END AS model, CAST(row % 6 AS DOUBLE) AS canopy_height FROM pixels), d AS (SELECT b.parcel_id, c.*, sqrt(pow(greatest(0, abs(x - cx) - half), 2) + pow(greatest(0, abs(y - cy) - half), 2)) AS d FROM b JOIN c ON abs(x - cx) <= half + 30.5 AND abs(y - cy) <= half + 30.5), z AS (SELECT *, CASE WHEN d <= 0 THEN NULL WHEN d <= 1.5 THEN 1 WHEN d <= 9 THEN 2 WHEN d <= 30.5 THEN 3 END AS zone FROM d)"
 
 
 def _buildings(i):
-    return i.properties.where(F.col("parcel_id").cast("int") % 5 == 0).select("parcel_id", _ring().alias("ring"))
+    return i.properties.select("parcel_id", _ring().alias("ring"))
 
 
-def _zoned(i):
+def _zoned(i, buildings=None):
     kind = F.when((F.col("row") + 2 * F.col("col")) % 4 == 0, "TU1").when((F.col("row") + 2 * F.col("col")) % 4 == 1, "GR1").when((F.col("row") + 2 * F.col("col")) % 4 == 2, "SH5").otherwise("TL1")
     cells = i.pixels.select("row", "col", ((F.col("col") + 0.5) * 5).alias("x"), ((F.col("row") + 0.5) * 5).alias("y"), ((F.col("row") + F.col("col")) % 7).cast("double").alias("load"), kind.alias("model"), (F.col("row") % 6).cast("double").alias("canopy_height"))
-    return P.zone_cells(_buildings(i), cells)
+    return P.zone_cells(_buildings(i) if buildings is None else buildings, cells)
 
 
 @query("prx1_zone_rings", f"{_ZC} SELECT parcel_id, zone, count(*) AS cells FROM z WHERE zone IS NOT NULL GROUP BY 1, 2")
@@ -456,7 +465,7 @@ def _(i):
 _ZM = {
     "prx2_zone_fuel_load": ("zone1_fuel_load, zone2_fuel_load, zone3_fuel_load", ", ".join(f"round(coalesce(avg(load) FILTER (zone = {k}), 0), 6) AS zone{k}_fuel_load" for k in (1, 2, 3))),
     "prx3_zone2_canopy": ("zone2_canopy", "round(coalesce(avg(canopy_height) FILTER (zone = 2), 0), 6) AS zone2_canopy"),
-    "prx4_zone_dominant_fuel": ("zone2_dominant_fuel", "coalesce((SELECT m.model FROM (SELECT z2.model, count(*) AS n FROM z z2 WHERE z2.parcel_id = b.parcel_id AND z2.zone = 2 GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1) m), 'NB9') AS zone2_dominant_fuel"),
+    "prx4_zone_dominant_fuel": ("zone2_dominant_fuel", "coalesce((SELECT arg_min(m.model, (-m.n, m.model)) FROM (SELECT parcel_id, model, count(*) AS n FROM z WHERE zone = 2 GROUP BY 1, 2) m WHERE m.parcel_id = b.parcel_id), 'NB9') AS zone2_dominant_fuel"),
     "prx5_zone_ladder_fuel": ("ladder_fuel_present", "coalesce(bool_or(model IN ('TU1','TU5','SH1','SH5','SH9','GR3','GR4')) FILTER (zone = 2) AND avg(canopy_height) FILTER (zone = 2) > 2, false) AS ladder_fuel_present"),
     "prx6_zone3_continuity": ("zone3_fuel_continuity", "round(coalesce(avg(CASE WHEN load > 0 THEN 1.0 ELSE 0.0 END) FILTER (zone = 3), 0), 6) AS zone3_fuel_continuity"),
 }
@@ -466,28 +475,30 @@ for _name, (_columns, _sql) in _ZM.items():
 _NEAR = "WITH n AS (SELECT a.parcel_id, min(sqrt(pow(greatest(0, abs(a.cx - b.cx) - a.half - b.half), 2) + pow(greatest(0, abs(a.cy - b.cy) - a.half - b.half), 2))) AS d FROM properties a JOIN properties b ON b.parcel_id <> a.parcel_id GROUP BY 1)"
 
 
-@query("prx7_neighbor_distance", f"{_NEAR} SELECT parcel_id, round(CASE WHEN d <= 40 THEN d END, 6) AS neighbor_distance_m FROM n")
+@query("prx7_neighbor_distance", f"{_NEAR} SELECT parcel_id, round(d, 6) AS neighbor_distance_m FROM n")
 def _(i):
-    out = P.neighbor_distance(i.properties)
-    return out.select("parcel_id", F.when(F.col("neighbor_distance_m") <= 40, F.col("neighbor_distance_m")).alias("neighbor_distance_m"))
+    return P.neighbor_distance(_buildings(i))
 
 
 @query("prx8_neighbor_flag", f"{_NEAR} SELECT count(*) FILTER (d < 15) AS flagged, round(avg(CASE WHEN d < 15 THEN 1.0 ELSE 0.0 END), 6) AS share FROM n")
 def _(i):
     f = P.neighbor_flag(F.col("neighbor_distance_m"))
-    return P.neighbor_distance(i.properties).agg(F.count_if(f).alias("flagged"), F.avg(f.cast("double")).alias("share"))
+    return P.neighbor_distance(_buildings(i)).agg(F.count_if(f).alias("flagged"), F.avg(f.cast("double")).alias("share"))
 
 
-@query("prx9_empty_zone_record", "SELECT parcel_id, CAST(NULL AS DOUBLE) AS zone1_fuel_load, 'unknown' AS zone2_dominant_fuel, false AS ladder_fuel_present FROM properties WHERE CAST(parcel_id AS INT) % 5 = 1")
+@query("prx9_empty_zone_record", f"{_ZC} SELECT b.parcel_id, CASE WHEN CAST(b.parcel_id AS INT) % 5 <> 1 THEN round(coalesce(avg(load) FILTER (zone = 1), 0), 6) END AS zone1_fuel_load, CASE WHEN CAST(b.parcel_id AS INT) % 5 = 1 THEN 'unknown' ELSE coalesce((SELECT arg_min(m.model, (-m.n, m.model)) FROM (SELECT parcel_id, model, count(*) AS n FROM z WHERE zone = 2 GROUP BY 1, 2) m WHERE m.parcel_id = b.parcel_id), 'NB9') END AS zone2_dominant_fuel, CAST(b.parcel_id AS INT) % 5 <> 1 AND {_ZM['prx5_zone_ladder_fuel'][1]} FROM b LEFT JOIN z ON z.parcel_id = b.parcel_id GROUP BY b.parcel_id")
 def _(i):
-    none = i.properties.where(F.col("parcel_id").cast("int") % 5 == 1).select("parcel_id", F.when(F.lit(False), _ring()).alias("ring"))
-    return P.zone_metrics(none, _zoned(i)).select("parcel_id", "zone1_fuel_load", "zone2_dominant_fuel", "ladder_fuel_present")
+    """Every property, one in five without a footprint."""
+    some = i.properties.select("parcel_id", F.when(F.col("parcel_id").cast("int") % 5 != 1, _ring()).alias("ring"))
+    return P.zone_metrics(some, _zoned(i, some)).select("parcel_id", "zone1_fuel_load", "zone2_dominant_fuel", "ladder_fuel_present")
+
+
+_REPORT = ", ".join(x[1] for x in _ZM.values())
 
 
-@query("prx10_proximity_report", f"{_ZC}, {_NEAR[5:]} SELECT b.parcel_id, round(coalesce(avg(load) FILTER (zone = 2), 0), 6) AS zone2_fuel_load, round(CASE WHEN any_value(n.d) <= 40 THEN any_value(n.d) END, 6) AS neighbor_distance_m FROM b LEFT JOIN z ON z.parcel_id = b.parcel_id JOIN n ON n.parcel_id = b.parcel_id GROUP BY 1")
+@query("prx10_proximity_report", f"{_ZC}, {_NEAR[5:]} SELECT b.parcel_id, {_REPORT}, round(any_value(n.d), 6) AS neighbor_distance_m, any_value(n.d) < 15 AS neighbor_flag_15m FROM b LEFT JOIN z ON z.parcel_id = b.parcel_id JOIN n ON n.parcel_id = b.parcel_id GROUP BY b.parcel_id")
 def _(i):
-    near = P.neighbor_distance(i.properties).select("parcel_id", F.when(F.col("neighbor_distance_m") <= 40, F.col("neighbor_distance_m")).alias("neighbor_distance_m"))
-    return P.zone_metrics(_buildings(i), _zoned(i)).join(near, "parcel_id").select("parcel_id", "zone2_fuel_load", "neighbor_distance_m")
+    return P.proximity_report(_buildings(i), _zoned(i))
 
 
 # --- validation -----------------------------------------------------------------------------------

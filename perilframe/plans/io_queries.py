@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from perilframe.functions import geometry as geo
-from perilframe.operators.iterate import stored
+from perilframe.operators.iterate import shared_path
+from perilframe.operators.scoring import components, risk_category
 from perilframe.plans.registry import query
+from perilframe.plans.risk_queries import _CATEGORY, _W, TERRAIN, scored
 from perilframe.sources import readers as R
 from perilframe.sources import writers as K
 
 
-@query("src1_read_points", "SELECT tile, count(*) AS n, round(sum(x), 3) AS sx FROM points GROUP BY 1")
+@query("src1_read_points", "SELECT tile, count(*) AS n, round(sum(x), 3) AS sx, round(sum(z), 3) AS sz, CAST(sum(intensity) AS BIGINT) AS intensity, count(*) FILTER (classification = 2) AS ground FROM points GROUP BY 1")
 def _(i):
-    return stored(i.points, "points").groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 3).alias("sx"))
+    path = shared_path(i.spark, "points")
+    i.points.write.parquet(path)
+    read = R.read_points(i.spark, path)
+    return read.groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 3).alias("sx"), F.round(F.sum("z"), 3).alias("sz"), F.sum("intensity").alias("intensity"), F.count_if(F.col("classification") == 2).alias("ground"))
 
 
 @query("src4_not_yet", "SELECT l_orderkey * 10 + l_linenumber AS filename, l_returnflag AS url FROM lineitem WHERE l_returnflag <> 'A' AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
@@ -55,12 +60,52 @@ def _(i):
     return R.first_available([("cache", ids.where(k % 2 == 0)), ("missing", None), ("local", ids.where(k % 3 == 0)), ("default", ids)], "parcel_id").select("parcel_id", "origin")
 
 
-@query("snk6_export_features", "SELECT parcel_id, '{\"type\":\"Feature\"' AS head, 5 AS corners FROM properties WHERE half <> 3")
+_SHAPE = "SELECT *, half <> 3 AS has, year_built > 0 AS known FROM scored"
+
+
+@query("snk6_export_features", f"{_W}, x AS ({_SHAPE}) SELECT parcel_id AS id, name, round(round(s, 9), 1) AS score, {_CATEGORY} AS category, round(round({TERRAIN}, 9), 1) AS terrain, round(slope_degrees, 1) AS slope, CASE WHEN known THEN CAST(year_built AS INT) END AS year, CAST(stories AS INT) AS stories, round(ember_exposure_probability, 3) AS ember, 28 AS fields, 'Polygon' AS kind, 5 AS corners, round(-81 + (cx - half) / 100000, 6) AS west FROM x WHERE has")
 def _(i):
+    """Footprints as features with all their fields, read back; here a metre is 1/100,000 of a degree."""
+    df = scored(i)
     ring = F.when(F.col("half") != 3, geo.square(F.col("cx"), F.col("cy"), F.col("half")))
-    out = i.properties.select(K.feature(ring, [F.col("parcel_id"), F.col("name")]).alias("value")).where("value is not null")
-    pts = F.size(F.from_json(F.get_json_object("value", "$.geometry.coordinates"), "array<array<array<double>>>")[0])
-    return out.select(F.get_json_object("value", "$.properties.parcel_id").alias("parcel_id"), F.substring("value", 1, 17).alias("head"), pts.alias("corners"))
+    lonlat = F.transform(ring, lambda p: F.struct((p["x"] / 100000 - 81).alias("x"), (p["y"] / 100000 + 36).alias("y")))
+    text = K.feature(lonlat, K.building_properties(df, components(), risk_category(F.col("wildfire_risk_score"))))
+    path = shared_path(i.spark, "features")
+    df.select(text.alias("value")).where("value is not null").write.text(path)
+    out = i.spark.read.text(path)
+    at = lambda name, kind: F.get_json_object("value", f"$.properties.{name}").cast(kind)
+    pts = F.from_json(F.get_json_object("value", "$.geometry.coordinates"), "array<array<array<double>>>")[0]
+    fields = F.size(F.json_object_keys(F.get_json_object("value", "$.properties"))) + F.lit(0)
+    return out.select(at("id", "string").alias("id"), at("name", "string").alias("name"), at("riskScore", "double").alias("score"), at("riskCategory", "string").alias("category"), at("terrain", "double").alias("terrain"), at("slope", "double").alias("slope"), at("yearBuilt", "int").alias("year"), at("stories", "int").alias("stories"), at("emberProbability", "double").alias("ember"), fields.cast("int").alias("fields"), F.get_json_object("value", "$.geometry.type").alias("kind"), F.size(pts).alias("corners"), pts[0][0].alias("west"))
+
+
+@query("snk4_write_param_layers", "SELECT c.row, c.col, round(CAST(coalesce(m.w1, 0) AS FLOAT)::DOUBLE, 5) AS w1, round(CAST(coalesce(m.mx, 0) AS FLOAT)::DOUBLE, 5) AS mx FROM fuel_cells c LEFT JOIN fuel_models m ON m.code = c.fbfm40", 5)
+def _(i):
+    from perilframe.operators.vegetation import PARAMETERS, map_fuel_models
+
+    path = shared_path(i.spark, "layers")
+    K.write_param_layers(map_fuel_models(i.fuel_cells, i.fuel_models), path, list(PARAMETERS))
+    return i.spark.read.parquet(path).select("row", "col", F.col("w1").cast("double").alias("w1"), F.col("mx").cast("double").alias("mx"))
+
+
+@query("snk8_export_isochrones")
+def _(i):
+    """The pieces of each run's line at 15 minutes, as features, read back."""
+    from perilframe.operators.fire import isochrone_segments
+
+    pieces = isochrone_segments(i.runs.withColumn("toa", F.col("toa").cast("double")), 15.0, ("run_id",))
+    path = shared_path(i.spark, "isochrones")
+    K.export_isochrones(pieces.select(F.lit(15.0).alias("level"), *((F.col(c) / 1000).alias(c) for c in ("x1", "y1", "x2", "y2"))), path)
+    value = i.spark.read.text(path)
+    return value.select(F.get_json_object("value", "$.properties.label").alias("label"), F.get_json_object("value", "$.geometry.type").alias("kind")).groupBy("label", "kind").count()
+
+
+@query("snk5_write_twins", "SELECT parcel_id, county, CAST(stories AS INT) AS stories, round(slope_degrees, 6) AS slope FROM properties")
+def _(i):
+    path = shared_path(i.spark, "twins")
+    K.write_twin_documents(i.properties, path)
+    doc = lambda name, kind: F.get_json_object("value", f"$.{name}").cast(kind)
+    return i.spark.read.text(path).select(doc("parcel_id", "string").alias("parcel_id"), doc("county", "string").alias("county"), doc("stories", "int").alias("stories"), doc("slope_degrees", "double").alias("slope"))
 
 
 @query("snk7_arrival_sample", "SELECT run_id, row, col FROM runs WHERE row % 4 = 0 AND col % 4 = 0 AND toa IS NOT NULL AND intensity > 0")

@@ -173,7 +173,7 @@ def _(i):
 
 
 @query("att9_attribution_summary", f"""{_ATT}, r AS (SELECT *, {_RISKS} AS rank FROM att QUALIFY rank <= 3)
- SELECT parcel_id, string_agg(label || ' ' || CASE WHEN contribution < 0 THEN '' ELSE '+' END || printf('%.2f', contribution), '; ' ORDER BY rank) AS summary FROM r GROUP BY parcel_id""")
+ SELECT parcel_id, string_agg(label || ' ' || CASE WHEN contribution < 0 THEN '' ELSE '+' END || printf('%.2f', contribution + 0.0), '; ' ORDER BY rank) AS summary FROM r GROUP BY parcel_id""")
 def _(i):
     return A.attribution_summary(attributions(i))
 
@@ -265,15 +265,19 @@ def _(i):
     return L.resolve_property(i.requests.select("request_id", F.when(F.col("request_id") % 2 == 0, F.col("parcel_id")).alias("parcel_id"), text.alias("text")), i.properties)
 
 
-@query("qry3_explain", f"""{_ATT}, c AS (SELECT parcel_id, {_CONTROL} FROM att GROUP BY 1), f AS (SELECT parcel_id, label AS main_driver, contribution AS main_contribution, {_RISKS} AS rank FROM att QUALIFY rank = 1)
- SELECT x.parcel_id, round(s, 6) AS wildfire_risk_score, controllable_points, fixed_points, main_driver, main_contribution FROM scored x JOIN c ON c.parcel_id = x.parcel_id JOIN f ON f.parcel_id = x.parcel_id""")
+@query("qry3_explain", f"""{_ATT}, c AS (SELECT parcel_id, {_CONTROL} FROM att GROUP BY 1), f AS (SELECT *, {_RISKS} AS rank FROM att), a AS (SELECT parcel_id, string_agg(feature || '=' || printf('%.2f', contribution + 0.0), ',' ORDER BY rank) AS attributions, max(CASE WHEN rank = 1 THEN label END) AS main_driver, max(CASE WHEN rank = 1 THEN contribution END) AS main_contribution FROM f GROUP BY 1)
+ SELECT x.parcel_id, round(s, 6) AS wildfire_risk_score, 50.0::DOUBLE AS base_value, controllable_points, fixed_points, attributions, main_driver, main_contribution, 'Risk score ' || printf('%.1f', round(round(s, 9), 1)) || '/100. Controllable: ' || printf('%.1f', round(round(controllable_points, 9), 1)) || ' pts. Top action: ' || main_driver || '.' AS summary FROM scored x JOIN c ON c.parcel_id = x.parcel_id JOIN a ON a.parcel_id = x.parcel_id""")
 def _(i):
-    return L.explain(attributions(i), scored(i))
+    said = F.array_join(F.transform("attributions", lambda a: F.concat(a["feature"], F.lit("="), F.format_string("%.2f", a["contribution"] + 0.0))), ",")
+    out = L.explain(attributions(i), scored(i))
+    return out.select("parcel_id", "wildfire_risk_score", "base_value", "controllable_points", "fixed_points", said.alias("attributions"), "main_driver", "main_contribution", "summary")
 
 
-@query("qry4_mitigate", f"{_SEQ}, e AS (SELECT parcel_id, arg_max(after, step) AS mitigated FROM seq GROUP BY 1) SELECT r.request_id, r.parcel_id, round(mitigated, 6) AS mitigated FROM requests r JOIN e ON e.parcel_id = r.parcel_id")
+@query("qry4_mitigate", f"""{_SEQ}, sb AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY parcel_id ORDER BY step), s) AS before FROM seq), se AS (SELECT parcel_id, arg_max(after, step) AS mitigated FROM seq GROUP BY 1), sk AS (SELECT *, before - after AS d, row_number() OVER (PARTITION BY parcel_id ORDER BY round(before - after, 9) DESC, step) AS n FROM sb)
+ SELECT r.request_id, r.parcel_id, CAST(step AS INT) AS step, action, round(before, 6) AS before, round(after, 6) AS after, round(d, 6) AS points, round(100 * d / greatest(before, 0.01), 6) AS pct, round(d * 0.3, 6) AS minutes_gained, CAST(n AS INT) AS priority_rank, CASE WHEN d <= 0 THEN 'N/A–N/A' ELSE '$' || format('{{:,}}', CAST(round_even(cost_low / d, 0) AS BIGINT)) || '–$' || format('{{:,}}', CAST(round_even(cost_high / d, 0) AS BIGINT)) END AS cost_per_risk_point, round(mitigated, 6) AS mitigated, round(CASE WHEN s <= 0 THEN 0 ELSE (s - mitigated) / s * 100 END, 6) AS total_pct
+ FROM requests r JOIN sk ON sk.parcel_id = r.parcel_id JOIN se ON se.parcel_id = r.parcel_id""")
 def _(i):
-    return i.requests.select("request_id", "parcel_id").join(M.mitigation_total(sequence(i)), "parcel_id").select("request_id", "parcel_id", "mitigated")
+    return L.mitigate(i.requests, sequence(i)).select("request_id", "parcel_id", "step", "action", "before", "after", "points", "pct", "minutes_gained", "priority_rank", "cost_per_risk_point", "mitigated", "total_pct")
 
 
 OVERVIEW_SQL = f"""{_W}, b AS (SELECT parcel_id, s FROM scored WHERE is_owner_flagged ORDER BY round(s, 9) DESC, parcel_id LIMIT 10)
@@ -286,10 +290,12 @@ def overview(i):
     return L.overview(scored(i))
 
 
-@query("qry6_validate_requests", """SELECT request_id, CASE WHEN parcel_id IS NULL THEN 'missing parcel_id' WHEN ignition_lat IS NULL OR NOT ignition_lat BETWEEN 35.5 AND 36.5 THEN 'latitude' WHEN ignition_lon IS NULL OR NOT ignition_lon BETWEEN -79.5 AND -78.5 THEN 'longitude'
- WHEN wind_speed_mph IS NULL OR NOT wind_speed_mph BETWEEN 0 AND 60 THEN 'wind speed' END AS reason FROM requests""")
+@query("qry6_validate_requests", """WITH r AS (SELECT *, CAST(request_id % 400 AS DOUBLE) AS dir, CAST(request_id % 110 AS DOUBLE) AS fwi, request_id % 260 AS mins, request_id % 104 AS runs, request_id % 1100 AS sims FROM requests) SELECT request_id, CASE WHEN parcel_id IS NULL THEN 'missing parcel_id' WHEN ignition_lat IS NULL OR NOT ignition_lat BETWEEN 35.5 AND 36.5 THEN 'latitude' WHEN ignition_lon IS NULL OR NOT ignition_lon BETWEEN -79.5 AND -78.5 THEN 'longitude'
+ WHEN wind_speed_mph IS NULL OR NOT wind_speed_mph BETWEEN 0 AND 60 THEN 'wind speed' WHEN NOT dir BETWEEN 0 AND 360 THEN 'wind direction' WHEN NOT fwi BETWEEN 0 AND 100 THEN 'fire weather index' WHEN NOT mins BETWEEN 5 AND 240 THEN 'minutes' WHEN NOT runs BETWEEN 1 AND 100 THEN 'runs' WHEN NOT sims BETWEEN 10 AND 1000 THEN 'assessment runs' END AS reason FROM r""")
 def _(i):
-    return L.validate_requests(i.requests).select("request_id", "reason")
+    k = F.col("request_id")
+    asked = i.requests.withColumns({"wind_direction_degrees": (k % 400).cast("double"), "fire_weather_index": (k % 110).cast("double"), "max_time_minutes": k % 260, "n_simulations": k % 104, "n_assessments": k % 1100})
+    return L.validate_requests(asked).select("request_id", "reason")
 
 
 _FLAT = VEGETATION.format(z1="zone1_fuel_load", z2="zone2_fuel_load", ladder="ladder_fuel_present")
@@ -298,12 +304,15 @@ _DRIVER = f"(SELECT x.label FROM (VALUES ({STRUCTURE.format(roof='roof_material_
 
 @query("qry7_narrative", f"""{_W}, d AS (SELECT *, {_DRIVER} AS driver, coalesce(nullif(name, ''), nullif(address, ''), parcel_id) AS title FROM scored) SELECT parcel_id, concat_ws(' ',
  CASE WHEN s < 30 THEN title || ' has relatively low wildfire risk.' WHEN s < 55 THEN title || ' faces moderate wildfire risk, primarily driven by ' || driver || '.' WHEN s < 75 THEN title || ' has elevated wildfire risk. The main concern is ' || driver || '.' ELSE title || ' is at serious wildfire risk, with ' || driver || ' as the primary driver.' END,
- CASE WHEN roof_material LIKE '%wood%' OR roof_material LIKE '%shake%' THEN 'Its wood roof is highly combustible and vulnerable to ember ignition.' WHEN roof_material LIKE '%asphalt%' THEN 'Asphalt shingles provide moderate fire resistance but can ignite under sustained ember exposure.' WHEN roof_material LIKE '%metal%' THEN 'Its metal roof offers strong fire resistance.' WHEN roof_material LIKE '%slate%' OR roof_material LIKE '%tile%' THEN 'Its slate/tile roof is highly fire-resistant, though embers can enter through gaps.' END,
+ CASE WHEN roof_material LIKE '%wood%' OR roof_material LIKE '%shake%' THEN 'Its wood roof is highly combustible and vulnerable to ember ignition.' WHEN roof_material LIKE '%asphalt%' THEN 'Asphalt shingles provide moderate fire resistance but can ignite under sustained ember exposure.' WHEN roof_material LIKE '%metal%' THEN 'Its metal roof offers strong fire resistance.' WHEN roof_material LIKE '%slate%' OR roof_material LIKE '%tile%' THEN 'Its slate/tile roof is highly fire-resistant, though embers can enter through gaps.' WHEN roof_material LIKE '%membrane%' OR roof_material LIKE '%flat%' THEN 'Its flat membrane roof has good fire resistance but is susceptible to pooling debris ignition.' WHEN roof_material LIKE '%built%' OR roof_material LIKE '%tar%' THEN 'Its built-up roof provides moderate fire resistance.' END,
  CASE vent_screening_status WHEN 'unscreened' THEN 'Unscreened vents could allow embers to enter the attic.' WHEN 'partial' THEN 'Partially screened vents reduce but don''t eliminate ember intrusion risk.' END,
  CASE WHEN slope_degrees > 10 THEN 'A steep ' || CAST(CAST(floor(slope_degrees + 0.5) AS INT) AS VARCHAR) || '° slope accelerates fire spread toward the structure.' WHEN slope_degrees > 5 THEN 'Moderate slope (' || CAST(CAST(floor(slope_degrees + 0.5) AS INT) AS VARCHAR) || '°) contributes to fire spread.' END,
- CASE WHEN tpi_class IN ('ridge', 'upper_slope') THEN 'Its elevated position on a ridge increases flame and ember exposure.' END, CASE WHEN ladder_fuel_present > 0 THEN 'Ladder fuels nearby could carry ground fire into the canopy.' END, CASE WHEN ember_exposure_probability > 0.7 THEN 'Ember exposure probability is high.' END) AS narrative FROM d""")
+ CASE WHEN tpi_class IN ('ridge', 'upper_slope') THEN 'Its elevated position on a ridge increases flame and ember exposure.' END, CASE WHEN ladder_fuel_present > 0 THEN 'Ladder fuels nearby could carry ground fire into the canopy.' END, CASE WHEN heat_load_index > 0.4 THEN 'Dense canopy cover (' || CAST(CAST(floor(heat_load_index * 100 + 0.5) AS INT) AS VARCHAR) || '%) creates continuous fuel overhead.' END,
+ CASE WHEN stories > 2 AND building_sf / 1000 < 5 THEN 'In worst-case conditions, fire would reach this building in under ' || CAST(CAST(ceil(building_sf / 1000) AS INT) AS VARCHAR) || ' minutes.' WHEN stories > 2 THEN 'Simulated fire arrival is ' || CAST(CAST(floor(building_sf / 1000 + 0.5) AS INT) AS VARCHAR) || ' minutes under worst-case conditions.' END,
+ CASE WHEN ember_exposure_probability > 0.7 THEN 'Ember exposure probability is high — firebrands from upwind fuel sources pose a significant ignition risk.' END) AS narrative FROM d""")
 def _(i):
-    return L.narrative(scored(i))
+    more = scored(i).withColumn("canopy_cover_pct", F.col("heat_load_index") * 100).withColumn("fire_arrival_min", F.when(F.col("stories") > 2, F.col("building_sf") / 1000))
+    return L.narrative(more)
 
 
 @query("qry8_display_names", "SELECT parcel_id, coalesce(nullif(name, ''), nullif(address, ''), parcel_id) AS title, array_to_string(list_transform(string_split(roof_material, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS roof FROM properties")
@@ -311,9 +320,10 @@ def _(i):
     return i.properties.select("parcel_id", L.display_name().alias("title"), L.titled(F.col("roof_material")).alias("roof"))
 
 
-@query("qry9_map_rows", f"{_W} SELECT parcel_id, coalesce(nullif(name, ''), nullif(address, ''), parcel_id) AS title, {_CATEGORY} AS category, round(s, 6) AS wildfire_risk_score, CASE WHEN year_built > 0 THEN CAST(year_built AS INT) END AS year, round(cx - half, 6) AS x0, round(cy - half, 6) AS y0, round(cx + half, 6) AS x1, round(cy + half, 6) AS y1 FROM scored")
+@query("qry9_map_rows", f"{_W} SELECT parcel_id, coalesce(nullif(name, ''), nullif(address, ''), parcel_id) AS title, {_CATEGORY} AS category, round(s, 6) AS wildfire_risk_score, CASE WHEN year_built > 0 THEN CAST(year_built AS INT) END AS year, round(cx - half, 6) AS x0, round(cy - half, 6) AS y0, round(cx + half, 6) AS x1, round(cy + half, 6) AS y1, name, address, round(slope_degrees, 6) AS slope_degrees, round(heat_load_index, 6) AS heat_load_index, tpi_class, round(zone1_fuel_load, 6) AS zone1_fuel_load, round(zone2_fuel_load, 6) AS zone2_fuel_load, round(zone3_fuel_load, 6) AS zone3_fuel_load, roof_material, vent_screening_status, round(building_sf, 6) AS building_sf, round(neighbor_distance_m, 6) AS neighbor_distance_m, neighbor_distance_m < 15 AS neighbor_flag_15m, round(ember_exposure_probability, 6) AS ember_exposure_probability, is_owner_flagged FROM scored")
 def _(i):
-    return L.map_rows(scored(i)).drop("roof")
+    rows = L.map_rows(scored(i))
+    return rows.select("parcel_id", "title", "category", "wildfire_risk_score", "year", "x0", "y0", "x1", "y1", "name", "address", "slope_degrees", "heat_load_index", "tpi_class", "zone1_fuel_load", "zone2_fuel_load", "zone3_fuel_load", "roof_material", "vent_screening_status", "building_sf", "neighbor_distance_m", "neighbor_flag_15m", "ember_exposure_probability", "is_owner_flagged")
 
 
 @query("qry9_map_bounds", "SELECT min(cx - half) AS x0, min(cy - half) AS y0, max(cx + half) AS x1, max(cy + half) AS y1, (min(cx - half) + max(cx + half)) / 2 AS x, (min(cy - half) + max(cy + half)) / 2 AS y FROM properties")

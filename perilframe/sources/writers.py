@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perilframe.functions import geometry as geo
+
 
 def write_cells(df: DataFrame, path: str, tile: int = 256) -> None:
     """Parquet, a folder for each tile of cells; values as floats, no data as null."""
@@ -29,7 +31,7 @@ def feature(ring: Column, properties: list[Column]) -> Column:
     points = F.transform(ring, lambda p: F.array(p["x"], p["y"]))
     closed = F.array(F.concat(points, F.slice(points, 1, 1)))
     geometry = F.struct(F.lit("Polygon").alias("type"), closed.alias("coordinates"))
-    return F.when(ring.isNotNull(), F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))))
+    return F.when(ring.isNotNull(), F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties")), {"ignoreNullFields": "false"}))
 
 
 def export_features(df: DataFrame, path: str, properties: list[str], ring: str = "ring") -> None:
@@ -37,6 +39,56 @@ def export_features(df: DataFrame, path: str, properties: list[str], ring: str =
     df.select(feature(F.col(ring), [F.col(p) for p in properties]).alias("value")).where("value is not null").write.mode("overwrite").text(path)
 
 
+#: The fields of an exported building beside its scores: name there, column here, decimals.
+BUILDING_FIELDS = [
+    ("slope", "slope_degrees", 1), ("aspect", "aspect_degrees", 1), ("heatLoadIndex", "heat_load_index", 3), ("tpiClass", "tpi_class", None), ("stories", "stories", None), ("buildingSqFt", "building_sf", 0),
+    ("canopyCover", "canopy_cover_pct", 1), ("ndviMean", "ndvi_mean", 3), ("ladderFuel", "ladder_fuel_present", None), ("fireArrivalMin", "fire_arrival_min", 1), ("emberProbability", "ember_exposure_probability", 3), ("ownerFlagged", "is_owner_flagged", None),
+]
+PART_LIMITS = {"terrain": 25, "vegetation": 30, "structure": 35, "exposure": 10}
+
+
+def building_properties(df: DataFrame, parts: dict[str, Column], category: Column) -> list[Column]:
+    """What an exported building says of itself; columns that df lacks are null."""
+    has = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("double")
+    words = lambda c: F.initcap(F.replace(has(c).cast("string"), F.lit("_"), F.lit(" ")))
+    out = [F.col("parcel_id").alias("id"), F.nullif("name", F.lit("")).alias("name"), F.nullif("address", F.lit("")).alias("address"), F.round(F.round("wildfire_risk_score", 9), 1).alias("riskScore"), category.alias("riskCategory")]
+    for name, most in PART_LIMITS.items():
+        out += [F.round(F.round(parts[name], 9), 1).alias(name), F.lit(most).alias(f"{name}Max")]
+    out += [words("roof_material").alias("roofMaterial"), words("vent_screening_status").alias("ventScreening"), F.when(has("year_built") > 0, has("year_built").cast("int")).alias("yearBuilt")]
+    return out + [(has(c) if places is None else F.round(has(c), places)).alias(name) for name, c, places in BUILDING_FIELDS]
+
+
+def degrees(ring: Column) -> Column:
+    """A ring in metres as (longitude, latitude)."""
+    def turned(p: Column) -> Column:
+        lon, lat = geo.from_utm(p["x"], p["y"])
+        return F.struct(lon.alias("x"), lat.alias("y"))
+
+    return F.transform(ring, turned)
+
+
+def line_feature(x1: Column, y1: Column, x2: Column, y2: Column, minutes: Column) -> Column:
+    """A piece of an isochrone as a GeoJSON feature."""
+    label = F.when(minutes >= 1, F.concat(F.regexp_replace(minutes.cast("string"), r"\.0$", ""), F.lit(" min"))).otherwise(F.concat((minutes * 60).cast("int").cast("string"), F.lit(" sec")))
+    geometry = F.struct(F.lit("LineString").alias("type"), F.array(F.array(x1, y1), F.array(x2, y2)).alias("coordinates"))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(minutes.alias("minutes"), label.alias("label")).alias("properties")))
+
+
+def export_isochrones(segments: DataFrame, path: str) -> None:
+    """segments (level, x1, y1, x2, y2 in degrees), one feature a line."""
+    segments.select(line_feature(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("level")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_param_layers(mapped: DataFrame, path: str, parameters: list[str]) -> None:
+    """Fuel parameters of every cell as floats, a column for each band."""
+    write_cells(mapped.select("row", "col", *(F.col(p).cast("double").alias(p) for p in parameters)), path)
+
+
+def write_twin_documents(df: DataFrame, path: str) -> None:
+    """One JSON document a line, with every field, null ones too."""
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
 def arrival_sample(cells: DataFrame, step: int) -> DataFrame:
     """Every step-th reached cell with intensity."""
     return cells.where((F.col("row") % step == 0) & (F.col("col") % step == 0) & F.col("toa").isNotNull() & (F.col("intensity") > 0))

@@ -14,6 +14,7 @@ from perilframe.functions import geometry as geo
 from perilframe.operators import fire as X
 from perilframe.operators import grid as G
 from perilframe.operators import hydrology as H
+from perilframe.operators import properties as P
 from perilframe.operators import scoring as S
 from perilframe.operators import terrain as T
 from perilframe.operators import weather as W
@@ -228,3 +229,60 @@ def test_stream_of_days(spark, tmp_path):
     q.stop()
     got = spark.sql("select * from days").collect()
     assert [(str(r.day), r.value, r.n) for r in got] == [("2024-01-01", 2.0, 2)]
+
+
+def test_neighbours_at_any_distance(spark):
+    rng = np.random.default_rng(5)
+    rings = [[(x, y), (x + w, y), (x + w, y + h), (x, y + h)] for x, y, w, h in np.column_stack((rng.uniform(0, 4000, (40, 2)), rng.uniform(2, 30, (40, 2)))).tolist()]
+    rings += [[(9e4, 9e4), (9e4 + 5, 9e4), (9e4, 9e4 + 5)], rings[0], [(0.0, 10.0), (20.0, 10.0), (20.0, 12.0), (0.0, 12.0)], [(9.0, 0.0), (11.0, 0.0), (11.0, 30.0), (9.0, 30.0)]]
+    rows = [(str(i), [{"x": float(x), "y": float(y)} for x, y in r]) for i, r in enumerate(rings)] + [("none", None)]
+    df = spark.createDataFrame(rows, "parcel_id string, ring array<struct<x: double, y: double>>")
+
+    def apart(a, b):
+        box = lambda r: (min(x for x, _ in r), min(y for _, y in r), max(x for x, _ in r), max(y for _, y in r))
+        (a0, a1, a2, a3), (b0, b1, b2, b3) = box(a), box(b)
+        return float(np.hypot(max(0, a0 - b2, b0 - a2), max(0, a1 - b3, b1 - a3)))
+
+    got = {r.parcel_id: r.neighbor_distance_m for r in P.neighbor_distance(df).collect()}
+    assert got["none"] is None and got["0"] == 0 == got["41"] and got["42"] == 0 == got["43"] and got["40"] > 1e5
+    for i in range(40):
+        assert abs(got[str(i)] - min(apart(rings[i], r) for j, r in enumerate(rings) if j != i)) < 1e-6
+    assert P.neighbor_distance(df.limit(0)).count() == 0 and P.neighbor_distance(df.where("parcel_id = '3'")).first()[1] is None
+
+
+def test_nearest_where_is_bounded_and_whole(spark):
+    rng = np.random.default_rng(6)
+    for share in (0.002, 0.3):
+        flags = rng.random((70, 50)) < share
+        flags[69, 3] = True
+        cells = grid(spark, flags.astype(float))
+        got = {(r.row, r.col): r.near_d2 for r in G.nearest_where(cells, F.col("z") == 1, []).collect()}
+        at = np.argwhere(flags)
+        assert all(got[r, c] == min(((at - (r, c)) ** 2).sum(axis=1)) for r in range(70) for c in range(50))
+
+
+def test_snap_wind_keeps_repeats(spark):
+    bins = spark.createDataFrame([(d, s, i) for i, (d, s) in enumerate((d, s) for d in (0.0, 90.0, 180.0, 270.0) for s in (10.0, 20.0))], "bin_dir double, bin_speed double, ord int")
+    asked = spark.createDataFrame([(350.0, 19.0), (350.0, 19.0), (45.0, 15.0)], "wind_dir double, wind_speed double")
+    assert sorted(tuple(r)[2:4] for r in X.snap_wind(asked, bins).collect()) == [(0.0, 10.0), (0.0, 20.0), (0.0, 20.0)]
+
+
+def test_percentiles_of_hot_scores(spark):
+    rows = [(float(x),) for x in [5.0] * 200 + [5.001, 7.0, 7.0, 9.5]] + [(None,)]
+    out = S.risk_percentile(spark.createDataFrame(rows, "wildfire_risk_score double")).collect()
+    scores = sorted(x for x, in rows if x is not None)
+    assert len(out) == len(rows)
+    for r in out:
+        x = r.wildfire_risk_score
+        assert r.risk_percentile is None if x is None else abs(r.risk_percentile - 100 * scores.index(x) / (len(scores) - 1)) < 1e-9
+
+
+def test_isochrone_features_and_layers(spark, tmp_path):
+    import json
+
+    pieces = spark.createDataFrame([(0.5, -79.0, 36.0, -79.1, 36.1), (15.0, -79.0, 36.0, -79.2, 36.1)], "level double, x1 double, y1 double, x2 double, y2 double")
+    K.export_isochrones(pieces, f"{tmp_path}/iso")
+    got = sorted((json.loads(r.value) for r in spark.read.text(f"{tmp_path}/iso").collect()), key=lambda f: f["properties"]["minutes"])
+    assert got == [{"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[-79.0, 36.0], [x, 36.1]]}, "properties": {"minutes": m, "label": t}} for m, t, x in ((0.5, "30 sec", -79.1), (15.0, "15 min", -79.2))]
+    K.write_param_layers(spark.createDataFrame([(0, 1, 0.5, "TU1")], "row int, col int, w1 double, model string"), f"{tmp_path}/layers", ["w1"])
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/layers").select("row", "col", "w1").collect()] == [(0, 1, 0.5)]
