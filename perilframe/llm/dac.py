@@ -136,7 +136,7 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 1, bits: int = 8,
             yield flush()
 
     rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInPandas(run, SEGMENT).write.option("compression", "zstd").parquet(out)
+    rows.mapInPandas(run, SEGMENT).write.option("compression", "uncompressed").parquet(out)
 
 
 def read(spark: SparkSession, out: str) -> DataFrame:
