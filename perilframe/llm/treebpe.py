@@ -1,7 +1,8 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text longer than ``leaf_chars`` is halved until its parts fit; the parts are rows of their own and
-are encoded in parallel. Neighbours are then joined up the tree: the ids around a join are decoded,
+A text of more than ``TREE_CHARS`` characters is cut into leaves of as many, which are encoded one by
+one; of a text longer than ``leaf_chars``, parts of that length are rows of their own, encoded and joined
+in parallel, and only then joined with each other. Neighbours are then joined up the tree: the ids around a join are decoded,
 encoded again as one window, and the window grows until its first id is the left side's own and its
 last id the right side's own. A window may begin or end only
 
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from perilframe.llm.bpe import Bpe, bpe, ids_of
 from perilframe.llm.common import slices
 
-LEAF_CHARS = 32_768
+#: Characters to a leaf, and to a part of a text that is a row of its own.
+TREE_CHARS, LEAF_CHARS = 1024, 32_768
 _DEEP = 16
 _WS = b" \n\t\r\x0b\x0c"
 _RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -92,13 +94,17 @@ def joiner(path: str) -> Joiner:
     return _JOINERS[path]
 
 
-def encode_text(text: str | None, path: str, leaf_chars: int = LEAF_CHARS) -> np.ndarray:
+def encode_text(text: str | None, path: str, leaf_chars: int = TREE_CHARS) -> np.ndarray:
     """One text's ids by the same tree, within one process."""
     text = text or ""
     leaves = [text[k : k + leaf_chars] for k in range(0, len(text), leaf_chars)]
     return joiner(path).tree([ids_of(bpe(path).encode(x)) for x in leaves])
 
 
+def _tree_ids(text: str | None, path: str) -> bytes:
+    return encode_text(text, path).astype("<u4").tobytes()
+
+
 def _digest(encoder: Bpe, ids: bytes) -> tuple[int, str, str]:
     decoded = encoder.decode_bytes(ids_of(ids))
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest()
@@ -117,7 +123,7 @@ def leaves(docs: DataFrame, leaf_chars: int = LEAF_CHARS) -> DataFrame:
 def _leaf_ids(path: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames):
-            yield frame[["doc_id", "row", "leaf"]].assign(ids=[bpe(path).encode(t) for t in frame["text"]])
+            yield frame[["doc_id", "row", "leaf"]].assign(ids=[_tree_ids(t, path) for t in frame["text"]])
 
     return run
 
@@ -145,7 +151,7 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -
 
     def short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames):
-            yield frame[["doc_id"]].assign(ids=[bpe(path).encode(t) for t in frame["text"]])
+            yield frame[["doc_id"]].assign(ids=[_tree_ids(t, path) for t in frame["text"]])
 
     docs = docs.select("doc_id", "text")
     return _short(docs, leaf_chars).mapInPandas(short, "doc_id long, ids binary").unionByName(_joined(docs, path, leaf_chars))
@@ -168,7 +174,7 @@ def digests(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -> DataFra
 
     def short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames):
-            yield table(frame, (bpe(path).encode(t) for t in frame["text"]))
+            yield table(frame, (_tree_ids(t, path) for t in frame["text"]))
 
     docs = docs.select("doc_id", "text")
     return _short(docs, leaf_chars).mapInPandas(short, _RESULT).unionByName(_joined(docs, path, leaf_chars).mapInPandas(long, _RESULT))
