@@ -121,7 +121,8 @@ def test_adaptive_scan_abandons_and_keeps():
     y = np.ascontiguousarray(x.T)
     d = ((x - q) ** 2).sum(axis=1)
     limit = np.sort(d)[20]
-    alive = ann.scan([y[a : a + 16] for a in range(0, 64, 16)], q, limit)
+    who, alive = ann.scan([y[a : a + 16] for a in range(0, 64, 16)], np.stack((q, q)), np.array([limit, 0.0]))
+    assert set(who) == {0}
     assert len(set(alive) & set(np.argsort(d)[:21])) >= 19 and len(alive) <= 21
 
 
