@@ -34,19 +34,23 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in column]) if len(column) else np.zeros((0, 0))
 
 
-def packed(rows: DataFrame, by: str, most: int, total: int) -> DataFrame:
-    """Rows (key, v, ids) of each ``by``, dealt by hash to parts of about ``most``: (by, part, n, vectors, ids, counts)."""
+def packed(rows: DataFrame, by: str, most: int, total: int, floors: bool = False) -> DataFrame:
+    """Rows (key, v, ids) of each ``by``, dealt by hash to parts of about ``most``: (by, part, n, vectors, ids, counts).
+
+    ``floors``: rows have a ``floor``, a long, and parts a column of them.
+    """
     sizes = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).alias("parts"))
     dealt = rows.join(sizes, by).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         ids = [np.asarray(x, np.int64) for x in frame["ids"]]
-        return pd.DataFrame({
+        out = {
             by: frame[by].iloc[:1].array, "part": frame["part"].iloc[:1].array, "n": [len(frame)], "vectors": [matrix(frame["v"]).tobytes()],
             "ids": [np.concatenate(ids).tobytes()], "counts": [np.array([len(x) for x in ids], np.int64).tobytes()],
-        })
+        }
+        return pd.DataFrame(out | ({"floors": [frame["floor"].to_numpy(np.int64).tobytes()]} if floors else {}))
 
-    return dealt.groupBy(by, "part").applyInPandas(pack, f"{by} long, part long, n long, vectors binary, ids binary, counts binary")
+    return dealt.groupBy(by, "part").applyInPandas(pack, f"{by} long, part long, n long, vectors binary, ids binary, counts binary" + ", floors binary" * floors)
 
 
 def unpack(n: int, data: bytes, ids: bytes, counts: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -65,11 +69,12 @@ def ranked(found: DataFrame, k: int, score: str) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast(score).alias("score"))
 
 
-def expand(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], queries: list[np.ndarray]) -> pd.DataFrame:
-    """Rows for (query number, vec_id, score) triples, one for each id of the query but the vector's own."""
-    out = []
+def expand(found: Iterator[tuple[int, np.ndarray, np.ndarray]], queries: list[np.ndarray]) -> pd.DataFrame:
+    """Rows for (query number, vec_ids, scores) triples, one for each id of the query but the vector's own."""
+    who, vecs, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for q, ids, scores in found:
-        for query in queries[q].tolist():
-            other = ids != query
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[other], "score": scores[other]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        who.append(np.repeat(queries[q], len(ids)))
+        vecs.append(np.tile(ids, len(queries[q])))
+        values.append(np.tile(scores, len(queries[q])))
+    out = pd.DataFrame({"query_id": np.concatenate(who), "vec_id": np.concatenate(vecs), "score": np.concatenate(values)})
+    return out[out["query_id"] != out["vec_id"]]

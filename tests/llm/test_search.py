@@ -80,6 +80,42 @@ def test_blocks_prune():
     assert found[0][2].tolist() == np.sort(s)[::-1][:6].astype(int).tolist()
 
 
+def test_ranges_hold_alike_vectors_and_few_are_visited(spark, monkeypatch):
+    monkeypatch.setattr(topk, "RANGE", 64)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    monkeypatch.setattr(topk, "MEETINGS", 1)
+    monkeypatch.setattr(topk, "EXTREMES", 8)
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((16, 16))
+    x = (centres[np.arange(1200) % 16] + 0.05 * rng.standard_normal((1200, 16))).astype(np.float32)
+    rows = [[i, x[i].tolist(), 1, "a", "b"] for i in range(1200)]
+    sent, ranges = [], []
+    whole = topk._sent
+
+    def counted(queries, extremes, *rest):
+        out = topk.stored(whole(queries, extremes, *rest), "sent")
+        sent.append(out.selectExpr("sum(q_n)").first()[0] or 0)
+        ranges.append(extremes.selectExpr("sum(length(parts)) / 8").first()[0])
+        return out
+
+    monkeypatch.setattr(topk, "_sent", counted)
+    got = {}
+    for r in topk.search(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    want = brute(rows, 5, 50, True)
+    assert {q: [(a, b) for _, a, b in sorted(v)] for q, v in got.items()} == {q: [(a, int(b)) for a, b in v[0]] for q, v in want.items()}
+    assert ranges[0] >= 16 and sum(sent) < 0.4 * 24 * ranges[0]
+
+
+def test_ranges_place_every_vector():
+    rng = np.random.default_rng(9)
+    m = np.floor(rng.standard_normal((500, 4)) * 256)
+    at = topk.Ranges(m[:64], 3).place(m)
+    assert set(at) == set(range(8)) and np.bincount(at).max() < 200
+    assert set(topk.Ranges(np.ones((9, 4)), 2).place(m)) == {0}
+    assert set(topk.Ranges(np.zeros((0, 0)), 0).place(m)) == {0}
+
+
 def test_few_rows(spark):
     rows = data(3)[:1] + [[100, [0.5] * 16, 1, "a", "b"], [7, [0.5] * 16, 1, "a", "b"]]
     df = spark.createDataFrame(rows, SCHEMA)
