@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, log, pi, sin, sqrt
+from math import exp, log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,61 +72,67 @@ def moisture_from_1hr(df: DataFrame) -> DataFrame:
 # --- the fire weather index: three codes are carried from day to day ------------------------
 
 
-def _ffmc(f: float, t: float, h: float, w: float, r: float) -> float:
-    mo = 147.2 * (101 - f) / (59.5 + f)
-    if r > 0.5:
-        rf = r - 0.5
-        mo = min(250.0, mo + 42.5 * rf * exp(-100 / (251 - mo)) * (1 - exp(-6.93 / rf)))
-    rest = 0.18 * (21.1 - t) * (1 - exp(-0.115 * h))
-    ed = 0.942 * h**0.679 + 11 * exp((h - 100) / 10) + rest
-    ew = 0.618 * h**0.753 + 10 * exp((h - 100) / 10) + rest
-    rate = lambda x: (0.424 * (1 - x**1.7) + 0.0694 * sqrt(w) * (1 - x**8)) * 0.581 * exp(0.0365 * t)
-    if mo > ed:
-        m = ed + (mo - ed) * 10 ** -rate(h / 100)
-    elif mo < ew:
-        m = ew - (ew - mo) * 10 ** -rate((100 - h) / 100)
+def _drivers(day: pd.DataFrame) -> dict[str, np.ndarray]:
+    """What the weather of each day alone decides: equilibria and speeds of drying, rain that counts, gains."""
+    t, h, w, r = (day[c].to_numpy(np.float64) for c in ("temp_c", "rh_pct", "wind_kmh", "precip_mm"))
+    steep, warm = np.exp((h - 100) / 10), 0.18 * (21.1 - t) * (1 - np.exp(-0.115 * h))
+    left = lambda x: 10 ** -((0.424 * (1 - x**1.7) + 0.0694 * np.sqrt(w) * (1 - x**8)) * 0.581 * np.exp(0.0365 * t))
+    wet = np.where(r > 0.5, r - 0.5, 0.0)  # no record of rain is no rain
+    return {
+        "dry_to": 0.942 * h**0.679 + 11 * steep + warm, "dry_left": left(h / 100),
+        "wet_to": 0.618 * h**0.753 + 10 * steep + warm, "wet_left": left((100 - h) / 100),
+        "soak": 42.5 * wet * (1 - np.exp(-6.93 / np.where(wet > 0, wet, 1.0))),
+        "duff_gain": 1.894e-4 * (t + 1.1) * (100 - h), "duff_rain": np.where(r > 1.5, 0.92 * r - 1.27, 0.0),
+        "deep_gain": 0.5 * np.maximum(-1.6, 0.36 * (t + 2.8) + 0.5), "deep_rain": np.where(r > 2.8, 3.937 * (0.83 * r - 1.27), 0.0),
+    }
+
+
+#: Effective day length by day of the year, from 0.
+_DAY_LENGTH = np.maximum(9.0, 11.5 + 4.5 * np.sin((np.arange(365) - 14) * 2 * np.pi / 365)).tolist()
+
+
+def _carried(codes: tuple[float, float, float], length: float, dry_to: float, dry_left: float, wet_to: float, wet_left: float, soak: float, duff_gain: float, duff_rain: float, deep_gain: float, deep_rain: float) -> tuple[float, float, float]:
+    """The three codes a day later."""
+    fine, duff, deep = codes
+    m = 147.2 * (101 - fine) / (59.5 + fine)
+    if soak:
+        m = min(250.0, m + soak * exp(-100 / (251 - m)))
+    if m > dry_to:
+        m = dry_to + (m - dry_to) * dry_left
+    elif m < wet_to:
+        m = wet_to - (wet_to - m) * wet_left
+    gain = max(0.0, duff_gain * length)
+    if duff_rain:
+        slope = 65.91 + 11.2 * log(20 + exp(5.6348 - duff / 43.43)) if duff <= 65 else 200 / (0.999 + 0.23 * log(duff))
+        over = exp(5.6348 - duff / 43.43) + 1000 * duff_rain / (48.77 + slope * duff_rain)
+        duff = max(0.0, (244.72 - 43.43 * log(over) if over > 0 else 0.0) + gain)
     else:
-        m = mo
-    return 59.5 * (250 - m) / (147.2 + m)
-
-
-def _dmc(d: float, t: float, h: float, r: float, i: int) -> float:
-    length = max(9.0, 11.5 + 4.5 * sin((i % 365 + 1 - 15) * 360 / 365 * pi / 180))
-    k = max(0.0, 1.894 * (t + 1.1) * (100 - h) * length * 1e-4)
-    if r <= 1.5:
-        return d + k
-    re = 0.92 * r - 1.27
-    mo = 20 + exp(5.6348 - d / 43.43)
-    b = 65.91 + 11.2 * log(mo) if d <= 65 else 200 / (0.999 + 0.23 * log(d))
-    mr = mo + 1000 * re / (48.77 + b * re)
-    return max(0.0, (244.72 - 43.43 * log(mr - 20) if mr > 20 else 0.0) + k)
-
-
-def _dc(c: float, t: float, r: float) -> float:
-    if r > 2.8:
-        q = 800 * exp(-c / 400) + 3.937 * (0.83 * r - 1.27)
-        c = 400 * log(800 / q) if q > 0 else 0.0
-    return c + 0.5 * max(-1.6, 0.36 * (t + 2.8) + 0.5)
+        duff += gain
+    if deep_rain:
+        q = 800 * exp(-deep / 400) + deep_rain
+        deep = 400 * log(800 / q) if q > 0 else 0.0
+    return 59.5 * (250 - m) / (147.2 + m), duff, deep + deep_gain
 
 
 def fire_weather_index(daily: DataFrame, start: tuple[float, float, float] = (85.0, 6.0, 15.0)) -> DataFrame:
     """FFMC, DMC and DC by a fold over each station's days in order of day_no, the other codes from them.
 
-    The rows of a station arrive sorted and in batches; the fold holds three numbers.
+    The rows of a station arrive sorted and in batches, so that one station may be of any size. All that a
+    day's weather alone decides is computed for a batch at once; the fold holds three numbers.
     """
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         station, state, i = object(), start, 0
         for frame in frames:
             out = []
-            for r in frame.itertuples(index=False):
-                if r.station != station:
-                    station, state, i = r.station, start, 0
-                f, d, c = state
-                state = (_ffmc(f, r.temp_c, r.rh_pct, r.wind_kmh, r.precip_mm), _dmc(d, r.temp_c, r.rh_pct, r.precip_mm, i), _dc(c, r.temp_c, r.precip_mm))
+            for now, *drivers in zip(frame["station"].tolist(), *(x.tolist() for x in _drivers(frame).values())):
+                if now != station:
+                    station, state, i = now, start, 0
+                state = _carried(state, _DAY_LENGTH[i % 365], *drivers)
                 i += 1
                 out.append(state)
-            yield frame[["station", "day_no", "wind_kmh"]].assign(ffmc=[x[0] for x in out], dmc=[x[1] for x in out], dc=[x[2] for x in out])
+            codes = np.array(out, np.float64).reshape(-1, 3)
+            yield frame[["station", "day_no", "wind_kmh"]].assign(ffmc=codes[:, 0], dmc=codes[:, 1], dc=codes[:, 2])
 
     ordered = daily.select("station", "day_no", "temp_c", "rh_pct", "wind_kmh", "precip_mm").repartition("station").sortWithinPartitions("station", "day_no")
     kinds = dict(daily.dtypes)

@@ -175,6 +175,16 @@ def test_fire_weather_first_day(spark):
     assert abs(W.fire_weather_index(day).first().ffmc - 87.692981) < 1e-5
 
 
+def test_fire_weather_goes_on_over_days_and_stations(spark):
+    days = [(s, d, 20.0 + d % 9, 40.0, 15.0, (None if s == 2 else 0.0) if d % 6 else 9.0) for s in (1, 2, 3) for d in range(1, 40)]
+    df = spark.createDataFrame(days, "station int, day_no int, temp_c double, rh_pct double, wind_kmh double, precip_mm double")
+    got = {}
+    for r in W.fire_weather_index(df.repartition(4)).collect():
+        got.setdefault(r.station, {})[r.day_no] = (r.ffmc, r.dmc, r.dc)
+    assert got[1] == got[2] == got[3] and len(got[1]) == 39
+    assert all((got[1][d][0] < got[1][d - 1][0]) == (d % 6 == 0) for d in range(3, 40)) and got[1][5][2] > got[1][4][2]
+
+
 def test_scores_are_monotone(spark):
     base = {"slope_degrees": 10.0, "zone1_fuel_load": 0.5, "roof_material": "wood_shingles_shake", "vent_screening_status": "unscreened", "tpi_class": "ridge"}
     rows = [base, base | {"roof_material": "metal_standing_seam"}, base | {"vent_screening_status": "screened"}, base | {"zone1_fuel_load": 0.0}]
