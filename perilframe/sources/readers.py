@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +88,29 @@ def constant_layers(spark: SparkSession, rows: int, cols: int, values: dict[str,
     """Layers of one value each over a grid."""
     cells = spark.range(rows * cols).select(F.floor(F.col("id") / cols).cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col"))
     return cells.select("row", "col", *(F.lit(float(v)).alias(p) for p, v in values.items())).unpivot(["row", "col"], list(values), "product", "value")
+
+
+def read_config_dims(spark: SparkSession, path: str, section: str) -> DataFrame:
+    """(name, setting, value string) of a section of a JSON or YAML file; settings right below it have a null name.
+
+    Settings that are lists or have parts of their own are JSON. YAML needs its parser installed.
+    """
+    text = spark.read.text(path, wholetext=True).first()["value"]
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        content = yaml.safe_load(text)
+    else:
+        content = json.loads(text)
+    said = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, default=str)
+    rows = []
+    for name, settings in ((content or {}).get(section) or {}).items():
+        rows += [(name, k, said(v)) for k, v in settings.items()] if isinstance(settings, dict) else [(None, name, said(settings))]
+    return spark.createDataFrame(rows, "name string, setting string, value string")
+
+
+def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
+    """(scenario, wind_mph, wind_dir, m1), as the operators of fire take them; what a scenario leaves out is null."""
+    setting = lambda name: F.max(F.when(F.col("setting") == name, F.col("value").try_cast("double")))
+    return read_config_dims(spark, path, "scenarios").where("name is not null").groupBy(F.col("name").alias("scenario")).agg(
+        setting("wind_speed_mph").alias("wind_mph"), setting("wind_direction_deg").alias("wind_dir"), setting("fuel_moisture_1hr").alias("m1"))

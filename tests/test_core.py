@@ -1,6 +1,7 @@
 """Invariants of the hazard operators, and every query against its SQL on the smallest tables."""
 
 import heapq
+import json
 import math
 import os
 
@@ -296,3 +297,16 @@ def test_isochrone_features_and_layers(spark, tmp_path):
     assert got == [{"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[-79.0, 36.0], [x, 36.1]]}, "properties": {"minutes": m, "label": t}} for m, t, x in ((0.5, "30 sec", -79.1), (15.0, "15 min", -79.2))]
     K.write_param_layers(spark.createDataFrame([(0, 1, 0.5, "TU1")], "row int, col int, w1 double, model string"), f"{tmp_path}/layers", ["w1"])
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/layers").select("row", "col", "w1").collect()] == [(0, 1, 0.5)]
+
+
+def test_scenarios_of_a_file(spark, tmp_path):
+    low = {"wind_speed_mph": 10, "wind_direction_deg": 180, "fuel_moisture_1hr": 0.12, "note": ["a", 1]}
+    (tmp_path / "c.json").write_text(json.dumps({"scenarios": {"low": low, "odd": {"wind_speed_mph": "fast"}, "runs": 9}, "other": {}}))
+    path = str(tmp_path / "c.json")
+    assert {tuple(r) for r in R.read_scenarios(spark, path).collect()} == {("low", 10.0, 180.0, 0.12), ("odd", None, None, None)}
+    got = {(r.name, r.setting): r.value for r in R.read_config_dims(spark, path, "scenarios").collect()}
+    assert got[None, "runs"] == "9" and got["low", "note"] == '["a", 1]' and len(got) == 6
+    assert R.read_config_dims(spark, path, "other").count() == 0 == R.read_scenarios(spark, path).where("scenario = 'runs'").count()
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text(yaml.safe_dump({"scenarios": {"low": low}}))
+    assert R.read_scenarios(spark, str(tmp_path / "c.yaml")).first().wind_dir == 180.0
