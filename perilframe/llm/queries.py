@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from perilframe.llm import ann, dac, edit_counts, jaccard_join, langid, packing, pii, substring_dedup, topk, treebpe
+from perilframe.llm import ann, dac, edit_counts, jaccard_join, langid, packing, periodic, pii, substring_dedup, topk, treebpe, whitening
 from perilframe.llm.common import table
 
 
@@ -65,8 +66,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run of every document, and digests of all its runs and of what is left without their repeats."""
+    found = periodic.collapse(periodic.planted(table(spark, sf_dir, "documents")))
+    best = found.withColumn("best", periodic.longest(F.col("runs")))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.encode(lines, "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_topk, op2_substring_dedup, op3_language, op4_pseudonyms, op5_packing, op6_edit_counts, op7_neighbours, op8_token_files, op9_tree_bpe, op10_jaccard_join)
+    every = (op1_topk, op2_substring_dedup, op3_language, op4_pseudonyms, op5_packing, op6_edit_counts, op7_neighbours, op8_token_files, op9_tree_bpe, op10_jaccard_join, op11_periodic_runs, op12_whitening)
     return {f.__name__: f for f in every}
 
 
