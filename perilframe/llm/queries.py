@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perilframe.llm import ann, dac, edit_counts, jaccard_join, langid, packing, periodic, pii, substring_dedup, topk, treebpe, whitening
+from perilframe.llm import ann, dac, edit_counts, jaccard_join, langid, packing, periodic, pii, substring_dedup, suffix_dedup, topk, treebpe, whitening
 from perilframe.llm.common import table
 
 
@@ -81,8 +81,15 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and digest of what is left of every document without its repeated strings of 100 bytes."""
+    found = suffix_dedup.cut(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_topk, op2_substring_dedup, op3_language, op4_pseudonyms, op5_packing, op6_edit_counts, op7_neighbours, op8_token_files, op9_tree_bpe, op10_jaccard_join, op11_periodic_runs, op12_whitening)
+    every = (op1_topk, op2_substring_dedup, op3_language, op4_pseudonyms, op5_packing, op6_edit_counts, op7_neighbours, op8_token_files, op9_tree_bpe, op10_jaccard_join, op11_periodic_runs, op12_whitening, op13_suffix_dedup)
     return {f.__name__: f for f in every}
 
 
@@ -99,5 +106,20 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
 """
 
 
+#: op13 over a table of all strings of 100 bytes, each as hexadecimal digits.
+_STRINGS = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+k AS (SELECT doc_id, 256 * i AS p, substr(h, 512 * i + 1, 512 + 198) AS part FROM (SELECT doc_id, h, unnest(range(0, len(h) // 512 + 1)) AS i FROM d)),
+w AS (SELECT doc_id, p + i AS p, md5(substr(part, 2 * i + 1, 200)) AS m FROM (SELECT doc_id, p, part, unnest(range(0, least(256, len(part) // 2 - 99))) AS i FROM k)),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY m ORDER BY doc_id, p) > 1 AS again FROM w),
+b AS (SELECT doc_id, p + i AS p, substr(part, 2 * i + 1, 2) AS x FROM (SELECT doc_id, p, part, unnest(range(0, least(256, len(part) // 2))) AS i FROM k)),
+c AS (SELECT b.doc_id, b.p, x, coalesce(max(CASE WHEN again THEN b.p END) OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) IS NOT NULL, false) AS gone FROM b LEFT JOIN f ON f.doc_id = b.doc_id AND f.p = b.p),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS fresh FROM c),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (fresh) AS n_spans, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": _TOPK}
+    return {"op1_topk": _TOPK, "op13_suffix_dedup": _STRINGS}
