@@ -116,16 +116,17 @@ def _window_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the ``size`` bytes from each place of data that has so many, a window at a time."""
+    """A hash of the ``size`` bytes from each place of data that has so many, a stretch that fits the cache at a time."""
     if not _POW:
         _POW.extend((_powers(_BASE, 2 * _WINDOW + 1), _powers(_BASE_INV, 2 * _WINDOW + 1)))
     up, down = _POW
     out = np.zeros(max(0, len(data) - size + 1), np.uint64)
-    for a in range(0, len(out), _WINDOW):
-        buf = data[a : a + _WINDOW + size - 1]
+    step = 1 << 15
+    for a in range(0, len(out), step):
+        buf = data[a : a + step + size - 1]
         total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(_BYTE[buf] * up[: len(buf)], out=total[1:])
-        out[a : a + _WINDOW] = mix((total[size:] - total[:-size]) * down[: len(buf) - size + 1])
+        out[a : a + step] = mix((total[size:] - total[:-size]) * down[: len(buf) - size + 1])
     return out
 
 

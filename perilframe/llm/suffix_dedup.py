@@ -39,13 +39,15 @@ from pyspark.sql import functions as F
 from perilframe.llm import sketch
 from perilframe.llm.common import checkpointing, gram_hashes, mix, signed, slices, small_batches, stored
 
-MATCH, GRAM, SYMBOL = 100, 32, 12
+MATCH, GRAM, SYMBOL = 100, 64, 12
 #: Places between two ends of units that bytes choose, at least; windows of a unit, at most; bytes of a text read at once.
 APART, UNIT, PIECE = 128, 4096, 1 << 20
 #: Windows of a block; things of a range, about; samples of a range.
 BLOCK, RANGE, SAMPLES = 1 << 20, 1 << 19, 8
 _LOCAL = 27
-_TOP = np.uint64(2**64 - 1)
+_TOP = np.uint32(2**32 - 1)
+#: Places for an anchor in a string.
+SPAN = MATCH - GRAM + 1
 _TRIPLE = 3 * SYMBOL
 #: Places after a unit's last window that some comparison looks at.
 _BEYOND = 2 * _TRIPLE + 8 + _TRIPLE
@@ -55,23 +57,20 @@ _BEYOND = 2 * _TRIPLE + 8 + _TRIPLE
 
 
 def sliding(x: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:
-    """``best`` of the ``size`` values from each place on that has so many: of the rests of two neighbouring rows."""
-    n = len(x)
+    """``best`` of the ``size`` values from each place on that has so many, by doubling."""
+    n, k = len(x), 1
     if n < size:
         return x[:0]
-    rows = np.zeros(-(-n // size) * size, x.dtype)
-    rows[:n] = x
-    rows[n:] = x[-1]
-    rows = rows.reshape(-1, size)
-    before = best.accumulate(rows, axis=1).ravel()
-    after = best.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return best(after[: n - size + 1], before[size - 1 : n])
+    while 2 * k <= size:
+        x, k = best(x[:-k], x[k:]), 2 * k
+    return best(x[: n - size + 1], x[size - k :]) if k < size else x
 
 
 class Units:
     """The units of a batch of texts, and the least hashes of their windows.
 
-    ``text``, ``start`` (in its text), ``at`` (in ``data``) and ``windows`` of each unit; ``least`` for each place of data.
+    ``text``, ``start`` (in its text), ``at`` (in ``data``) and ``windows`` of each unit; ``half``, what chooses
+    anchors, at each place of data, and ``least``, the least of it in the window that starts there (0 where none does).
     """
 
     def __init__(self, texts: Sequence[bytes]):
@@ -89,29 +88,28 @@ class Units:
         self.bytes = b"".join(parts)
         self.data = np.frombuffer(self.bytes, np.uint8)
         at, count = np.array(at, np.int64), np.array(windows, np.int64)
-        inside = np.zeros(n + 1, np.int64)
-        np.add.at(inside, at, 1)
-        np.add.at(inside, at + count + MATCH - GRAM, -1)
-        hashes = np.full(n, _TOP)
-        hashes[: n - GRAM + 1] = gram_hashes(self.data, GRAM)
-        hashes[np.cumsum(inside[:n]) == 0] = _TOP
-        starts = np.zeros(n + 1, np.int64)
-        np.add.at(starts, at, 1)
-        np.add.at(starts, at + count, -1)
-        window = np.cumsum(starts[:n]) > 0
-        span = MATCH - GRAM + 1
-        self.least = np.zeros(n, np.uint64)
-        self.least[: n - span + 1] = sliding(hashes, span, np.minimum)
+        every = gram_hashes(self.data, GRAM)
+        # Upper halves choose anchors; of equal ones all are.
+        self.half = np.full(n, _TOP)
+        window = np.zeros(n, bool)
+        for a, c in zip(at.tolist(), windows):
+            z = a + c + MATCH - GRAM
+            self.half[a:z] = every[a:z] >> np.uint64(32)
+            window[a : a + c] = True
+        np.minimum(self.half, _TOP - 1, out=self.half, where=self.half != _TOP)
+        np.maximum(self.half, 1, out=self.half)
+        self.least = np.zeros(n, np.uint32)
+        self.least[: n - SPAN + 1] = sliding(self.half, SPAN, np.minimum)
         self.least[~window] = 0
-        # A place is an anchor if some window that holds it has no lesser hash.
-        most = np.zeros(n, np.uint64)
-        most[span - 1 :] = sliding(self.least, span, np.maximum)
-        self.anchors = np.flatnonzero((hashes == most) & (hashes != _TOP))
-        self.anchor_hashes = hashes[self.anchors]
-        lows = sliding(hashes, APART, np.minimum)
+        # A place is an anchor if some window that holds it has no lesser one.
+        most = np.zeros(n, np.uint32)
+        most[SPAN - 1 :] = sliding(self.least, SPAN, np.maximum)
+        self.anchors = np.flatnonzero((self.half == most) & (self.half != _TOP))
+        self.anchor_hashes = every[self.anchors]
+        lows = sliding(self.half, APART, np.minimum)
         i = np.arange(APART, n - APART)
         cut = np.zeros(n, bool)
-        cut[i] = (hashes[i] < lows[i - APART]) & (hashes[i] <= lows[np.minimum(i + 1, len(lows) - 1)])
+        cut[i] = (self.half[i] < lows[: len(i)]) & (self.half[i] <= lows[np.minimum(i + 1, len(lows) - 1)])
         cut &= window
         cut[at] = True
         edge = np.flatnonzero(cut)
@@ -171,9 +169,12 @@ def _suspects(live: sketch.Filter):
             u = Units(_encoded(frame))
             if not len(u.at):
                 continue
-            fresh = np.flatnonzero(np.r_[True, u.least[1:] != u.least[:-1]])
-            hit = live.has(signed(u.least[fresh])) & (u.least[fresh] != 0)
-            may = np.repeat(hit, np.diff(np.r_[fresh, len(u.least)]))
+            # A window is suspect if its least place is an anchor that is elsewhere, too.
+            shared = np.full(len(u.half), _TOP)
+            hit = u.anchors[live.has(signed(u.anchor_hashes))]
+            shared[hit] = u.half[hit]
+            may = np.zeros(len(shared), bool)
+            may[: len(shared) - SPAN + 1] = sliding(shared, SPAN, np.minimum) == u.least[: len(shared) - SPAN + 1]
             where = np.flatnonzero(may)
             a, z = np.searchsorted(where, u.at), np.searchsorted(where, u.at + u.windows)
             again = live.has(signed(_once(u.short_keys())))
