@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perilframe import dims
+from perilframe.operators.chains import list_ranks
 from perilframe.operators.iterate import stored
 
 _ST, _SE, _RHO = 0.0555, 0.010, 32.0
@@ -151,31 +152,82 @@ def isochrone_bands(runs: DataFrame, levels: DataFrame, res: float) -> DataFrame
     return band.groupBy("run_id", "level").agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * (res * res / 1e4)).alias("hectares")).withColumn("label", F.when(F.col("level") < 1, F.concat((F.col("level") * 60).cast("int").cast("string"), F.lit(" sec"))).otherwise(F.concat(F.col("level").cast("int").cast("string"), F.lit(" min"))))
 
 
-def isochrone_segments(cells: DataFrame, level: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Line pieces of the contour at a level, by marching squares; unreached cells are 9999.
-
-    A piece joins two crossings of a square's sides; the two pieces of a saddle keep its low corners apart.
-    """
+def _squares(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Every four neighbouring cells (keys, row, col, toa) as one row: nw, ne, sw, se; unreached cells are 9999."""
     grid = cells.withColumn("v", F.coalesce("toa", F.lit(9999.0)))
     down, right = Window.partitionBy(*keys, "col").orderBy("row"), Window.partitionBy(*keys, "row").orderBy("col")
     step = grid.withColumn("sw", F.when(F.lead("row").over(down) == F.col("row") + 1, F.lead("v").over(down)))
     nxt = F.lead(F.struct("v", "sw", "col")).over(right)
-    quad = step.withColumn("_n", nxt).where(F.col("_n.col") == F.col("col") + 1).select(*keys, "row", "col", F.col("v").alias("nw"), F.col("_n.v").alias("ne"), "sw", F.col("_n.sw").alias("se")).where("sw is not null and se is not null")
-    lv = F.lit(float(level))
-    low = lambda c: (F.col(c) < lv).cast("int")
-    part = lambda a, b: (lv - F.col(a)) / (F.col(b) - F.col(a))
+    return step.withColumn("_n", nxt).where(F.col("_n.col") == F.col("col") + 1).select(*keys, "row", "col", F.col("v").alias("nw"), F.col("_n.v").alias("ne"), "sw", F.col("_n.sw").alias("se")).where("sw is not null and se is not null")
+
+
+def _sides(level: Column) -> dict[str, Column]:
+    """Where a level crosses each side of a square: x, y, and the side's number, the same from both of its squares."""
+    part = lambda a, b: (level - F.col(a)) / (F.col(b) - F.col(a))
     r, c = F.col("row"), F.col("col")
-    side = {"n": F.struct((r + 0.0).alias("y"), (c + part("nw", "ne")).alias("x")), "s": F.struct((r + 1.0).alias("y"), (c + part("sw", "se")).alias("x")), "w": F.struct((r + part("nw", "sw")).alias("y"), (c + 0.0).alias("x")), "e": F.struct((r + part("ne", "se")).alias("y"), (c + 1.0).alias("x"))}
+    number = lambda r, c, upright: (r.cast("long") * 2**31 + c) * 2 + upright
+    at = lambda y, x, n: F.struct(y.alias("y"), x.alias("x"), n.alias("node"))
+    return {
+        "n": at(r + 0.0, c + part("nw", "ne"), number(r, c, 0)), "s": at(r + 1.0, c + part("sw", "se"), number(r + 1, c, 0)),
+        "w": at(r + part("nw", "sw"), c + 0.0, number(r, c, 1)), "e": at(r + part("ne", "se"), c + 1.0, number(r, c + 1, 1)),
+    }
+
+
+#: Pieces of the line through a square, from side to side, by which of its corners nw, ne, se, sw are low (8, 4, 2, 1).
+#: Clockwise around the square, a piece begins where low turns high: so what ends a piece begins one in the next square.
+#: The two pieces of a saddle keep its low corners apart.
+PIECES = {1: ["ws"], 2: ["se"], 3: ["we"], 4: ["en"], 5: ["en", "ws"], 6: ["sn"], 7: ["wn"], 8: ["nw"], 9: ["ns"], 10: ["nw", "se"], 11: ["ne"], 12: ["ew"], 13: ["es"], 14: ["sw"]}
+
+
+def _pieces(squares: DataFrame, level: Column) -> DataFrame:
+    """squares with p, a piece (a, b) of the line at a level."""
+    side = _sides(level)
+    low = lambda c: (F.col(c) < level).cast("int")
     case = low("nw") * 8 + low("ne") * 4 + low("se") * 2 + low("sw")
-    piece = lambda a, b: F.struct(side[a].alias("a"), side[b].alias("b"))
-    table = {1: ["ws"], 14: ["ws"], 2: ["se"], 13: ["se"], 3: ["we"], 12: ["we"], 4: ["ne"], 11: ["ne"], 6: ["ns"], 9: ["ns"], 7: ["wn"], 8: ["wn"], 5: ["ne", "ws"], 10: ["wn", "se"]}
-    found = F.when(F.lit(False), F.array(piece("w", "s")))
-    for k, pieces in table.items():
-        found = found.when(case == k, F.array(*(piece(p[0], p[1]) for p in pieces)))
-    out = quad.withColumn("p", F.explode(found))
+    found = F.when(F.lit(False), F.array(F.struct(side["w"].alias("a"), side["s"].alias("b"))))
+    for k, pieces in PIECES.items():
+        found = found.when(case == k, F.array(*(F.struct(side[p[0]].alias("a"), side[p[1]].alias("b")) for p in pieces)))
+    return squares.withColumn("p", F.explode(found))
+
+
+def isochrone_segments(cells: DataFrame, level: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Line pieces of the contour at a level, by marching squares; unreached cells are 9999.
+
+    A piece joins two crossings of a square's sides; the two pieces of a saddle keep its low corners apart.
+    """
+    out = _pieces(_squares(cells, keys), F.lit(float(level)))
     return out.select(*keys, "row", "col", F.col("p.a.x").alias("x1"), F.col("p.a.y").alias("y1"), F.col("p.b.x").alias("x2"), F.col("p.b.y").alias("y2"))
 
 
+def chosen_levels(cells: DataFrame, levels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, level): the levels (level, above, upto) that a layer's largest arrival asks for, up to 1.5 times it."""
+    most = cells.groupBy(*keys).agg(F.max("toa").alias("most")) if keys else cells.agg(F.max("toa").alias("most"))
+    return most.join(F.broadcast(levels), (F.col("most") > F.col("above")) & (F.col("most") <= F.col("upto")) & (F.col("level") <= 1.5 * F.col("most"))).select(*keys, "level")
+
+
+def isochrone_lines(cells: DataFrame, levels: DataFrame, keys: tuple[str, ...] = (), least: int = 3) -> DataFrame:
+    """(keys, level, line, closed, points): whole lines of each layer's contours, of ``least`` vertices or more.
+
+    cells has keys, row, col and toa, levels keys and level. Crossings of the grid's sides are nodes, pieces
+    links from one to the next with the low side always on one hand, and ``list_ranks`` puts each line in order.
+    ``line`` is the number of its first crossing, ``points`` its (x, y) in columns and rows; a closed line ends with
+    its first point. Lines end at the layer's edge and at missing cells.
+    """
+    squares = _squares(cells, keys)
+    each = squares.join(levels, list(keys)) if keys else squares.crossJoin(levels)
+    crossed = each.where((F.least("nw", "ne", "sw", "se") < F.col("level")) & (F.greatest("nw", "ne", "sw", "se") >= F.col("level")))
+    own = (*keys, "level")
+    pieces = stored(_pieces(crossed, F.col("level")).select(*own, "p.a", "p.b"), "pieces")
+    ends = pieces.select(*own, F.col("b.node").alias("node"), F.col("b.x").alias("x"), F.col("b.y").alias("y"), F.lit(None).cast("long").alias("next"))
+    both = pieces.select(*own, F.col("a.node").alias("node"), F.col("a.x").alias("x"), F.col("a.y").alias("y"), F.col("b.node").alias("next")).unionByName(ends)
+    nodes = stored(both.groupBy(*own, "node").agg(F.max("next").alias("next"), F.max("x").alias("x"), F.max("y").alias("y")), "crossings")
+    ranked = list_ranks(nodes.select(*own, "node", "next"), own).join(nodes.drop("next"), [*own, "node"])
+    lines = ranked.groupBy(*own, F.col("chain").alias("line"), "closed").agg(F.sort_array(F.collect_list(F.struct("rank", "x", "y"))).alias("p"))
+    points = F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    points = F.when(F.col("closed"), F.concat(points, F.slice(points, 1, 1))).otherwise(points)
+    return lines.select(*own, "line", "closed", points.alias("points")).where(F.size("points") >= least)
+
+
 def parcels_reached(places: DataFrame, limits: tuple[int, ...] = (30, 60)) -> DataFrame:
     """(within, parcel_id): a row for each of places (parcel_id, toa) and each limit of minutes that it is reached within."""
     within = F.explode(F.filter(F.array(*(F.lit(m) for m in limits)), lambda m: F.col("toa") <= m))

@@ -22,4 +22,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the cluster's shared checkpoint folder and read back."""
     path, schema = shared_path(df.sparkSession, name), df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that a later one has taken the place of."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -125,11 +125,37 @@ def _(i):
     return X.isochrone_bands(i.runs, i.isochrones, RES)
 
 
-@query("fire11_isochrone_segments", """WITH g AS (SELECT run_id, row, col, coalesce(CAST(toa AS DOUBLE), 9999) < 15 AS low FROM runs), q AS (SELECT a.run_id, a.row, a.col, CAST(a.low AS INT) * 8 + CAST(b.low AS INT) * 4 + CAST(d.low AS INT) * 2 + CAST(c.low AS INT) AS k FROM g a JOIN g b ON b.run_id = a.run_id AND b.row = a.row AND b.col = a.col + 1
- JOIN g c ON c.run_id = a.run_id AND c.row = a.row + 1 AND c.col = a.col JOIN g d ON d.run_id = a.run_id AND d.row = a.row + 1 AND d.col = a.col + 1) SELECT run_id, row, col, CASE WHEN k IN (5, 10) THEN 2 ELSE 1 END AS pieces FROM q WHERE k NOT IN (0, 15)""")
-def _(i):
+_SIDES = {"n": ("row", "col + (level - nw) / (ne - nw)", "(row * 2147483648 + col) * 2"), "s": ("row + 1", "col + (level - sw) / (se - sw)", "((row + 1) * 2147483648 + col) * 2"), "w": ("row + (level - nw) / (sw - nw)", "col", "(row * 2147483648 + col) * 2 + 1"), "e": ("row + (level - ne) / (se - ne)", "col + 1", "(row * 2147483648 + col + 1) * 2 + 1")}
+_side = lambda by, k: f"CASE {by} " + " ".join(f"WHEN '{n}' THEN CAST({x[k]} AS {'BIGINT' if k == 2 else 'DOUBLE'})" for n, x in _SIDES.items()) + " END"
+_QUADS = """g AS (SELECT run_id, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, coalesce(CAST(toa AS DOUBLE), 9999) AS v FROM runs), q AS (SELECT a.run_id, a.row, a.col, level, a.v AS nw, b.v AS ne, c.v AS sw, d.v AS se, CAST(a.v < level AS INT) * 8 + CAST(b.v < level AS INT) * 4 + CAST(d.v < level AS INT) * 2 + CAST(c.v < level AS INT) AS k
+ FROM g a JOIN lv ON lv.run_id = a.run_id JOIN g b ON b.run_id = a.run_id AND b.row = a.row AND b.col = a.col + 1 JOIN g c ON c.run_id = a.run_id AND c.row = a.row + 1 AND c.col = a.col JOIN g d ON d.run_id = a.run_id AND d.row = a.row + 1 AND d.col = a.col + 1)"""
+_PIECE = f"{_QUADS}, t(k, f, u) AS (VALUES {', '.join(f'({k}, {p[0]!r}, {p[1]!r})' for k, ps in X.PIECES.items() for p in ps)}), p AS (SELECT run_id, row, col, level, {_side('f', 2)} AS node, {_side('f', 1)} AS x1, {_side('f', 0)} AS y1, {_side('u', 2)} AS next, {_side('u', 1)} AS x2, {_side('u', 0)} AS y2 FROM q JOIN t ON t.k = q.k)"
+_AT15 = "lv AS (SELECT DISTINCT run_id, 15.0::DOUBLE AS level FROM runs)"
+_CHOSEN = "mx AS (SELECT run_id, max(CAST(toa AS DOUBLE)) AS most FROM runs GROUP BY 1), lv AS (SELECT run_id, level FROM mx JOIN isochrones ON most > above AND most <= upto AND level <= 1.5 * most)"
+_ON = "p.run_id = w.run_id AND p.level = w.level AND p.node = w.node"
+_LINES = f"""WITH RECURSIVE {_CHOSEN}, {_PIECE}, nd AS (SELECT run_id, level, node, x1 AS x, y1 AS y FROM p UNION SELECT run_id, level, next, x2, y2 FROM p), st AS (SELECT p.run_id, p.level, p.node FROM p ANTI JOIN p i ON i.run_id = p.run_id AND i.level = p.level AND i.next = p.node),
+ walk(run_id, level, line, node, k) AS (SELECT run_id, level, node, node, 0 FROM st UNION ALL SELECT w.run_id, w.level, w.line, p.next, w.k + 1 FROM walk w JOIN p ON {_ON}),
+ ring(run_id, level, line, node, k) AS (SELECT p.run_id, p.level, p.node, p.node, 0 FROM p ANTI JOIN walk v ON v.run_id = p.run_id AND v.level = p.level AND v.node = p.node UNION ALL SELECT w.run_id, w.level, w.line, p.next, w.k + 1 FROM ring w JOIN p ON {_ON} WHERE (w.k = 0 OR w.node <> w.line) AND p.next >= w.line),
+ ln AS (SELECT *, false AS closed FROM walk UNION ALL SELECT w.*, true FROM ring w SEMI JOIN (SELECT run_id, level, line FROM ring WHERE k > 0 AND node = line) f ON f.run_id = w.run_id AND f.level = w.level AND f.line = w.line),
+ lines AS (SELECT ln.run_id, ln.level, ln.line, ln.closed, ln.k, x, y FROM ln JOIN nd ON nd.run_id = ln.run_id AND nd.level = ln.level AND nd.node = ln.node QUALIFY max(ln.k) OVER (PARTITION BY ln.run_id, ln.level, ln.line, ln.closed) >= 2)"""
+
+
+@query("fire11_isochrone_segments", f"WITH {_AT15}, {_PIECE} SELECT run_id, row, col, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM p")
+def _(i):
+    """Every piece of each run's line at 15 minutes."""
+    runs = i.runs.withColumn("toa", F.col("toa").cast("double"))
+    return X.isochrone_segments(runs, 15.0, ("run_id",)).withColumn("row", F.col("row").cast("long")).withColumn("col", F.col("col").cast("long"))
+
+
+def isochrones(i):
     runs = i.runs.withColumn("toa", F.col("toa").cast("double"))
-    return X.isochrone_segments(runs, 15.0, ("run_id",)).groupBy("run_id", "row", "col").agg(F.count(F.lit(1)).cast("int").alias("pieces"))
+    return X.isochrone_lines(runs, X.chosen_levels(runs, i.isochrones, ("run_id",)), ("run_id",))
+
+
+@query("fire11_isochrone_lines", f"{_LINES} SELECT run_id, round(level, 6) AS level, line, closed, k, round(x, 6) AS x, round(y, 6) AS y FROM lines")
+def _(i):
+    """Every vertex of each run's lines, in order."""
+    return isochrones(i).select("run_id", "level", "line", "closed", F.posexplode("points").alias("k", "p")).select("run_id", "level", "line", "closed", "k", "p.x", "p.y")
 
 
 _PLACE = "SELECT parcel_id, CAST(floor(cx / 25) AS INT) AS row, CAST(floor(cy / 25) AS INT) AS col FROM properties"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from perilframe.functions import geometry as geo
 from perilframe.operators.iterate import shared_path
 from perilframe.operators.scoring import components, risk_category
+from perilframe.plans.hazard_queries import _LINES, isochrones
 from perilframe.plans.registry import query
 from perilframe.plans.risk_queries import _CATEGORY, _W, TERRAIN, scored
 from perilframe.sources import readers as R
@@ -88,16 +89,17 @@ def _(i):
     return i.spark.read.parquet(path).select("row", "col", F.col("w1").cast("double").alias("w1"), F.col("mx").cast("double").alias("mx"))
 
 
-@query("snk8_export_isochrones")
+@query("snk8_export_isochrones", f"{_LINES}, f AS (SELECT run_id, level, line, closed, count(*) AS vertices, round(sum(x), 4) AS sum_x, round(sum(y), 4) AS sum_y FROM lines GROUP BY 1, 2, 3, 4) SELECT round(level, 6) AS minutes, CASE WHEN level < 1 THEN CAST(CAST(level * 60 AS INT) AS VARCHAR) || ' sec' ELSE CAST(CAST(level AS INT) AS VARCHAR) || ' min' END AS label, 'LineString' AS kind, vertices, sum_x, sum_y FROM f")
 def _(i):
-    """The pieces of each run's line at 15 minutes, as features, read back."""
-    from perilframe.operators.fire import isochrone_segments
-
-    pieces = isochrone_segments(i.runs.withColumn("toa", F.col("toa").cast("double")), 15.0, ("run_id",))
+    """Whole lines of every run as features, read back: a row for each."""
     path = shared_path(i.spark, "isochrones")
-    K.export_isochrones(pieces.select(F.lit(15.0).alias("level"), *((F.col(c) / 1000).alias(c) for c in ("x1", "y1", "x2", "y2"))), path)
+    K.export_isochrones(isochrones(i), path)
     value = i.spark.read.text(path)
-    return value.select(F.get_json_object("value", "$.properties.label").alias("label"), F.get_json_object("value", "$.geometry.type").alias("kind")).groupBy("label", "kind").count()
+    at = lambda name: F.get_json_object("value", f"$.{name}")
+    points = F.from_json(at("geometry.coordinates"), "array<array<double>>")
+    total = lambda k: F.round(F.aggregate("points", F.lit(0.0), lambda s, p: s + p[k]), 4)
+    read = value.select(at("properties.minutes").cast("double").alias("minutes"), at("properties.label").alias("label"), at("geometry.type").alias("kind"), points.alias("points"))
+    return read.select("minutes", "label", "kind", F.size("points").cast("long").alias("vertices"), total(0).alias("sum_x"), total(1).alias("sum_y"))
 
 
 @query("snk5_write_twins", "SELECT parcel_id, county, CAST(stories AS INT) AS stories, round(slope_degrees, 6) AS slope FROM properties")

@@ -67,16 +67,16 @@ def degrees(ring: Column) -> Column:
     return F.transform(ring, turned)
 
 
-def line_feature(x1: Column, y1: Column, x2: Column, y2: Column, minutes: Column) -> Column:
-    """A piece of an isochrone as a GeoJSON feature."""
+def line_feature(points: Column, minutes: Column) -> Column:
+    """An isochrone's points (x, y) as a GeoJSON feature."""
     label = F.when(minutes >= 1, F.concat(F.regexp_replace(minutes.cast("string"), r"\.0$", ""), F.lit(" min"))).otherwise(F.concat((minutes * 60).cast("int").cast("string"), F.lit(" sec")))
-    geometry = F.struct(F.lit("LineString").alias("type"), F.array(F.array(x1, y1), F.array(x2, y2)).alias("coordinates"))
+    geometry = F.struct(F.lit("LineString").alias("type"), F.transform(points, lambda p: F.array(p["x"], p["y"])).alias("coordinates"))
     return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(minutes.alias("minutes"), label.alias("label")).alias("properties")))
 
 
-def export_isochrones(segments: DataFrame, path: str) -> None:
-    """segments (level, x1, y1, x2, y2 in degrees), one feature a line."""
-    segments.select(line_feature(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("level")).alias("value")).write.mode("overwrite").text(path)
+def export_isochrones(lines: DataFrame, path: str) -> None:
+    """lines (level, points in degrees), one feature a line."""
+    lines.select(line_feature(F.col("points"), F.col("level")).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_param_layers(mapped: DataFrame, path: str, parameters: list[str]) -> None:
