@@ -105,7 +105,8 @@ class Units:
         most = np.zeros(n, np.uint32)
         most[SPAN - 1 :] = sliding(self.least, SPAN, np.maximum)
         self.anchors = np.flatnonzero((self.half == most) & (self.half != _TOP))
-        self.anchor_hashes = every[self.anchors]
+        # Anchors' upper halves are small: mixed anew, so that a filter's places are even.
+        self.anchor_hashes = mix(every[self.anchors] ^ np.uint64(0x3C6E_F372_FE94_F82B))
         lows = sliding(self.half, APART, np.minimum)
         i = np.arange(APART, n - APART)
         cut = np.zeros(n, bool)
