@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import count
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perilframe.operators.filling import fill_depressions
 from perilframe.operators.grid import nbr3x3, nearest_where
-from perilframe.operators.iterate import stored
+from perilframe.operators.iterate import discard, stored
 from perilframe.operators.terrain import wetness
 
 #: Neighbours in order of direction codes: name, row step, column step.
@@ -18,26 +16,6 @@ _NAMES = [n for n, _, _ in DIRECTIONS]
 PERIODS = (2, 5, 10, 25, 50, 100, 500)
 
 
-def fill_depressions(cells: DataFrame, z: str = "z", eps: float = 1e-4, most: int | None = None) -> tuple[DataFrame, bool]:
-    """cells with ``filled``: the least level, eps above a neighbour's, from which every cell drains; and if it converged.
-
-    Relaxation from above: inner cells start unbounded, cells at the edge hold their z. Rounds go on until
-    nothing moves, or to ``most`` of them if given.
-    """
-    low = F.col(z)
-    edge = nbr3x3(cells, z, replicate=False).withColumn("_edge", reduce(lambda a, b: a | b, (F.col(n).isNull() for n in _NAMES))).drop(*_NAMES)
-    now = stored(edge.withColumn("filled", F.when(F.col("_edge"), low).otherwise(F.lit(1e18))), "fill")
-    for _ in count() if most is None else range(most):
-        step = nbr3x3(now, "filled")
-        new = F.when(F.col("_edge"), low).otherwise(F.least("filled", F.greatest(low, F.least(*_NAMES) + eps)))
-        step = stored(step.withColumn("_new", new).withColumn("_moved", (F.col("_new") < F.col("filled")).cast("int")).withColumn("filled", F.col("_new")).drop("_new", *_NAMES), "fill")
-        moved = step.agg(F.sum("_moved")).first()[0]
-        now = step.drop("_moved")
-        if not moved:
-            return now.drop("_edge"), True
-    return now.drop("_edge"), False
-
-
 def d8_direction(cells: DataFrame, z: str = "z", weighted: bool = True) -> DataFrame:
     """cells with direction: the code of the neighbour of steepest descent, the first of ties, -1 without one."""
     step = nbr3x3(cells, z, replicate=False)
@@ -52,7 +30,7 @@ def flow_edges(directed: DataFrame) -> DataFrame:
     return directed.where("direction >= 0").select("row", "col", (F.col("row") + pick(1)).alias("row2"), (F.col("col") + pick(2)).alias("col2"))
 
 
-def flow_accumulation(directed: DataFrame, most: int = 40) -> DataFrame:
+def flow_accumulation(directed: DataFrame) -> DataFrame:
     """directed with accumulation: the number of cells that drain through each, itself included.
 
     Doubling: each round, every cell's count is passed on to the cell that its pointer names, and
@@ -60,12 +38,14 @@ def flow_accumulation(directed: DataFrame, most: int = 40) -> DataFrame:
     """
     base = directed.select("row", "col").withColumn("acc", F.lit(1).cast("long"))
     acc, jump = stored(base, "acc"), stored(flow_edges(directed), "jump")
-    for _ in range(most):
+    while True:
         passed = acc.join(jump, ["row", "col"]).groupBy(F.col("row2").alias("row"), F.col("col2").alias("col")).agg(F.sum("acc").alias("more"))
-        acc = stored(acc.join(passed, ["row", "col"], "left").select("row", "col", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")), "acc")
+        more = stored(acc.join(passed, ["row", "col"], "left").select("row", "col", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")), "acc")
         onward = jump.select(F.col("row").alias("row2"), F.col("col").alias("col2"), F.col("row2").alias("row3"), F.col("col2").alias("col3"))
-        jump = stored(jump.join(onward, ["row2", "col2"]).select("row", "col", F.col("row3").alias("row2"), F.col("col3").alias("col2")), "jump")
-        if not jump.limit(1).count():
+        far = stored(jump.join(onward, ["row2", "col2"]).select("row", "col", F.col("row3").alias("row2"), F.col("col3").alias("col2")), "jump")
+        discard(acc, jump)
+        acc, jump = more, far
+        if jump.isEmpty():
             break
     return directed.join(acc.withColumnRenamed("acc", "accumulation"), ["row", "col"])
 
@@ -79,7 +59,7 @@ def distance_to_stream(cells: DataFrame, stream: Column, res: float) -> DataFram
     return nearest_where(cells, stream, []).withColumn("distance_to_stream_m", F.sqrt("near_d2") * res).drop("near_d2")
 
 
-def hand(cells: DataFrame, stream: Column, z: str = "z", most: int = 40) -> DataFrame:
+def hand(cells: DataFrame, stream: Column, z: str = "z") -> DataFrame:
     """cells with hand_m: height above the first stream cell downstream, 0 at least.
 
     Pointers jump until they rest on a stream cell. Cells that reach none have the largest height of
@@ -88,25 +68,26 @@ def hand(cells: DataFrame, stream: Column, z: str = "z", most: int = 40) -> Data
     marked = stored(cells.withColumn("_stream", stream), "marked")
     onward = flow_edges(marked.where("not _stream")).unionByName(marked.where("_stream").select("row", "col", F.col("row").alias("row2"), F.col("col").alias("col2")))
     jump = stored(onward, "jump")
-    for _ in range(most):
+    while True:
         nxt = jump.select(F.col("row").alias("row2"), F.col("col").alias("col2"), F.col("row2").alias("row3"), F.col("col2").alias("col3"))
         new = stored(jump.join(nxt, ["row2", "col2"], "left").select("row", "col", F.coalesce("row3", "row2").alias("row2"), F.coalesce("col3", "col2").alias("col2"), (F.col("row3").isNotNull() & ((F.col("row3") != F.col("row2")) | (F.col("col3") != F.col("col2")))).cast("int").alias("moved")), "jump")
-        moved = new.agg(F.sum("moved")).first()[0]
-        jump = new.drop("moved")
-        if not moved:
+        discard(jump)
+        jump = new
+        if jump.where("moved = 1").isEmpty():
             break
     ends = marked.where("_stream").select(F.col("row").alias("row2"), F.col("col").alias("col2"), F.col(z).alias("_z2"))
-    found = marked.join(jump, ["row", "col"], "left").join(ends, ["row2", "col2"], "left").withColumn("_h", F.when(F.col("_z2").isNotNull(), F.greatest(F.col(z) - F.col("_z2"), F.lit(0.0))))
+    found = marked.join(jump.drop("moved"), ["row", "col"], "left").join(ends, ["row2", "col2"], "left").withColumn("_h", F.when(F.col("_z2").isNotNull(), F.greatest(F.col(z) - F.col("_z2"), F.lit(0.0))))
     most_ = found.agg(F.coalesce(F.max("_h"), F.lit(100.0)).alias("_most"))
     return found.crossJoin(F.broadcast(most_)).withColumn("hand_m", F.coalesce("_h", "_most")).drop("row2", "col2", "_z2", "_h", "_most", "_stream")
 
 
-def flow_features(cells: DataFrame, res: float, threshold: int = 1000, z: str = "z") -> DataFrame:
+def flow_features(cells: DataFrame, res: float, threshold: int = 1000, z: str = "z", eps: float = 1e-4) -> DataFrame:
     """Direction, accumulation, stream, distance, height above it and wetness as one layer; cells has slope_deg.
 
-    Flow runs over the filled surface, and heights are the filled ones.
+    Flow runs over the filled surface, and heights are the filled ones. With an ``eps`` every cell drains; with 0,
+    filled depressions are flat and flow ends in them.
     """
-    filled, _ = fill_depressions(cells, z)
+    filled = fill_depressions(cells, z, eps)
     layer = flow_accumulation(d8_direction(filled, "filled")).withColumn("stream", stream_cells(threshold))
     layer = hand(distance_to_stream(layer, F.col("stream"), res), F.col("stream"), "filled").drop("filled")
     return layer.withColumn("cti", wetness(F.col("accumulation"), F.col("slope_deg"), res))

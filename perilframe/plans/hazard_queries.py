@@ -275,10 +275,25 @@ def _(i):
     return i.fuel_cells.select("row", "col", wetness(F.lit(1) + F.col("row") + F.col("col"), F.col("slope_deg"), RES).alias("cti"))
 
 
-@query("hyd1_fill_depressions")
+#: Relaxation from above, until long after nothing moves.
+_FILL = """WITH RECURSIVE w AS (SELECT r.row, c.col, coalesce(CAST(k.z AS DOUBLE), 110.0) AS z, r.row IN (0, 49) OR c.col IN (0, 49) AS edge FROM (SELECT CAST(unnest(range(50)) AS INT) AS row) r CROSS JOIN (SELECT CAST(unnest(range(50)) AS INT) AS col) c LEFT JOIN cells k ON k.row = r.row AND k.col = c.col),
+ o(dr, dc) AS (SELECT a.x, b.x FROM (VALUES (-1), (0), (1)) a(x) CROSS JOIN (VALUES (-1), (0), (1)) b(x) WHERE a.x <> 0 OR b.x <> 0), nb AS (SELECT w.row, w.col, w.row + dr AS row2, w.col + dc AS col2 FROM w CROSS JOIN o WHERE NOT w.edge),
+ f(k, row, col, v) AS (SELECT 0, row, col, CASE WHEN edge THEN z ELSE 1e18 END FROM w UNION ALL SELECT max(x.k) + 1, w.row, w.col, CASE WHEN any_value(w.edge) THEN any_value(w.z) ELSE greatest(any_value(w.z), min(x.v) + {eps}) END FROM w LEFT JOIN nb ON nb.row = w.row AND nb.col = w.col JOIN f x ON x.row = coalesce(nb.row2, w.row) AND x.col = coalesce(nb.col2, w.col) WHERE x.k < 250 GROUP BY w.row, w.col)
+ SELECT f.row, f.col, round(w.z, 6) AS z, round(f.v, 6) AS filled FROM f JOIN w ON w.row = f.row AND w.col = f.col WHERE f.k = 250"""
+
+
+def _whole_grid(i):
+    return _grid(i).withColumn("z", F.coalesce("z", F.lit(110.0)))
+
+
+@query("hyd1_fill_depressions", _FILL.format(eps=1e-4))
+def _(i):
+    return H.fill_depressions(_whole_grid(i), eps=1e-4, tile=16).select("row", "col", "z", "filled")
+
+
+@query("hyd1_flood_fill", _FILL.format(eps=0))
 def _(i):
-    whole = _grid(i).withColumn("z", F.coalesce("z", F.lit(110.0)))
-    return H.fill_depressions(whole)[0].select("row", "col", "z", "filled")
+    return H.fill_depressions(_whole_grid(i), tile=16).select("row", "col", "z", "filled")
 
 
 @query("hyd8_flow_features")

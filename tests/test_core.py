@@ -26,7 +26,7 @@ from perilframe.sources import writers as K
 from perilframe.streaming.weather import daily_stream
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["qry5_overview", "sco2_wildfire_score", "mit4_counterfactual_sequence", "grid10_fill_nearest", "ter5_tri", "wx9_fire_weather_index", "fire1_spread_rate", "hyd3_flow_accumulation", "prx7_neighbor_distance", "veg6_zonal_veg_stats", "fire11_isochrone_segments"]
+SAMPLE = ["qry5_overview", "sco2_wildfire_score", "mit4_counterfactual_sequence", "grid10_fill_nearest", "ter5_tri", "wx9_fire_weather_index", "fire1_spread_rate", "hyd3_flow_accumulation", "prx7_neighbor_distance", "veg6_zonal_veg_stats", "fire11_isochrone_segments", "fire11_isochrone_lines", "snk8_export_isochrones"]
 
 
 def grid(spark, z):
@@ -80,14 +80,14 @@ def test_box_mean_and_nearest_are_brute_force(spark):
 def test_drainage_is_brute_force(spark):
     rng = np.random.default_rng(5)
     z = rng.random((12, 12)) + np.add.outer(np.arange(12), np.arange(12)) * 0.05
-    filled, converged = H.fill_depressions(grid(spark, z), most=60)
+    filled = H.fill_depressions(grid(spark, z), eps=1e-4, tile=5)
     level = z.copy()
     level[1:-1, 1:-1] = 1e18
     for _ in range(500):
         p = np.pad(level, 1, mode="edge")
         low = np.min([p[1 + a : 13 + a, 1 + b : 13 + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b], axis=0) + 1e-4
         level[1:-1, 1:-1] = np.minimum(level, np.maximum(z, low))[1:-1, 1:-1]
-    assert converged and np.allclose(back(filled, "filled", z.shape), level)
+    assert np.allclose(back(filled, "filled", z.shape), level)
     directed = H.d8_direction(filled, "filled")
     acc = back(H.flow_accumulation(directed), "accumulation", z.shape)
     code = back(directed, "direction", z.shape).astype(int)
@@ -291,10 +291,12 @@ def test_percentiles_of_hot_scores(spark):
 def test_isochrone_features_and_layers(spark, tmp_path):
     import json
 
-    pieces = spark.createDataFrame([(0.5, -79.0, 36.0, -79.1, 36.1), (15.0, -79.0, 36.0, -79.2, 36.1)], "level double, x1 double, y1 double, x2 double, y2 double")
-    K.export_isochrones(pieces, f"{tmp_path}/iso")
+    point = lambda x, y: {"x": x, "y": y}
+    lines = spark.createDataFrame([(0.5, [point(-79.0, 36.0), point(-79.1, 36.1), point(-79.2, 36.1)]), (15.0, [point(-79.0, 36.0), point(-79.2, 36.1)])], "level double, points array<struct<x: double, y: double>>")
+    K.export_isochrones(lines, f"{tmp_path}/iso")
     got = sorted((json.loads(r.value) for r in spark.read.text(f"{tmp_path}/iso").collect()), key=lambda f: f["properties"]["minutes"])
-    assert got == [{"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[-79.0, 36.0], [x, 36.1]]}, "properties": {"minutes": m, "label": t}} for m, t, x in ((0.5, "30 sec", -79.1), (15.0, "15 min", -79.2))]
+    want = ((0.5, "30 sec", [[-79.0, 36.0], [-79.1, 36.1], [-79.2, 36.1]]), (15.0, "15 min", [[-79.0, 36.0], [-79.2, 36.1]]))
+    assert got == [{"type": "Feature", "geometry": {"type": "LineString", "coordinates": c}, "properties": {"minutes": m, "label": t}} for m, t, c in want]
     K.write_param_layers(spark.createDataFrame([(0, 1, 0.5, "TU1")], "row int, col int, w1 double, model string"), f"{tmp_path}/layers", ["w1"])
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/layers").select("row", "col", "w1").collect()] == [(0, 1, 0.5)]
 
@@ -310,3 +312,110 @@ def test_scenarios_of_a_file(spark, tmp_path):
     yaml = pytest.importorskip("yaml")
     (tmp_path / "c.yaml").write_text(yaml.safe_dump({"scenarios": {"low": low}}))
     assert R.read_scenarios(spark, str(tmp_path / "c.yaml")).first().wind_dir == 180.0
+
+
+def test_list_ranks_of_chains_and_rings(spark):
+    from perilframe.operators.chains import list_ranks
+
+    rng = np.random.default_rng(8)
+    nodes, rows, want, at = rng.permutation(4000), [], {}, 0
+    for size, closed in [(1, False), (2, True), (700, False), (1, True), (257, True), (64, False), (33, True), (3, True)] * 2:
+        own = nodes[at : at + size].tolist()
+        at += size
+        if closed:
+            k = own.index(min(own))
+            own = own[k:] + own[:k]
+        rows += [("k", n, own[(i + 1) % size] if closed or i + 1 < size else None) for i, n in enumerate(own)]
+        want |= {n: (own[0], i, closed) for i, n in enumerate(own)}
+    links = spark.createDataFrame(rows + [("other", n, m) for _, n, m in rows[:3]], "k string, node long, next long")
+    got = {r.node: (r.chain, r.rank, r.closed) for r in list_ranks(links.where("k = 'k'"), ("k",)).collect()}
+    assert got == want
+    assert list_ranks(links.limit(0), ("k",)).count() == 0
+    small = spark.createDataFrame([("a", 1, 2), ("a", 2, None), ("b", 1, 2), ("b", 2, 1)], "k string, node long, next long")
+    assert {(r.k, r.node, r.chain, r.rank, r.closed) for r in list_ranks(small, ("k",)).collect()} == {("a", 1, 1, 0, False), ("a", 2, 1, 1, False), ("b", 1, 1, 0, True), ("b", 2, 1, 1, True)}
+
+
+def test_isochrone_lines_are_whole(spark):
+    # A cone gives one closed line; a slope one from edge to edge; a lone low cell a diamond of four sides; a missing cell ends lines.
+    r, c = np.mgrid[0:30, 0:30]
+    cone = np.hypot(r - 14.3, c - 15.2)
+    slope = c + 0.1 * r
+    dot = np.full((30, 30), 90.0)
+    dot[4, 7] = 10
+    holed = slope.astype(object)
+    holed[12, 9] = None
+    rows = [(k, int(y), int(x), None if z[y, x] is None else float(z[y, x])) for k, z in (("cone", cone), ("slope", slope), ("dot", dot)) for y in range(30) for x in range(30)]
+    rows += [("holed", y, x, float(slope[y, x])) for y in range(30) for x in range(30) if holed[y, x] is not None]
+    cells = spark.createDataFrame(rows, "k string, row int, col int, toa double")
+    levels = spark.createDataFrame([(k, 9.7) for k in ("cone", "slope", "holed")] + [("dot", 50.0)], "k string, level double")
+    got = {}
+    for x in X.isochrone_lines(cells, levels, ("k",)).collect():
+        got.setdefault(x.k, []).append((x.closed, [(p.x, p.y) for p in x.points]))
+    (closed, ring), = got["cone"]
+    assert closed and ring[0] == ring[-1] and len(set(ring)) == len(ring) - 1
+    assert all(abs(math.hypot(y - 14.3, x - 15.2) - 9.7) < 0.1 for x, y in ring)
+    assert all(math.hypot(a[0] - b[0], a[1] - b[1]) < 1.5 for a, b in zip(ring, ring[1:]))
+    (closed, line), = got["slope"]
+    assert not closed and {line[0][1], line[-1][1]} == {0.0, 29.0} and all(abs(x + 0.1 * y - 9.7) < 1e-9 for x, y in line)
+    (closed, ring), = got["dot"]
+    assert closed and sorted(ring[:-1]) == [(6.5, 4.0), (7.0, 3.5), (7.0, 4.5), (7.5, 4.0)]
+    assert len(got["holed"]) == 2 and not any(closed for closed, _ in got["holed"])
+
+
+def heap_fill(z, eps=0.0):
+    """Water from the edge inwards, lowest first; cells without a value let it through and are no outlets."""
+    rows, cols = z.shape
+    low = np.where(np.isnan(z), -9999.0, z)
+    edge = [(r, c) for r in range(rows) for c in range(cols) if (r in (0, rows - 1) or c in (0, cols - 1)) and not np.isnan(z[r, c])]
+    level = {rc: low[rc] for rc in edge}
+    heap = [(level[rc], rc) for rc in edge]
+    heapq.heapify(heap)
+    while heap:
+        v, (r, c) = heapq.heappop(heap)
+        if v > level[r, c]:
+            continue
+        for y in range(max(r - 1, 0), min(r + 2, rows)):
+            for x in range(max(c - 1, 0), min(c + 2, cols)):
+                w = max(low[y, x], v + eps)
+                if w < level.get((y, x), math.inf):
+                    level[y, x] = w
+                    heapq.heappush(heap, (w, (y, x)))
+    return np.array([[level[r, c] for c in range(cols)] for r in range(rows)])
+
+
+@pytest.mark.parametrize("eps", [0.0, 1e-3])
+def test_fill_is_a_heap_fill_whatever_the_tiles(spark, eps):
+    rng = np.random.default_rng(12)
+    rough = rng.random((23, 31)) * 10
+    rough[5:8, 9:12] = np.nan
+    bowl = np.full((40, 40), 50.0) + rng.random((40, 40))  # a pit wider than a tile, with a gap in its rim
+    bowl[4:36, 4:36] = 5 + rng.random((32, 32))
+    bowl[0:5, 20] = 30.0
+    steps = np.round(rng.random((20, 20)) * 3)  # ties
+    for z, tile in ((rough, 4), (rough, 64), (bowl, 8), (steps, 7)):
+        got = back(H.fill_depressions(grid(spark, z).withColumn("z", F.nanvl("z", F.lit(None).cast("double"))), eps=eps, tile=tile), "filled", z.shape)
+        assert np.allclose(got, heap_fill(z, eps), atol=1e-9)
+    if not eps:
+        assert back(H.fill_depressions(grid(spark, bowl), tile=8), "filled", bowl.shape)[20, 20] == 30.0
+
+
+def test_barriers_take_a_logarithm_of_rounds(spark):
+    from perilframe.operators.forest import least_barriers
+
+    rng = np.random.default_rng(3)
+    n = 600  # a chain, which takes as many steps as it has nodes, and side ways
+    edges = [(i, i + 1, float(rng.integers(1, 50))) for i in range(n)] + [(int(a), int(b), float(rng.integers(1, 50))) for a, b in rng.integers(0, n, (60, 2))] + [(n, -1, 7.0), (9_000, 9_001, 1.0)]
+    got, rounds = least_barriers(spark.createDataFrame(edges, "a long, b long, w double"))
+    near, best, heap = {}, {}, [(-math.inf, -1)]
+    for a, b, w in edges:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    while heap:
+        v, a = heapq.heappop(heap)
+        if a not in best:
+            best[a] = v
+            for b, w in near[a]:
+                heapq.heappush(heap, (max(v, w), b))
+    del best[-1]
+    assert {r.node: r.level for r in got.collect()} == best
+    assert rounds <= math.log2(n) + 1
