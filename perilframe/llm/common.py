@@ -52,7 +52,17 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     path = shared_path(spark, name)
     schema = df.schema
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that a later one has taken the place of."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(frames: Iterator[pd.DataFrame], text: str = "text", limit: int = BATCH_CHARS) -> Iterator[pd.DataFrame]:

@@ -3,8 +3,8 @@
 What is sorted
     Texts are read as units that end at places which their own bytes choose, each with the MATCH - 1 bytes
     after it, so that every MATCH-byte string starts in one unit. Every such string has an anchor, the
-    least hash among its GRAM-byte substrings; a string whose anchor no other place has, in a unit that no
-    other place has, occurs once and goes no further. Of units that are equal the first is sorted, the
+    least hash among its GRAM-byte substrings; a string whose anchor is at no other place of any unit, and in a
+    unit that is at no other place, occurs once and goes no further. Of units that are equal the first is sorted, the
     others are repeats. Filters keep too much at worst.
 
 How it is sorted
@@ -37,9 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perilframe.llm import sketch
-from perilframe.llm.common import checkpointing, gram_hashes, mix, signed, slices, small_batches, stored
+from perilframe.llm.common import checkpointing, discard, gram_hashes, mix, signed, slices, small_batches, stored
 
-MATCH, GRAM, SYMBOL = 100, 64, 12
+MATCH, GRAM, SYMBOL = 100, 48, 12
 #: Places between two ends of units that bytes choose, at least; windows of a unit, at most; bytes of a text read at once.
 APART, UNIT, PIECE = 128, 4096, 1 << 20
 #: Windows of a block; things of a range, about; samples of a range.
@@ -129,14 +129,14 @@ class Units:
     def short_keys(self) -> np.ndarray:
         return np.frombuffer(b"".join(self.keys), np.uint64)[::2] if self.keys else np.zeros(0, np.uint64)
 
-    def unit_anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, a number for its place in the unit's bytes) of every anchor that a window of a unit may have."""
-        a = np.searchsorted(self.anchors, self.at)
-        z = np.searchsorted(self.anchors, self.at + self.windows + MATCH - GRAM)
-        n = z - a
-        i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-        off = (self.anchors[i] - np.repeat(self.at, n)).astype(np.uint64)
-        return self.anchor_hashes[i], mix(np.repeat(self.short_keys(), n) + off * np.uint64(0x9E3779B97F4A7C15))
+    def owners(self) -> np.ndarray:
+        """The unit that each anchor stands in; those after a text's last window stand in its last unit."""
+        return np.searchsorted(self.at, self.anchors, side="right") - 1
+
+    def anchor_places(self) -> np.ndarray:
+        """A number for each anchor's place in its unit's bytes."""
+        k = self.owners()
+        return mix(self.short_keys()[k] + (self.anchors - self.at[k]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _encoded(frame: pd.DataFrame) -> list[bytes]:
@@ -153,7 +153,7 @@ def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in slices(frames):
         doc, tie = (frame[c].to_numpy(np.int64).view(np.uint64) for c in ("doc", "tie"))
         u = Units(_encoded(frame))
-        t, x = u.unit_anchors()
+        t, x = u.anchor_hashes, u.anchor_places()
         place = mix(mix(doc[u.text] ^ mix(tie[u.text])) + u.start.astype(np.uint64))
         yield pd.DataFrame({"t": signed(np.r_[t, _once(u.short_keys())]), "x": signed(np.r_[x, place])})
 
@@ -170,15 +170,15 @@ def _suspects(live: sketch.Filter):
             u = Units(_encoded(frame))
             if not len(u.at):
                 continue
-            # A window is suspect if its least place is an anchor that is elsewhere, too.
+            # A window is suspect if its least place is an anchor that is elsewhere, too, or in a unit that is.
+            again = live.has(signed(_once(u.short_keys())))
             shared = np.full(len(u.half), _TOP)
-            hit = u.anchors[live.has(signed(u.anchor_hashes))]
+            hit = u.anchors[live.has(signed(u.anchor_hashes)) | again[u.owners()]]
             shared[hit] = u.half[hit]
             may = np.zeros(len(shared), bool)
             may[: len(shared) - SPAN + 1] = sliding(shared, SPAN, np.minimum) == u.least[: len(shared) - SPAN + 1]
             where = np.flatnonzero(may)
             a, z = np.searchsorted(where, u.at), np.searchsorted(where, u.at + u.windows)
-            again = live.has(signed(_once(u.short_keys())))
             some = np.flatnonzero(again | (z > a))
             where = np.r_[where, 0]
             first = np.where(again, u.at, where[a])[some]
@@ -409,7 +409,9 @@ def _exchange(blocks: DataFrame, ask: Callable, reply: Callable, settle: Callabl
 
     answers = blocks.mapInPandas(send, _ASKED).groupBy("r").applyInPandas(answer, _ANSWER)
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema.fields if f.name not in drop)
-    return stored(blocks.groupBy("b").cogroup(answers.groupBy("b")).applyInPandas(take, f"{kept}, {column} binary"), column)
+    out = stored(blocks.groupBy("b").cogroup(answers.groupBy("b")).applyInPandas(take, f"{kept}, {column} binary"), column)
+    discard(blocks)
+    return out
 
 
 def _named(blocks: DataFrame, keys: Callable[[Block, pd.Series], np.ndarray], width: int, column: str, ranges: int, count: int) -> DataFrame:
@@ -537,15 +539,18 @@ def _repeated(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeats(docs: DataFrame, block: int = BLOCK, size: int = RANGE) -> DataFrame:
     """(doc, tie, start, end): spans of bytes, in no order and with overlaps, that together are all that ``cut`` removes; docs has doc, tie and text."""
     found = docs.mapInPandas(_places, "t long, x long").groupBy("t").agg(F.min("x").alias("x"), F.max("x").alias("y")).where("x <> y").select("t")
-    live = sketch.Filter(stored(found, "anchors"), "t")
+    found = stored(found, "anchors")
+    live = sketch.Filter(found, "t")
     units = stored(docs.mapInPandas(_suspects(live), _UNIT), "units")
     live.drop()
+    discard(found)
     firsts = units.groupBy("key").agg(F.min(F.struct("doc", "tie", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
     own = F.struct("doc", "tie", "start")
     copies = units.select("key", "doc", "tie", "start", "windows").join(firsts.where("n > 1"), "key").where(own != F.col("first"))
-    copies = copies.select("doc", "tie", "start", (F.col("start") + F.col("windows") + MATCH - 1).alias("end"))
+    copies = stored(copies.select("doc", "tie", "start", (F.col("start") + F.col("windows") + MATCH - 1).alias("end")), "copies")
     one = units.groupBy("key").agg(F.min(F.struct("doc", "tie", "start", "windows", "body")).alias("u")).select("u.*")
     blocks = stored(one.repartitionByRange("doc", "tie", "start").sortWithinPartitions("doc", "tie", "start").mapInPandas(partial(_packed, most=block), _BLOCK), "blocks")
+    discard(units)
     whole = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("body")).alias("bytes")).first()
     if not whole["n"]:
         return copies
