@@ -148,37 +148,90 @@ def _month_first(m: Column, tag: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(64)), moved(m), lambda x, _: F.when(F.substring(x, 4, 2) > "12", x).otherwise(moved(x)))
 
 
+#: Groups that a card number has at most, digits that it has, and readings that a sweep keeps in one array.
+_GROUPS, _LEAST, _MOST, _SWEEP = 19, 13, 19, 512
+
+
+def _readings(groups: Column) -> Column:
+    """For each group, the valid card numbers of whole groups that begin there: (i, j, text, odd, digits); odd ones aren't written as cards are."""
+    usual = lambda text: text.rlike(r"^(?:\d+|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5})$")
+
+    def entry(i: Column, j: Column) -> Column:
+        text = F.regexp_replace(F.array_join(F.slice(groups, i, j - i + 1), ""), "[ -]$", "")
+        return _let(text, lambda t: F.struct(i.alias("i"), j.alias("j"), t.alias("text"), (~usual(t)).alias("odd"), F.length(_digits(t)).alias("digits")))
+
+    def begun(lengths: Column, i: Column) -> Column:
+        start = F.struct(F.lit(0).alias("n"), F.filter(F.array(i), lambda x: F.lit(False)).alias("at"))
+        step = lambda s, j: _let(s["n"] + F.get(lengths, j - 1), lambda n: F.struct(n.alias("n"), F.when(n.between(_LEAST, _MOST), F.concat(s["at"], F.array(j))).otherwise(s["at"]).alias("at")))
+        ends = F.aggregate(F.sequence(i, F.least(F.size(groups), i + _GROUPS - 1)), start, step, lambda s: s["at"])
+        return F.filter(F.transform(ends, lambda j: entry(i, j)), lambda c: _luhn(_digits(c["text"]), False) == 0)
+
+    lengths = F.transform(groups, lambda g: F.length(_digits(g)))
+    return _let(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.size(groups)), lambda i: begun(n, i)))
+
+
+def _swept(items: Column) -> Column:
+    """Of readings in order, each that begins after the last one taken ends."""
+    one = lambda s, c: F.when(c["i"] > s["last"], F.struct(c["j"].alias("last"), F.concat(s["out"], F.array(c)).alias("out"))).otherwise(s)
+    none = F.filter(items, lambda c: F.lit(False))
+    some = lambda k: F.slice(items, k * _SWEEP + 1, _SWEEP)
+    part = lambda last, k: F.aggregate(some(k), F.struct(last.alias("last"), none.alias("out")), one)
+    step = lambda s, k: _let(part(s["last"], k), lambda r: F.struct(r["last"].alias("last"), F.concat(s["out"], F.array(r["out"])).alias("out")))
+    start = F.struct(F.lit(0).alias("last"), F.filter(F.array(items), lambda c: F.lit(False)).alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(items) / _SWEEP).cast("int")), start, step, lambda s: F.flatten(s["out"]))
+
+
+def _ends(taken: Column) -> Column:
+    """0, and where each of the readings taken ends."""
+    return F.concat(F.array(F.lit(0)), F.transform(taken, lambda t: t["j"]))
+
+
+def _covered(taken: Column, n: Column) -> Column:
+    """Whether each of n groups is in one of the readings taken, which are in order and apart."""
+    marks = lambda ends: F.concat(
+        F.flatten(F.transform(taken, lambda t, k: F.concat(F.array_repeat(F.lit(False), t["i"] - F.get(ends, k) - 1), F.array_repeat(F.lit(True), t["j"] - t["i"] + 1)))),
+        F.array_repeat(F.lit(False), n - F.get(ends, F.size(taken))),
+    )
+    return _let(_ends(taken), marks)
+
+
+def _taken(found: Column, n: Column) -> Column:
+    """Readings that don't overlap, in order: those written as cards are go first, then the longest, then the first. A sweep for each kind."""
+
+    def step(taken: Column, k: Column) -> Column:
+        kind = lambda c: (c["odd"] == (k >= _MOST - _LEAST + 1)) & (c["digits"] == _MOST - F.pmod(k, F.lit(_MOST - _LEAST + 1)))
+        free = lambda marks: F.filter(found, lambda c: kind(c) & ~F.exists(F.slice(marks, c["i"], c["j"] - c["i"] + 1), lambda x: x))
+        more = _let(_covered(taken, n), lambda marks: _let(free(marks), _swept))
+        return F.when(F.exists(found, kind), F.array_sort(F.concat(taken, more))).otherwise(taken)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(2 * (_MOST - _LEAST + 1) - 1)), F.filter(found, lambda c: F.lit(False)), step)
+
+
 def _cards(m: Column, tag: Column) -> Column:
     """(text, n) of a run of digit groups with its n valid card numbers replaced; text is null without any.
 
-    Those written as cards are go first, then the longest. What another reading of that kind has beside
-    them is permuted, too: one reading in ten is valid by chance, and no part of a real one may stay.
+    What another reading that is written as a card has beside them is permuted, too: one reading in ten is
+    valid by chance, and no part of a real one may stay. Work goes with the number of groups.
     """
-    groups = F.regexp_extract_all(m, F.lit(r"(\d+[ -]?)"), F.lit(1))
-    run = lambda i, j: F.array_join(F.slice(groups, i, j - i + 1), "")
-    usual = lambda text: text.rlike(r"^(?:\d+|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5})$")
-    bare = lambda text: F.regexp_replace(text, "[ -]$", "")
-    entry = lambda i, j: F.struct((~usual(bare(run(i, j)))).alias("odd"), (-F.length(_digits(run(i, j)))).alias("less"), i.alias("i"), j.alias("j"), bare(run(i, j)).alias("text"))
-    valid = lambda c: c["less"].between(-19, -13) & (_luhn(_digits(c["text"]), False) == 0)
-    from_ = lambda i: F.filter(F.transform(F.sequence(i, F.least(F.size(groups), i + 18)), lambda j: entry(i, j)), valid)
-    found = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(1), F.size(groups)), from_)))
-    free = lambda a, c: ~F.exists(a, lambda x: (x["i"] <= c["j"]) & (c["i"] <= x["j"]))
-    taken = F.aggregate(found, F.filter(found, lambda c: F.lit(False)), lambda a, c: F.when(free(a, c), F.concat(a, F.array(c))).otherwise(a))
 
     def renewed(c: Column) -> Column:
-        body = permuted(F.substring(_digits(c), F.lit(1), F.length(_digits(c)) - 1), tag)
-        return _refilled(c, _let(body, lambda x: F.concat(x, F.pmod(F.lit(10) - _luhn(x, True), F.lit(10)).cast("string"))))
+        body = lambda d: permuted(F.substring(d, F.lit(1), F.length(d) - 1), tag)
+        return _refilled(c, _let(_let(_digits(c), body), lambda x: F.concat(x, F.pmod(F.lit(10) - _luhn(x, True), F.lit(10)).cast("string"))))
 
-    def text(chosen: Column) -> Column:
-        def at(group: Column, p: Column) -> Column:
-            c = F.get(F.filter(chosen, lambda x: (x["i"] <= p + 1) & (p + 1 <= x["j"])), F.lit(0))
-            new = F.when(c["i"] == p + 1, renewed(c["text"])).otherwise(F.lit(""))
-            also = F.exists(found, lambda x: ~x["odd"] & (x["i"] <= p + 1) & (p + 1 <= x["j"]))
-            return F.when(c.isNull() & also, permuted(group, tag)).when(c.isNull(), group).otherwise(F.concat(new, F.when(c["j"] == p + 1, F.regexp_extract(group, "([ -]?)$", 1)).otherwise(F.lit(""))))
+    def text(groups: Column, last: Column, taken: Column) -> Column:
+        seen = lambda p: F.exists(F.slice(last, F.greatest(p - _GROUPS + 1, F.lit(1)), F.least(p, F.lit(_GROUPS))), lambda j: j >= p)
+        gap = lambda a, z: F.transform(F.slice(groups, a, F.greatest(z - a + 1, F.lit(0))), lambda g, k: F.when(seen(a + k), permuted(g, tag)).otherwise(g))
+        card = lambda t: F.concat(renewed(t["text"]), F.regexp_extract(F.get(groups, t["j"] - 1), "([ -]?)$", 1))
+        pieces = lambda ends: F.concat(F.flatten(F.transform(taken, lambda t, k: F.concat(gap(F.get(ends, k) + 1, t["i"] - 1), F.array(card(t))))), gap(F.get(ends, F.size(taken)) + 1, F.size(groups)))
+        return F.array_join(_let(_ends(taken), pieces), "")
 
-        return F.array_join(F.transform(groups, at), "")
+    def found(groups: Column, readings: Column) -> Column:
+        last = F.transform(readings, lambda a: F.coalesce(F.array_max(F.transform(F.filter(a, lambda c: ~c["odd"]), lambda c: c["j"])), F.lit(0)))
+        chosen = lambda last: _let(_let(F.flatten(readings), lambda every: _taken(every, F.size(groups))), lambda t: F.struct(F.when(F.size(t) > 0, text(groups, last, t)).alias("text"), F.size(t).alias("n")))
+        return _let(last, chosen)
 
-    return F.get(F.transform(F.array(taken), lambda c: F.struct(F.when(F.size(c) > 0, text(c)).alias("text"), F.size(c).alias("n"))), F.lit(0))
+    groups = F.regexp_extract_all(m, F.lit(r"(\d+[ -]?)"), F.lit(1))
+    return _let(groups, lambda g: _let(_readings(g), lambda r: found(g, r)))
 
 
 def pseudonym(m: Column, key: str) -> Column:
