@@ -4,8 +4,8 @@ What is sorted
     Texts are read as units that end at places which their own bytes choose, each with the MATCH - 1 bytes
     after it, so that every MATCH-byte string starts in one unit. Every such string has an anchor, the
     least hash among its GRAM-byte substrings; a string whose anchor is at no other place of any unit, and in a
-    unit that is at no other place, occurs once and goes no further. Of units that are equal the first is sorted, the
-    others are repeats. Filters keep too much at worst.
+    unit that is at no other place, occurs once and goes no further. Of equal units, and of
+    equal runs of what is left in them, the first is sorted and the others are repeats. Filters keep too much at worst.
 
 How it is sorted
     Units lie in blocks. Places whose number in their unit isn't divisible by three are the sample, and of
@@ -162,7 +162,7 @@ _UNIT = "key binary, doc long, tie long, start long, windows long, body binary"
 
 
 def _suspects(live: sketch.Filter):
-    """Units that may hold a repeated string, from the first window to the last that may start one."""
+    """Units that are elsewhere, too (without body), and runs of windows that may have their like in another unit (with it)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames):
@@ -170,28 +170,39 @@ def _suspects(live: sketch.Filter):
             u = Units(_encoded(frame))
             if not len(u.at):
                 continue
-            # A window is suspect if its least place is an anchor that is elsewhere, too, or in a unit that is.
             again = live.has(signed(_once(u.short_keys())))
-            shared = np.full(len(u.half), _TOP)
-            hit = u.anchors[live.has(signed(u.anchor_hashes)) | again[u.owners()]]
-            shared[hit] = u.half[hit]
-            may = np.zeros(len(shared), bool)
-            may[: len(shared) - SPAN + 1] = sliding(shared, SPAN, np.minimum) == u.least[: len(shared) - SPAN + 1]
-            where = np.flatnonzero(may)
-            a, z = np.searchsorted(where, u.at), np.searchsorted(where, u.at + u.windows)
-            some = np.flatnonzero(again | (z > a))
-            where = np.r_[where, 0]
-            first = np.where(again, u.at, where[a])[some]
-            last = np.where(again, u.at + u.windows - 1, where[np.maximum(z - 1, 0)])[some]
-            if len(some):
-                yield pd.DataFrame({
-                    "key": [u.keys[k] for k in some], "doc": doc[u.text[some]], "tie": tie[u.text[some]], "start": u.start[some] + first - u.at[some], "windows": last - first + 1,
-                    "body": [u.bytes[p : q + MATCH] for p, q in zip(first.tolist(), last.tolist())],
-                })
+            i = np.flatnonzero(again)
+            if len(i):
+                yield pd.DataFrame({"key": [u.keys[k] for k in i], "doc": doc[u.text[i]], "tie": tie[u.text[i]], "start": u.start[i], "windows": u.windows[i], "body": None})
+            # A window is suspect if its anchor is in another unit, too, or stands in the next unit and that is elsewhere.
+            owner = u.owners()
+            tail = np.zeros(len(u.half), bool)
+            for e in (u.at + u.windows)[:-1][again[1:]].tolist():
+                tail[max(0, e - SPAN) : e] = True
+            may = _anchored_by(u, u.anchors[live.has(signed(u.anchor_hashes))]) | tail & _anchored_by(u, u.anchors[again[owner]])
+            first, end = _runs(may)
+            more = -(-(end - first) // UNIT)
+            step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+            at = np.repeat(first, more) + step * UNIT
+            to = np.minimum(np.repeat(end, more), at + UNIT)
+            if len(at):
+                k = np.searchsorted(u.at, at, side="right") - 1
+                bodies = [u.bytes[p : q + MATCH - 1] for p, q in zip(at.tolist(), to.tolist())]
+                keys = [hashlib.blake2b(x, digest_size=16, key=b"run").digest() for x in bodies]
+                yield pd.DataFrame({"key": keys, "doc": doc[u.text[k]], "tie": tie[u.text[k]], "start": u.start[k] + at - u.at[k], "windows": to - at, "body": bodies})
 
     return run
 
 
+def _anchored_by(u: Units, anchors: np.ndarray) -> np.ndarray:
+    """The windows whose anchor is one of these."""
+    chosen = np.full(len(u.half), _TOP)
+    chosen[anchors] = u.half[anchors]
+    out = np.zeros(len(chosen), bool)
+    out[: len(chosen) - SPAN + 1] = sliding(chosen, SPAN, np.minimum) == u.least[: len(chosen) - SPAN + 1]
+    return out
+
+
 # --- blocks ------------------------------------------------------------------------------------------
 
 _BLOCK = "b long, body binary, windows binary, doc binary, tie binary, start binary"
@@ -548,7 +559,7 @@ def repeats(docs: DataFrame, block: int = BLOCK, size: int = RANGE) -> DataFrame
     own = F.struct("doc", "tie", "start")
     copies = units.select("key", "doc", "tie", "start", "windows").join(firsts.where("n > 1"), "key").where(own != F.col("first"))
     copies = stored(copies.select("doc", "tie", "start", (F.col("start") + F.col("windows") + MATCH - 1).alias("end")), "copies")
-    one = units.groupBy("key").agg(F.min(F.struct("doc", "tie", "start", "windows", "body")).alias("u")).select("u.*")
+    one = units.where("body is not null").groupBy("key").agg(F.min(F.struct("doc", "tie", "start", "windows", "body")).alias("u")).select("u.*")
     blocks = stored(one.repartitionByRange("doc", "tie", "start").sortWithinPartitions("doc", "tie", "start").mapInPandas(partial(_packed, most=block), _BLOCK), "blocks")
     discard(units)
     whole = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("body")).alias("bytes")).first()
