@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perilframe import dims
 from perilframe.operators.chains import list_ranks
 from perilframe.operators.iterate import stored
+from perilframe.operators.reach import reach_within_budget  # noqa: F401  part of this module's interface
 
 _ST, _SE, _RHO = 0.0555, 0.010, 32.0
 
@@ -115,23 +114,6 @@ def travel_cost_edges(cells: DataFrame, res: float, wind_dir: float) -> DataFram
     return edges.join(cells.select(F.col("row").alias("row2"), F.col("col").alias("col2")), ["row2", "col2"], "left_semi").select("row", "col", "row2", "col2", "minutes")
 
 
-def reach_within_budget(edges: DataFrame, sources: DataFrame, budget: float) -> DataFrame:
-    """(source_id, row, col, arrival): the earliest arrival within a budget of minutes, for many sources at once.
-
-    Rounds of joining the cells that improved with the edges, until none does; each is written out, and
-    one count a round comes to the driver.
-    """
-    edges = stored(edges, "edges")
-    best = stored(sources.select("source_id", "row", "col", F.lit(0.0).alias("arrival"), F.lit(0).alias("round")), "reach")
-    for n in count(1):
-        front = best.where(F.col("round") == n - 1)
-        moved = front.join(edges, ["row", "col"]).select("source_id", F.col("row2").alias("row"), F.col("col2").alias("col"), (F.col("arrival") + F.col("minutes")).alias("arrival"), F.lit(n).alias("round"))
-        both = best.unionByName(moved.where(F.col("arrival") <= budget))
-        best = stored(both.groupBy("source_id", "row", "col").agg(F.min(F.struct("arrival", "round")).alias("m")).select("source_id", "row", "col", "m.arrival", "m.round"), "reach")
-        if not best.where(F.col("round") == n).limit(1).count():
-            return best.drop("round")
-
-
 def exposure_from_runs(runs: DataFrame) -> DataFrame:
     """(row, col): the share of all runs that reach a cell, and the median and 90th percentile of arrival."""
     n = runs.agg(F.count_distinct("run_id").alias("n_runs"))

@@ -419,3 +419,38 @@ def test_barriers_take_a_logarithm_of_rounds(spark):
     del best[-1]
     assert {r.node: r.level for r in got.collect()} == best
     assert rounds <= math.log2(n) + 1
+
+
+def test_reach_by_buckets_and_tiles(spark):
+    from perilframe.operators.reach import reach
+
+    def layer(n):
+        rng = np.random.default_rng(n)
+        rate = 2.0 + 30 * rng.random((n, n))
+        rate[n // 3, : 2 * n // 3] = 0  # a wall, around which ways turn back
+        return spark.createDataFrame([(r, c, float(rate[r, c])) for r in range(n) for c in range(n)], "row int, col int, rate double")
+
+    work = {}
+    for n, delta in ((10, 8.0), (20, 8.0)):
+        edges = X.travel_cost_edges(layer(n), 20.0, 225.0).cache()
+        sources = spark.createDataFrame([("a", 0, 0), ("b", n - 1, 3), ("c", n // 2, n // 2)], "source_id string, row int, col int")
+        got, told = reach(edges, sources, 24.0, delta, tile=5)
+        got = {tuple(r)[:3]: r.arrival for r in got.collect()}
+        near = {}
+        for e in edges.collect():
+            near.setdefault((e.row, e.col), []).append((e.row2, e.col2, e.minutes))
+        want = {}
+        for s, *start in sources.collect():
+            heap = [(0.0, tuple(start))]
+            while heap:
+                t, rc = heapq.heappop(heap)
+                if t <= 24 and (s, *rc) not in want:
+                    want[(s, *rc)] = t
+                    for r, c, m in near.get(rc, ()):
+                        heapq.heappush(heap, (t + m, (r, c)))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert told["settled"] == len(want) and told["buckets"] <= 9
+        work[n, delta] = told["solved"] / told["settled"]
+    assert work[20, 8.0] < 1.5 * work[10, 8.0] + 0.5  # work goes with the cells reached
+    none = spark.createDataFrame([], "source_id string, row int, col int")
+    assert X.reach_within_budget(edges, none, 5.0).count() == 0
