@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from perilframe.operators.iterate import discard, stored
 
 #: Rows and columns of a tile, sources that a task takes with it, and buckets of a budget unless told otherwise.
-TILE, SOURCES, BUCKETS = 64, 64, 8
+TILE, SOURCES, BUCKETS = 64, 64, 4
 
 
 def reach_within_budget(edges: DataFrame, sources: DataFrame, budget: float, delta: float | None = None, tile: int = TILE) -> DataFrame:
@@ -20,8 +20,8 @@ def reach_within_budget(edges: DataFrame, sources: DataFrame, budget: float, del
     return reach(edges, sources, budget, delta, tile)[0]
 
 
-def reach(edges: DataFrame, sources: DataFrame, budget: float, delta: float | None = None, tile: int = TILE) -> tuple[DataFrame, dict[str, int]]:
-    """The arrivals, and the numbers of buckets, of steps in them, and of cells solved (``solved``) and settled.
+def reach(edges: DataFrame, sources: DataFrame, budget: float, delta: float | None = None, tile: int = TILE, tell: bool = False) -> tuple[DataFrame, dict[str, int]]:
+    """The arrivals, and the numbers of buckets, of steps in them, and, to ``tell``, of cells solved (``solved``) and settled.
 
     edges has row, col, row2, col2 and minutes, not negative; sources source_id, row and col. Time goes on in buckets
     of ``delta`` minutes (the budget over BUCKETS). In a bucket, each tile that something enters is solved whole, by a
@@ -92,9 +92,10 @@ def reach(edges: DataFrame, sources: DataFrame, budget: float, delta: float | No
             known = best.select(*at, F.col("arrival").alias("_known"))
             seeds = stored(unsettled(within.join(known, at, "left").where("_known is null or arrival < _known").drop("_known")), "seeds")
         discard(seeds)
-        told["solved"] += sum(p.where("inside").count() for p in passed)
         settled.append(stored(unsettled(best), "settled"))
-        told["settled"] += settled[-1].count()
+        if tell:
+            told["solved"] += sum(p.where("inside").count() for p in passed)
+            told["settled"] += settled[-1].count()
         new = stored(unsettled(least(union(later))), "pending")
         discard(pending, best, *passed)
         pending = new

@@ -102,7 +102,12 @@ def _(i):
     return _edges(i).select("row", "col", "row2", "col2", F.round("minutes", 5).alias("minutes"))
 
 
-@query("fire7_reach_within_budget")
+#: Every cell's least arrival in each number of steps, until the budget ends all ways.
+_REACH = f"""WITH RECURSIVE {_FIRE[5:]}, {_EDGES}, src AS (SELECT DISTINCT row * 50 + col AS source_id, row, col FROM e), r(k, source_id, row, col, t) AS (SELECT 0, source_id, row, col, 0.0::DOUBLE FROM src UNION ALL SELECT max(r.k) + 1, r.source_id, e.row2, e.col2, min(r.t + e.minutes) FROM r JOIN e ON e.row = r.row AND e.col = r.col WHERE r.t + e.minutes <= 4 GROUP BY r.source_id, e.row2, e.col2)
+ SELECT source_id, row, col, round(min(t), 5) AS arrival FROM r GROUP BY 1, 2, 3"""
+
+
+@query("fire7_reach_within_budget", _REACH)
 def _(i):
     edges = _edges(i)
     sources = edges.select((F.col("row") * 50 + F.col("col")).alias("source_id"), "row", "col").distinct()

@@ -434,7 +434,7 @@ def test_reach_by_buckets_and_tiles(spark):
     for n, delta in ((10, 8.0), (20, 8.0)):
         edges = X.travel_cost_edges(layer(n), 20.0, 225.0).cache()
         sources = spark.createDataFrame([("a", 0, 0), ("b", n - 1, 3), ("c", n // 2, n // 2)], "source_id string, row int, col int")
-        got, told = reach(edges, sources, 24.0, delta, tile=5)
+        got, told = reach(edges, sources, 24.0, delta, tile=5, tell=True)
         got = {tuple(r)[:3]: r.arrival for r in got.collect()}
         near = {}
         for e in edges.collect():
