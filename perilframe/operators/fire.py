@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from perilframe import dims
 from perilframe.operators.chains import list_ranks
 from perilframe.operators.iterate import stored
+from perilframe.operators.quantiles import exact_percentiles
 from perilframe.operators.reach import reach_within_budget  # noqa: F401  part of this module's interface
 
 _ST, _SE, _RHO = 0.0555, 0.010, 32.0
@@ -117,7 +118,7 @@ def travel_cost_edges(cells: DataFrame, res: float, wind_dir: float) -> DataFram
 def exposure_from_runs(runs: DataFrame) -> DataFrame:
     """(row, col): the share of all runs that reach a cell, and the median and 90th percentile of arrival."""
     n = runs.agg(F.count_distinct("run_id").alias("n_runs"))
-    each = runs.groupBy("row", "col").agg(F.count("toa").alias("reached"), F.percentile("toa", F.lit(0.5)).alias("p50"), F.percentile("toa", F.lit(0.9)).alias("p90"))
+    each = runs.groupBy("row", "col").agg(F.count("toa").alias("reached")).join(exact_percentiles(runs, "toa", {"p50": 0.5, "p90": 0.9}, ("row", "col")), ["row", "col"], "left")
     return each.crossJoin(F.broadcast(n)).select("row", "col", (F.col("reached") / F.col("n_runs")).alias("burn_probability"), "p50", "p90")
 
 
@@ -218,8 +219,9 @@ def parcels_reached(places: DataFrame, limits: tuple[int, ...] = (30, 60)) -> Da
 
 def property_exposure(places: DataFrame, cells: DataFrame) -> DataFrame:
     """places (parcel_id, row, col) with arrival p50 (the layer's median if unreached), p90 and ember exposure."""
-    whole = cells.agg(F.percentile("toa", F.lit(0.5)).alias("_median"), F.avg(F.when(F.col("intensity") > 0, F.col("intensity"))).alias("_mean"))
-    df = places.join(cells.select("row", "col", "toa", "intensity"), ["row", "col"], "left").crossJoin(F.broadcast(whole))
+    median = exact_percentiles(cells, "toa", {"_median": 0.5})
+    whole = cells.agg(F.avg(F.when(F.col("intensity") > 0, F.col("intensity"))).alias("_mean"))
+    df = places.join(cells.select("row", "col", "toa", "intensity"), ["row", "col"], "left").crossJoin(F.broadcast(whole.join(median, how="left")))  # one row
     p50 = F.coalesce("toa", "_median")
     return df.select("parcel_id", p50.alias("arrival_p50"), (p50 * 1.3).alias("arrival_p90"), F.least(F.lit(1.0), F.coalesce("intensity", "_mean", F.lit(0.0)) / 500).alias("ember_exposure"))
 

@@ -2,27 +2,63 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perilframe.operators.attribution import controllable_points, top_mitigations, top_risks
+from perilframe.operators.iterate import stored
 from perilframe.operators.mitigation import mitigation_total, with_metrics
 from perilframe.operators.scoring import components, risk_category
 
 
+#: Characters of a gram, and grams of a text that are looked up: the rarest ones.
+GRAM, RAREST = 3, 3
+
+
+def _grams(text: str, n: int) -> Column:
+    """The distinct runs of n characters of a text; none of a shorter one."""
+    each = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(F.col(text), i, F.lit(n)))
+    return F.array_distinct(F.when(F.length(text) >= n, each).otherwise(F.array().cast("array<string>")))
+
+
+def first_containing(texts: DataFrame, hay: DataFrame) -> DataFrame:
+    """(text, id) of distinct texts: the least id of hay (id, hay) whose hay contains the text; texts in none are left out.
+
+    An inverted index: the grams of hay that some text has, with their ids. A text's rarest grams are
+    intersected, and what holds them all is compared with the text itself. Texts shorter than a gram
+    are looked up among runs of their own length, of which the least id is enough. Equal hays are taken once.
+    """
+    held = hay.where("hay is not null").groupBy("hay").agg(F.min("id").alias("id"))
+    texts = texts.select("text").distinct()
+    found = []
+    for n in range(1, GRAM + 1):  # of these a gram is the whole text
+        short = texts.where(F.length("text") == n)
+        least = held.select("id", F.explode(_grams("hay", n)).alias("text")).join(short, "text", "left_semi").groupBy("text").agg(F.min("id").alias("id"))
+        found.append(least)
+    parts = texts.where(F.length("text") > GRAM).select("text", F.explode(_grams("text", GRAM)).alias("gram"))
+    postings = stored(held.select("id", F.explode(_grams("hay", GRAM)).alias("gram")).join(parts.select("gram").distinct(), "gram", "left_semi"), "postings")
+    rarity = parts.join(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left")
+    order = Window.partitionBy("text").orderBy(F.coalesce("n", F.lit(0)), "gram")
+    chosen = rarity.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= RAREST)
+    count = chosen.groupBy("text").agg(F.count(F.lit(1)).alias("grams"), F.count("n").alias("known")).where("grams = known")
+    met = chosen.join(count, "text").join(postings, "gram").groupBy("text", "id", "grams").agg(F.count(F.lit(1)).alias("n")).where("n = grams")
+    verified = met.join(held, "id").where(F.col("hay").contains(F.col("text"))).groupBy("text").agg(F.min("id").alias("id"))
+    return reduce(DataFrame.unionByName, [*found, verified])
+
+
 def resolve_property(requests: DataFrame, properties: DataFrame) -> DataFrame:
-    """(request_id, parcel_id) by id, else the least id whose address and name contain the request's text.
+    """(request_id, parcel_id) by id, else the least id whose address and name contain the request's text, in any case.
 
-    requests has request_id, parcel_id and text; texts that ids leave over are few words typed by
-    hand, so they are compared as distinct texts.
+    requests has request_id, parcel_id and text; empty and missing texts find nothing.
     """
     known = properties.select(F.col("parcel_id").alias("found"))
     by_id = requests.join(known, F.col("parcel_id") == F.col("found"), "left")
     hit = by_id.where("found is not null").select("request_id", F.col("found").alias("resolved_id"))
     open_ = by_id.where("found is null").select("request_id", F.lower("text").alias("text"))
-    texts = open_.where("text is not null and text <> ''").select("text").distinct()
-    hay = properties.select(F.col("parcel_id").alias("resolved_id"), F.lower(F.concat_ws(" ", "address", "name")).alias("hay"))
-    match = hay.join(texts, F.col("hay").contains(F.col("text"))).groupBy("text").agg(F.min("resolved_id").alias("resolved_id"))
+    hay = properties.select(F.col("parcel_id").alias("id"), F.lower(F.concat_ws(" ", "address", "name")).alias("hay"))
+    match = first_containing(open_.where("text is not null and text <> ''"), hay).withColumnRenamed("id", "resolved_id")
     return hit.unionByName(open_.join(match, "text", "left").select("request_id", "resolved_id"))
 
 

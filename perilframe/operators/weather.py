@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perilframe.operators.quantiles import exact_percentiles
+
 KINDS = ["TMAX", "TMIN", "AWND", "WSF2", "WDF2", "PRCP"]
 
 
@@ -47,12 +49,13 @@ def wind_sector(direction: Column, sectors: int = 16) -> Column:
 def wind_rose(df: DataFrame, sectors: int = 16) -> DataFrame:
     """Share and speed quantiles of each sector; sectors without wind are 0."""
     known = df.where("wind_dir_deg is not null and wind_speed_mph is not null").withColumn("sector", wind_sector(F.col("wind_dir_deg"), sectors))
-    each = known.groupBy("sector").agg(F.count(F.lit(1)).alias("n"), F.percentile("wind_speed_mph", F.array(F.lit(0.9), F.lit(0.95), F.lit(0.99))).alias("q"))
+    quantiles = exact_percentiles(known, "wind_speed_mph", {"p90": 0.9, "p95": 0.95, "p99": 0.99}, ("sector",))
+    each = known.groupBy("sector").agg(F.count(F.lit(1)).alias("n")).join(quantiles, "sector", "left")
     total = known.agg(F.count(F.lit(1)).alias("total"))
     every = df.sparkSession.range(sectors).select(F.col("id").cast("int").alias("sector"))
     out = every.join(F.broadcast(each), "sector", "left").crossJoin(F.broadcast(total))  # at most one row a sector
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return out.select("sector", (F.col("sector") * 360.0 / sectors).alias("center_deg"), zero(F.col("n") / F.col("total")).alias("frequency"), *(zero(F.get("q", F.lit(i))).alias(n) for i, n in enumerate(("p90", "p95", "p99"))))
+    return out.select("sector", (F.col("sector") * 360.0 / sectors).alias("center_deg"), zero(F.col("n") / F.col("total")).alias("frequency"), *(zero(F.col(n)).alias(n) for n in ("p90", "p95", "p99")))
 
 
 def dominant_direction(df: DataFrame) -> DataFrame:

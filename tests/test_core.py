@@ -454,3 +454,36 @@ def test_reach_by_buckets_and_tiles(spark):
     assert work[20, 8.0] < 1.5 * work[10, 8.0] + 0.5  # work goes with the cells reached
     none = spark.createDataFrame([], "source_id string, row int, col int")
     assert X.reach_within_budget(edges, none, 5.0).count() == 0
+
+
+def test_texts_are_found_by_their_grams(spark):
+    from perilframe.operators.lookups import resolve_property
+
+    rng = np.random.default_rng(4)
+    words = ["Oak", "Elm", "oakum", "élan", "Unit 7", "UNIT 77", "12", "7", "ab", "100% new", "a_b"]
+    rows = [(f"p{i:03}", " ".join(rng.choice(words, 3)), None if i % 9 == 0 else str(rng.choice(words))) for i in range(80)] + [("p900", None, None), ("p000x", "Oak Elm oakum", "12")]
+    properties = spark.createDataFrame(rows, "parcel_id string, address string, name string")
+    texts = ["oak", "OAKUM", "k e", "Élan", "unit 77", "7", "ab", "1", "%", "a_b", "nowhere", "oak elm oakum 12", "12 unit", "", None, "zz", "k", "unit 7 7"]
+    asked = [(i, None, t) for i, t in enumerate(texts)] + [(100, "p900", "oak"), (101, "gone", "oak"), (102, "p005", None)]
+    hays = {i: " ".join(x for x in (a, n) if x is not None).lower() for i, a, n in rows}
+    want = {i: p if p in hays else min((h for h, v in hays.items() if t and t.lower() in v), default=None) for i, p, t in asked}
+    out = resolve_property(spark.createDataFrame(asked, "request_id int, parcel_id string, text string"), properties)
+    assert {r.request_id: r.resolved_id for r in out.collect()} == want and out.count() == len(asked)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "Contains" not in plan.split("Join")[1].split("\n")[0]
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_percentiles_by_selection_are_exact(spark):
+    from perilframe.operators.quantiles import exact_percentiles
+
+    rng = np.random.default_rng(7)
+    groups = {"wide": rng.normal(size=3000) * 10.0 ** rng.integers(-200, 200, 3000), "ties": np.repeat([1.0, 2.0, 2.5], [500, 900, 2]), "one": [4.25], "few": rng.random(40), "mixed": np.round(rng.random(2000), 2)}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in groups.items() for x in xs] + [("none", None), ("few", None)], "k string, x double").repartition(6)
+    probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.9, "e": 0.99, "f": 1.0}
+    want = {r[0]: r[1:] for r in df.where("x is not null").groupBy("k").agg(*(F.percentile("x", F.lit(p)) for p in probs.values())).collect()}
+    got = {r[0]: r[1:] for r in exact_percentiles(df, "x", probs, ("k",), pick=16).select("k", *probs).collect()}
+    assert got == want
+    whole = exact_percentiles(df, "x", {"m": 0.5}, pick=16).collect()
+    assert [r.m for r in whole] == [df.agg(F.percentile("x", F.lit(0.5))).first()[0]]
+    assert exact_percentiles(df.limit(0), "x", {"m": 0.5}).first().m is None and exact_percentiles(df.limit(0), "x", {"m": 0.5}, ("k",)).count() == 0
