@@ -1,8 +1,12 @@
-"""Geometry as column expressions. A ring is an array of struct<x, y>, closed or not."""
+"""Geometry as column expressions.
+
+A ring is an array of struct<x, y>, closed or not. A polygon is an array of rings, those of all its parts and holes
+in any order and direction: inside is what an odd number of rings hold.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,22 +43,29 @@ def centroid(ring: Column) -> Column:
     return F.struct(F.when(a != 0, x).otherwise(mean("x")).alias("x"), F.when(a != 0, y).otherwise(mean("y")).alias("y"))
 
 
-def contains(ring: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule."""
+def _odd(sides: Column, x: Column, y: Column) -> Column:
     crosses = lambda s: ((s["y1"] > y) != (s["y2"] > y)) & (x < (s["x2"] - s["x1"]) * (y - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"])
-    return F.size(F.filter(sides(ring), crosses)) % 2 == 1
-
+    return F.size(F.filter(sides, crosses)) % 2 == 1
 
-def distance_to_ring(ring: Column, x: Column, y: Column) -> Column:
-    """From a point to the nearest side."""
 
+def _nearest(sides: Column, x: Column, y: Column) -> Column:
     def one(s: Column) -> Column:
         dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
         n = dx * dx + dy * dy
         t = F.when(n > 0, F.least(F.greatest(((x - s["x1"]) * dx + (y - s["y1"]) * dy) / n, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
         return F.hypot(x - (s["x1"] + t * dx), y - (s["y1"] + t * dy))
 
-    return F.array_min(F.transform(sides(ring), one))
+    return F.array_min(F.transform(sides, one))
+
+
+def contains(ring: Column, x: Column, y: Column) -> Column:
+    """Even-odd rule."""
+    return _odd(sides(ring), x, y)
+
+
+def distance_to_ring(ring: Column, x: Column, y: Column) -> Column:
+    """From a point to the nearest side."""
+    return _nearest(sides(ring), x, y)
 
 
 def box(ring: Column) -> Column:
@@ -62,6 +73,53 @@ def box(ring: Column) -> Column:
     return F.struct(pick(F.array_min, "x").alias("x0"), pick(F.array_min, "y").alias("y0"), pick(F.array_max, "x").alias("x1"), pick(F.array_max, "y").alias("y1"))
 
 
+def rings_of(df: DataFrame) -> Column:
+    """The polygon of a table's rows: its ``rings``, or its ``ring`` alone; null without any."""
+    return F.col("rings") if "rings" in df.columns else F.when(F.col("ring").isNotNull(), F.array("ring"))
+
+
+def all_sides(rings: Column) -> Column:
+    return F.flatten(F.transform(rings, sides))
+
+
+def polygon_contains(rings: Column, x: Column, y: Column) -> Column:
+    """Even-odd rule over all rings."""
+    return _odd(all_sides(rings), x, y)
+
+
+def polygon_distance(rings: Column, x: Column, y: Column) -> Column:
+    """From a point to the nearest side of any ring."""
+    return _nearest(all_sides(rings), x, y)
+
+
+def polygon_box(rings: Column) -> Column:
+    return box(F.flatten(rings))
+
+
+def _signs(rings: Column) -> Column:
+    """1 for each ring that bounds its inside, -1 for each hole: by how many others hold the middle of its first side."""
+
+    def sign(r: Column, k: Column) -> Column:
+        x, y = (F.get(r, F.lit(0))["x"] + F.get(r, F.lit(1))["x"]) / 2, (F.get(r, F.lit(0))["y"] + F.get(r, F.lit(1))["y"]) / 2
+        around = F.size(F.filter(rings, lambda q, i: (i != k) & contains(q, x, y)))
+        return F.when(around % 2 == 0, 1.0).otherwise(-1.0)
+
+    return F.transform(rings, sign)
+
+
+def polygon_area(rings: Column) -> Column:
+    several = _sum(F.zip_with(rings, _signs(rings), lambda r, s: s * area(r)))
+    return F.when(F.size(rings) == 1, area(F.get(rings, F.lit(0)))).otherwise(several)
+
+
+def polygon_centroid(rings: Column) -> Column:
+    """The centroid by area, holes counted off; of rings that have none together, the first one's."""
+    first = centroid(F.get(rings, F.lit(0)))
+    total = polygon_area(rings)
+    mean = lambda c: _sum(F.zip_with(rings, _signs(rings), lambda r, s: s * area(r) * F.when(area(r) > 0, centroid(r)[c]).otherwise(0.0))) / total
+    return F.when((F.size(rings) == 1) | (total == 0), first).otherwise(F.struct(mean("x").alias("x"), mean("y").alias("y")))
+
+
 def ring_distance(a: Column, b: Column) -> Column:
     """Between two rings: 0 if they cross or a corner of one is inside the other, else the least corner-to-side distance."""
     turn = lambda ax, ay, bx, by, cx, cy: (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)

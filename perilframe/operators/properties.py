@@ -59,18 +59,19 @@ def footprint_attributes(df: DataFrame, keyword: str) -> DataFrame:
 
 
 def footprint_area(df: DataFrame, least_m2: float = 20.0) -> DataFrame:
-    return df.withColumn("area_m2", geo.area(F.col("ring"))).where(F.col("area_m2") > least_m2).withColumn("building_sf", F.col("area_m2") * 10.764)
+    return df.withColumn("area_m2", geo.polygon_area(geo.rings_of(df))).where(F.col("area_m2") > least_m2).withColumn("building_sf", F.col("area_m2") * 10.764)
 
 
 def clip_bbox(df: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
-    """Rows whose ring's box meets the box."""
-    b = geo.box(F.col("ring"))
+    """Rows whose polygon's box meets the box."""
+    b = geo.polygon_box(geo.rings_of(df))
     return df.where((b["x0"] <= x1) & (b["x1"] >= x0) & (b["y0"] <= y1) & (b["y1"] >= y0))
 
 
-def within_boundary(df: DataFrame, boundary: Column) -> DataFrame:
-    """Rows (cx, cy) inside a polygon, given as an array of its corners."""
-    return df.where(geo.contains(boundary, F.col("cx"), F.col("cy")))
+def within_boundary(df: DataFrame, boundary: Column, several: bool = False) -> DataFrame:
+    """Rows (cx, cy) inside a polygon, given as an array of its corners, or of its rings."""
+    rings = boundary if several else F.array(boundary)
+    return df.where(geo.polygon_contains(rings, F.col("cx"), F.col("cy")))
 
 
 def twin_identity(df: DataFrame) -> DataFrame:
@@ -129,21 +130,22 @@ def zone_of(distance: Column) -> Column:
 
 
 def zone_cells(buildings: DataFrame, cells: DataFrame, reach: float = 30.5) -> DataFrame:
-    """(parcel_id, zone, cell columns): the cells (x, y) around each building (parcel_id, ring).
+    """(parcel_id, zone, cell columns): the cells (x, y) around each building (parcel_id, ring or rings). A hole is outside.
 
     Buildings are dealt to the buckets that their box, widened by the reach, meets; cells are in one
     bucket each, so they are shuffled once.
     """
     size = 2 * reach
-    b = buildings.select("parcel_id", "ring", geo.box(F.col("ring")).alias("b"))
+    rings = geo.rings_of(buildings)
+    b = buildings.select("parcel_id", rings.alias("_rings"), geo.polygon_box(rings).alias("b"))
     span = lambda lo, hi: F.sequence(F.floor((F.col(f"b.{lo}") - reach) / size), F.floor((F.col(f"b.{hi}") + reach) / size))
     b = b.withColumn("_bx", F.explode(span("x0", "x1"))).withColumn("_by", F.explode(span("y0", "y1")))
     c = cells.withColumn("_bx", F.floor(F.col("x") / size)).withColumn("_by", F.floor(F.col("y") / size))
     met = b.join(c, ["_bx", "_by"]).where(F.col("x").between(F.col("b.x0") - reach, F.col("b.x1") + reach) & F.col("y").between(F.col("b.y0") - reach, F.col("b.y1") + reach))
-    inside = geo.contains(F.col("ring"), F.col("x"), F.col("y"))
-    distance = F.when(inside, 0.0).otherwise(geo.distance_to_ring(F.col("ring"), F.col("x"), F.col("y")))
+    inside = geo.polygon_contains(F.col("_rings"), F.col("x"), F.col("y"))
+    distance = F.when(inside, 0.0).otherwise(geo.polygon_distance(F.col("_rings"), F.col("x"), F.col("y")))
     once = F.get(F.transform(F.array(distance), zone_of), F.lit(0))
-    return met.withColumn("zone", once).where("zone is not null").drop("_bx", "_by", "b", "ring")
+    return met.withColumn("zone", once).where("zone is not null").drop("_bx", "_by", "b", "_rings")
 
 
 def zone_metrics(buildings: DataFrame, zoned: DataFrame, threshold: float = 0.0) -> DataFrame:

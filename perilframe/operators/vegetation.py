@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perilframe.functions import geometry as geo
 from perilframe import dims
 
 _EPS = 1e-6
@@ -52,17 +53,22 @@ def flammability_class(v: Column, w: Column) -> Column:
 
 
 def zonal_veg_stats(places: DataFrame, cells: DataFrame, res: float, x0: float, y0: float) -> DataFrame:
-    """Statistics of the cells whose centre lies in each place's box (parcel_id, cx, cy, half); none: null.
+    """Statistics of the cells whose centre lies in each place's polygon (parcel_id, rings), or box (parcel_id, cx, cy, half); none: null.
 
     Cells with red 0 are invalid. A place is dealt to the tiles that its box meets, so the join is by
-    tile, and the box is checked after it.
+    tile, and the box or polygon is checked after it.
     """
     tile = 16 * res
     x, y = F.lit(x0) + (F.col("col") + 0.5) * res, F.lit(y0) - (F.col("row") + 0.5) * res
     spots = cells.where("red <> 0").withColumn("_x", x).withColumn("_y", y).withColumn("_tx", F.floor(F.col("_x") / tile)).withColumn("_ty", F.floor(F.col("_y") / tile))
-    span = lambda c: F.sequence(F.floor((F.col(c) - F.col("half")) / tile), F.floor((F.col(c) + F.col("half")) / tile))
-    boxes = places.select("parcel_id", "cx", "cy", "half", F.explode(span("cx")).alias("_tx")).withColumn("_ty", F.explode(span("cy")))
-    met = boxes.join(spots, ["_tx", "_ty"]).where((F.abs(F.col("_x") - F.col("cx")) <= F.col("half")) & (F.abs(F.col("_y") - F.col("cy")) <= F.col("half")))
+    side = lambda c, k: F.struct((F.col(c) - F.col("half")).alias(f"{k}0"), (F.col(c) + F.col("half")).alias(f"{k}1"))
+    whole = "rings" in places.columns
+    box = geo.polygon_box(F.col("rings")) if whole else F.struct(*(side(c, k)[f"{k}{e}"].alias(f"{k}{e}") for c, k in (("cx", "x"), ("cy", "y")) for e in (0, 1)))
+    span = lambda k: F.sequence(F.floor(F.col(f"_box.{k}0") / tile), F.floor(F.col(f"_box.{k}1") / tile))
+    boxes = places.select("parcel_id", *(["rings"] if whole else []), box.alias("_box")).withColumn("_tx", F.explode(span("x"))).withColumn("_ty", F.explode(span("y")))
+    met = boxes.join(spots, ["_tx", "_ty"]).where("_x between _box.x0 and _box.x1 and _y between _box.y0 and _box.y1")
+    if whole:
+        met = met.where(geo.polygon_contains(F.col("rings"), F.col("_x"), F.col("_y")))
     stats = met.groupBy("parcel_id").agg(
         F.avg("ndvi").alias("ndvi_mean"), F.percentile("ndvi", F.lit(0.9)).alias("ndvi_p90"), F.stddev_pop("ndvi").alias("ndvi_std"), F.avg("ndwi").alias("ndwi_mean"), F.avg("evi").alias("evi_mean"),
         F.avg("npv").alias("dry_veg_fraction_mean"), (100 * F.avg((F.col("ndvi") > 0.4).cast("double"))).alias("canopy_cover_pct"),

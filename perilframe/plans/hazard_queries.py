@@ -417,6 +417,29 @@ def _(i):
     return P.footprint_area(i.properties.select("parcel_id", _ring().alias("ring")), 40.0).drop("ring")
 
 
+def _parts():
+    """A square with a square hole, and a smaller square apart from it."""
+    x, y, h = F.col("cx"), F.col("cy"), F.col("half")
+    return F.array(geo.square(x, y, h / 2), geo.square(x, y, h), geo.square(x + 3 * h, y, h / 3))
+
+
+@query("prop5_area_of_parts", "SELECT parcel_id, round(31.0 / 9 * half * half, 6) AS area_m2, round(31.0 / 9 * half * half * 10.764, 6) AS building_sf FROM properties WHERE 31.0 / 9 * half * half > 40")
+def _(i):
+    return P.footprint_area(i.properties.select("parcel_id", _parts().alias("rings")), 40.0).drop("rings")
+
+
+@query("prop7_within_parts", "WITH d AS (SELECT parcel_id, greatest(abs(cx - 400), abs(cy - 500)) AS d, greatest(abs(cx - 1000), abs(cy - 500)) AS e FROM properties) SELECT parcel_id FROM d WHERE (d < 200.5 AND d > 100.5) OR e < 66.5")
+def _(i):
+    square = lambda x, half: geo.square(F.lit(float(x)), F.lit(500.0), F.lit(half))
+    return P.within_boundary(i.properties, F.array(square(400, 200.5), square(400, 100.5), square(1000, 66.5)), several=True).select("parcel_id")
+
+
+@query("prop8_centroid_of_parts", "SELECT parcel_id, round((3 * cx + 4.0 / 9 * (cx + 3 * half)) / (31.0 / 9), 6) AS x, round(cy, 6) AS y FROM properties")
+def _(i):
+    c = geo.polygon_centroid(_parts())
+    return i.properties.select("parcel_id", c["x"].alias("x"), c["y"].alias("y"))
+
+
 @query("prop6_clip_bbox", "SELECT parcel_id FROM properties WHERE cx - half <= 500 AND cx + half >= 100 AND cy - half <= 600 AND cy + half >= 200")
 def _(i):
     return P.clip_bbox(i.properties.select("parcel_id", _ring().alias("ring")), 100, 200, 500, 600).select("parcel_id")

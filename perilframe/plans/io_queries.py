@@ -43,7 +43,7 @@ def _(i):
     return scaled_bands(i.pixels).select("row", "col", "r", "nir")
 
 
-@query("src13_train_val_split")
+@query("src13_train_val_split", "SELECT CASE WHEN CAST('0x' || substr(md5(parcel_id), 1, 8) AS BIGINT) % 100 < 85 THEN 'train' ELSE 'validation' END AS split, count(*) AS count FROM properties GROUP BY 1")
 def _(i):
     return R.train_val_split(i.properties, "parcel_id").groupBy("split").count()
 

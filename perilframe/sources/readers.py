@@ -56,11 +56,14 @@ def read_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """The properties of each feature, by a schema, and its outer ring."""
-    schema = f"features array<struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
+    """The properties of each feature, by a schema, with ``rings``, all rings of its Polygon or MultiPolygon, and ``ring``, the first of them; null for other geometries."""
+    schema = f"features array<struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: string>>>"
     f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    ring = F.transform(F.get("f.geometry.coordinates", F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
-    return f.select("f.properties.*", ring.alias("ring"))
+    text, kind = F.col("f.geometry.coordinates"), F.col("f.geometry.type")
+    parsed = F.when(kind == "Polygon", F.from_json(text, "array<array<array<double>>>")).when(kind == "MultiPolygon", F.flatten(F.from_json(text, "array<array<array<array<double>>>>")))
+    point = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    out = f.select("f.properties.*", F.transform(parsed, lambda r: F.transform(r, point)).alias("rings"))
+    return out.withColumn("ring", F.get("rings", F.lit(0)))
 
 
 def read_twins(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -80,8 +83,9 @@ def first_available(candidates: list[tuple[str, DataFrame | None]], key: str) ->
 
 
 def train_val_split(df: DataFrame, key: str, share: int = 85) -> DataFrame:
-    """df with ``split``, by a hash of the key: the same in every run."""
-    return df.withColumn("split", F.when(F.pmod(F.xxhash64(key), F.lit(100)) < share, "train").otherwise("validation"))
+    """df with ``split``, by the first 32 bits of the key's md5: the same in every run and engine."""
+    part = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % 100
+    return df.withColumn("split", F.when(part < share, "train").otherwise("validation"))
 
 
 def constant_layers(spark: SparkSession, rows: int, cols: int, values: dict[str, float]) -> DataFrame:

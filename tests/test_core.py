@@ -18,6 +18,7 @@ from perilframe.operators import hydrology as H
 from perilframe.operators import properties as P
 from perilframe.operators import scoring as S
 from perilframe.operators import terrain as T
+from perilframe.operators import vegetation as V
 from perilframe.operators import weather as W
 from perilframe.plans.fixtures import TABLES
 from perilframe.plans.registry import Inputs
@@ -487,3 +488,49 @@ def test_percentiles_by_selection_are_exact(spark):
     whole = exact_percentiles(df, "x", {"m": 0.5}, pick=16).collect()
     assert [r.m for r in whole] == [df.agg(F.percentile("x", F.lit(0.5))).first()[0]]
     assert exact_percentiles(df.limit(0), "x", {"m": 0.5}).first().m is None and exact_percentiles(df.limit(0), "x", {"m": 0.5}, ("k",)).count() == 0
+
+
+def test_polygons_of_several_rings(spark, tmp_path):
+    square = lambda x, y, h: [[x - h, y - h], [x + h, y - h], [x + h, y + h], [x - h, y + h], [x - h, y - h]]
+    wedge = [[60.0, 0.0], [90.0, 5.0], [70.0, 40.0], [60.0, 0.0]]
+    shapes = {
+        "plain": ("Polygon", [square(10, 10, 8)]), "hole": ("Polygon", [square(30, 30, 20), square(25, 28, 6)[::-1], square(42, 40, 4)]),
+        "parts": ("MultiPolygon", [[square(20, 20, 15), square(20, 20, 9)], [square(20, 20, 5)], [wedge]]), "point": ("Point", [1.0, 2.0]),
+    }
+    features = [{"type": "Feature", "properties": {"parcel_id": k}, "geometry": {"type": t, "coordinates": c}} for k, (t, c) in shapes.items()]
+    (tmp_path / "p.geojson").write_text(json.dumps({"features": features}))
+    df = R.read_geojson(spark, str(tmp_path / "p.geojson"), "parcel_id string").cache()
+    rings = {k: c if t == "Polygon" else [r for part in c for r in part] for k, (t, c) in shapes.items() if t != "Point"}
+    assert {r.parcel_id: None if r.rings is None else [[[p.x, p.y] for p in ring] for ring in r.rings] for r in df.collect()} == rings | {"point": None}
+
+    def inside(polygon, x, y):
+        return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for ring in polygon for a, b in zip(ring, ring[1:])) % 2 == 1
+
+    def apart(polygon, x, y):
+        def one(a, b):
+            t = min(max(((x - a[0]) * (b[0] - a[0]) + (y - a[1]) * (b[1] - a[1])) / ((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2), 0), 1)
+            return math.hypot(x - a[0] - t * (b[0] - a[0]), y - a[1] - t * (b[1] - a[1]))
+
+        return min(one(a, b) for ring in polygon for a, b in zip(ring, ring[1:]))
+
+    # Area and centroid by fine cells; what is inside, and the zones, exactly.
+    fine = [(x / 4 + 0.126, y / 4 + 0.127) for x in range(-20, 420) for y in range(-20, 220)]
+    got = {r.parcel_id: r for r in df.where("rings is not null").select("parcel_id", geo.polygon_area(F.col("rings")).alias("a"), geo.polygon_centroid(F.col("rings")).alias("c")).collect()}
+    for k, polygon in rings.items():
+        held = np.array([p for p in fine if inside(polygon, *p)])
+        assert abs(got[k].a - len(held) / 16) < 0.01 * got[k].a and np.allclose([got[k].c.x, got[k].c.y], held.mean(axis=0), atol=0.1)
+    assert got["hole"].a == 1600 - 144 - 64 and got["parts"].a == 900 - 324 + 100 + 575
+    assert {r.parcel_id for r in P.footprint_area(df.where("rings is not null"), 300.0).collect()} == {"hole", "parts"}
+    assert {r.parcel_id for r in P.clip_bbox(df.where("rings is not null"), 80.0, 0.0, 99.0, 9.0).collect()} == {"parts"}
+    spots = [(i, float(x) + 0.3, float(y) + 0.6) for i, (x, y) in enumerate((x, y) for x in range(-8, 100, 3) for y in range(-8, 60, 3))]
+    boundary = F.array(*(F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ring)) for ring in rings["parts"]))
+    within = P.within_boundary(spark.createDataFrame(spots, "id int, cx double, cy double"), boundary, several=True)
+    assert {r.id for r in within.collect()} == {i for i, x, y in spots if inside(rings["parts"], x, y)}
+    zoned = P.zone_cells(df.where("rings is not null"), spark.createDataFrame(spots, "id int, x double, y double"))
+    zone = lambda d: None if d <= 0 else 1 if d <= 1.5 else 2 if d <= 9 else 3 if d <= 30.5 else None
+    want = {(k, i): zone(0 if inside(p, x, y) else apart(p, x, y)) for k, p in rings.items() for i, x, y in spots}
+    assert {(r.parcel_id, r.id): r.zone for r in zoned.collect()} == {k: z for k, z in want.items() if z}
+    cells = spark.createDataFrame([(r, c, 1, float(r + c), 0.0, 0.0, 0.0) for r in range(30) for c in range(50)], "row int, col int, red int, ndvi double, ndwi double, evi double, npv double")
+    stats = {r.parcel_id: r.ndvi_mean for r in V.zonal_veg_stats(df.where("rings is not null").select("parcel_id", "rings"), cells, 2.0, 0.0, 60.0).collect()}
+    for k, p in rings.items():
+        assert stats[k] == pytest.approx(np.mean([r + c for r in range(30) for c in range(50) if inside(p, (c + 0.5) * 2, 60 - (r + 0.5) * 2)]))
