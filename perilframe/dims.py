@@ -60,18 +60,28 @@ FEATURES = [
     ("ember_exposure_probability", 0.0, 5.0, "exposure", False, "Ember exposure probability"),
 ]
 
-#: action, set roof, set vent, set zone 1, zone 2 factor, zone 3 continuity cap, clears ladder, set deck, cost low, high, category, description
+#: action, set roof, set vent, set zone 1, zone 2 factor, zone 3 continuity cap, clears ladder, set deck, cost low, high, category
 ACTIONS = [
-    ("replace_wood_roof_with_metal", "metal_standing_seam", None, None, 1.0, None, False, None, 15000, 45000, "structure", "Replace wood shake/shingle roof with metal standing seam"),
-    ("screen_all_vents", None, "screened", None, 1.0, None, False, None, 500, 2000, "structure", 'Install 1/16" mesh screens on all vents and soffits'),
-    ("clear_zone1_combustibles", None, None, 0.0, 1.0, None, False, None, 200, 800, "vegetation", "Remove all combustible material within 5ft of structure"),
-    ("replace_zone1_mulch_with_gravel", None, None, 0.02, 1.0, None, False, None, 300, 1200, "vegetation", "Replace organic mulch with decomposed granite in Zone 1"),
-    ("remove_ladder_fuels", None, None, None, 0.6, None, True, None, 1500, 5000, "vegetation", "Remove shrubs and low branches creating vertical fuel continuity"),
-    ("reduce_zone2_fuels", None, None, None, 0.5, 0.4, False, None, 2000, 6000, "vegetation", "Thin vegetation and remove dead material in 5-30ft zone"),
-    ("replace_wood_deck", None, None, None, 1.0, None, False, "composite_fire_resistant", 8000, 25000, "structure", "Replace wood deck with composite or concrete decking"),
-    ("install_ember_resistant_fence", None, None, None, 0.8, None, False, None, 3000, 12000, "vegetation", "Replace wood fence within 30ft with metal or masonry"),
+    ("replace_wood_roof_with_metal", "metal_standing_seam", None, None, 1.0, None, False, None, 15000, 45000, "structure"),
+    ("screen_all_vents", None, "screened", None, 1.0, None, False, None, 500, 2000, "structure"),
+    ("clear_zone1_combustibles", None, None, 0.0, 1.0, None, False, None, 200, 800, "vegetation"),
+    ("replace_zone1_mulch_with_gravel", None, None, 0.02, 1.0, None, False, None, 300, 1200, "vegetation"),
+    ("remove_ladder_fuels", None, None, None, 0.6, None, True, None, 1500, 5000, "vegetation"),
+    ("reduce_zone2_fuels", None, None, None, 0.5, 0.4, False, None, 2000, 6000, "vegetation"),
+    ("replace_wood_deck", None, None, None, 1.0, None, False, "composite_fire_resistant", 8000, 25000, "structure"),
+    ("install_ember_resistant_fence", None, None, None, 0.8, None, False, None, 3000, 12000, "vegetation"),
 ]
-ACTION_SCHEMA = "action string, set_roof string, set_vent string, set_z1 double, z2_mult double, cap_z3c double, clears_ladder boolean, set_deck string, cost_low int, cost_high int, category string, description string"
+ACTION_SCHEMA = "action string, set_roof string, set_vent string, set_z1 double, z2_mult double, cap_z3c double, clears_ladder boolean, set_deck string, cost_low int, cost_high int, category string"
+
+#: tree, node, feature, threshold, left, right, value: a small ensemble of regression trees, for trials. Leaves have no feature.
+TREES = [
+    (0, 0, "slope_degrees", 18.5, 1, 2, None), (0, 1, "roof_material_encoded", 1.5, 3, 4, None), (0, 2, "zone1_fuel_load", 0.75, 5, 6, None),
+    (0, 3, None, None, None, None, 0.21), (0, 4, None, None, None, None, 0.34), (0, 5, None, None, None, None, 0.43), (0, 6, None, None, None, None, 0.58),
+    (1, 0, "vent_screened", 0.5, 1, 2, None), (1, 1, None, None, None, None, 0.125), (1, 2, "ember_exposure_probability", 0.4, 3, 4, None),
+    (1, 3, None, None, None, None, -0.08), (1, 4, None, None, None, None, 0.03),
+    (2, 0, None, None, None, None, 0.05),
+]
+TREE_SCHEMA = "tree int, node int, feature string, threshold double, left int, right int, value double"
 
 #: use type, score knots and loss shares
 LOSS_KNOTS = (0.0, 25.0, 50.0, 75.0, 100.0)
@@ -107,6 +117,7 @@ def loss_segments() -> list[tuple]:
 TABLES: dict[str, tuple[list[tuple], str]] = {
     "fuel_models": (FUEL_MODELS, FUEL_SCHEMA),
     "actions": (ACTIONS, ACTION_SCHEMA),
+    "trees": (TREES, TREE_SCHEMA),
     "features": (FEATURES, "feature string, dflt double, weight double, category string, controllable boolean, label string"),
     "loss_segments": (loss_segments(), "use_type string, lo double, hi double, y0 double, y1 double"),
     "flood_regression": (FLOOD_REGRESSION, "period int, a double, b double"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from perilframe import dims
@@ -132,6 +134,45 @@ def model_score(model, df: DataFrame) -> DataFrame:
     return model.transform(df.fillna(0.0, MODEL_FEATURES)).withColumn("model_score", clip(F.col("prediction") * 100, 0, 100)).drop("features", "prediction")
 
 
+NODES = "tree int, weight double, node int, feature string, threshold double, left int, right int, value double"
+
+
+def model_nodes(model, spark) -> DataFrame:
+    """A trained model's trees as a table: a row for each node; leaves have a value, other nodes a feature, a threshold and the nodes to go on to, left up to the threshold."""
+    ensemble, rows = model.stages[-1], []
+    for t, (tree, weight) in enumerate(zip(ensemble.trees, ensemble.treeWeights)):
+        open_ = [tree._java_obj.rootNode()]
+        for k, node in enumerate(open_):  # grows as it goes
+            if node.subtreeDepth() == 0:
+                rows.append((t, weight, k, None, None, None, None, node.prediction()))
+            else:
+                left = len(open_)
+                open_ += [node.leftChild(), node.rightChild()]
+                rows.append((t, weight, k, MODEL_FEATURES[node.split().featureIndex()], node.split().threshold(), left, left + 1, None))
+    return spark.createDataFrame(rows, NODES)
+
+
+def _trees(nodes: DataFrame, leaf, branch) -> list:
+    """Each tree of a table of nodes, folded from its leaves; its size is the model's, not the data's."""
+    table: dict[int, dict[int, Row]] = {}
+    for r in nodes.collect():
+        table.setdefault(r["tree"], {})[r["node"]] = r
+    fold = lambda own, k: leaf(own[k]) if own[k]["feature"] is None else branch(own[k], fold(own, own[k]["left"]), fold(own, own[k]["right"]))
+    return [fold(table[t], 0) for t in sorted(table)]
+
+
+def tree_score(nodes: DataFrame) -> Column:
+    """Score, 0 to 100, of a table of nodes as one expression over the features; null features are zero."""
+    parts = _trees(nodes, lambda n: F.lit(n["weight"] * n["value"]), lambda n, a, b: F.when(F.coalesce(F.col(n["feature"]).cast("double"), F.lit(0.0)) <= n["threshold"], a).otherwise(b))
+    return clip(reduce(lambda x, y: x + y, parts) * 100, 0, 100)
+
+
+def tree_sql(nodes: DataFrame) -> str:
+    """The same as SQL."""
+    parts = _trees(nodes, lambda n: f"CAST({n['weight'] * n['value']!r} AS DOUBLE)", lambda n, a, b: f"CASE WHEN coalesce(CAST({n['feature']} AS DOUBLE), 0) <= CAST({n['threshold']!r} AS DOUBLE) THEN {a} ELSE {b} END")
+    return f"least(greatest(100 * ({' + '.join(parts)}), 0), 100)"
+
+
 def model_metrics(model, df: DataFrame, label: str) -> DataFrame:
     p = model.transform(df.fillna(0.0, MODEL_FEATURES)).withColumn("e", F.col("prediction") - F.col(label))
     sums = p.agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.abs("e")).alias("mae"), (1 - F.sum(F.col("e") * F.col("e")) / (F.var_pop(label) * F.count(label))).alias("r2"))

@@ -109,6 +109,15 @@ def _(i):
     return S.model_score(S.train_risk_model(df, "label"), df).select("parcel_id", "model_score")
 
 
+@query("sco9_tree_table", f"""WITH RECURSIVE {_W[5:]}, w(parcel_id, tree, node, k) AS (SELECT parcel_id, t.tree, 0, 0 FROM encoded CROSS JOIN (SELECT DISTINCT tree FROM trees) t UNION ALL
+ SELECT w.parcel_id, w.tree, CASE WHEN coalesce(CASE t.feature {" ".join(f"WHEN '{f}' THEN CAST(e.{f} AS DOUBLE)" for f in S.MODEL_FEATURES)} END, 0) <= t.threshold THEN t."left" ELSE t."right" END, w.k + 1 FROM w JOIN trees t ON t.tree = w.tree AND t.node = w.node JOIN encoded e ON e.parcel_id = w.parcel_id WHERE t.feature IS NOT NULL)
+ SELECT w.parcel_id, round(least(greatest(100 * sum(t.value), 0), 100), 6) AS model_score FROM w JOIN trees t ON t.tree = w.tree AND t.node = w.node WHERE t.feature IS NULL GROUP BY 1""")
+def _(i):
+    """Scores of an ensemble given as a table of nodes."""
+    df = encoded(i)
+    return df.select("parcel_id", S.tree_score(i.trees.withColumn("weight", F.lit(1.0))).alias("model_score"))
+
+
 @query("sco10_feature_importance")
 def _(i):
     df = scored(i).withColumn("label", F.col("wildfire_risk_score") / 100)
@@ -214,7 +223,7 @@ def _(i):
 
 
 KEYS = ["clear_zone1_combustibles", "no_such_action", "reduce_zone2_fuels", "replace_zone1_mulch_with_gravel", "screen_all_vents"]
-_SEQ = f"""{_W}, k AS (SELECT unnest([{", ".join(f"'{k}'" for k in KEYS)}]) AS action, unnest(range({len(KEYS)})) AS pos), st AS (SELECT scored.*, k.pos, a.* EXCLUDE (category, description) FROM scored CROSS JOIN k JOIN actions a ON a.action = k.action),
+_SEQ = f"""{_W}, k AS (SELECT unnest([{", ".join(f"'{k}'" for k in KEYS)}]) AS action, unnest(range({len(KEYS)})) AS pos), st AS (SELECT scored.*, k.pos, a.* EXCLUDE (category) FROM scored CROSS JOIN k JOIN actions a ON a.action = k.action),
  cum AS (SELECT *, row_number() OVER w AS step, last_value(set_z1 IGNORE NULLS) OVER w AS c_z1, last_value(set_vent IGNORE NULLS) OVER w AS c_vent, product(z2_mult) OVER w AS c_z2, bool_or(clears_ladder) OVER w AS c_ladder, last_value(set_roof IGNORE NULLS) OVER w AS c_roof FROM st WINDOW w AS (PARTITION BY parcel_id ORDER BY pos)),
  seq AS (SELECT *, {score_sql(z1="coalesce(c_z1, zone1_fuel_load)", z2="(zone2_fuel_load * c_z2)", ladder="(CASE WHEN c_ladder THEN 0 ELSE ladder_fuel_present END)", roof=f"(CASE WHEN c_roof IS NOT NULL THEN {_ROOF_OF.format(r='c_roof')} ELSE roof_material_encoded END)", vent="(CASE WHEN c_vent IS NOT NULL THEN 1 ELSE vent_screened END)")} AS after FROM cum)"""
 

@@ -534,3 +534,28 @@ def test_polygons_of_several_rings(spark, tmp_path):
     stats = {r.parcel_id: r.ndvi_mean for r in V.zonal_veg_stats(df.where("rings is not null").select("parcel_id", "rings"), cells, 2.0, 0.0, 60.0).collect()}
     for k, p in rings.items():
         assert stats[k] == pytest.approx(np.mean([r + c for r in range(30) for c in range(50) if inside(p, (c + 0.5) * 2, 60 - (r + 0.5) * 2)]))
+
+
+def test_trained_model_as_a_table_of_nodes(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    rows = [(i, *(None if rng.random() < 0.05 else float(np.round(x, 3)) for x in rng.random(len(S.MODEL_FEATURES)) * 4)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{f} double" for f in S.MODEL_FEATURES))
+    a, b = (F.coalesce(S.MODEL_FEATURES[k], F.lit(0.0)) for k in (0, 5))
+    df = df.withColumn("label", a / 8 + F.when(b > 2, 0.3).otherwise(0.05)).cache()
+    model = S.train_risk_model(df, "label", trees=6, depth=3)
+    S.save_model(model, f"{tmp_path}/model")
+    want = {r.id: r.model_score for r in S.model_score(S.load_model(f"{tmp_path}/model"), df).collect()}
+    nodes = S.model_nodes(model, spark)
+    assert nodes.select("tree").distinct().count() == 6 and nodes.where("feature is null").count() == nodes.where("feature is not null").count() + 6
+    got = {r[0]: r[1] for r in df.select("id", S.tree_score(nodes)).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    con = duckdb.connect()
+    con.register("t", df.toPandas())
+    said = dict(con.execute(f"SELECT id, {S.tree_sql(nodes)} FROM (SELECT * REPLACE ({', '.join(f'CASE WHEN isnan({f}) THEN NULL ELSE {f} END AS {f}' for f in S.MODEL_FEATURES)}) FROM t)").fetchall())
+    assert all(abs(said[i] - want[i]) < 1e-9 for i in want)
+    top = [(r.feature, r.importance) for r in S.feature_importance(model, spark).collect()]
+    assert {f for f, _ in top[:2]} == {S.MODEL_FEATURES[0], S.MODEL_FEATURES[5]} and abs(sum(x for _, x in top) - 1) < 1e-9 and [x for _, x in top] == sorted((x for _, x in top), reverse=True)
+    e = np.array([want[r.id] / 100 - r.label for r in df.collect()])
+    y = np.array([r.label for r in df.collect()])
+    m = S.model_metrics(model, df, "label").first()
+    assert np.allclose([m.rmse, m.mae, m.r2], [np.sqrt((e**2).mean()), np.abs(e).mean(), 1 - (e**2).sum() / ((y - y.mean()) ** 2).sum()], atol=1e-6) and m.r2 > 0.5
