@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Iterator
 from math import exp, log
 
@@ -157,11 +159,36 @@ def fwi(isi_: Column, bui_: Column) -> Column:
     return F.when(b > 1, F.exp(2.72 * F.pow(0.434 * F.ln(F.greatest(b, F.lit(1.0))), F.lit(0.647)))).otherwise(b)
 
 
-def climatology(spark, start: str, end: str, climate: DataFrame, seed: int = 42) -> DataFrame:
-    """A daily series from monthly normals with noise, for places without records."""
-    days = spark.sql(f"SELECT explode(sequence(DATE'{start}', DATE'{end}')) AS date").withColumn("month", F.month("date"))
-    df = days.join(F.broadcast(climate), "month")
-    u = lambda k: -F.ln(1 - F.rand(seed + k))
-    out = df.withColumns({"temp_f": F.col("tmax_f") + 6 * F.randn(seed), "temp_min_f": F.col("tmin_f") + 5 * F.randn(seed + 1), "wind_speed_mph": (u(2) + u(3)) * 4, "wind_dir_deg": F.element_at(F.array(F.lit(180.0), F.lit(225.0), F.lit(270.0)), F.floor(F.rand(seed + 4) * 3).cast("int") + 1), "precip_in": F.when(F.rand(seed + 5) < 0.3, u(6) * F.col("precip_in") / 9).otherwise(0.0)})
+def uniform(seed: int, stream: str, *key: Column) -> Column:
+    """A draw between 0 and 1 for each key, by the md5 of seed, key and stream: the same in every plan, run and engine."""
+    said = F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in key), F.lit(stream))
+    return (F.conv(F.substring(F.md5(said), 1, 12), 16, 10).cast("long") + 0.5) / 2.0**48
+
+
+def normal(seed: int, stream: str, *key: Column) -> Column:
+    return F.sqrt(-2 * F.ln(uniform(seed, stream, *key))) * F.cos(2 * math.pi * uniform(seed, f"{stream}'", *key))
+
+
+def exponential(seed: int, stream: str, *key: Column) -> Column:
+    return -F.ln(1 - uniform(seed, stream, *key))
+
+
+def climatology(spans: DataFrame, climate: DataFrame, seed: int = 42) -> DataFrame:
+    """A daily series for each of spans (station, start, end), from monthly normals with noise, for places without records.
+
+    Highest and lowest temperature vary by 5 degrees about the month's; rain is exponential about a thirtieth of the
+    month's, wind the sum of two exponentials of 4, its direction one of three; humidity follows from the temperatures.
+    Draws go by station and day, so that a day is the same whatever span it is asked in.
+    """
+    days = spans.select("station", F.explode(F.sequence("start", "end")).alias("date")).withColumn("month", F.month("date"))
+    key = (F.col("station"), F.date_format("date", "yyyy-MM-dd"))
+    wind = (exponential(seed, "wind 1", *key) + exponential(seed, "wind 2", *key)) * 4
+    heading = F.element_at(F.array(F.lit(180.0), F.lit(225.0), F.lit(270.0)), F.floor(uniform(seed, "direction", *key) * 3).cast("int") + 1)
+    out = days.join(F.broadcast(climate), "month").withColumns({
+        "temp_f": F.col("tmax_f") + 5 * normal(seed, "high", *key), "temp_min_f": F.col("tmin_f") + 5 * normal(seed, "low", *key), "wind_speed_mph": wind,
+        "wind_dir_deg": heading, "precip_in": exponential(seed, "rain", *key) * F.col("precip_in") / 30,
+    })
     c = lambda x: (F.col(x) - 32) * 5 / 9
-    return out.withColumn("rh_pct", F.least(F.greatest(estimate_rh(c("temp_f"), c("temp_min_f")), F.lit(20.0)), F.lit(95.0))).select("date", "temp_f", "temp_min_f", "rh_pct", "wind_speed_mph", "wind_dir_deg", "precip_in")
+    held = lambda t: F.exp(17.27 * t / (t + 237.3))  # noqa: E731  water that air of so many degrees holds, with the low as dew point
+    humidity = F.least(F.greatest(100 * held(c("temp_min_f")) / held(c("temp_f")), F.lit(20.0)), F.lit(95.0))
+    return out.withColumn("rh_pct", humidity).select("station", "date", "temp_f", "temp_min_f", "rh_pct", "wind_speed_mph", "wind_dir_deg", "precip_in")

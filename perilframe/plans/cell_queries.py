@@ -379,7 +379,14 @@ def _(i):
     return i.weather_daily.join(F.broadcast(s), F.col("wind_kmh") / 1.60934 <= F.col("wind_mph")).groupBy("scenario", "m1", "m10").agg(F.count(F.lit(1)).alias("days"))
 
 
-@query("src15_climatology")
+_u = lambda stream: f"((CAST('0x' || substr(md5('42|' || station || '|' || strftime(date, '%Y-%m-%d') || '|{stream}'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE)"
+_n = lambda stream: f"sqrt(-2 * ln({_u(stream)})) * cos(2 * pi() * {_u(stream + chr(39) * 2)})"
+
+
+@query("src15_climatology", f"""WITH sp AS (SELECT station, min(date) AS a, max(date) AS z FROM weather_daily GROUP BY 1), d AS (SELECT station, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS date FROM sp),
+ x AS (SELECT station, date, tmax_f + 5 * {_n('high')} AS temp_f, tmin_f + 5 * {_n('low')} AS temp_min_f, -4 * (ln(1 - {_u('wind 1')}) + ln(1 - {_u('wind 2')})) AS wind_speed_mph, 180.0 + 45 * floor({_u('direction')} * 3) AS wind_dir_deg, -ln(1 - {_u('rain')}) * precip_in / 30 AS precip_in FROM d JOIN climate c ON c.month = month(date))
+ SELECT station, CAST(date AS VARCHAR) AS day, round(temp_f, 6) AS temp_f, round(temp_min_f, 6) AS temp_min_f, round(least(greatest(100 * exp(17.27 * ((temp_min_f - 32) * 5 / 9) / ((temp_min_f - 32) * 5 / 9 + 237.3)) / exp(17.27 * ((temp_f - 32) * 5 / 9) / ((temp_f - 32) * 5 / 9 + 237.3)), 20), 95), 6) AS rh_pct, round(wind_speed_mph, 6) AS wind_speed_mph, CAST(wind_dir_deg AS DOUBLE) AS wind_dir_deg, round(precip_in, 6) AS precip_in FROM x""")
 def _(i):
-    span = i.weather_daily.agg(F.min("date").alias("a"), F.max("date").alias("z")).first()
-    return W.climatology(i.spark, str(span["a"]), str(span["z"]), i.climate)
+    """Every station's series over the days of its records."""
+    out = W.climatology(i.weather_daily.groupBy("station").agg(F.min("date").alias("start"), F.max("date").alias("end")), i.climate)
+    return out.withColumn("date", F.col("date").cast("string")).withColumnRenamed("date", "day")

@@ -559,3 +559,20 @@ def test_trained_model_as_a_table_of_nodes(spark, tmp_path):
     y = np.array([r.label for r in df.collect()])
     m = S.model_metrics(model, df, "label").first()
     assert np.allclose([m.rmse, m.mae, m.r2], [np.sqrt((e**2).mean()), np.abs(e).mean(), 1 - (e**2).sum() / ((y - y.mean()) ** 2).sum()], atol=1e-6) and m.r2 > 0.5
+
+
+def test_climatology_draws_by_station_and_day(spark):
+    spans = spark.createDataFrame([("a", 0, 3650), ("b", 0, 3650)], "station string, x int, y int").select("station", F.date_add(F.lit("2010-01-01").cast("date"), F.col("x")).alias("start"), F.date_add(F.lit("2010-01-01").cast("date"), F.col("y")).alias("end"))
+    climate = spark.createDataFrame([(m, 70.0, 50.0, 3.0) for m in range(1, 13)], "month int, tmax_f double, tmin_f double, precip_in double")
+    df = W.climatology(spans, climate).toPandas()
+    assert len(df) == 2 * 3651 and not df.duplicated(["station", "date"]).any()
+    # Means and spreads of a normal, a gamma of shape 2, an exponential and a choice, within four standard errors.
+    n = len(df) ** 0.5
+    assert abs(df.temp_f.mean() - 70) < 20 / n and abs(df.temp_f.std() - 5) < 15 / n and abs(df.temp_min_f.mean() - 50) < 20 / n
+    assert abs(df.wind_speed_mph.mean() - 8) < 4 * 5.7 / n and abs(df.wind_speed_mph.var() - 32) < 4 * 32 * 2.3 / n
+    assert abs(df.precip_in.mean() - 0.1) < 0.4 / n and abs(df.precip_in.std() - 0.1) < 0.9 / n
+    assert (abs(df.wind_dir_deg.value_counts(normalize=True).loc[[180.0, 225.0, 270.0]] - 1 / 3) < 4 * 0.48 / n).all()
+    a, b = (df[df.station == s].sort_values("date") for s in "ab")
+    assert abs(np.corrcoef(a.temp_f, b.temp_f)[0, 1]) < 4 / 3651**0.5 and abs(np.corrcoef(a.temp_f, a.temp_min_f)[0, 1]) < 4 / 3651**0.5
+    later = W.climatology(spans.where("station = 'b'").withColumn("start", F.date_add("start", 100)).repartition(3), climate).orderBy("date").first()
+    assert (later.temp_f, later.precip_in) == tuple(b.iloc[100][["temp_f", "precip_in"]])
