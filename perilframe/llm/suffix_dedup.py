@@ -284,6 +284,40 @@ def _inner(block: Block, row) -> np.ndarray:
     return _bytes(names[at], names[at + _TRIPLE], names[at + 2 * _TRIPLE])
 
 
+def _pruned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of the windows all of whose names, at places of one class of the sample, several places have: others occur once.
+
+    Runs of them are units of their own, which begin at a place divisible by nine, so that samples stay the same.
+    """
+    for frame in frames:
+        for _, row in frame.iterrows():
+            block = Block(row)
+            names = block.spread(1, _NAMED, row["names"])
+            at, window = block.sampled(1, _NAMED), np.flatnonzero(block.beyond < 0)
+            may = np.zeros(block.size, bool)
+            for c in (1, 2):  # a like window may be of another class, and then has but these names in its sample, too
+                alone = np.zeros(block.size + 1, np.int64)
+                alone[at + 1] = (names[at] % 2 == 0) & (block.place[at] % 3 == c)
+                alone = np.cumsum(alone)
+                # Names of _TRIPLE bytes within the window's MATCH: those that begin at most MATCH - _TRIPLE places on.
+                may[window] |= alone[window + MATCH - _TRIPLE + 1] == alone[window]
+            first, end = _runs(may)
+            if not len(first):
+                continue
+            unit = np.searchsorted(block.first, first, side="right") - 1
+            first = first - block.place[first] % 9
+            # Runs that now meet are one.
+            fresh = np.flatnonzero(np.r_[True, (first[1:] > end[:-1]) | (unit[1:] != unit[:-1])])
+            first, end, unit = first[fresh], end[np.r_[fresh[1:], len(end)] - 1], unit[fresh]
+            doc, tie, start = (np.frombuffer(bytes(row[c]), np.int64)[unit] for c in ("doc", "tie", "start"))
+            out = {"b": block.b, "body": b"".join(block.text[p : q + MATCH - 1].tobytes() for p, q in zip(first.tolist(), end.tolist())), "windows": (end - first).tobytes(), "doc": doc.tobytes(), "tie": tie.tobytes(), "start": (start + block.place[first]).tobytes()}
+            new = Block(out)
+            own = new.sampled(1, _NAMED)
+            k = np.searchsorted(new.first, own, side="right") - 1
+            out["names"] = names[first[k] + new.place[own]].tobytes()
+            yield pd.DataFrame({c: [out[c]] for c in (*[x.split()[0] for x in _BLOCK.split(", ")], "names")})
+
+
 # --- suffixes of one level, in three classes --------------------------------------------------------------
 
 
@@ -426,7 +460,7 @@ def _exchange(blocks: DataFrame, ask: Callable, reply: Callable, settle: Callabl
 
 
 def _named(blocks: DataFrame, keys: Callable[[Block, pd.Series], np.ndarray], width: int, column: str, ranges: int, count: int) -> DataFrame:
-    """blocks with the names of their keys, strings of a width: numbers in the keys' order, equal for equal keys."""
+    """blocks with the names of their keys, strings of a width: numbers in the keys' order, equal for equal keys, and odd for those that several places have."""
     kind = f"S{width}"
 
     def pick(row, each: int) -> bytes:
@@ -440,17 +474,20 @@ def _named(blocks: DataFrame, keys: Callable[[Block, pd.Series], np.ndarray], wi
         return np.searchsorted(splitters, own, side="right") if len(splitters) else np.zeros(len(own), np.int64)
 
     def ask(row):
-        own = np.unique(keys(Block(row), row))
+        own, count = np.unique(keys(Block(row), row), return_counts=True)
         to = dealt(own)
         for r in np.unique(to).tolist():
-            yield r, own[to == r].tobytes()
+            i = to == r
+            yield r, own[i].tobytes() + (count[i] > 1).tobytes()
 
     def reply(r: int, parts: list[bytes]) -> list[bytes]:
-        every = np.concatenate([np.frombuffer(p, kind) for p in parts])
-        known = np.unique(every)
-        where = _numbered(r, np.searchsorted(known, every))
-        cuts = np.cumsum([len(p) // width for p in parts])[:-1]
-        return [x.tobytes() for x in np.split(where, cuts)]
+        sizes = [len(p) // (width + 1) for p in parts]
+        every = np.concatenate([np.frombuffer(p, kind, n) for p, n in zip(parts, sizes)])
+        again = np.concatenate([np.frombuffer(p, bool, n, width * n) for p, n in zip(parts, sizes)])
+        known, inverse = np.unique(every, return_inverse=True)
+        several = np.bincount(inverse, 1 + again, len(known)) > 1
+        where = _numbered(r, 2 * inverse + several[inverse])
+        return [x.tobytes() for x in np.split(where, np.cumsum(sizes)[:-1])]
 
     def settle(row, got: dict[int, np.ndarray]) -> bytes:
         own, inverse = np.unique(keys(Block(row), row), return_inverse=True)
@@ -567,6 +604,8 @@ def repeats(docs: DataFrame, block: int = BLOCK, size: int = RANGE) -> DataFrame
         return copies
     count, ranges = whole["n"], -(-int(whole["bytes"]) // size)
     blocks = _named(blocks, _names, _TRIPLE, "names", ranges, count)
+    named, blocks = blocks, stored(blocks.mapInPandas(_pruned, _BLOCK + ", names binary"), "pruned")
+    discard(named)
     blocks = _named(blocks, _inner, 24, "inner", ranges, count)
     blocks = _merged(blocks, _outer, False, "outer", ranges, count, ("names", "inner"))
     blocks = _merged(blocks, _whole, True, "kept", ranges, count, ("outer",))
