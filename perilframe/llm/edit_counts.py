@@ -139,14 +139,15 @@ def count_edited(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -> Da
 
 
 def redactions(docs: DataFrame, pattern: str = r"[A-Za-z0-9._]+@[A-Za-z0-9.]+|\d[\d. ()-]{5,}\d", insert: str = "[removed]") -> DataFrame:
-    """docs with ``edits`` that replace every match of a pattern, found by Spark's own functions."""
+    """docs with ``edits`` that replace every match of a pattern, found by Spark's own functions; an ``edits`` of the caller's is replaced."""
+    parts_, found_ = ("_" * (1 + max(map(len, docs.columns))) + x for x in ("parts", "found"))  # no columns of the caller's
     parts = F.split(F.coalesce("text", F.lit("")), pattern, -1)
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0))
     starts = F.aggregate(
         F.sequence(F.lit(0), F.size(found) - 1),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda s, i: F.struct((s["at"] + F.length(F.get(F.col("parts"), i)) + F.length(F.get(F.col("found"), i))).alias("at"), F.concat(s["starts"], F.array(s["at"] + F.length(F.get(F.col("parts"), i)))).alias("starts")),
+        lambda s, i: F.struct((s["at"] + F.length(F.get(F.col(parts_), i)) + F.length(F.get(F.col(found_), i))).alias("at"), F.concat(s["starts"], F.array(s["at"] + F.length(F.get(F.col(parts_), i)))).alias("starts")),
         lambda s: s["starts"],
     )
-    edits = F.when(F.size("found") > 0, F.zip_with(starts, "found", lambda a, b: F.struct(a.alias("start"), F.length(b).alias("length"), F.lit(insert).alias("insert")))).otherwise(F.array().cast(EDITS))
-    return docs.withColumn("parts", parts).withColumn("found", found).withColumn("edits", edits).drop("parts", "found")
+    edits = F.when(F.size(found_) > 0, F.zip_with(starts, found_, lambda a, b: F.struct(a.alias("start"), F.length(b).alias("length"), F.lit(insert).alias("insert")))).otherwise(F.array().cast(EDITS))
+    return docs.withColumn(parts_, parts).withColumn(found_, found).withColumn("edits", edits).drop(parts_, found_)

@@ -323,10 +323,11 @@ def _stretches(windows: DataFrame) -> DataFrame:
 
 def cut(docs: DataFrame) -> DataFrame:
     """docs without the removed stretches; documents of which only white space is left go. n_chars follows."""
-    gone = repeats(docs).where("removed").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("gone"))
+    gone_ = "_" * (1 + max(map(len, docs.columns))) + "gone"  # no column of the caller's
+    gone = repeats(docs).where("removed").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias(gone_))
     # Characters from the end of one stretch to the start of the next.
     folded = F.aggregate(
-        "gone",
+        gone_,
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
         lambda s, g: F.struct(
             F.greatest(s["at"], g["start"] + g["length"]).alias("at"),
@@ -334,7 +335,7 @@ def cut(docs: DataFrame) -> DataFrame:
         ),
         lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"].cast("int") + 1, F.length("text"))),
     )
-    out = docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(folded))
-    touched = F.col("gone").isNotNull()
+    out = docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col(gone_).isNull(), F.col("text")).otherwise(folded))
+    touched = F.col(gone_).isNotNull()
     out = out.where(~touched | F.col("text").rlike(r"\S")).withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -141,3 +141,10 @@ def test_passages_go_whole(spark):
 def test_bands_reach_recall():
     r, b = S.bands()
     assert 1 - (1 - 0.8**r) ** b >= 0.99
+
+
+def test_cut_keeps_columns_of_any_name(spark):
+    line = "one line of eight words that comes again"
+    rows = [(1, line, "a", 7), (2, line, "b", 8), (3, "another one", "c", 9), (4, None, "d", 1)]
+    out = S.cut(spark.createDataFrame([(i, t, None if t is None else len(t), g, x) for i, t, g, x in rows], "doc_id long, text string, n_chars long, gone string, removed int"))
+    assert sorted((r.doc_id, r.gone, r.removed) for r in out.collect()) == [(1, "a", 7), (3, "c", 9), (4, "d", 1)]

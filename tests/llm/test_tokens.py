@@ -144,3 +144,9 @@ def test_edit_counts_documents(spark):
         want[i] = (len(bpe(BYTE).encode(t)) // 4, len(bpe(BYTE).encode(new)) // 4, len(edits))
     assert {r.doc_id: (r.n_tokens, r.n_tokens_edited, r.n_edits) for r in got} == want and want[1][2] == 60 and want[None][2] == 1
     assert edit_counts.count_edited(edit_counts.redactions(frame(spark, [])), BYTE).count() == 0
+
+
+def test_redactions_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "write to a.b@c.org now", "p", "f")], "doc_id long, text string, parts string, found string")
+    r = edit_counts.redactions(df).first()
+    assert (r.parts, r.found, [tuple(e) for e in r.edits]) == ("p", "f", [(9, 9, "[removed]")])
