@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from perilframe import dims
+from perilframe.operators.prefix import totals_before
 
 MODEL_FEATURES = [f[0] for f in dims.FEATURES]
 _DEFAULT = {f[0]: f[1] for f in dims.FEATURES}
@@ -107,9 +108,9 @@ def risk_percentile(df: DataFrame, score: str = "wildfire_risk_score", step: flo
     """
     equal = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_m")).withColumn("_cell", F.floor(F.col("_s") / step))
     counts = equal.groupBy("_cell").agg(F.sum("_m").alias("_n"))
-    before = counts.select("_cell", (F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    before = totals_before(counts, "_cell", "_n", "_before").select("_cell", "_before").crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_all"))))  # one row
     inside = F.sum("_m").over(Window.partitionBy("_cell").orderBy("_s")) - F.col("_m")
-    ranks = equal.withColumn("_r", inside).join(F.broadcast(before), "_cell").select("_s", "_r", "_before", "_all")
+    ranks = equal.withColumn("_r", inside).join(before, "_cell").select("_s", "_r", "_before", "_all")
     out = df.join(ranks, F.col(score) == F.col("_s"), "left").drop("_s")
     pct = F.when(F.col("_all") > 1, 100.0 * (F.col("_before") + F.col("_r")) / (F.col("_all") - 1)).otherwise(0.0)
     return out.withColumn("risk_percentile", F.when(F.col(score).isNotNull(), pct)).drop("_before", "_all", "_r")

@@ -576,3 +576,14 @@ def test_climatology_draws_by_station_and_day(spark):
     assert abs(np.corrcoef(a.temp_f, b.temp_f)[0, 1]) < 4 / 3651**0.5 and abs(np.corrcoef(a.temp_f, a.temp_min_f)[0, 1]) < 4 / 3651**0.5
     later = W.climatology(spans.where("station = 'b'").withColumn("start", F.date_add("start", 100)).repartition(3), climate).orderBy("date").first()
     assert (later.temp_f, later.precip_in) == tuple(b.iloc[100][["temp_f", "precip_in"]])
+
+
+def test_totals_before_in_levels(spark):
+    from perilframe.operators.prefix import totals_before
+
+    rng = np.random.default_rng(5)
+    orders = np.unique(rng.integers(-40_000, 40_000, 900))
+    rows = [(int(o), int(v)) for o, v in zip(orders, rng.integers(0, 9, len(orders)))]
+    got = {r.o: r.t for r in totals_before(spark.createDataFrame(rows, "o long, v long").repartition(5), "o", "v", "t", span=16).collect()}
+    assert got == dict(zip(orders.tolist(), (np.cumsum([v for _, v in rows]) - [v for _, v in rows]).tolist()))
+    assert totals_before(spark.createDataFrame([], "o long, v long"), "o", "v", "t").count() == 0
