@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-#: Rows to a block of a column.
-BLOCK = 32
+from pyspark.sql import types as T
 
 # --- windows over a grid: every frame is one row or one column of a layer -----------------
 
@@ -50,13 +51,34 @@ def box_mean(df: DataFrame, value: str, k: int, out: str, keys: tuple[str, ...]
     return one(one(df, value, "_b", _row(*keys)), "_b", out, _col(*keys)).drop("_b")
 
 
-def nearest_where(df: DataFrame, flag: Column, carry: list[str], keys: tuple[str, ...] = (), reach: int | None = None) -> DataFrame:
-    """Every cell with its nearest flagged cell: near_d2 (squared, in cells) and near_<carry>; ties to (row, col).
+def lower_envelope(at: np.ndarray, height: np.ndarray) -> tuple[list[int], list[int]]:
+    """Parabolas (i - at)^2 + height, ``at`` rising: which of them are lowest somewhere, and the first integer i at which each is.
 
-    Separable: along a row the nearest flagged cells on either side are looked up by windows. Then, in
-    each column, what the rows next above and below have found, and the cell's own row, bound how far
-    off a nearer one can be; cells meet those rows only, by blocks of ``BLOCK`` rows. ``reach`` is a
-    bound of the caller's, in rows.
+    They are taken in order, each once onto a stack and at most once off it. Equal values go to the earlier parabola.
+    """
+    kept: list[int] = []
+    since: list[int] = []
+    for k, (b, h) in enumerate(zip(at.tolist(), height.tolist())):
+        first = None
+        while kept:
+            a, g = int(at[kept[-1]]), int(height[kept[-1]])
+            first = (b * b + h - a * a - g) // (2 * (b - a)) + 1
+            if first > since[-1]:
+                break
+            kept.pop()
+            since.pop()
+            first = None
+        kept.append(k)
+        since.append(-(2**62) if first is None else first)
+    return kept, since
+
+
+def nearest_where(df: DataFrame, flag: Column, carry: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Every cell with its nearest flagged cell: near_d2 (squared, in cells) and near_<carry>; ties to (row, col). Null without any.
+
+    Separable: along a row the nearest flagged cell on either side is looked up by windows. Then each column is
+    one group: its rows' squared distances are parabolas, and each cell takes the lowest one at its row, by their
+    lower envelope. The work goes with the number of cells, however far flagged cells are.
     """
     packed = F.when(flag, F.struct(F.col("row").alias("frow"), F.col("col").alias("fcol"), *(F.col(c).alias(f"near_{c}") for c in carry)))
     step = df.withColumn("_f", packed)
@@ -65,17 +87,26 @@ def nearest_where(df: DataFrame, flag: Column, carry: list[str], keys: tuple[str
     step = step.withColumn("_a", before).withColumn("_z", after)
     pick = F.when(F.col("_z").isNull() | (F.col("col") - F.col("_a.fcol") <= F.col("_z.fcol") - F.col("col")), F.col("_a")).otherwise(F.col("_z"))
     step = step.withColumn("_r", pick).drop("_f", "_a", "_z")
-    some = F.when(F.col("_r").isNotNull(), F.struct(F.col("row").alias("r"), (F.col("_r.fcol") - F.col("col")).alias("dx")))
-    known = [F.last(some, True).over(_col(*keys).rowsBetween(Window.unboundedPreceding, 0)), F.first(some, True).over(_col(*keys).rowsBetween(0, Window.unboundedFollowing))]
-    step = step.withColumns({f"_k{i}": k for i, k in enumerate(known)})
-    bound = F.floor(F.sqrt(F.least(*(F.pow(F.col("row") - F.col(f"_k{i}.r"), 2) + F.pow(F.col(f"_k{i}.dx"), 2) for i in (0, 1)))))
-    step = step.withColumn("_reach", bound if reach is None else F.least(bound, F.lit(reach))).drop("_k0", "_k1")
-    side = step.where("_r is not null").select(*keys, "col", F.col("row").alias("_row2"), F.floor(F.col("row") / BLOCK).alias("_b"), (F.col("_r.fcol") - F.col("col")).alias("_dx"), F.col("_r").alias("_r2"))
-    blocks = F.explode(F.sequence(F.floor((F.col("row") - F.col("_reach")) / BLOCK), F.floor((F.col("row") + F.col("_reach")) / BLOCK)))
-    pairs = step.select(*keys, "row", "col", "_reach", blocks.alias("_b")).join(side, [*keys, "col", "_b"]).where(F.abs(F.col("row") - F.col("_row2")) <= F.col("_reach"))
-    d2 = F.pow(F.col("row") - F.col("_row2"), 2) + F.pow("_dx", 2)
-    best = pairs.groupBy(*keys, "row", "col").agg(F.min(F.struct(d2.alias("d2"), F.col("_r2.frow").alias("frow"), F.col("_r2.fcol").alias("fcol"), *(F.col(f"_r2.near_{c}") for c in carry))).alias("_n"))
-    return step.drop("_r", "_reach").join(best, [*keys, "row", "col"], "left").select(*df.columns, F.col("_n.d2").alias("near_d2"), *(F.col(f"_n.near_{c}") for c in carry))
+    names = list(df.columns)
+    schema = T.StructType([*df.schema.fields, T.StructField("near_d2", T.DoubleType()), *(T.StructField(f"near_{c}", df.schema[c].dataType) for c in carry)])
+
+    def column(table: pa.Table) -> pa.Table:
+        row = table["row"].to_numpy().astype(np.int64)
+        found = table["_r"].combine_chunks()
+        has = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        take, d2 = pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.float64())
+        if len(has):
+            dx = pc.struct_field(found, "fcol").take(pa.array(has)).to_numpy(zero_copy_only=False).astype(np.int64) - table["col"][0].as_py()
+            order = np.lexsort((dx * dx, row[has]))
+            order = order[np.r_[True, np.diff(row[has][order]) > 0]]
+            at, height = row[has][order], (dx * dx)[order]
+            kept, since = lower_envelope(at, height)
+            best = np.array(kept)[np.searchsorted(np.array(since), row, side="right") - 1]
+            take, d2 = pa.array(has[order][best]), pa.array(((row - at[best]) ** 2 + height[best]).astype(float))
+        nearest = found.take(take)
+        return pa.table([*(table[n] for n in names), d2, *(pc.struct_field(nearest, f"near_{c}") for c in carry)], [*names, "near_d2", *(f"near_{c}" for c in carry)])
+
+    return step.groupBy(*keys, "col").applyInArrow(column, schema)
 
 
 # --- rasterising -----------------------------------------------------------------------------

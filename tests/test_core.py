@@ -262,15 +262,35 @@ def test_neighbours_at_any_distance(spark):
     assert P.neighbor_distance(df.limit(0)).count() == 0 and P.neighbor_distance(df.where("parcel_id = '3'")).first()[1] is None
 
 
-def test_nearest_where_is_bounded_and_whole(spark):
+def test_nearest_where_is_whole_at_any_distance(spark):
     rng = np.random.default_rng(6)
-    for share in (0.002, 0.3):
+    for share in (0.0, 0.002, 0.3):
         flags = rng.random((70, 50)) < share
         flags[69, 3] = True
-        cells = grid(spark, flags.astype(float))
-        got = {(r.row, r.col): r.near_d2 for r in G.nearest_where(cells, F.col("z") == 1, []).collect()}
+        cells = grid(spark, flags.astype(float)).withColumn("name", F.when(F.col("row") % 2 == 0, F.concat_ws("-", "row", "col")))
+        out = G.nearest_where(cells, F.col("z") == 1, ["row", "col", "name"])
+        assert out.columns == [*cells.columns, "near_d2", "near_row", "near_col", "near_name"]
         at = np.argwhere(flags)
-        assert all(got[r, c] == min(((at - (r, c)) ** 2).sum(axis=1)) for r in range(70) for c in range(50))
+        for r in out.collect():
+            d2, row, col = min((int(((x - (r.row, r.col)) ** 2).sum()), int(x[0]), int(x[1])) for x in at)
+            assert (r.near_d2, r.near_row, r.near_col, r.near_name) == (d2, row, col, f"{row}-{col}" if row % 2 == 0 else None)
+            assert r.name == (f"{r.row}-{r.col}" if r.row % 2 == 0 else None)
+    none = G.nearest_where(grid(spark, np.zeros((3, 4))), F.col("z") == 1, ["z"])
+    assert none.count() == 12 and none.where("near_d2 is not null or near_z is not null").isEmpty()
+    assert G.nearest_where(grid(spark, np.zeros((3, 4))).limit(0), F.col("z") == 1, ["z"]).count() == 0
+
+
+def test_lower_envelope_is_linear_and_exact():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 7, 60):
+        at = np.sort(rng.choice(200, n, replace=False))
+        height = rng.integers(0, 50, n) ** 2
+        kept, since = G.lower_envelope(at, height)
+        assert all(np.diff(since) > 0) and len(kept) <= n
+        for i in range(-20, 220):
+            cost = (i - at) ** 2 + height
+            assert kept[np.searchsorted(since, i, side="right") - 1] == cost.argmin()
+    assert len(G.lower_envelope(np.arange(200_000), np.zeros(200_000, int))[0]) == 200_000
 
 
 def test_snap_wind_keeps_repeats(spark):
