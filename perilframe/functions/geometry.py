@@ -120,13 +120,18 @@ def polygon_centroid(rings: Column) -> Column:
     return F.when((F.size(rings) == 1) | (total == 0), first).otherwise(F.struct(mean("x").alias("x"), mean("y").alias("y")))
 
 
-def ring_distance(a: Column, b: Column) -> Column:
-    """Between two rings: 0 if they cross or a corner of one is inside the other, else the least corner-to-side distance."""
+def outline_distance(a: Column, a_sides: Column, b: Column, b_sides: Column) -> Column:
+    """Between two polygons, given as the corners and the sides of all their rings: 0 if they cross or a corner of one is inside the other, else the least corner-to-side distance."""
     turn = lambda ax, ay, bx, by, cx, cy: (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
     apart = lambda s, t: turn(s["x1"], s["y1"], s["x2"], s["y2"], t["x1"], t["y1"]) * turn(s["x1"], s["y1"], s["x2"], s["y2"], t["x2"], t["y2"]) < 0
-    crossing = F.exists(sides(a), lambda s: F.exists(sides(b), lambda t: apart(s, t) & apart(t, s)))
-    near = lambda p, q: F.array_min(F.transform(p, lambda c: F.when(contains(q, c["x"], c["y"]), 0.0).otherwise(distance_to_ring(q, c["x"], c["y"]))))
-    return F.when(crossing, 0.0).otherwise(F.least(near(a, b), near(b, a)))
+    crossing = F.exists(a_sides, lambda s: F.exists(b_sides, lambda t: apart(s, t) & apart(t, s)))
+    near = lambda p, q: F.array_min(F.transform(p, lambda c: F.when(_odd(q, c["x"], c["y"]), 0.0).otherwise(_nearest(q, c["x"], c["y"]))))
+    return F.when(crossing, 0.0).otherwise(F.least(near(a, b_sides), near(b, a_sides)))
+
+
+def ring_distance(a: Column, b: Column) -> Column:
+    """Between two rings, as ``outline_distance``."""
+    return outline_distance(a, sides(a), b, sides(b))
 
 
 # --- UTM, by the series of Krueger --------------------------------------------------------------

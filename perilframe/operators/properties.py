@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from perilframe import dims
 from perilframe.functions import geometry as geo
 from perilframe.operators.iterate import stored
+from perilframe.operators.nearest import nearest_other
 
 #: Standard column: source names in order of preference.
 COLUMNS = {
@@ -129,11 +130,12 @@ def zone_of(distance: Column) -> Column:
     return F.when(distance <= 0, F.lit(None).cast("int")).when(distance <= 1.5, 1).when(distance <= 9, 2).when(distance <= 30.5, 3)
 
 
-def zone_cells(buildings: DataFrame, cells: DataFrame, reach: float = 30.5) -> DataFrame:
+def zone_cells(buildings: DataFrame, cells: DataFrame, reach: float = 30.5, share: int = 256) -> DataFrame:
     """(parcel_id, zone, cell columns): the cells (x, y) around each building (parcel_id, ring or rings). A hole is outside.
 
     Buildings are dealt to the buckets that their box, widened by the reach, meets; cells are in one
-    bucket each, so they are shuffled once.
+    bucket each. A bucket of more than ``share`` buildings is dealt in shares of about as many, each with
+    the bucket's cells, so that no task has a whole downtown.
     """
     size = 2 * reach
     rings = geo.rings_of(buildings)
@@ -141,11 +143,15 @@ def zone_cells(buildings: DataFrame, cells: DataFrame, reach: float = 30.5) -> D
     span = lambda lo, hi: F.sequence(F.floor((F.col(f"b.{lo}") - reach) / size), F.floor((F.col(f"b.{hi}") + reach) / size))
     b = b.withColumn("_bx", F.explode(span("x0", "x1"))).withColumn("_by", F.explode(span("y0", "y1")))
     c = cells.withColumn("_bx", F.floor(F.col("x") / size)).withColumn("_by", F.floor(F.col("y") / size))
-    met = b.join(c, ["_bx", "_by"]).where(F.col("x").between(F.col("b.x0") - reach, F.col("b.x1") + reach) & F.col("y").between(F.col("b.y0") - reach, F.col("b.y1") + reach))
+    hot = b.groupBy("_bx", "_by").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("_shares")).where("_shares > 1")
+    shares = F.coalesce("_shares", F.lit(1))
+    b = b.join(hot, ["_bx", "_by"], "left").withColumn("_share", F.pmod(F.xxhash64("parcel_id", "b"), shares).cast("int")).drop("_shares")
+    c = c.join(hot, ["_bx", "_by"], "left").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_shares")
+    met = b.join(c, ["_bx", "_by", "_share"]).where(F.col("x").between(F.col("b.x0") - reach, F.col("b.x1") + reach) & F.col("y").between(F.col("b.y0") - reach, F.col("b.y1") + reach))
     inside = geo.polygon_contains(F.col("_rings"), F.col("x"), F.col("y"))
     distance = F.when(inside, 0.0).otherwise(geo.polygon_distance(F.col("_rings"), F.col("x"), F.col("y")))
     once = F.get(F.transform(F.array(distance), zone_of), F.lit(0))
-    return met.withColumn("zone", once).where("zone is not null").drop("_bx", "_by", "b", "_rings")
+    return met.withColumn("zone", once).where("zone is not null").drop("_bx", "_by", "_share", "b", "_rings")
 
 
 def zone_metrics(buildings: DataFrame, zoned: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -167,59 +173,21 @@ def zone_metrics(buildings: DataFrame, zoned: DataFrame, threshold: float = 0.0)
     )
 
 
-def neighbor_distance(footprints: DataFrame, reach: float = 60.0) -> DataFrame:
-    """(parcel_id, neighbor_distance_m): from each footprint (ring) to the nearest other one, null without any.
+def neighbor_distance(footprints: DataFrame) -> DataFrame:
+    """(parcel_id, neighbor_distance_m): from each footprint (ring or rings) to the nearest other one, null without any.
 
-    Equal rings are taken once, so that a site with many copies costs one row. Boxes meet in buckets as
-    wide as the reach, the smaller side dealt to the nine around; what finds no neighbour within it looks
-    again four times as far, until all have one. Footprints without a ring have none.
+    Equal polygons are taken once, by a digest of their corners, so that a site with many copies costs one row; copies
+    are 0 apart. Inside is what an odd number of rings hold. Footprints without a ring have none.
     """
-    whole = footprints.where("ring is not null").groupBy("ring").agg(F.count(F.lit(1)).alias("n")).withColumn("b", geo.box(F.col("ring")))
-    half = F.greatest(F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0")) / 2
-    sites = stored(whole.select("ring", "n", ((F.col("b.x0") + F.col("b.x1")) / 2).alias("cx"), ((F.col("b.y0") + F.col("b.y1")) / 2).alias("cy"), half.alias("half"), F.xxhash64("ring").alias("k")), "sites")
-    span = sites.agg(F.max("half").alias("half"), F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy")).alias("extent"), F.count(F.lit(1)).alias("n")).first()
-    todo, known = sites, []
-    reach = max(reach, 4 * (span["half"] or 0.0))
-    while span["n"] > 1:
-        near = stored(_nearest_ring(todo, sites, reach), "near")
-        last = reach >= span["extent"]
-        # Beyond the reach less both half widths, a footprint outside the nine buckets may be nearer.
-        sure = near if last else near.where(F.col("d") <= reach - F.col("half") - span["half"])
-        known.append(sure.select("ring", "d"))
-        if last:
-            break
-        todo = stored(todo.join(sure.select("ring"), "ring", "left_anti"), "todo")
-        if todo.isEmpty():
-            break
-        reach *= 4
-    found = sites.select("ring", "n")
-    for each in known[:1]:
-        all_known = each
-        for more in known[1:]:
-            all_known = all_known.unionByName(more)
-        found = found.join(all_known, "ring", "left")
-    if not known:
-        found = found.withColumn("d", F.lit(None).cast("double"))
-    out = footprints.select("parcel_id", "ring").join(found, "ring", "left")
+    rings = geo.rings_of(footprints)
+    f = footprints.select("parcel_id", rings.alias("rings"), F.md5(F.to_json(rings)).alias("k"))
+    whole = f.where("rings is not null").groupBy("k").agg(F.first("rings").alias("rings"), F.count(F.lit(1)).alias("n"))
+    sites = stored(whole.withColumn("id", F.monotonically_increasing_id()), "sites")
+    found = sites.select("k", "n", "id").join(nearest_other(sites.select("id", "rings")), "id", "left")
+    out = f.select("parcel_id", "k").join(found, "k", "left")
     return out.select("parcel_id", F.when(F.col("n") > 1, 0.0).otherwise(F.col("d")).alias("neighbor_distance_m"))
 
 
-def _nearest_ring(some: DataFrame, sites: DataFrame, reach: float) -> DataFrame:
-    """some with d, the least distance to another of sites in the nine buckets around; without rows for those alone there."""
-    bucket = lambda c: F.floor(F.col(c) / reach)
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    one = some.withColumn("_o", F.explode(around)).withColumn("_bx", bucket("cx") + F.col("_o.i")).withColumn("_by", bucket("cy") + F.col("_o.j")).drop("_o")
-    two = sites.select(F.col("ring").alias("ring2"), F.col("k").alias("k2"), F.col("cx").alias("x2"), F.col("cy").alias("y2"), F.col("half").alias("h2"), bucket("cx").alias("_bx"), bucket("cy").alias("_by"))
-    gap = lambda a, b: F.greatest(F.lit(0.0), F.abs(F.col(a) - F.col(b)) - F.col("half") - F.col("h2"))
-    pairs = one.join(two, ["_bx", "_by"]).where((F.col("k") != F.col("k2")) | (F.col("ring") != F.col("ring2")))
-    # The boxes' gap is a lower bound, their farthest corners an upper one: only rings that may be nearest are measured.
-    far = F.hypot(F.abs(F.col("cx") - F.col("x2")) + F.col("half") + F.col("h2"), F.abs(F.col("cy") - F.col("y2")) + F.col("half") + F.col("h2"))
-    bounded = pairs.withColumn("low", F.hypot(gap("cx", "x2"), gap("cy", "y2"))).withColumn("high", far)
-    least = bounded.groupBy("ring").agg(F.min("high").alias("most"))
-    near = bounded.join(least, "ring").where("low <= most").withColumn("d", geo.ring_distance(F.col("ring"), F.col("ring2")))
-    return near.groupBy("ring").agg(F.min("d").alias("d"), F.max("half").alias("half"))
-
-
 def neighbor_flag(distance: Column) -> Column:
     return F.coalesce(distance < 15, F.lit(False))
 

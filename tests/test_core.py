@@ -262,6 +262,47 @@ def test_neighbours_at_any_distance(spark):
     assert P.neighbor_distance(df.limit(0)).count() == 0 and P.neighbor_distance(df.where("parcel_id = '3'")).first()[1] is None
 
 
+def test_neighbours_of_a_dense_downtown(spark):
+    """20,000 footprints on a block of 60 m, one footprint of 3 km around it all, and farms far off."""
+    rng = np.random.default_rng(9)
+    n = 20_000
+    low = np.column_stack((rng.uniform(1000, 1060, (n, 2)), rng.uniform(0.01, 0.1, (n, 2))))
+    farms = np.column_stack((rng.uniform(20_000, 90_000, (50, 2)), rng.uniform(5, 40, (50, 2))))
+    boxes = np.concatenate((low, farms))
+    x0, y0, x1, y1 = boxes[:, 0], boxes[:, 1], boxes[:, 0] + boxes[:, 2], boxes[:, 1] + boxes[:, 3]
+    point = lambda x, y: {"x": float(x), "y": float(y)}
+    square = lambda a, b, c, d: [point(a, b), point(c, b), point(c, d), point(a, d)]
+    rows = [(str(k), [square(*v)]) for k, v in enumerate(zip(x0, y0, x1, y1))]
+    rows += [("yard", [square(-1500, -1500, 1500, 1500), square(-1400, -1400, 1400, 1400)]), ("empty", []), ("none", None)]
+    df = spark.createDataFrame(rows, "parcel_id string, rings array<array<struct<x: double, y: double>>>")
+    got = {r.parcel_id: r.neighbor_distance_m for r in P.neighbor_distance(df).collect()}
+    assert len(got) == len(rows) and got["none"] is None and got["empty"] is None
+    gaps = lambda k: np.hypot(np.maximum(0, np.maximum(x0[k] - x1, x0 - x1[k])), np.maximum(0, np.maximum(y0[k] - y1, y0 - y1[k])))
+    for k in [*rng.choice(n, 300, replace=False), *range(n, n + 50)]:
+        others = np.delete(gaps(k), k)
+        assert abs(got[str(k)] - others.min()) < 1e-6
+    assert abs(got["yard"] - (1400 - max(x1[:n].max(), y1[:n].max()))) < 1e-6
+
+
+def test_zones_of_a_hot_bucket_are_dealt_in_shares(spark):
+    rng = np.random.default_rng(10)
+    spots = [(float(x), float(y)) for x, y in rng.uniform(0, 50, (150, 2))]
+    rows = [(str(k), [{"x": x + a, "y": y + b} for a, b in ((0, 0), (3, 0), (3, 3), (0, 3))]) for k, (x, y) in enumerate(spots)]
+    b = spark.createDataFrame(rows, "parcel_id string, ring array<struct<x: double, y: double>>")
+    c = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-40, 90, (80, 2)))], "id int, x double, y double")
+    zones = lambda share: sorted(tuple(r) for r in P.zone_cells(b, c, share=share).select("parcel_id", "id", "zone").collect())
+    few = zones(10)
+    assert few == zones(10**6) and len(few) == len(set(few))
+    at = {r.id: (r.x, r.y) for r in c.collect()}
+    want = []
+    for k, (x, y) in enumerate(spots):
+        for i, (u, v) in at.items():
+            d = float(np.hypot(max(0, x - u, u - x - 3), max(0, y - v, v - y - 3)))
+            if 0 < d <= 30.5:
+                want.append((str(k), i, 1 if d <= 1.5 else 2 if d <= 9 else 3))
+    assert few == sorted(want)
+
+
 def test_nearest_where_is_whole_at_any_distance(spark):
     rng = np.random.default_rng(6)
     for share in (0.0, 0.002, 0.3):
