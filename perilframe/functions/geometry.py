@@ -43,12 +43,15 @@ def centroid(ring: Column) -> Column:
     return F.struct(F.when(a != 0, x).otherwise(mean("x")).alias("x"), F.when(a != 0, y).otherwise(mean("y")).alias("y"))
 
 
-def _odd(sides: Column, x: Column, y: Column) -> Column:
+def odd_crossings(sides: Column, x: Column, y: Column) -> Column:
+    """Inside by the even-odd rule."""
     crosses = lambda s: ((s["y1"] > y) != (s["y2"] > y)) & (x < (s["x2"] - s["x1"]) * (y - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"])
     return F.size(F.filter(sides, crosses)) % 2 == 1
 
 
-def _nearest(sides: Column, x: Column, y: Column) -> Column:
+def nearest_side(sides: Column, x: Column, y: Column) -> Column:
+    """From a point to the nearest of the sides."""
+
     def one(s: Column) -> Column:
         dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
         n = dx * dx + dy * dy
@@ -60,12 +63,12 @@ def _nearest(sides: Column, x: Column, y: Column) -> Column:
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
     """Even-odd rule."""
-    return _odd(sides(ring), x, y)
+    return odd_crossings(sides(ring), x, y)
 
 
 def distance_to_ring(ring: Column, x: Column, y: Column) -> Column:
     """From a point to the nearest side."""
-    return _nearest(sides(ring), x, y)
+    return nearest_side(sides(ring), x, y)
 
 
 def box(ring: Column) -> Column:
@@ -84,12 +87,12 @@ def all_sides(rings: Column) -> Column:
 
 def polygon_contains(rings: Column, x: Column, y: Column) -> Column:
     """Even-odd rule over all rings."""
-    return _odd(all_sides(rings), x, y)
+    return odd_crossings(all_sides(rings), x, y)
 
 
 def polygon_distance(rings: Column, x: Column, y: Column) -> Column:
     """From a point to the nearest side of any ring."""
-    return _nearest(all_sides(rings), x, y)
+    return nearest_side(all_sides(rings), x, y)
 
 
 def polygon_box(rings: Column) -> Column:
@@ -125,7 +128,7 @@ def outline_distance(a: Column, a_sides: Column, b: Column, b_sides: Column) ->
     turn = lambda ax, ay, bx, by, cx, cy: (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
     apart = lambda s, t: turn(s["x1"], s["y1"], s["x2"], s["y2"], t["x1"], t["y1"]) * turn(s["x1"], s["y1"], s["x2"], s["y2"], t["x2"], t["y2"]) < 0
     crossing = F.exists(a_sides, lambda s: F.exists(b_sides, lambda t: apart(s, t) & apart(t, s)))
-    near = lambda p, q: F.array_min(F.transform(p, lambda c: F.when(_odd(q, c["x"], c["y"]), 0.0).otherwise(_nearest(q, c["x"], c["y"]))))
+    near = lambda p, q: F.array_min(F.transform(p, lambda c: F.when(odd_crossings(q, c["x"], c["y"]), 0.0).otherwise(nearest_side(q, c["x"], c["y"]))))
     return F.when(crossing, 0.0).otherwise(F.least(near(a, b_sides), near(b, a_sides)))
 
 

@@ -139,7 +139,7 @@ def zone_cells(buildings: DataFrame, cells: DataFrame, reach: float = 30.5, shar
     """
     size = 2 * reach
     rings = geo.rings_of(buildings)
-    b = buildings.select("parcel_id", rings.alias("_rings"), geo.polygon_box(rings).alias("b"))
+    b = buildings.select("parcel_id", geo.all_sides(rings).alias("_sides"), geo.polygon_box(rings).alias("b"))
     span = lambda lo, hi: F.sequence(F.floor((F.col(f"b.{lo}") - reach) / size), F.floor((F.col(f"b.{hi}") + reach) / size))
     b = b.withColumn("_bx", F.explode(span("x0", "x1"))).withColumn("_by", F.explode(span("y0", "y1")))
     c = cells.withColumn("_bx", F.floor(F.col("x") / size)).withColumn("_by", F.floor(F.col("y") / size))
@@ -148,10 +148,9 @@ def zone_cells(buildings: DataFrame, cells: DataFrame, reach: float = 30.5, shar
     b = b.join(hot, ["_bx", "_by"], "left").withColumn("_share", F.pmod(F.xxhash64("parcel_id", "b"), shares).cast("int")).drop("_shares")
     c = c.join(hot, ["_bx", "_by"], "left").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_shares")
     met = b.join(c, ["_bx", "_by", "_share"]).where(F.col("x").between(F.col("b.x0") - reach, F.col("b.x1") + reach) & F.col("y").between(F.col("b.y0") - reach, F.col("b.y1") + reach))
-    inside = geo.polygon_contains(F.col("_rings"), F.col("x"), F.col("y"))
-    distance = F.when(inside, 0.0).otherwise(geo.polygon_distance(F.col("_rings"), F.col("x"), F.col("y")))
+    distance = F.when(geo.odd_crossings(F.col("_sides"), F.col("x"), F.col("y")), 0.0).otherwise(geo.nearest_side(F.col("_sides"), F.col("x"), F.col("y")))
     once = F.get(F.transform(F.array(distance), zone_of), F.lit(0))
-    return met.withColumn("zone", once).where("zone is not null").drop("_bx", "_by", "_share", "b", "_rings")
+    return met.withColumn("zone", once).where("zone is not null").drop("_bx", "_by", "_share", "b", "_sides")
 
 
 def zone_metrics(buildings: DataFrame, zoned: DataFrame, threshold: float = 0.0) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from perilframe.functions import geometry as geo
 from perilframe.operators.iterate import shared_path
 from perilframe.operators.scoring import components, risk_category
+from perilframe.operators.weather import wind_rose
+from perilframe.plans.cell_queries import _ROSE, _SECTOR
 from perilframe.plans.hazard_queries import _LINES, isochrones
 from perilframe.plans.registry import query
 from perilframe.plans.risk_queries import _CATEGORY, _W, TERRAIN, scored
@@ -43,6 +45,48 @@ def _(i):
     return scaled_bands(i.pixels).select("row", "col", "r", "nir")
 
 
+@query("src8_read_weather_records", "SELECT CAST(station AS VARCHAR) AS station, datatype, count(*) AS n, sum(value) AS total, CAST(min(date) AS VARCHAR) AS since, max(seq) AS last FROM weather_long GROUP BY 1, 2")
+def _(i):
+    """Records written as pages, each a JSON array of at most a thousand, and read back."""
+    path = shared_path(i.spark, "pages")
+    records = F.collect_list(F.struct(F.col("station").cast("string").alias("station"), F.col("date").cast("string").alias("date"), "datatype", "value", "seq"))
+    i.weather_long.groupBy(F.floor(F.col("seq") / 1000).alias("page")).agg(F.to_json(records).alias("value")).select("value").write.text(path)
+    read = R.read_records(i.spark, path, lines=True)
+    return read.groupBy("station", "datatype").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.min("date").alias("since"), F.max("seq").alias("last"))
+
+
+_PATCHES = "SELECT concat('patches/', CASE WHEN CAST(parcel_id AS INT) % 9 = 0 THEN 'unsorted' ELSE roof_material END, '/', parcel_id, '.npy') AS path FROM properties"
+
+
+@query("src17_labelled_classes", f"WITH p AS ({_PATCHES}), f AS (SELECT class_id, count(*) AS n FROM p JOIN roof_classes c ON c.label = split_part(path, '/', 2) GROUP BY 1) SELECT c.class_id, c.label, coalesce(f.n, 0) AS files FROM roof_classes c LEFT JOIN f ON f.class_id = c.class_id")
+def _(i):
+    """How many patches each class has, of the paths of all properties' patches."""
+    folder = F.when(F.col("parcel_id").cast("int") % 9 == 0, F.lit("unsorted")).otherwise(F.col("roof_material"))
+    paths = i.properties.select(F.concat(F.lit("patches/"), folder, F.lit("/"), "parcel_id", F.lit(".npy")).alias("path"))
+    return R.class_counts(paths.withColumn("label", R.label_of(F.col("path"))), i.roof_classes)
+
+
+@query("snk2_write_wind_rose", f"""{_ROSE}, s AS (SELECT {_SECTOR} AS sector, * FROM w), g AS (SELECT sector, count(*) AS n, quantile_cont(wind_speed_mph, 0.9) AS p90, quantile_cont(wind_speed_mph, 0.95) AS p95, quantile_cont(wind_speed_mph, 0.99) AS p99 FROM s GROUP BY 1)
+ SELECT CAST(r.r AS INT) AS sector, r.r * 22.5::DOUBLE AS center_deg, round(coalesce(n / (SELECT count(*) FROM w), 0), 6) AS frequency, round(coalesce(p90, 0), 6) AS pct_90, round(coalesce(p95, 0), 6) AS pct_95, round(coalesce(p99, 0), 6) AS pct_99 FROM unnest(range(16)) r(r) LEFT JOIN g ON g.sector = r.r""")
+def _(i):
+    """The rose of all days as one document, read back a row a sector."""
+    path = shared_path(i.spark, "rose")
+    days = i.weather_daily.select((F.col("wind_kmh") / 1.60934).alias("wind_speed_mph"), (F.col("day_no") * 37 % 360).cast("double").alias("wind_dir_deg"))
+    K.write_wind_rose(wind_rose(days), path)
+    read = i.spark.read.schema(", ".join(f"{n} array<double>" for n in ("sectors", "frequency", "pct_90", "pct_95", "pct_99"))).json(path)
+    rows = read.select(F.posexplode(F.arrays_zip(*read.columns)).alias("sector", "s"))
+    return rows.select("sector", F.col("s.sectors").alias("center_deg"), *(f"s.{n}" for n in read.columns[1:]))
+
+
+@query("snk9_export_stats", f"{_W}, f AS (SELECT coalesce(round(round(max(toa), 9), 1), 0) AS arrival, count(toa) AS burned FROM runs) SELECT count(*) AS \"buildingCount\", round(round(avg(s), 9), 1) AS \"meanRisk\", round(round(max(s), 9), 1) AS \"maxRisk\", round(round(min(s), 9), 1) AS \"minRisk\", count(*) FILTER (s >= 55) AS \"highRiskCount\", count(*) FILTER (s >= 30 AND s < 55) AS \"moderateRiskCount\", count(*) FILTER (s < 30) AS \"lowRiskCount\", any_value(f.arrival) AS \"fireMaxArrival\", any_value(f.burned) AS \"fireBurnedCells\" FROM scored, f")
+def _(i):
+    """The summary of all buildings and all runs as one document, read back."""
+    path = shared_path(i.spark, "stats")
+    K.export_stats(scored(i), i.runs, path)
+    counts, scores = ("buildingCount", "highRiskCount", "moderateRiskCount", "lowRiskCount", "fireBurnedCells"), ("meanRisk", "maxRisk", "minRisk", "fireMaxArrival")
+    return i.spark.read.schema(", ".join([f"{n} long" for n in counts] + [f"{n} double" for n in scores])).json(path)
+
+
 @query("src13_train_val_split", "SELECT CASE WHEN CAST('0x' || substr(md5(parcel_id), 1, 8) AS BIGINT) % 100 < 85 THEN 'train' ELSE 'validation' END AS split, count(*) AS count FROM properties GROUP BY 1")
 def _(i):
     return R.train_val_split(i.properties, "parcel_id").groupBy("split").count()

@@ -28,10 +28,26 @@ def tile_manifest(spark: SparkSession, path: str, glob: str = "*", least: int =
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.md5("content").alias("md5"), "length")
 
 
+def label_of(path: Column) -> Column:
+    """A file's label is its folder's name."""
+    return F.regexp_extract(path, "([^/]+)/[^/]+$", 1)
+
+
 def labelled_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, label): a file's label is its folder's name."""
+    """(path, label) of all files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.select("path", F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("label"))
+    return files.select("path", label_of(F.col("path")).alias("label"))
+
+
+def labelled_classes(manifest: DataFrame, classes: DataFrame) -> DataFrame:
+    """manifest (path, label) with the class (label, class_id) of each file; files of other folders go."""
+    return manifest.join(F.broadcast(classes.select("label", "class_id")), "label")  # classes are a fixed table
+
+
+def class_counts(manifest: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class_id, label, files) of every class, 0 for one without files."""
+    files = labelled_classes(manifest, classes).groupBy("class_id").agg(F.count(F.lit(1)).alias("_n"))
+    return classes.join(files, "class_id", "left").select("class_id", "label", F.coalesce("_n", F.lit(0)).cast("long").alias("files"))
 
 
 def not_yet(index: DataFrame, have: DataFrame, key: str = "filename") -> DataFrame:
@@ -44,8 +60,9 @@ def no_sentinel(z: Column, below: float = -9000.0) -> Column:
     return F.when((z < below) | F.isnan(z) | (F.abs(z) == float("inf")), F.lit(None)).otherwise(z)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RECORDS).option("multiLine", True).json(path)
+def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Pages of records: JSON arrays, one to a file, or one to a line, so that large files are split."""
+    return spark.read.schema(RECORDS).option("multiLine", not lines).json(path)
 
 
 def read_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -18,8 +18,27 @@ def write_weather(df: DataFrame, path: str) -> None:
     df.withColumn("year", F.year("date")).repartition("year").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_wind_rose(rose: DataFrame, path: str) -> None:
+    """A rose (sector, center_deg, frequency, p90, p95, p99) as one JSON document, a list for each measure in order of sectors."""
+    names = {"center_deg": "sectors", "frequency": "frequency", "p90": "pct_90", "p95": "pct_95", "p99": "pct_99"}
+    row = rose.agg(F.array_sort(F.collect_list(F.struct("sector", *names))).alias("all"))  # as many as a rose has sectors
+    row.select(*(F.col(f"all.{c}").alias(n) for c, n in names.items())).coalesce(1).write.mode("overwrite").json(path)
+
+
+def stats_document(scored: DataFrame, arrivals: DataFrame, score: str = "wildfire_risk_score") -> DataFrame:
+    """One row: what an export says of all buildings (scores to one decimal, 0 without any) and of the cells a fire reached (toa, in minutes)."""
+    s = F.col(score)
+    one = lambda c: F.coalesce(F.round(F.round(c, 9), 1), F.lit(0.0))
+    buildings = scored.agg(
+        F.count(F.lit(1)).alias("buildingCount"), one(F.avg(s)).alias("meanRisk"), one(F.max(s)).alias("maxRisk"), one(F.min(s)).alias("minRisk"),
+        F.count_if(s >= 55).alias("highRiskCount"), F.count_if((s >= 30) & (s < 55)).alias("moderateRiskCount"), F.count_if(s < 30).alias("lowRiskCount"),
+    )
+    fire = arrivals.agg(one(F.max("toa")).alias("fireMaxArrival"), F.count("toa").alias("fireBurnedCells"))
+    return buildings.crossJoin(F.broadcast(fire))  # one row each
+
+
+def export_stats(scored: DataFrame, arrivals: DataFrame, path: str) -> None:
+    stats_document(scored, arrivals).coalesce(1).write.mode("overwrite").json(path)
 
 
 def write_twins(df: DataFrame, path: str) -> None:

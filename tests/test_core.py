@@ -27,7 +27,7 @@ from perilframe.sources import writers as K
 from perilframe.streaming.weather import daily_stream
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["qry5_overview", "sco2_wildfire_score", "mit4_counterfactual_sequence", "grid10_fill_nearest", "ter5_tri", "wx9_fire_weather_index", "fire1_spread_rate", "hyd3_flow_accumulation", "prx7_neighbor_distance", "veg6_zonal_veg_stats", "fire11_isochrone_segments", "fire11_isochrone_lines", "snk8_export_isochrones"]
+SAMPLE = ["src8_read_weather_records", "src17_labelled_classes", "snk2_write_wind_rose", "snk9_export_stats", "qry5_overview", "sco2_wildfire_score", "mit4_counterfactual_sequence", "grid10_fill_nearest", "ter5_tri", "wx9_fire_weather_index", "fire1_spread_rate", "hyd3_flow_accumulation", "prx7_neighbor_distance", "veg6_zonal_veg_stats", "fire11_isochrone_segments", "fire11_isochrone_lines", "snk8_export_isochrones"]
 
 
 def grid(spark, z):
@@ -262,6 +262,31 @@ def test_neighbours_at_any_distance(spark):
     assert P.neighbor_distance(df.limit(0)).count() == 0 and P.neighbor_distance(df.where("parcel_id = '3'")).first()[1] is None
 
 
+def test_pages_classes_rose_and_stats(spark, tmp_path):
+
+    pages = [[{"station": "s", "date": "2024-01-01T00:00:00", "datatype": "TMAX", "value": 3.5, "seq": k, "attributes": ",,N"} for k in page] for page in ((0, 1), (2,), ())]
+    for n, page in enumerate(pages):
+        (tmp_path / f"p{n}.json").write_text(json.dumps(page, indent=1))
+    assert sorted(r.seq for r in R.read_records(spark, f"{tmp_path}/p*.json").collect()) == [0, 1, 2]
+    (tmp_path / "pages.txt").write_text("\n".join(json.dumps(p) for p in pages))
+    assert sorted(r.seq for r in R.read_records(spark, f"{tmp_path}/pages.txt", lines=True).collect()) == [0, 1, 2]
+    for k, folder in enumerate(("metal_corrugated", "membrane_flat", "metal_corrugated", "elsewhere")):
+        (tmp_path / "patches" / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "patches" / folder / f"{k}.npy").write_bytes(b"x")
+    counts = R.class_counts(R.labelled_manifest(spark, f"{tmp_path}/patches", "*.npy"), dims.dim(spark, "roof_classes")).collect()
+    assert len(counts) == 8 and {r.label: r.files for r in counts if r.files} == {"metal_corrugated": 2, "membrane_flat": 1} and all(r.class_id is not None for r in counts)
+    wind = spark.createDataFrame([(10.0, 0.0), (20.0, 359.0), (30.0, 90.0), (None, 90.0)], "wind_speed_mph double, wind_dir_deg double")
+    K.write_wind_rose(W.wind_rose(wind), f"{tmp_path}/rose")
+    (doc,) = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/rose").collect()]
+    assert doc["sectors"] == [k * 22.5 for k in range(16)] and abs(doc["frequency"][0] - 2 / 3) < 1e-9 and abs(doc["pct_90"][0] - 19) < 1e-9 and doc["pct_99"][4] == 30 and doc["pct_95"][8] == 0
+    scored = spark.createDataFrame([(60.0,), (55.0,), (30.0,), (29.96,)], "wildfire_risk_score double")
+    runs = spark.createDataFrame([(12.34,), (None,)], "toa double")
+    for some, want in ((scored, (4, 43.7, 60.0, 30.0, 2, 1, 1, 12.3, 1)), (scored.limit(0), (0, 0.0, 0.0, 0.0, 0, 0, 0, 12.3, 1))):
+        K.export_stats(some, runs, f"{tmp_path}/stats")
+        (doc,) = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/stats").collect()]
+        assert tuple(doc.values()) == want
+
+
 def test_neighbours_of_a_dense_downtown(spark):
     """20,000 footprints on a block of 60 m, one footprint of 3 km around it all, and farms far off."""
     rng = np.random.default_rng(9)
