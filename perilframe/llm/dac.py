@@ -159,6 +159,43 @@ def read(spark: SparkSession, out: str) -> DataFrame:
     return rows.select("first_start", "n_docs", "doc_ids", "doc_nulls", "data", "before").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def directory(spark: SparkSession, out: str) -> DataFrame:
+    """(doc_id, part, segment, k): in which segment each document lies, and as its how-manieth. Codes aren't read; null ids have no row."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                k = np.flatnonzero(np.unpackbits(np.frombuffer(r.doc_nulls, np.uint8))[: r.n_docs] == 0)
+                yield pd.DataFrame({"doc_id": np.frombuffer(r.doc_ids, "<i8")[k], "part": r.part, "segment": r.segment, "k": k})
+
+    segments = spark.read.schema(SEGMENT).parquet(out).select("part", "segment", "n_docs", "doc_ids", "doc_nulls")
+    return segments.mapInPandas(run, "doc_id long, part long, segment long, k long")
+
+
+def tokens_at(spark: SparkSession, out: str, wanted: DataFrame) -> DataFrame:
+    """wanted (doc_id, position, from 0) to (doc_id, position, token): each id read at its place, without its neighbours.
+
+    Codes are read of those files alone that hold a wanted document, and of their segments only those with one are
+    shuffled. Each distinct wanted place has one row for each document of that id: token is null outside the document.
+    Ids that no document has, and null ids or positions, have no row.
+    """
+    asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("position").cast("long").alias("position")).where("doc_id is not null and position is not null").distinct()
+    hits = asked.join(directory(spark, out), "doc_id")
+    # As many numbers as range partitions were written, at most.
+    parts = [r["part"] for r in hits.select("part").distinct().collect()]
+    segments = spark.read.schema(SEGMENT).parquet(out).where(F.col("part").isin(parts)).select("part", "segment", "data")
+    held = segments.join(hits.select("part", "segment").distinct(), ["part", "segment"], "left_semi")
+
+    def pick(places: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        s = Segment(found["data"].iloc[0])
+        k, position = places["k"].to_numpy(), places["position"].to_numpy()
+        inside = (position >= 0) & (position < s.starts[k + 1] - s.starts[k])
+        tokens = pd.array([s[int(i)] if z else pd.NA for i, z in zip(s.starts[k] + position, inside)], "Int64")
+        return pd.DataFrame({"doc_id": places["doc_id"], "position": position, "token": tokens})
+
+    return hits.groupBy("part", "segment").cogroup(held.groupBy("part", "segment")).applyInPandas(pick, "doc_id long, position long, token long")
+
+
 def round_trip(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     """Write the files to the cluster's shared folder and read them back."""
     out = shared_path(docs.sparkSession, "dac")

@@ -89,6 +89,24 @@ def test_dac_random_access(bits):
         s[len(ids)]
 
 
+def test_dac_point_reads_from_files(spark, tmp_path, capsys):
+    rows = list(enumerate(texts())) + [(3, "again"), (None, "no id")]
+    out = f"file://{tmp_path}/dac"
+    dac.write(frame(spark, rows).repartition(3), WORD, out, segment_ids=700)
+    lib = Tokenizer.from_file(WORD)
+    ids = [(i, [*lib.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in rows]
+    places = [(i, p) for i, x in ids if i is not None for p in (0, 1, len(x) // 2, len(x) - 1, len(x), -1)]
+    ask = lambda some: spark.createDataFrame(some, "doc_id long, position long")
+    got = sorted((tuple(r) for r in dac.tokens_at(spark, out, ask([*places, places[0], (10**9, 0), (None, 0), (1, None)])).collect()), key=str)
+    want = [(i, p, x[p] if 0 <= p < len(x) else None) for i, p in set(places) for j, x in ids if j == i]
+    assert got == sorted(want, key=str)
+    dac.tokens_at(spark, out, ask([(2, 0)])).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "In(part" in plan or "EqualTo(part" in plan
+    assert all("data" not in line for line in plan.splitlines() if "ReadSchema" in line and "doc_ids" in line)
+    assert dac.tokens_at(spark, out, ask([])).count() == 0
+
+
 def test_packing(spark):
     rows = list(enumerate(texts())) + [(3, "a")]
     got = packing.pack(frame(spark, rows), BYTE, group_pieces=40).toPandas()
