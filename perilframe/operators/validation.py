@@ -17,7 +17,10 @@ def sorensen(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def arrival_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _both(a, b).where("ta is not null and tb is not null").agg(F.corr("ta", "tb").alias("r"))
+    """Pearson's r over cells that both reach: null without any, not a number if either arrives everywhere at once (a single cell too)."""
+    both = F.covar_pop("ta", "tb"), F.stddev_pop("ta") * F.stddev_pop("tb")
+    sums = _both(a, b).where("ta is not null and tb is not null").agg(*(c.alias(n) for c, n in zip(both, ("covariance", "spread"))))
+    return sums.select(F.when(F.col("spread") == 0, float("nan")).otherwise(F.col("covariance") / F.col("spread")).alias("r"))
 
 
 def area_difference(predicted: DataFrame, actual: DataFrame) -> DataFrame:

@@ -673,3 +673,15 @@ def test_totals_before_in_levels(spark):
     got = {r.o: r.t for r in totals_before(spark.createDataFrame(rows, "o long, v long").repartition(5), "o", "v", "t", span=16).collect()}
     assert got == dict(zip(orders.tolist(), (np.cumsum([v for _, v in rows]) - [v for _, v in rows]).tolist()))
     assert totals_before(spark.createDataFrame([], "o long, v long"), "o", "v", "t").count() == 0
+
+
+def test_correlation_of_arrivals_at_one_time(spark):
+    from perilframe.operators.validation import arrival_correlation
+
+    run = lambda *toa: spark.createDataFrame([(0, k, t) for k, t in enumerate(toa)], "row int, col int, toa double")
+    r = lambda a, b: arrival_correlation(run(*a), run(*b)).first().r
+    assert math.isnan(r([1.0, 1.0, 1.0], [1.0, 2.0, 4.0])) and math.isnan(r([1.0, 3.0], [2.0, 2.0])) and math.isnan(r([1.0], [2.0]))
+    assert r([1.0, None], [None, 2.0]) is None
+    assert r([1.0, 2.0, 4.0, None], [3.0, 1.0, 7.0, 8.0]) == pytest.approx(np.corrcoef([1, 2, 4], [3, 1, 7])[0, 1])
+    want = duckdb.sql("SELECT corr(x, y) FROM (VALUES (1.0::DOUBLE, 1.0::DOUBLE), (1.0, 2.0)) t(x, y)").fetchall()
+    assert math.isnan(want[0][0])
