@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,6 +155,15 @@ def zone_cells(buildings: DataFrame, cells: DataFrame, reach: float = 30.5, shar
     return met.withColumn("zone", once).where("zone is not null").drop("_bx", "_by", "_share", "b", "_sides")
 
 
+def once_a_shape(buildings: DataFrame, measure: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """measure(shapes), a table with parcel_id, for each of the buildings (parcel_id, ring or rings): equal polygons are measured once, by the name of a digest of their corners."""
+    keyed = buildings.withColumn("_shape", F.coalesce(F.md5(F.to_json(geo.rings_of(buildings))), F.lit("none")))
+    outlines = [c for c in ("ring", "rings") if c in buildings.columns]
+    shapes = keyed.groupBy(F.col("_shape").alias("parcel_id")).agg(*(F.first(c).alias(c) for c in outlines))
+    found = measure(shapes).withColumnRenamed("parcel_id", "_shape")
+    return keyed.select("parcel_id", "_shape").join(found, "_shape").drop("_shape")
+
+
 def zone_metrics(buildings: DataFrame, zoned: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Loads, canopy, dominant fuel, ladder fuel and continuity; zoned has load, model, canopy_height.
 
@@ -191,10 +202,10 @@ def neighbor_flag(distance: Column) -> Column:
     return F.coalesce(distance < 15, F.lit(False))
 
 
-def proximity_report(buildings: DataFrame, zoned: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """Every measure of the rings around each building, its distance to the nearest other one, and the flag of less than 15 m."""
+def proximity_report(buildings: DataFrame, cells: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """Every measure of the rings around each building, its distance to the nearest other one, and the flag of less than 15 m. cells are those of ``zone_cells``, with what ``zone_metrics`` takes."""
     near = neighbor_distance(buildings)
-    return zone_metrics(buildings, zoned, threshold).join(near, "parcel_id").withColumn("neighbor_flag_15m", neighbor_flag(F.col("neighbor_distance_m")))
+    return once_a_shape(buildings, lambda b: zone_metrics(b, zone_cells(b, cells), threshold)).join(near, "parcel_id").withColumn("neighbor_flag_15m", neighbor_flag(F.col("neighbor_distance_m")))
 
 
 def build_twins(properties: DataFrame, layers: dict[str, DataFrame], defaults: dict[str, object]) -> DataFrame:

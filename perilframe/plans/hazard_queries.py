@@ -520,15 +520,20 @@ def _buildings(i):
     return i.properties.select("parcel_id", _ring().alias("ring"))
 
 
-def _zoned(i, buildings=None):
+def _fuel_spots(i):
     kind = F.when((F.col("row") + 2 * F.col("col")) % 4 == 0, "TU1").when((F.col("row") + 2 * F.col("col")) % 4 == 1, "GR1").when((F.col("row") + 2 * F.col("col")) % 4 == 2, "SH5").otherwise("TL1")
-    cells = i.pixels.select("row", "col", ((F.col("col") + 0.5) * 5).alias("x"), ((F.col("row") + 0.5) * 5).alias("y"), ((F.col("row") + F.col("col")) % 7).cast("double").alias("load"), kind.alias("model"), (F.col("row") % 6).cast("double").alias("canopy_height"))
-    return P.zone_cells(_buildings(i) if buildings is None else buildings, cells)
+    return i.pixels.select("row", "col", ((F.col("col") + 0.5) * 5).alias("x"), ((F.col("row") + 0.5) * 5).alias("y"), ((F.col("row") + F.col("col")) % 7).cast("double").alias("load"), kind.alias("model"), (F.col("row") % 6).cast("double").alias("canopy_height"))
+
+
+def _measured(i, buildings):
+    cells = _fuel_spots(i)
+    return P.once_a_shape(buildings, lambda b: P.zone_metrics(b, P.zone_cells(b, cells)))
 
 
 @query("prx1_zone_rings", f"{_ZC} SELECT parcel_id, zone, count(*) AS cells FROM z WHERE zone IS NOT NULL GROUP BY 1, 2")
 def _(i):
-    return _zoned(i).groupBy("parcel_id", "zone").agg(F.count(F.lit(1)).alias("cells"))
+    cells = _fuel_spots(i)
+    return P.once_a_shape(_buildings(i), lambda b: P.zone_cells(b, cells).groupBy("parcel_id", "zone").agg(F.count(F.lit(1)).alias("cells")))
 
 
 _ZM = {
@@ -539,7 +544,7 @@ _ZM = {
     "prx6_zone3_continuity": ("zone3_fuel_continuity", "round(coalesce(avg(CASE WHEN load > 0 THEN 1.0 ELSE 0.0 END) FILTER (zone = 3), 0), 6) AS zone3_fuel_continuity"),
 }
 for _name, (_columns, _sql) in _ZM.items():
-    query(_name, f"{_ZC} SELECT b.parcel_id, {_sql} FROM b LEFT JOIN z ON z.parcel_id = b.parcel_id GROUP BY b.parcel_id")(lambda i, c=_columns: P.zone_metrics(_buildings(i), _zoned(i)).select("parcel_id", *c.split(", ")))
+    query(_name, f"{_ZC} SELECT b.parcel_id, {_sql} FROM b LEFT JOIN z ON z.parcel_id = b.parcel_id GROUP BY b.parcel_id")(lambda i, c=_columns: _measured(i, _buildings(i)).select("parcel_id", *c.split(", ")))
 
 _NEAR = "WITH n AS (SELECT a.parcel_id, min(sqrt(pow(greatest(0, abs(a.cx - b.cx) - a.half - b.half), 2) + pow(greatest(0, abs(a.cy - b.cy) - a.half - b.half), 2))) AS d FROM properties a JOIN properties b ON b.parcel_id <> a.parcel_id GROUP BY 1)"
 
@@ -559,7 +564,7 @@ def _(i):
 def _(i):
     """Every property, one in five without a footprint."""
     some = i.properties.select("parcel_id", F.when(F.col("parcel_id").cast("int") % 5 != 1, _ring()).alias("ring"))
-    return P.zone_metrics(some, _zoned(i, some)).select("parcel_id", "zone1_fuel_load", "zone2_dominant_fuel", "ladder_fuel_present")
+    return _measured(i, some).select("parcel_id", "zone1_fuel_load", "zone2_dominant_fuel", "ladder_fuel_present")
 
 
 _REPORT = ", ".join(x[1] for x in _ZM.values())
@@ -567,7 +572,7 @@ _REPORT = ", ".join(x[1] for x in _ZM.values())
 
 @query("prx10_proximity_report", f"{_ZC}, {_NEAR[5:]} SELECT b.parcel_id, {_REPORT}, round(any_value(n.d), 6) AS neighbor_distance_m, any_value(n.d) < 15 AS neighbor_flag_15m FROM b LEFT JOIN z ON z.parcel_id = b.parcel_id JOIN n ON n.parcel_id = b.parcel_id GROUP BY b.parcel_id")
 def _(i):
-    return P.proximity_report(_buildings(i), _zoned(i))
+    return P.proximity_report(_buildings(i), _fuel_spots(i))
 
 
 # --- validation -----------------------------------------------------------------------------------

@@ -685,3 +685,22 @@ def test_correlation_of_arrivals_at_one_time(spark):
     assert r([1.0, 2.0, 4.0, None], [3.0, 1.0, 7.0, 8.0]) == pytest.approx(np.corrcoef([1, 2, 4], [3, 1, 7])[0, 1])
     want = duckdb.sql("SELECT corr(x, y) FROM (VALUES (1.0::DOUBLE, 1.0::DOUBLE), (1.0, 2.0)) t(x, y)").fetchall()
     assert math.isnan(want[0][0])
+
+
+def test_equal_polygons_are_measured_once(spark):
+    ring = lambda x, h: [{"x": x + a * h, "y": 5.0 + b * h} for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+    rows = [(str(k), None if k % 10 == 9 else ring(40.0 * (k % 3), 3.0)) for k in range(60)]
+    b = spark.createDataFrame(rows, "parcel_id string, ring array<struct<x: double, y: double>>")
+    cells = spark.createDataFrame([(x * 4.0 - 38, y * 4.0 - 31, float((x + y) % 3), "TU1" if (x * y) % 2 else "GR1", float(x % 5)) for x in range(40) for y in range(18)], "x double, y double, load double, model string, canopy_height double")
+    seen = []
+
+    def measure(shapes):
+        seen.append(shapes.count())
+        return P.zone_metrics(shapes, P.zone_cells(shapes, cells))
+
+    once, each = P.once_a_shape(b, measure), P.zone_metrics(b, P.zone_cells(b, cells))
+    assert seen == [4] and once.columns == each.columns
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert len(key(once)) == 60 and str(key(once)) == str(key(each))
+    report = P.proximity_report(b, cells).collect()
+    assert len(report) == 60 and {(r.neighbor_distance_m, r.neighbor_flag_15m) for r in report} == {(0.0, True), (None, False)}
