@@ -6,6 +6,8 @@ in any order and direction: inside is what an odd number of rings hold.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,28 +101,51 @@ def polygon_box(rings: Column) -> Column:
     return box(F.flatten(rings))
 
 
-def _signs(rings: Column) -> Column:
-    """1 for each ring that bounds its inside, -1 for each hole: by how many others hold the middle of its first side."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _measures(rings: Column) -> Column:
+    """(area, x, y, sign) of each ring: its centroid, and 1 if it bounds its inside, -1 if it is a hole, by how many others hold the middle of its first side.
+
+    A ring's sides are listed once, and their sums are taken in one pass.
+    """
+
+    def sums(s: Column) -> Column:
+        def add(m: Column, s: Column) -> Column:
+            return _let(s["x1"] * s["y2"] - s["x2"] * s["y1"], lambda c: F.struct((m["c"] + c).alias("c"), (m["x"] + (s["x1"] + s["x2"]) * c).alias("x"), (m["y"] + (s["y1"] + s["y2"]) * c).alias("y")))
 
-    def sign(r: Column, k: Column) -> Column:
-        x, y = (F.get(r, F.lit(0))["x"] + F.get(r, F.lit(1))["x"]) / 2, (F.get(r, F.lit(0))["y"] + F.get(r, F.lit(1))["y"]) / 2
-        around = F.size(F.filter(rings, lambda q, i: (i != k) & contains(q, x, y)))
-        return F.when(around % 2 == 0, 1.0).otherwise(-1.0)
+        return F.aggregate(s, F.struct(*(F.lit(0.0).alias(n) for n in ("c", "x", "y"))), add)
 
-    return F.transform(rings, sign)
+    def one(all_: Column, own: Column, k: Column) -> Column:
+        first, second = F.get(own["ring"], F.lit(0)), F.get(own["ring"], F.lit(1))
+        x, y = (first["x"] + second["x"]) / 2, (first["y"] + second["y"]) / 2
+        around = F.size(F.filter(all_, lambda q, i: (i != k) & odd_crossings(q["sides"], x, y)))
+        mean = lambda c: _sum(F.transform(own["ring"], lambda p: p[c])) / F.size(own["ring"])
+        at = lambda m, c: F.when(m["c"] != 0, m[c] / (6 * (m["c"] / 2))).otherwise(mean(c)).alias(c)
+        return _let(sums(own["sides"]), lambda m: F.struct((F.abs(m["c"]) / 2).alias("area"), at(m, "x"), at(m, "y"), F.when(around % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
+
+    return _let(F.transform(rings, lambda r: F.struct(r.alias("ring"), sides(r).alias("sides"))), lambda all_: F.transform(all_, lambda own, k: one(all_, own, k)))
+
+
+def _total(measures: Column, value: Callable[[Column], Column]) -> Column:
+    return _sum(F.transform(measures, lambda m: m["sign"] * m["area"] * value(m)))
 
 
 def polygon_area(rings: Column) -> Column:
-    several = _sum(F.zip_with(rings, _signs(rings), lambda r, s: s * area(r)))
-    return F.when(F.size(rings) == 1, area(F.get(rings, F.lit(0)))).otherwise(several)
+    return _total(_measures(rings), lambda m: F.lit(1.0))
 
 
 def polygon_centroid(rings: Column) -> Column:
     """The centroid by area, holes counted off; of rings that have none together, the first one's."""
-    first = centroid(F.get(rings, F.lit(0)))
-    total = polygon_area(rings)
-    mean = lambda c: _sum(F.zip_with(rings, _signs(rings), lambda r, s: s * area(r) * F.when(area(r) > 0, centroid(r)[c]).otherwise(0.0))) / total
-    return F.when((F.size(rings) == 1) | (total == 0), first).otherwise(F.struct(mean("x").alias("x"), mean("y").alias("y")))
+
+    def whole(m: Column, total: Column) -> Column:
+        first = F.get(m, F.lit(0))
+        at = lambda c: F.when((F.size(m) == 1) | (total == 0), first[c]).otherwise(_total(m, lambda r: F.when(r["area"] > 0, r[c]).otherwise(0.0)) / total).alias(c)
+        return F.struct(at("x"), at("y"))
+
+    return _let(_measures(rings), lambda m: _let(_total(m, lambda r: F.lit(1.0)), lambda total: whole(m, total)))
 
 
 def outline_distance(a: Column, a_sides: Column, b: Column, b_sides: Column) -> Column:

@@ -62,7 +62,9 @@ def footprint_attributes(df: DataFrame, keyword: str) -> DataFrame:
 
 
 def footprint_area(df: DataFrame, least_m2: float = 20.0) -> DataFrame:
-    return df.withColumn("area_m2", geo.polygon_area(geo.rings_of(df))).where(F.col("area_m2") > least_m2).withColumn("building_sf", F.col("area_m2") * 10.764)
+    """Rows of more than the least area; it is exploded from an array of one, so that the filter works with the value and doesn't work it out again."""
+    measured = df.select("*", F.explode(F.array(geo.polygon_area(geo.rings_of(df)))).alias("area_m2"))
+    return measured.where(F.col("area_m2") > least_m2).withColumn("building_sf", F.col("area_m2") * 10.764)
 
 
 def clip_bbox(df: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:

@@ -704,3 +704,17 @@ def test_equal_polygons_are_measured_once(spark):
     assert len(key(once)) == 60 and str(key(once)) == str(key(each))
     report = P.proximity_report(b, cells).collect()
     assert len(report) == 60 and {(r.neighbor_distance_m, r.neighbor_flag_15m) for r in report} == {(0.0, True), (None, False)}
+
+
+def test_area_and_centroid_of_parts_once_a_row(spark):
+    ring = lambda x, y, h: [{"x": float(x + a * h), "y": float(y + b * h)} for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+    line = [{"x": 1.0, "y": 2.0}, {"x": 4.0, "y": 6.0}]
+    rows = [(1, [ring(9, 9, 2), ring(9, 9, 4), ring(21, 9, 3)]), (2, [line, ring(0, 0, 5)]), (3, [line]), (4, None), (5, [])]
+    df = spark.createDataFrame(rows, "id int, rings array<array<struct<x: double, y: double>>>")
+    area, c = geo.polygon_area(F.col("rings")), geo.polygon_centroid(F.col("rings"))
+    got = {r.id: (r.a, r.x, r.y) for r in df.select("id", area.alias("a"), c["x"].alias("x"), c["y"].alias("y")).collect()}
+    assert got[1] == pytest.approx((84.0, (48 * 9 + 36 * 21) / 84, 9.0)) and got[2] == pytest.approx((100.0, 0.0, 0.0))
+    assert got[3] == (0.0, 2.5, 4.0) and got[4] == (None, None, None) and got[5] == (0.0, None, None)
+    # Sides are listed once, not for each use.
+    plan = df.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with") == 1
