@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perilframe.operators.attribution import controllable_points, top_mitigations, top_risks
+from perilframe.operators.attribution import best_controllable, controllable_columns, largest
 from perilframe.operators.iterate import stored
 from perilframe.operators.mitigation import mitigation_total, with_metrics
 from perilframe.operators.scoring import components, risk_category
@@ -62,23 +62,23 @@ def resolve_property(requests: DataFrame, properties: DataFrame) -> DataFrame:
     return hit.unionByName(open_.join(match, "text", "left").select("request_id", "resolved_id"))
 
 
-def assess(requests: DataFrame, scored: DataFrame, attributions: DataFrame) -> DataFrame:
-    """A nested record for each request of a known property."""
-    drivers = top_risks(attributions, 5).groupBy("parcel_id").agg(F.array_sort(F.collect_list(F.struct("rank", "feature", "contribution"))).alias("top_risk_drivers"))
-    helps = top_mitigations(attributions, 3).groupBy("parcel_id").agg(F.array_sort(F.collect_list(F.struct("rank", "feature", "contribution"))).alias("top_mitigations"))
+def assess(requests: DataFrame, scored: DataFrame) -> DataFrame:
+    """A nested record for each request of a known property; scored has attributions."""
+    some = lambda rows, name: F.when(F.size(rows) > 0, F.transform(rows, lambda x: F.struct(x["rank"].alias("rank"), x["feature"].alias("feature"), x["contribution"].alias("contribution")))).alias(name)
     record = scored.select(
         "parcel_id", F.coalesce(F.nullif("address", F.lit("")), F.col("name")).alias("address"), "wildfire_risk_score", risk_category(F.col("wildfire_risk_score")).alias("risk_category"),
         F.struct("slope_degrees", "tpi_class", "heat_load_index").alias("terrain"), F.struct("zone1_fuel_load", "zone2_fuel_load", "zone3_fuel_load", "ladder_fuel_present").alias("vegetation"),
         F.struct("roof_material", "vent_screening_status", "year_built").alias("structure"), F.when(F.col("ember_exposure_probability") > 0, F.col("ember_exposure_probability")).alias("ember_exposure_probability"),
+        some(largest(5), "top_risk_drivers"), some(best_controllable(3), "top_mitigations"),
     )
-    return requests.select("request_id", "parcel_id").join(record, "parcel_id").join(drivers, "parcel_id", "left").join(helps, "parcel_id", "left")
+    return requests.select("request_id", "parcel_id").join(record, "parcel_id")
 
 
-def explain(attributions: DataFrame, base: DataFrame, base_value: float = 50.0) -> DataFrame:
-    """Each property's score with all its attributions in order, totals, the largest driver, and a summary."""
-    every = top_risks(attributions, 1 << 30).groupBy("parcel_id").agg(F.array_sort(F.collect_list(F.struct("rank", "feature", "label", "category", "value", "contribution", "controllable"))).alias("attributions"))
+def explain(scored: DataFrame, base_value: float = 50.0) -> DataFrame:
+    """Each property's score with all its attributions in order, totals, the largest driver, and a summary; scored has attributions."""
     first = F.col("attributions")[0]
-    out = base.select("parcel_id", "wildfire_risk_score").join(controllable_points(attributions), "parcel_id").join(every, "parcel_id")
+    every = scored.select("parcel_id", "wildfire_risk_score", largest(1 << 30).alias("attributions"))
+    out = every.select("*", *controllable_columns())
     tenth = lambda c: F.format_string("%.1f", F.round(F.round(c, 9), 1))
     summary = F.concat(F.lit("Risk score "), tenth(F.col("wildfire_risk_score")), F.lit("/100. Controllable: "), tenth(F.col("controllable_points")), F.lit(" pts. Top action: "), F.coalesce(first["label"], F.lit("N/A")), F.lit("."))
     return out.withColumns({"base_value": F.lit(base_value), "main_driver": first["label"], "main_contribution": first["contribution"], "summary": summary})

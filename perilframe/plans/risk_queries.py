@@ -134,6 +134,11 @@ def attributions(i: Inputs):
     return A.attribute_linear(encoded(i), i.features)
 
 
+def attributed(i: Inputs):
+    """Scored properties with their attributions, dealt evenly: one task reads a whole row group of the file."""
+    return A.attributed(S.wildfire_score(i.properties.hint("rebalance")), i.features)
+
+
 @query("att1_attribute_linear", f"{_ATT} SELECT parcel_id, feature, round(value, 6) AS value, contribution FROM att")
 def _(i):
     return attributions(i).select("parcel_id", "feature", "value", "contribution")
@@ -160,7 +165,7 @@ _CONTROL = "round(sum(CASE WHEN contribution > 0 AND controllable THEN contribut
 
 @query("att5_controllable_points", f"{_ATT} SELECT parcel_id, {_CONTROL} FROM att GROUP BY parcel_id")
 def _(i):
-    return A.controllable_points(attributions(i))
+    return A.controllable_points(attributed(i))
 
 
 _RISKS = "row_number() OVER (PARTITION BY parcel_id ORDER BY abs(contribution) DESC, feature)"
@@ -168,12 +173,12 @@ _RISKS = "row_number() OVER (PARTITION BY parcel_id ORDER BY abs(contribution) D
 
 @query("att6_top_risks", f"{_ATT} SELECT parcel_id, feature, contribution, CAST({_RISKS} AS INT) AS rank FROM att QUALIFY rank <= 5")
 def _(i):
-    return A.top_risks(attributions(i)).select("parcel_id", "feature", "contribution", "rank")
+    return A.top_risks(attributed(i)).select("parcel_id", "feature", "contribution", "rank")
 
 
 @query("att7_top_mitigations", f"{_ATT} SELECT parcel_id, feature, contribution, CAST(row_number() OVER (PARTITION BY parcel_id ORDER BY contribution DESC, feature) AS INT) AS rank FROM att WHERE controllable AND contribution > 0 QUALIFY rank <= 3")
 def _(i):
-    return A.top_mitigations(attributions(i)).select("parcel_id", "feature", "contribution", "rank")
+    return A.top_mitigations(attributed(i)).select("parcel_id", "feature", "contribution", "rank")
 
 
 @query("att8_portfolio_mitigations", f"{_ATT} SELECT label, round(sum(contribution), 6) AS total, count(*) AS properties, round(sum(contribution) / count(*), 6) AS mean FROM att WHERE controllable AND contribution > 0 GROUP BY label ORDER BY sum(contribution) DESC, label LIMIT 5")
@@ -184,14 +189,14 @@ def _(i):
 @query("att9_attribution_summary", f"""{_ATT}, r AS (SELECT *, {_RISKS} AS rank FROM att QUALIFY rank <= 3)
  SELECT parcel_id, string_agg(label || ' ' || CASE WHEN contribution < 0 THEN '' ELSE '+' END || printf('%.2f', contribution + 0.0), '; ' ORDER BY rank) AS summary FROM r GROUP BY parcel_id""")
 def _(i):
-    return A.attribution_summary(attributions(i))
+    return A.attribution_summary(attributed(i))
 
 
 @query("att10_waterfall_rows", f"""{_ATT}, r AS (SELECT *, {_RISKS} AS rank FROM att QUALIFY rank <= 5)
  SELECT parcel_id, feature, round(10 + coalesce(sum(contribution) OVER (PARTITION BY parcel_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS left_edge,
  round(10 + sum(contribution) OVER (PARTITION BY parcel_id ORDER BY rank), 6) AS right_edge FROM r""")
 def _(i):
-    return A.waterfall_rows(A.top_risks(attributions(i)), 10.0).select("parcel_id", "feature", "left_edge", "right_edge")
+    return A.waterfall_rows(attributed(i), 10.0).select("parcel_id", "feature", "left_edge", "right_edge")
 
 
 @query("att11_feature_metadata", "SELECT f.category, f.controllable, count(DISTINCT f.feature) AS features, count(*) AS uses FROM features f JOIN properties p ON f.category <> p.land_use GROUP BY 1, 2")
@@ -262,7 +267,7 @@ def _(i):
  m0 AS (SELECT *, row_number() OVER (PARTITION BY parcel_id ORDER BY contribution DESC, feature) AS rank FROM att WHERE controllable AND contribution > 0 QUALIFY rank <= 3), m AS (SELECT parcel_id, string_agg(feature, ',' ORDER BY rank) AS helps FROM m0 GROUP BY 1)
  SELECT r.request_id, r.parcel_id, round(s, 6) AS wildfire_risk_score, {_CATEGORY} AS risk_category, round(x.slope_degrees, 6) AS slope, drivers, helps FROM requests r JOIN scored x ON x.parcel_id = r.parcel_id LEFT JOIN d ON d.parcel_id = r.parcel_id LEFT JOIN m ON m.parcel_id = r.parcel_id""")
 def _(i):
-    out = L.assess(i.requests, scored(i), attributions(i))
+    out = L.assess(i.requests, attributed(i))
     names = lambda c: F.array_join(F.transform(c, lambda x: x["feature"]), ",")
     return out.select("request_id", "parcel_id", "wildfire_risk_score", "risk_category", F.col("terrain.slope_degrees").alias("slope"), names("top_risk_drivers").alias("drivers"), names("top_mitigations").alias("helps"))
 
@@ -278,7 +283,7 @@ def _(i):
  SELECT x.parcel_id, round(s, 6) AS wildfire_risk_score, 50.0::DOUBLE AS base_value, controllable_points, fixed_points, attributions, main_driver, main_contribution, 'Risk score ' || printf('%.1f', round(round(s, 9), 1)) || '/100. Controllable: ' || printf('%.1f', round(round(controllable_points, 9), 1)) || ' pts. Top action: ' || main_driver || '.' AS summary FROM scored x JOIN c ON c.parcel_id = x.parcel_id JOIN a ON a.parcel_id = x.parcel_id""")
 def _(i):
     said = F.array_join(F.transform("attributions", lambda a: F.concat(a["feature"], F.lit("="), F.format_string("%.2f", a["contribution"] + 0.0))), ",")
-    out = L.explain(attributions(i), scored(i))
+    out = L.explain(attributed(i))
     return out.select("parcel_id", "wildfire_risk_score", "base_value", "controllable_points", "fixed_points", said.alias("attributions"), "main_driver", "main_contribution", "summary")
 
 

@@ -718,3 +718,31 @@ def test_area_and_centroid_of_parts_once_a_row(spark):
     # Sides are listed once, not for each use.
     plan = df.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("zip_with") == 1
+
+
+def test_attributions_are_ranked_in_their_row(spark):
+    from perilframe.operators import attribution as A
+
+    names = S.MODEL_FEATURES
+    rng = np.random.default_rng(12)
+    rows = [(str(k), *(None if x == 4 else float(x) for x in rng.integers(-3, 5, len(names)))) for k in range(40)]
+    df = spark.createDataFrame(rows, "parcel_id string, " + ", ".join(f"{n} double" for n in names))
+    features = dims.dim(spark, "features")
+    wide = A.attributed(df, features)
+    long = [r.asDict() for r in A.attribute_linear(df, features).collect()]
+    top, helps, edges = A.top_risks(wide), A.top_mitigations(wide), A.waterfall_rows(wide, 10.0)
+    for out in (top, helps, edges, A.attribution_summary(wide), A.controllable_points(wide)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan and "Aggregate" not in plan
+    got, bars = {(r.parcel_id, r["rank"]): r for r in top.collect()}, {(r.parcel_id, r["rank"]): r for r in edges.collect()}
+    mild = {(r.parcel_id, r["rank"]): r.feature for r in helps.collect()}
+    for k in range(40):
+        own = [r for r in long if r["parcel_id"] == str(k)]
+        want = sorted(own, key=lambda r: (r["contribution"] is None, -abs(r["contribution"] or 0), r["feature"]))[:5]
+        left = 10.0
+        for j, r in enumerate(want, 1):
+            assert all(got[str(k), j][c] == v for c, v in r.items())
+            assert (bars[str(k), j].left_edge, bars[str(k), j].right_edge) == pytest.approx((left, left + r["contribution"]))
+            left += r["contribution"]
+        good = sorted((r for r in own if r["controllable"] and (r["contribution"] or 0) > 0), key=lambda r: (-r["contribution"], r["feature"]))[:3]
+        assert [mild.get((str(k), j)) for j in (1, 2, 3)] == [*(r["feature"] for r in good), None, None, None][:3]
