@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from functools import reduce
 
 from itertools import chain
@@ -118,6 +120,15 @@ def risk_percentile(df: DataFrame, score: str = "wildfire_risk_score", step: flo
 
 # --- trained model -----------------------------------------------------------------------
 
+#: Rows of a partition of training data, about 440 bytes each in the cache.
+TRAINING_ROWS = 100_000
+
+
+def dealt(df: DataFrame, label: str) -> DataFrame:
+    """Features and label in partitions of about ``TRAINING_ROWS``, however few ones df has: training caches its rows, and a task reads a whole partition of them in each round."""
+    rows = df.select(*MODEL_FEATURES, label)
+    return rows.repartition(max(1, math.ceil(rows.count() / TRAINING_ROWS)))
+
 
 def train_risk_model(df: DataFrame, label: str, trees: int = 20, depth: int = 4, step: float = 0.1, subsample: float = 0.8, seed: int = 7):
     """A gradient-boosted regression on the 19 features, as a pipeline model."""
@@ -127,7 +138,7 @@ def train_risk_model(df: DataFrame, label: str, trees: int = 20, depth: int = 4,
 
     assembler = VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features", handleInvalid="keep")
     trees_ = GBTRegressor(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=subsample, seed=seed)
-    return Pipeline(stages=[assembler, trees_]).fit(df.fillna(0.0, MODEL_FEATURES))
+    return Pipeline(stages=[assembler, trees_]).fit(dealt(df, label).fillna(0.0, MODEL_FEATURES))
 
 
 def model_score(model, df: DataFrame) -> DataFrame:

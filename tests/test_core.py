@@ -746,3 +746,11 @@ def test_attributions_are_ranked_in_their_row(spark):
             left += r["contribution"]
         good = sorted((r for r in own if r["controllable"] and (r["contribution"] or 0) > 0), key=lambda r: (-r["contribution"], r["feature"]))[:3]
         assert [mild.get((str(k), j)) for j in (1, 2, 3)] == [*(r["feature"] for r in good), None, None, None][:3]
+
+
+def test_training_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(S, "TRAINING_ROWS", 50)
+    df = S.wildfire_score(Inputs(spark, SF).properties.limit(150).coalesce(1)).withColumn("label", F.col("wildfire_risk_score") / 100)
+    assert df.rdd.getNumPartitions() == 1
+    assert S.dealt(df, "label").rdd.getNumPartitions() == 3 and S.dealt(df, "label").count() == 150
+    assert S.dealt(df.limit(0), "label").rdd.getNumPartitions() == 1
