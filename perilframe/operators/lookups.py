@@ -13,8 +13,8 @@ from perilframe.operators.mitigation import mitigation_total, with_metrics
 from perilframe.operators.scoring import components, risk_category
 
 
-#: Characters of a gram, and grams of a text that are looked up: the rarest ones.
-GRAM, RAREST = 3, 3
+#: Characters of a gram.
+GRAM = 3
 
 
 def _grams(text: str, n: int) -> Column:
@@ -26,26 +26,24 @@ def _grams(text: str, n: int) -> Column:
 def first_containing(texts: DataFrame, hay: DataFrame) -> DataFrame:
     """(text, id) of distinct texts: the least id of hay (id, hay) whose hay contains the text; texts in none are left out.
 
-    An inverted index: the grams of hay that some text has, with their ids. A text's rarest grams are
-    intersected, and what holds them all is compared with the text itself. Texts shorter than a gram
-    are looked up among runs of their own length, of which the least id is enough. Equal hays are taken once.
+    Grams that some text has are counted over hay. A text is compared with those alone that hold its rarest gram, so a
+    gram that all of them hold brings nothing together. A text shorter than a gram is a gram of its own length, of which
+    the least id is enough. Equal hays are taken once.
     """
-    held = hay.where("hay is not null").groupBy("hay").agg(F.min("id").alias("id"))
-    texts = texts.select("text").distinct()
-    found = []
-    for n in range(1, GRAM + 1):  # of these a gram is the whole text
-        short = texts.where(F.length("text") == n)
-        least = held.select("id", F.explode(_grams("hay", n)).alias("text")).join(short, "text", "left_semi").groupBy("text").agg(F.min("id").alias("id"))
-        found.append(least)
-    parts = texts.where(F.length("text") > GRAM).select("text", F.explode(_grams("text", GRAM)).alias("gram"))
-    postings = stored(held.select("id", F.explode(_grams("hay", GRAM)).alias("gram")).join(parts.select("gram").distinct(), "gram", "left_semi"), "postings")
-    rarity = parts.join(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left")
-    order = Window.partitionBy("text").orderBy(F.coalesce("n", F.lit(0)), "gram")
-    chosen = rarity.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= RAREST)
-    count = chosen.groupBy("text").agg(F.count(F.lit(1)).alias("grams"), F.count("n").alias("known")).where("grams = known")
-    met = chosen.join(count, "text").join(postings, "gram").groupBy("text", "id", "grams").agg(F.count(F.lit(1)).alias("n")).where("n = grams")
-    verified = met.join(held, "id").where(F.col("hay").contains(F.col("text"))).groupBy("text").agg(F.min("id").alias("id"))
-    return reduce(DataFrame.unionByName, [*found, verified])
+    held = stored(hay.where("hay is not null").groupBy("hay").agg(F.min("id").alias("id")), "hay")
+    texts = stored(texts.select("text", F.least(F.length("text"), F.lit(GRAM)).alias("n")).distinct(), "texts")
+    found = [texts.where(F.lit(False)).select("text", F.lit(None).cast(hay.schema["id"].dataType).alias("id"))]
+    for n in sorted(r["n"] for r in texts.where("n > 0").select("n").distinct().collect()):
+        mine, each = texts.where(F.col("n") == n), held.select("id", "hay", F.explode(_grams("hay", n)).alias("gram"))
+        parts = mine.select("text", F.explode(_grams("text", n)).alias("gram"))
+        if n < GRAM:
+            found.append(each.select("id", F.col("gram").alias("text")).join(mine.select("text"), "text", "left_semi").groupBy("text").agg(F.min("id").alias("id")))
+            continue
+        known = each.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        rarest = parts.join(known, "gram", "left").groupBy("text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("text", F.col("r.gram").alias("gram"))
+        met = each.join(rarest, "gram").where(F.col("hay").contains(F.col("text")))
+        found.append(met.groupBy("text").agg(F.min("id").alias("id")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def resolve_property(requests: DataFrame, properties: DataFrame) -> DataFrame:

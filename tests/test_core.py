@@ -754,3 +754,15 @@ def test_training_rows_are_dealt(spark, monkeypatch):
     assert df.rdd.getNumPartitions() == 1
     assert S.dealt(df, "label").rdd.getNumPartitions() == 3 and S.dealt(df, "label").count() == 150
     assert S.dealt(df.limit(0), "label").rdd.getNumPartitions() == 1
+
+
+def test_texts_meet_their_rarest_gram_alone(spark, monkeypatch):
+    from perilframe.operators import lookups as L
+
+    hay = spark.createDataFrame([(f"{k:03}", f"unit {k}, xy") for k in range(200)] + [("500", None), ("501", "unit 7, xy")], "id string, hay string")
+    texts = spark.createDataFrame([(t,) for t in ("unit 7", "unit 77", "unit", "it 199", "unit 7,", "99", "7", "nowhere", "unit 2000")], "text string")
+    stored, kept = L.stored, []
+    monkeypatch.setattr(L, "stored", lambda df, name: kept.append(name) or stored(df, name))
+    out = {r.text: r.id for r in L.first_containing(texts, hay).collect()}
+    want = {"unit 7": "007", "unit 77": "077", "unit": "000", "it 199": "199", "unit 7,": "007", "99": "099", "7": "007"}
+    assert out == want and "postings" not in kept
