@@ -148,3 +148,22 @@ def test_cut_keeps_columns_of_any_name(spark):
     rows = [(1, line, "a", 7), (2, line, "b", 8), (3, "another one", "c", 9), (4, None, "d", 1)]
     out = S.cut(spark.createDataFrame([(i, t, None if t is None else len(t), g, x) for i, t, g, x in rows], "doc_id long, text string, n_chars long, gone string, removed int"))
     assert sorted((r.doc_id, r.gone, r.removed) for r in out.collect()) == [(1, "a", 7), (3, "c", 9), (4, "d", 1)]
+
+
+def test_a_batch_of_long_texts_takes_little_memory():
+    """A worker keeps what it once took: 9 MB of text in one batch took 80 MB beside them when it was read 4 MB at a time."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    words = np.array([f"w{i}" for i in range(5000)])
+    batch = pd.DataFrame({"doc_id": range(40), "text": [" ".join(rng.choice(words, 40_000)) for _ in range(40)]})
+    assert sum(len(x) for x in S._keys(iter([batch.iloc[:1]])))  # tables that are made once
+    tracemalloc.start()
+    try:
+        assert sum(len(x) for x in S._keys(iter([batch]))) > 100_000
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
