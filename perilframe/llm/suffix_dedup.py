@@ -3,8 +3,9 @@
 What is sorted
     Texts are read as units that end at places which their own bytes choose, each with the MATCH - 1 bytes
     after it, so that every MATCH-byte string starts in one unit. Every such string has an anchor, the
-    least hash among its GRAM-byte substrings; a string whose anchor is at no other place of any unit, and in a
-    unit that is at no other place, occurs once and goes no further. Of equal units, and of
+    least hash among its GRAM-byte substrings, and with HALF bytes after the anchor, or before it, still holds it. A
+    string whose anchor with these bytes is at no other place of any unit, and in a unit that is at no other place,
+    occurs once and goes no further. Of equal units, and of
     equal runs of what is left in them, the first is sorted and the others are repeats. Filters keep too much at worst.
 
 How it is sorted
@@ -43,11 +44,15 @@ MATCH, GRAM, SYMBOL = 100, 48, 12
 #: Places between two ends of units that bytes choose, at least; windows of a unit, at most; bytes of a text read at once.
 APART, UNIT, PIECE = 128, 4096, 1 << 20
 #: Windows of a block; things of a range, about; samples of a range.
-BLOCK, RANGE, SAMPLES = 1 << 20, 1 << 19, 8
+BLOCK, RANGE, SAMPLES = 1 << 19, 1 << 19, 8
+#: Bytes of a block that are sent at once.
+SENT = 4 << 20
 _LOCAL = 27
 _TOP = np.uint32(2**32 - 1)
 #: Places for an anchor in a string.
 SPAN = MATCH - GRAM + 1
+#: Bytes beside an anchor: a string has so many after it, if the anchor is among its first HALF + 1 places, or else before it.
+HALF = (SPAN - 1) // 2
 _TRIPLE = 3 * SYMBOL
 #: Places after a unit's last window that some comparison looks at.
 _BEYOND = 2 * _TRIPLE + 8 + _TRIPLE
@@ -105,8 +110,10 @@ class Units:
         most = np.zeros(n, np.uint32)
         most[SPAN - 1 :] = sliding(self.least, SPAN, np.maximum)
         self.anchors = np.flatnonzero((self.half == most) & (self.half != _TOP))
-        # Anchors' upper halves are small: mixed anew, so that a filter's places are even.
-        self.anchor_hashes = mix(every[self.anchors] ^ np.uint64(0x3C6E_F372_FE94_F82B))
+        # Anchors with the bytes after them, and before them.
+        wide = gram_hashes(self.data, GRAM + HALF)
+        self.after = mix(wide[self.anchors] ^ np.uint64(0x3C6E_F372_FE94_F82B))
+        self.ahead = mix(wide[self.anchors - HALF] ^ np.uint64(0x510E_527F_ADE6_82D1))
         lows = sliding(self.half, APART, np.minimum)
         i = np.arange(APART, n - APART)
         cut = np.zeros(n, bool)
@@ -153,9 +160,9 @@ def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in slices(frames):
         doc, tie = (frame[c].to_numpy(np.int64).view(np.uint64) for c in ("doc", "tie"))
         u = Units(_encoded(frame))
-        t, x = u.anchor_hashes, u.anchor_places()
+        x = u.anchor_places()
         place = mix(mix(doc[u.text] ^ mix(tie[u.text])) + u.start.astype(np.uint64))
-        yield pd.DataFrame({"t": signed(np.r_[t, _once(u.short_keys())]), "x": signed(np.r_[x, place])})
+        yield pd.DataFrame({"t": signed(np.r_[u.after, u.ahead, _once(u.short_keys())]), "x": signed(np.r_[x, x, place])})
 
 
 _UNIT = "key binary, doc long, tie long, start long, windows long, body binary"
@@ -174,12 +181,13 @@ def _suspects(live: sketch.Filter):
             i = np.flatnonzero(again)
             if len(i):
                 yield pd.DataFrame({"key": [u.keys[k] for k in i], "doc": doc[u.text[i]], "tie": tie[u.text[i]], "start": u.start[i], "windows": u.windows[i], "body": None})
-            # A window is suspect if its anchor is in another unit, too, or stands in the next unit and that is elsewhere.
+            # A window is suspect if its anchor with what is beside it is in another unit, too, or stands in the next unit and that is elsewhere.
             owner = u.owners()
             tail = np.zeros(len(u.half), bool)
             for e in (u.at + u.windows)[:-1][again[1:]].tolist():
                 tail[max(0, e - SPAN) : e] = True
-            may = _anchored_by(u, u.anchors[live.has(signed(u.anchor_hashes))]) | tail & _anchored_by(u, u.anchors[again[owner]])
+            may = tail & _anchored_by(u, u.anchors[again[owner]], 0, SPAN)
+            may |= _anchored_by(u, u.anchors[live.has(signed(u.after))], 0, HALF + 1) | _anchored_by(u, u.anchors[live.has(signed(u.ahead))], HALF, SPAN - HALF)
             first, end = _runs(may)
             more = -(-(end - first) // UNIT)
             step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
@@ -194,12 +202,12 @@ def _suspects(live: sketch.Filter):
     return run
 
 
-def _anchored_by(u: Units, anchors: np.ndarray) -> np.ndarray:
-    """The windows whose anchor is one of these."""
+def _anchored_by(u: Units, anchors: np.ndarray, low: int, count: int) -> np.ndarray:
+    """The windows whose anchor is one of these, and at one of ``count`` places of theirs, from ``low`` on."""
     chosen = np.full(len(u.half), _TOP)
     chosen[anchors] = u.half[anchors]
-    out = np.zeros(len(chosen), bool)
-    out[: len(chosen) - SPAN + 1] = sliding(chosen, SPAN, np.minimum) == u.least[: len(chosen) - SPAN + 1]
+    best, out = sliding(chosen, count, np.minimum)[low:], np.zeros(len(chosen), bool)
+    out[: len(best)] = best == u.least[: len(best)]
     return out
 
 
@@ -441,8 +449,16 @@ def _exchange(blocks: DataFrame, ask: Callable, reply: Callable, settle: Callabl
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for _, row in frame.iterrows():
+                to, held, size = [], [], 0
                 for r, data in ask(row):
-                    yield pd.DataFrame({"r": [r], "b": [int(row["b"])], "data": [data]})
+                    to.append(r)
+                    held.append(data)
+                    size += len(data)
+                    if size >= SENT:
+                        yield pd.DataFrame({"r": to, "b": int(row["b"]), "data": held})
+                        to, held, size = [], [], 0
+                if to:
+                    yield pd.DataFrame({"r": to, "b": int(row["b"]), "data": held})
 
     def answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"b": frame["b"].array, "r": key[0], "answer": reply(int(key[0]), [bytes(x) for x in frame["data"]])})

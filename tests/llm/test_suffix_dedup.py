@@ -128,3 +128,44 @@ def test_query_equals_brute_force(spark):
         r = got[d["doc_id"]]
         assert (r["n_removed"], r["n_spans"], r["kept_sha256"]) == (sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest())
         assert r["n_bytes"] == len((d["text"] or "").encode())
+
+
+def suspects(texts):
+    """The windows that ``_suspects`` gives to the sort."""
+    import pandas as pd
+
+    frame = pd.DataFrame({"doc": range(len(texts)), "tie": 0, "text": texts})
+    places = pd.concat(suffix_dedup._places(iter([frame])))
+    known = places.groupby("t")["x"].nunique()
+    known = known[known > 1].index.to_numpy()
+
+    class Live:
+        def has(self, hashes):
+            return np.isin(hashes, known)
+
+    return sum(int(f["windows"][f["body"].notna()].sum()) for f in suffix_dedup._suspects(Live())(iter([frame])))
+
+
+def test_phrases_shorter_than_a_match_are_not_sorted():
+    """A shared phrase of 60 bytes holds anchors, but none of them with the bytes beside it that a match would have."""
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    phrase, passage = text(60), text(300)
+    assert suspects([text(400) + phrase + text(400) for _ in range(50)]) == 0
+    assert suspects([text(400) + passage + text(400) for _ in range(5)]) >= 5 * (300 - MATCH + 1)
+
+
+def test_a_block_sends_its_parts_together(spark):
+    """One frame for each range took a Python worker most of its time where blocks meet many ranges."""
+    sent = []
+
+    class Blocks:
+        def mapInPandas(self, run, schema):
+            import pandas as pd
+
+            sent.extend(run(iter([pd.DataFrame({"b": [7]})])))
+            raise StopIteration
+
+    with pytest.raises(StopIteration):
+        suffix_dedup._exchange(Blocks(), lambda row: ((r, bytes(1000)) for r in range(10_000)), None, None, "x")
+    assert len(sent) <= 4 and sum(map(len, sent)) == 10_000
