@@ -6,15 +6,15 @@ What is sorted
     least hash among its GRAM-byte substrings, and with HALF bytes after the anchor, or before it, still holds it. A
     string whose anchor with these bytes is at no other place of any unit, and in a unit that is at no other place,
     occurs once and goes no further. Of equal units, and of
-    equal runs of what is left in them, the first is sorted and the others are repeats. Filters keep too much at worst.
+    equal runs of what is left in them, the first is kept and the others are repeats. So it is with equal segments of what is
+    then left, which are the strings of one anchor each; and what has no like in another kept segment, by an anchor and the
+    bytes beside it again, isn't sorted. Filters keep too much at worst.
 
 How it is sorted
-    Units lie in blocks. Places whose number in their unit isn't divisible by three are the sample, and of
-    these again those whose third isn't: the difference cover of three, twice. Triples of 12-byte symbols
-    at sampled places are sorted and named; triples of these names (MATCH bytes and more) are sorted and are
-    the ranks of the inner sample. From them all sampled suffixes are ranked, and from those all
-    suffixes: two suffixes are compared by the symbols up to the next place at which both are sampled,
-    and by the ranks there. So the order is that of the suffixes as far as MATCH bytes decide it.
+    Units lie in blocks. Places whose number in their unit isn't divisible by three are the sample: a difference cover
+    of three. The MATCH bytes at sampled places are sorted and named; since MATCH bytes decide, the names are the ranks of the
+    sample and nothing is left to recur on. From them all windows are ranked: two are compared by the bytes up to the next
+    place at which both are sampled, and by the ranks there. So the order is that of the suffixes as far as MATCH bytes decide it.
 
     A sort is an exchange: a block sends what it wants to know, each thing once, to ranges between
     splitters; a range puts them in order and answers the blocks. Ranges hold about RANGE things, whatever
@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 from perilframe.llm import sketch
 from perilframe.llm.common import checkpointing, discard, gram_hashes, mix, signed, slices, small_batches, stored
 
-MATCH, GRAM, SYMBOL = 100, 48, 12
+MATCH, GRAM = 100, 48
 #: Places between two ends of units that bytes choose, at least; windows of a unit, at most; bytes of a text read at once.
 APART, UNIT, PIECE = 128, 4096, 1 << 20
-#: Windows of a block; things of a range, about; samples of a range.
-BLOCK, RANGE, SAMPLES = 1 << 19, 1 << 19, 8
+#: Places of a block, with those after its units; windows of a range, about; samples of a range.
+BLOCK, RANGE, SAMPLES = 1 << 18, 1 << 18, 8
 #: Bytes of a block that are sent at once.
 SENT = 4 << 20
 _LOCAL = 27
@@ -53,9 +53,12 @@ _TOP = np.uint32(2**32 - 1)
 SPAN = MATCH - GRAM + 1
 #: Bytes beside an anchor: a string has so many after it, if the anchor is among its first HALF + 1 places, or else before it.
 HALF = (SPAN - 1) // 2
-_TRIPLE = 3 * SYMBOL
-#: Places after a unit's last window that some comparison looks at.
-_BEYOND = 2 * _TRIPLE + 8 + _TRIPLE
+#: Kinds of an anchor's places in a string (lowest, highest): of one kind all have so many bytes beside their anchor in common.
+KINDS = [(k * SPAN // 4, (k + 1) * SPAN // 4 - 1) for k in range(4)]
+_COMMON = MATCH - max(z - a for a, z in KINDS)
+#: Places after a unit's last window that are named, and those that some name looks at.
+_NAMED = 2
+_BEYOND = _NAMED + MATCH
 
 
 # --- units and anchors ----------------------------------------------------------------------------
@@ -216,24 +219,27 @@ def _anchored_by(u: Units, anchors: np.ndarray, low: int, count: int) -> np.ndar
 _BLOCK = "b long, body binary, windows binary, doc binary, tie binary, start binary"
 
 
+def _blocked(units: pd.DataFrame, b: int) -> dict:
+    """A block's row."""
+    return {"b": b, "body": b"".join(units["body"])} | {c: units[c].to_numpy(np.int64).tobytes() for c in ("windows", "doc", "tie", "start")}
+
+
 def _packed(frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
-    """Units in order of their places, in blocks of about so many windows."""
+    """Units in order of their places, in blocks of about so many places."""
     part, held, size, k = TaskContext.get().partitionId(), [], 0, 0
 
     def block() -> pd.DataFrame:
-        f = pd.concat(held)
-        raw = {c: [f[c].to_numpy(np.int64).tobytes()] for c in ("windows", "doc", "tie", "start")}
-        return pd.DataFrame({"b": [(part << 20) + k], "body": [b"".join(f["body"])]} | raw)
+        return pd.DataFrame({c: [x] for c, x in _blocked(pd.concat(held), (part << 20) + k).items()})
 
     for frame in frames:
-        cuts = np.flatnonzero(np.diff((np.cumsum(frame["windows"].to_numpy()) + size) // most)) + 1 if len(frame) else []
+        cuts = np.flatnonzero(np.diff((np.cumsum(frame["windows"].to_numpy() + _BEYOND) + size) // most)) + 1 if len(frame) else []
         for a, z in zip([0, *cuts], [*cuts, len(frame)]):
             if a and held:
                 yield block()
                 held, size, k = [], 0, k + 1
             if z > a:
                 held.append(frame.iloc[a:z])
-        size = int(sum(f["windows"].sum() for f in held))
+        size = int(sum(f["windows"].sum() + _BEYOND * len(f) for f in held))
         if size >= most:
             yield block()
             held, size, k = [], 0, k + 1
@@ -251,86 +257,140 @@ class Block:
         self.size = int(self.slots.sum())
         length = self.windows + MATCH - 1
         begin = np.cumsum(length) - length
-        self.text = np.zeros(self.size + _TRIPLE, np.uint8)
+        self.text = np.zeros(self.size + MATCH, np.uint8)
         self.text[np.repeat(self.first - begin, length) + np.arange(length.sum())] = np.frombuffer(bytes(row["body"]), np.uint8)
         self.place = np.arange(self.size) - np.repeat(self.first, self.slots)
         self.beyond = self.place - np.repeat(self.windows, self.slots)
 
-    def sampled(self, level: int, beyond: int) -> np.ndarray:
-        """Places, up to ``beyond`` after the windows, that are in the sample of a level."""
-        on = self.beyond < beyond
-        for k in range(level):
-            on &= self.place // 3**k % 3 != 0
-        return np.flatnonzero(on)
-
-    def spread(self, level: int, beyond: int, values: bytes) -> np.ndarray:
-        """A sample's values at their places."""
-        out = np.zeros(self.size + 1, np.int64)
-        out[self.sampled(level, beyond)] = np.frombuffer(bytes(values), np.int64)
-        return out
+    def sampled(self) -> np.ndarray:
+        """Places, up to _NAMED after the windows, that are in the sample."""
+        return np.flatnonzero((self.beyond < _NAMED) & (self.place % 3 != 0))
 
 
-# Places after the windows that are named, or ranked, at each level.
-_NAMED, _INNER, _OUTER = 2 * _TRIPLE + 8, 8, 2
+def _names(block: Block) -> np.ndarray:
+    """The strings at the sample."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(block.text, MATCH)[block.sampled()]).view(f"S{MATCH}").ravel()
 
 
-def _names(block: Block, row) -> np.ndarray:
-    """The triples of symbols at the outer sample."""
-    at = block.sampled(1, _NAMED)
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(block.text, _TRIPLE)[at]).view(f"S{_TRIPLE}").ravel()
+# --- segments: the windows of one anchor ---------------------------------------------------------------------
 
+_STRETCH = "doc long, tie long, start long, windows long, body binary"
 
-def _bytes(*columns: np.ndarray) -> np.ndarray:
-    """Columns of numbers as strings in the same order."""
-    return np.stack(columns, axis=1).astype(">u8").view(f"S{8 * len(columns)}").ravel()
 
+class Segments:
+    """A block's stretches of windows whose first least hash is at one place: where each begins, its windows and its anchor."""
 
-def _inner(block: Block, row) -> np.ndarray:
-    """The triples of names at the inner sample."""
-    names = block.spread(1, _NAMED, row["names"])
-    at = block.sampled(2, _INNER)
-    return _bytes(names[at], names[at + _TRIPLE], names[at + 2 * _TRIPLE])
+    def __init__(self, block: Block):
+        self.block, window = block, np.flatnonzero(block.beyond < 0)
+        half = gram_hashes(block.text, GRAM) >> np.uint64(32)
+        best = sliding(half << np.uint64(32) | np.arange(len(half), dtype=np.uint64), SPAN, np.minimum)
+        anchor = (best[window] & np.uint64(_TOP)).astype(np.int64)
+        #: Numbers of their first windows among the block's.
+        self.head = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, int)
+        self.first, self.anchor, self.windows = window[self.head], anchor[self.head], np.diff(np.r_[self.head, len(anchor)])
 
+    def keys(self) -> np.ndarray:
+        """128 bits for each segment's bytes."""
+        view = memoryview(self.block.text.tobytes())
+        raw = b"".join(hashlib.blake2b(view[a : a + n + MATCH - 1], digest_size=16, key=b"segment").digest() for a, n in zip(self.first.tolist(), self.windows.tolist()))
+        return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
-def _pruned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks of the windows all of whose names, at places of one class of the sample, several places have: others occur once.
+    def marks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each kind: marks of the segments that have windows of it, and where these windows begin and end."""
+        wide = gram_hashes(self.block.text, _COMMON)
+        for k, (low, high) in enumerate(KINDS):
+            a, z = np.maximum(self.first, self.anchor - high), np.minimum(self.first + self.windows, self.anchor - low + 1)
+            i = np.flatnonzero(a < z)
+            yield signed(mix(wide[self.anchor[i] - low] ^ np.uint64((k + 1) * 0x6A09_E667_F3BC_C908 % 2**64))), a[i], z[i]
 
-    Runs of them are units of their own, which begin at a place divisible by nine, so that samples stay the same.
-    """
+
+def _stretches(block: Block, row, on: np.ndarray, body: bool) -> pd.DataFrame:
+    """Runs of windows as rows."""
+    first, end = _runs(on)
+    unit = np.searchsorted(block.first, first, side="right") - 1
+    doc, tie, start = (np.frombuffer(bytes(row[c]), np.int64)[unit] for c in ("doc", "tie", "start"))
+    bodies = [block.text[p : q + MATCH - 1].tobytes() for p, q in zip(first.tolist(), end.tolist())] if body else None
+    return pd.DataFrame({"doc": doc, "tie": tie, "start": start + block.place[first], "windows": end - first, "body": bodies})
+
+
+def _filled(size: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which places lie in one of these stretches."""
+    on = np.zeros(size + 1, np.int64)
+    np.add.at(on, first, 1)
+    np.add.at(on, end, -1)
+    return np.cumsum(on[:-1]) > 0
+
+
+def _keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The segments of blocks, by their bytes."""
     for frame in frames:
         for _, row in frame.iterrows():
-            block = Block(row)
-            names = block.spread(1, _NAMED, row["names"])
-            at, window = block.sampled(1, _NAMED), np.flatnonzero(block.beyond < 0)
-            may = np.zeros(block.size, bool)
-            for c in (1, 2):  # a like window may be of another class, and then has but these names in its sample, too
-                alone = np.zeros(block.size + 1, np.int64)
-                alone[at + 1] = (names[at] % 2 == 0) & (block.place[at] % 3 == c)
-                alone = np.cumsum(alone)
-                # Names of _TRIPLE bytes within the window's MATCH: those that begin at most MATCH - _TRIPLE places on.
-                may[window] |= alone[window + MATCH - _TRIPLE + 1] == alone[window]
-            first, end = _runs(may)
-            if not len(first):
-                continue
-            unit = np.searchsorted(block.first, first, side="right") - 1
-            first = first - block.place[first] % 9
-            # Runs that now meet are one.
-            fresh = np.flatnonzero(np.r_[True, (first[1:] > end[:-1]) | (unit[1:] != unit[:-1])])
-            first, end, unit = first[fresh], end[np.r_[fresh[1:], len(end)] - 1], unit[fresh]
-            doc, tie, start = (np.frombuffer(bytes(row[c]), np.int64)[unit] for c in ("doc", "tie", "start"))
-            out = {"b": block.b, "body": b"".join(block.text[p : q + MATCH - 1].tobytes() for p, q in zip(first.tolist(), end.tolist())), "windows": (end - first).tobytes(), "doc": doc.tobytes(), "tie": tie.tobytes(), "start": (start + block.place[first]).tobytes()}
-            new = Block(out)
-            own = new.sampled(1, _NAMED)
-            k = np.searchsorted(new.first, own, side="right") - 1
-            out["names"] = names[first[k] + new.place[own]].tobytes()
-            yield pd.DataFrame({c: [out[c]] for c in (*[x.split()[0] for x in _BLOCK.split(", ")], "names")})
+            found = Segments(Block(row))
+            keys = found.keys()
+            yield pd.DataFrame({"k": keys[:, 0], "m": keys[:, 1], "place": (int(row["b"]) << 22) + found.head})
+
+
+def _parted(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """A block's first segments (with bodies) and those that are elsewhere before (without)."""
+    row = left.iloc[0]
+    found = Segments(Block(row))
+    block, kept = found.block, np.isin(found.head, right["place"].to_numpy(np.int64) & (1 << 22) - 1)
+    rows = [_stretches(block, row, _filled(block.size, found.first[x], (found.first + found.windows)[x]), body) for x, body in ((kept, True), (~kept, False))]
+    return pd.concat(rows)
+
+
+def _marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        if len(frame):
+            yield pd.DataFrame({"t": np.concatenate([t for t, _, _ in Segments(Block(_blocked(frame, 0))).marks()])})
+
+
+def _live(live: sketch.Filter):
+    """The windows that may have their like in another segment."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                row = _blocked(frame, 0)
+                found = Segments(Block(row))
+                held = [(a[on], z[on]) for t, a, z in found.marks() for on in (live.has(t),)]
+                yield _stretches(found.block, row, _filled(found.block.size, *map(np.concatenate, zip(*held))), True)
+
+    return run
+
+
+def _ordered(units: DataFrame, most: int) -> DataFrame:
+    """Units in order of their places, in blocks."""
+    ordered = units.repartitionByRange("doc", "tie", "start").sortWithinPartitions("doc", "tie", "start")
+    return stored(ordered.mapInPandas(partial(_packed, most=most), _BLOCK), "blocks")
+
+
+def _without_copies(blocks: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the windows that may have their like among first segments, and the segments that are elsewhere before."""
+    firsts = blocks.mapInPandas(_keyed, "k long, m long, place long").groupBy("k", "m").agg(F.min("place").alias("place"))
+    firsts = firsts.select(F.shiftright("place", 22).alias("b"), "place")
+    parted = stored(blocks.groupBy("b").cogroup(firsts.groupBy("b")).applyInPandas(_parted, _STRETCH), "parted")
+    discard(blocks)
+    copies = stored(parted.where("body is null").drop("body"), "segments")
+    kept = parted.where("body is not null")
+    marks = stored(kept.mapInPandas(_marked, "t long").groupBy("t").count().where("count > 1").select("t"), "marks")
+    live = sketch.Filter(marks, "t")
+    out = _ordered(kept.mapInPandas(_live(live), _STRETCH), most)
+    live.drop()
+    discard(marks, parted)
+    return out, copies
 
 
-# --- suffixes of one level, in three classes --------------------------------------------------------------
+# --- suffixes, in three classes --------------------------------------------------------------
+
+
+def _bytes(*columns: np.ndarray) -> np.ndarray:
+    """Columns of numbers as strings in the same order."""
+    return np.stack(columns, axis=1).astype(">u8").view(f"S{8 * len(columns)}").ravel()
 
 
 class Suffixes:
-    """Suffixes by class (their number in the level, modulo three), symbols t0, t1 and ranks ra, rb.
+    """Suffixes by class (their number in the unit, modulo three), symbols t0, t1 and ranks ra, rb.
 
     Class 0 isn't sampled: ra and rb are the ranks one and two places on. Classes 1 and 2 are: ra is their
     own rank, rb that of the next place at which they and class 0 are both sampled (one on for class 1, two for class 2).
@@ -385,29 +445,11 @@ class Suffixes:
         return out
 
 
-def _outer(block: Block, row) -> Suffixes:
-    names, ranks = block.spread(1, _NAMED, row["names"]), block.spread(2, _INNER, row["inner"])
-    at = block.sampled(1, _OUTER)
-    return Suffixes.at(block.place[at], at, 3, names, ranks)
-
-
 def _whole(block: Block, row) -> Suffixes:
     """Every window, marked by the hash of its bytes."""
-    ranks = block.spread(1, _OUTER, row["outer"])
-    at = block.sampled(0, 0)
-    mark = signed(gram_hashes(block.text, MATCH)[at]) if len(at) else np.zeros(0, np.int64)
-    return Suffixes.at(block.place[at], at, 1, block.text[: block.size + 1].astype(np.int64), ranks, mark)
-
-
-def _distinct(every: Suffixes, by_mark: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The first of each suffix (or of each mark), and which of them each is."""
-    if by_mark:
-        _, first, inverse = np.unique(every.mark, return_index=True, return_inverse=True)
-        return first, inverse
-    own = every.cls == 0
-    rows = _bytes(every.cls, np.where(own, every.t0, 0), np.where(own, every.t1, 0), every.ra, np.where(own, every.rb, 0))
-    _, first, inverse = np.unique(rows, return_index=True, return_inverse=True)
-    return first, inverse
+    ranks, at = np.zeros(block.size + 1, np.int64), np.flatnonzero(block.beyond < 0)
+    ranks[block.sampled()] = np.frombuffer(bytes(row["names"]), np.int64)
+    return Suffixes.at(block.place[at], at, 1, block.text[: block.size + 1].astype(np.int64), ranks, signed(gram_hashes(block.text, MATCH)[at]))
 
 
 # --- exchanges -------------------------------------------------------------------------------------------
@@ -475,104 +517,89 @@ def _exchange(blocks: DataFrame, ask: Callable, reply: Callable, settle: Callabl
     return out
 
 
-def _named(blocks: DataFrame, keys: Callable[[Block, pd.Series], np.ndarray], width: int, column: str, ranges: int, count: int) -> DataFrame:
-    """blocks with the names of their keys, strings of a width: numbers in the keys' order, equal for equal keys, and odd for those that several places have."""
-    kind = f"S{width}"
+def _named(blocks: DataFrame, ranges: int, count: int) -> DataFrame:
+    """blocks with the names of their sample: numbers in the strings' order, equal for equal strings."""
+    kind = f"S{MATCH}"
 
     def pick(row, each: int) -> bytes:
-        own = keys(Block(row), row)
+        own = _names(Block(row))
         return own[_chosen(len(own), each, int(row["b"]))].tobytes()
 
-    some = np.sort(np.frombuffer(b"".join(_sampled(blocks, pick, ranges, count)), kind))
-    splitters = np.unique(some[_spaced(some, ranges)])
-
-    def dealt(own: np.ndarray) -> np.ndarray:
-        return np.searchsorted(splitters, own, side="right") if len(splitters) else np.zeros(len(own), np.int64)
+    splitters = np.unique(np.frombuffer(b"".join(_sampled(blocks, pick, ranges, count)), kind))
+    splitters = splitters[_spaced(splitters, ranges)]
 
     def ask(row):
-        own, count = np.unique(keys(Block(row), row), return_counts=True)
-        to = dealt(own)
-        for r in np.unique(to).tolist():
-            i = to == r
-            yield r, own[i].tobytes() + (count[i] > 1).tobytes()
+        own = np.unique(_names(Block(row)))
+        cuts = [0, *np.searchsorted(own, splitters).tolist(), len(own)]
+        for r, (a, z) in enumerate(zip(cuts, cuts[1:])):
+            if z > a:
+                yield r, own[a:z].tobytes()
 
     def reply(r: int, parts: list[bytes]) -> list[bytes]:
-        sizes = [len(p) // (width + 1) for p in parts]
-        every = np.concatenate([np.frombuffer(p, kind, n) for p, n in zip(parts, sizes)])
-        again = np.concatenate([np.frombuffer(p, bool, n, width * n) for p, n in zip(parts, sizes)])
-        known, inverse = np.unique(every, return_inverse=True)
-        several = np.bincount(inverse, 1 + again, len(known)) > 1
-        where = _numbered(r, 2 * inverse + several[inverse])
-        return [x.tobytes() for x in np.split(where, np.cumsum(sizes)[:-1])]
+        sizes = [len(p) // MATCH for p in parts]
+        _, inverse = np.unique(np.frombuffer(b"".join(parts), kind), return_inverse=True)
+        return [x.tobytes() for x in np.split(_numbered(r, inverse), np.cumsum(sizes)[:-1])]
 
     def settle(row, got: dict[int, np.ndarray]) -> bytes:
-        own, inverse = np.unique(keys(Block(row), row), return_inverse=True)
+        own, inverse = np.unique(_names(Block(row)), return_inverse=True)
         return (np.concatenate([got[r] for r in sorted(got)])[inverse] if len(own) else np.zeros(0, np.int64)).tobytes()
 
-    return _exchange(blocks, ask, reply, settle, column)
+    return _exchange(blocks, ask, reply, settle, "names")
 
 
-def _merged(blocks: DataFrame, suffixes: Callable[[Block, pd.Series], Suffixes], small: bool, column: str, ranges: int, count: int, drop: tuple[str, ...]) -> DataFrame:
-    """blocks with the ranks of a level's suffixes; or, of marked windows (``small``), the first place of each window's like."""
+def _merged(blocks: DataFrame, ranges: int, count: int) -> DataFrame:
+    """blocks with the first place of each window's like."""
 
     def pick(row, each: int) -> bytes:
-        every = suffixes(Block(row), row)
+        every = _whole(Block(row), row)
         return every.take(_chosen(len(every.cls), each, int(row["b"]))).tobytes()
 
     some = Suffixes.of(_sampled(blocks, pick, ranges, count) or [b""])
-    some = some.take(np.argsort(some.before(some, small), kind="stable"))
-    if small and len(some.cls):  # one splitter of windows that are alike
-        some = some.take(np.sort(np.unique(some.mark, return_index=True)[1]))
-        some = some.take(np.argsort(some.before(some, small), kind="stable"))
+    some = some.take(np.sort(np.unique(some.mark, return_index=True)[1]))  # one splitter of windows that are alike
+    some = some.take(np.argsort(some.before(some, True), kind="stable"))
     splitters = some.take(_spaced(some.cls, ranges))
     marks = np.argsort(splitters.mark)
 
     def dealt(own: Suffixes) -> np.ndarray:
-        to = own.before(splitters, small, "right")
-        if small and len(marks):  # windows like a splitter go with it, whatever follows them
+        to = own.before(splitters, True, "right")
+        if len(marks):  # windows like a splitter go with it, whatever follows them
             k = np.minimum(np.searchsorted(splitters.mark[marks], own.mark), len(marks) - 1)
             same = splitters.mark[marks[k]] == own.mark
             to[same] = marks[k[same]] + 1
         return to
 
-    def own(row) -> tuple[Block, Suffixes, np.ndarray, np.ndarray]:
-        block = Block(row)
-        every = suffixes(block, row)
-        first, inverse = _distinct(every, small)
-        return block, every.take(first), first, inverse
+    def own(row) -> tuple[Suffixes, np.ndarray, np.ndarray]:
+        every = _whole(Block(row), row)
+        _, first, inverse = np.unique(every.mark, return_index=True, return_inverse=True)
+        return every.take(first), first, inverse
 
     def ask(row):
-        block, some_, first, _ = own(row)
-        to = dealt(some_)
-        place = (block.b << 22) + first
+        some, first, _ = own(row)
+        to = dealt(some)
+        place = (int(row["b"]) << 22) + first
         for r in np.unique(to).tolist():
             i = np.flatnonzero(to == r)
-            yield r, some_.take(i).tobytes() + (place[i].tobytes() if small else b"")
+            yield r, some.take(i).tobytes() + place[i].tobytes()
 
     def reply(r: int, parts: list[bytes]) -> list[bytes]:
-        wide = len(Suffixes.COLUMNS) + small
-        sizes = [len(p) // (8 * wide) for p in parts]
+        sizes = [len(p) // (8 * len(Suffixes.COLUMNS) + 8) for p in parts]
         every = Suffixes.of([p[: 48 * n] for p, n in zip(parts, sizes)])
-        order = every.before(every, small)
-        if small:
-            place = np.concatenate([np.frombuffer(p[48 * n :], np.int64) for p, n in zip(parts, sizes)])
-            by = np.argsort(order, kind="stable")
-            mark = every.mark[by]
-            head = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
-            out = np.zeros(len(by), np.int64)
-            out[by] = np.repeat(np.minimum.reduceat(place[by], head), np.diff(np.r_[head, len(by)]))
-        else:
-            out = _numbered(r, order)
+        place = np.concatenate([np.frombuffer(p[48 * n :], np.int64) for p, n in zip(parts, sizes)])
+        by = np.argsort(every.before(every, True), kind="stable")
+        mark = every.mark[by]
+        head = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
+        out = np.zeros(len(by), np.int64)
+        out[by] = np.repeat(np.minimum.reduceat(place[by], head), np.diff(np.r_[head, len(by)]))
         return [x.tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
 
     def settle(row, got: dict[int, np.ndarray]) -> bytes:
-        _, some_, first, inverse = own(row)
-        to, out = dealt(some_), np.zeros(len(first), np.int64)
+        some, first, inverse = own(row)
+        to, out = dealt(some), np.zeros(len(first), np.int64)
         for r, x in got.items():
             out[to == r] = x
         return out[inverse].tobytes()
 
-    return _exchange(blocks, ask, reply, settle, column, drop)
+    return _exchange(blocks, ask, reply, settle, "kept", ("names",))
 
 
 def _runs(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -611,20 +638,18 @@ def repeats(docs: DataFrame, block: int = BLOCK, size: int = RANGE) -> DataFrame
     firsts = units.groupBy("key").agg(F.min(F.struct("doc", "tie", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
     own = F.struct("doc", "tie", "start")
     copies = units.select("key", "doc", "tie", "start", "windows").join(firsts.where("n > 1"), "key").where(own != F.col("first"))
-    copies = stored(copies.select("doc", "tie", "start", (F.col("start") + F.col("windows") + MATCH - 1).alias("end")), "copies")
+    copies = stored(copies.select("doc", "tie", "start", "windows"), "copies")
     one = units.where("body is not null").groupBy("key").agg(F.min(F.struct("doc", "tie", "start", "windows", "body")).alias("u")).select("u.*")
-    blocks = stored(one.repartitionByRange("doc", "tie", "start").sortWithinPartitions("doc", "tie", "start").mapInPandas(partial(_packed, most=block), _BLOCK), "blocks")
+    blocks = _ordered(one, block)
     discard(units)
-    whole = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("body")).alias("bytes")).first()
+    blocks, more = _without_copies(blocks, block)
+    copies = copies.unionByName(more).select("doc", "tie", "start", (F.col("start") + F.col("windows") + MATCH - 1).alias("end"))
+    windows = F.octet_length("body") - (MATCH - 1) * F.octet_length("windows") / 8
+    whole = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum(windows).alias("windows")).first()
     if not whole["n"]:
         return copies
-    count, ranges = whole["n"], -(-int(whole["bytes"]) // size)
-    blocks = _named(blocks, _names, _TRIPLE, "names", ranges, count)
-    named, blocks = blocks, stored(blocks.mapInPandas(_pruned, _BLOCK + ", names binary"), "pruned")
-    discard(named)
-    blocks = _named(blocks, _inner, 24, "inner", ranges, count)
-    blocks = _merged(blocks, _outer, False, "outer", ranges, count, ("names", "inner"))
-    blocks = _merged(blocks, _whole, True, "kept", ranges, count, ("outer",))
+    count, ranges = whole["n"], -(-int(whole["windows"]) // size)
+    blocks = _merged(_named(blocks, ranges, count), ranges, count)
     return copies.unionByName(blocks.mapInPandas(_repeated, "doc long, tie long, start long, end long"))
 
 

@@ -169,3 +169,52 @@ def test_a_block_sends_its_parts_together(spark):
     with pytest.raises(StopIteration):
         suffix_dedup._exchange(Blocks(), lambda row: ((r, bytes(1000)) for r in range(10_000)), None, None, "x")
     assert len(sent) <= 4 and sum(map(len, sent)) == 10_000
+
+
+def test_of_equal_segments_one_is_sorted(spark, monkeypatch):
+    """A passage in many documents goes to the sort once, but for the windows at its edges."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = text(600)
+    texts = [text(200) + passage[k % 3 :] + text(200) for k in range(30)]
+    sorted_, named = [], suffix_dedup._named
+
+    def held(blocks, *rest):
+        sorted_.extend(np.frombuffer(bytes(r["windows"]), np.int64).sum() for r in blocks.select("windows").collect())
+        return named(blocks, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "_named", held)
+    got = suffix_dedup.cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    compare(got, range(30), [t.encode() for t in texts])
+    assert sum(sorted_) < 30 * 500 / 4
+
+
+def test_periodic_passages(spark):
+    """Stretches with many equal least hashes, cut off at different places, equal brute force."""
+    rng = random.Random(12)
+    period = ["a", "ab", "abcab", "x" * 60 + "y", "".join(rng.choice("abcdef") for _ in range(130))]
+    text = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    texts = [text(rng.randint(0, 90)) + (p * 700)[rng.randint(0, 9) :][: rng.randint(90, 700)] + text(rng.randint(0, 90)) for p in period * 8]
+    rng.shuffle(texts)
+    got = suffix_dedup.cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), block=2_000, size=900).collect()
+    want = compare(got, range(len(texts)), [t.encode() for t in texts])
+    assert sum(len(s) for s, _ in want) > 30
+
+
+def test_segments_hold_every_window_once_and_their_kinds_too():
+    import pandas as pd
+
+    bodies = [t.encode() for t in corpus(5) if len(t.encode()) >= MATCH]
+    frame = pd.DataFrame({"windows": [len(b) - MATCH + 1 for b in bodies], "doc": range(len(bodies)), "tie": 0, "start": 0, "body": bodies})
+    found = suffix_dedup.Segments(suffix_dedup.Block(suffix_dedup._blocked(frame, 0)))
+    windows = np.flatnonzero(found.block.beyond < 0)
+    places = lambda first, end: sorted(p for a, z in zip(first.tolist(), end.tolist()) for p in range(a, z))
+    assert places(found.first, found.first + found.windows) == windows.tolist()
+    marks = list(found.marks())
+    assert places(np.concatenate([a for _, a, _ in marks]), np.concatenate([z for _, _, z in marks])) == windows.tolist()
+    # Equal windows lie in stretches of equal marks.
+    mark = {p: t for m, first, end in marks for t, a, z in zip(m.tolist(), first.tolist(), end.tolist()) for p in range(a, z)}
+    seen = {}
+    for p in windows.tolist():
+        assert seen.setdefault(found.block.text[p : p + MATCH].tobytes(), mark[p]) == mark[p]
+    assert len(seen) < len(windows)
